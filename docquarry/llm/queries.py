@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import decontaminate, language, mixing, neardup, quality, toxicity
+from docquarry.llm import decontaminate, language, mixing, neardup, quality, tokens, toxicity
 from docquarry.llm.common import table
 
 
@@ -16,6 +16,17 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """Where the word vocabulary of the token-ID queries lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenized(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
@@ -32,6 +43,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_language, op7_source_mix, op8_decontaminate, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_language, op6_token_ids, op7_source_mix, op8_decontaminate, op9_toxicity, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
