@@ -139,3 +139,21 @@ def batches_of(data: np.ndarray, offsets: np.ndarray, size: int) -> list[tuple[i
         runs.append((a, b))
         a = b
     return runs
+
+
+def joined(words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets of documents, starts of words): the kept words of each document with one space
+    between them."""
+    start, n = words.start, words.counts
+    of = np.repeat(np.arange(len(n)), n)
+    length = words.end - words.start
+    if keep is not None:
+        start, of, length = start[keep], of[keep], length[keep]
+    final = np.ones(len(of), bool)
+    final[:-1] = of[1:] != of[:-1]
+    size = length + ~final
+    at = np.cumsum(size) - size
+    source = np.arange(size.sum()) + np.repeat(start - at, size)
+    line = words.data[np.minimum(source, max(len(words.data) - 1, 0))]
+    line[(at + length)[~final]] = 0x20
+    return line, np.append(0, np.cumsum(np.bincount(of, size, len(n)))).astype(np.int64), at
