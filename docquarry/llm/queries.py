@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontaminate, language, mixing, neardup, quality, substrings, tokens, toxicity
+from docquarry.llm import contexttree, decontaminate, language, mixing, neardup, quality, substrings, tokens, toxicity
 from docquarry.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexttree.scores(table(spark, sf_dir, "documents")).drop("code_length")
+
+
 def vocabulary() -> str:
     """Where the word vocabulary of the token-ID queries lies."""
     import public_tokenizers
@@ -50,6 +54,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_language, op4_substring_dedup, op6_token_ids, op7_source_mix, op8_decontaminate, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_language, op4_substring_dedup, op5_context_tree, op6_token_ids, op7_source_mix, op8_decontaminate, op9_toxicity, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
