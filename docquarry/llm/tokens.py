@@ -33,7 +33,7 @@ from docquarry.llm.common import new_path
 from docquarry.llm.text import LOWER, SPACE, Words, batches_of, texts_of
 
 #: Ids of a block, at least; bytes of text to one shard, about; units kept in a worker's memory.
-BLOCK, SHARD_BYTES, REMEMBERED = 1 << 16, 32 << 20, 600_000
+BLOCK, SHARD_BYTES, REMEMBERED = 1 << 16, 32 << 20, 250_000
 END = 1
 
 # ------------------------------------------------------------------------------------------- packing
@@ -81,7 +81,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _alone(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -91,15 +91,16 @@ class Encoder:
         plain = [u for u in units if u.isalpha() or u.decode().isalpha()]
         parts = [plain[k : k + 500] for k in range(0, len(plain), 500)]
         texts = [b" ".join(x).decode() for x in parts]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
+        for part, text in zip(parts, texts, strict=True):
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(part):
-                self.known.update(zip(part, np.split(ids, ends[:-1]), strict=True))
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.known.update(zip(part, (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
         left = [u for u in units if u not in self.known]
-        if left:
-            found = self.tokenizer.encode_batch_fast([u.decode() for u in left], add_special_tokens=False)
-            self.known.update((u, np.array(x.ids, np.uint32)) for u, x in zip(left, found, strict=True))
+        for k in range(0, len(left), 500):
+            found = self.tokenizer.encode_batch_fast([u.decode() for u in left[k : k + 500]], add_special_tokens=False)
+            self.known.update((u, np.array(x.ids, np.uint32).tobytes()) for u, x in zip(left[k : k + 500], found, strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each document in them), ``end`` after each."""
@@ -112,8 +113,8 @@ class Encoder:
             self.known.clear()
         self.learn([u for u in unique if u not in self.known])
         each = [self.known[u] for u in unique]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        pool = np.concatenate(each) if each else np.zeros(0, np.uint32)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        pool = np.frombuffer(b"".join(each), np.uint32)
         begin = np.cumsum(size) - size
         n = size[at]
         total = np.append(0, np.cumsum(n))
@@ -182,7 +183,7 @@ def write_blocks(docs: DataFrame, path: str, vocabulary_file: str, end: int | No
             own = batch.schema.field("doc_id").type
             doc_ids = batch.column("doc_id").to_pylist()
             data, offsets = texts_of(batch.column("text"))
-            for a, b in batches_of(data, offsets, 4 << 20):
+            for a, b in batches_of(data, offsets, 2 << 20):
                 ids, at = use.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end)
                 i = 0
                 while i < b - a:
