@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import contexttree, decontaminate, language, mixing, neardup, quality, substrings, tokens, toxicity
+from docquarry.llm import contexttree, decontaminate, embeddings, language, mixing, neardup, quality, substrings, tokens, toxicity
 from docquarry.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.without_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
@@ -54,6 +58,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_language, op4_substring_dedup, op5_context_tree, op6_token_ids, op7_source_mix, op8_decontaminate, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_language, op3_embedding_near_dedup, op4_substring_dedup, op5_context_tree, op6_token_ids, op7_source_mix, op8_decontaminate, op9_toxicity, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
