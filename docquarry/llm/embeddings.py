@@ -32,7 +32,7 @@ from docquarry.llm.common import connected_components, materialize
 THRESHOLD, RECALL = 0.93, 0.999
 SAMPLE, BLOCK = 8000, 2048
 #: Classes of one label that a cell should hold, about; codewords of a half at most.
-FILL, MOST_WORDS = 24, 256
+FILL, MOST_WORDS = 512, 256
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
