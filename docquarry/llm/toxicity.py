@@ -53,8 +53,8 @@ class Sentences:
             hashes.append(span_hashes(words.data, words.start[longer], words.start[longer] + n))
             lines.append(of_word[longer])
         #: of each feature: its bucket and its sentence
-        self.bucket = (np.concatenate(hashes) & np.uint64(BUCKETS - 1)).astype(np.int64)
-        self.line = np.concatenate(lines)
+        self.bucket = np.concatenate([(h & np.uint64(BUCKETS - 1)).astype(np.int32) for h in hashes])
+        self.line = np.concatenate(lines).astype(np.int32)
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """Byte offsets in its document of each sentence's words."""
@@ -72,11 +72,18 @@ class NoisyOr:
         s = Sentences(*texts_of(pa.array([r[1] for r in rows], pa.string())))
         y[np.bincount(s.doc, minlength=len(y)) == 0] = 0
         # words of at least three documents; the others carry no evidence
-        of = s.doc[s.line]
-        pair = np.unique(of.astype(np.int64) * BUCKETS + s.bucket)
-        held = np.bincount(pair % BUCKETS, minlength=BUCKETS) >= 3
-        names, at = np.unique(s.bucket[held[s.bucket]], return_inverse=True)
-        line = s.line[held[s.bucket]]
+        pair = s.doc[s.line].astype(np.int64)
+        pair *= BUCKETS
+        pair += s.bucket
+        pair.sort()
+        first = np.append(True, pair[1:] != pair[:-1])
+        held = np.bincount(pair[first] % BUCKETS, minlength=BUCKETS) >= 3
+        del pair, first
+        names = np.flatnonzero(held)
+        some = held[s.bucket]
+        at, line = (np.cumsum(held, dtype=np.int32) - 1)[s.bucket[some]], s.line[some]
+        del some
+        s.bucket = s.line = None
         n = len(s.first)
         w, bias = np.zeros(len(names)), -4.0
         g2, gb2 = np.full(len(names), 1e-8), 1e-8
@@ -91,7 +98,7 @@ class NoisyOr:
             w -= rate * g / np.sqrt(g2)
             bias -= rate * gb / np.sqrt(gb2)
         self.weight, self.bias = np.zeros(BUCKETS, np.float32), float(bias)
-        self.weight[names] = w
+        self.weight[names] = w.astype(np.float32)
 
     def sentence_scores(self, column) -> Iterator[tuple[int, Sentences, np.ndarray, np.ndarray]]:
         """(number of the first document, sentences, log-odds of each sentence, document scores)"""
