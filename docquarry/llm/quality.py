@@ -49,7 +49,8 @@ class CompressionClassifier:
     def __init__(self, rows: Sequence[tuple[int, str, int]]):
         y = np.array([r[2] for r in rows], float)
         self.dictionaries, self.slope, self.bias = None, 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
-        fit, check = rows[::2], rows[1::2]
+        by = [[r for r in rows if r[2] == v] for v in (0, 1)]
+        fit, check = by[0][::2] + by[1][::2], by[0][1::2] + by[1][1::2]
         parts = [[p for r in fit if r[2] == v for p in pieces(r[1].encode())] for v in (0, 1)]
         if min(map(len, parts)) < 8 or len({r[2] for r in check}) < 2:
             return

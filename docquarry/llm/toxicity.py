@@ -58,7 +58,7 @@ class Sentences:
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """Byte offsets in its document of each sentence's words."""
-        last = np.append(self.first[1:], len(self.words)) - 1
+        last = np.append(self.first[1:], len(self.words))[: len(self.first)] - 1
         base = self.words.offsets[self.doc]
         return self.words.start[self.first] - base, self.words.end[last] - base
 
