@@ -20,12 +20,13 @@ def vote(candidates: DataFrame, *by: str) -> DataFrame:
     that agrees (.1 at most) and 1 at most. A single candidate is taken as it is. Sums are exact decimals, so
     neither order nor engine changes a tie."""
     c = candidates.withColumn("__v", normal_value(F.col("value"))).withColumn("__c", F.coalesce("confidence", F.lit(0.5)).cast("decimal(18,6)"))
-    forms = c.groupBy(*by, "__v").agg(F.sum("__c").alias("s"), F.count("*").alias("k"), F.min("pos").alias("first"), F.min_by("value", "pos").alias("value"))
-    forms = forms.groupBy(*by).agg(F.sum("k").alias("n"), F.max_by(F.struct("value", "s", "k"), F.when(F.col("__v").isNotNull(), F.struct("s", (-F.col("first")).alias("f")))).alias("best"))
-    mean = F.least(F.lit(1.0), F.col("best.s").cast("double") / F.col("n"))
-    bonus = F.when(F.col("best.k") > 1, F.least(F.lit(0.1), F.col("best.k") * 0.02)).otherwise(F.lit(0.0))
-    score = F.when(F.col("best.s").isNull(), 0.0).when(F.col("n") == 1, F.col("best.s").cast("double")).otherwise(F.least(F.lit(1.0), mean + bonus))
-    return forms.select(*by, F.col("best.value").alias("value"), score.alias("confidence"), F.col("n").alias("candidates"), F.coalesce("best.k", F.lit(0)).alias("agreeing"))
+    forms = c.groupBy(*by, "__v").agg(F.sum("__c").alias("__s"), F.count("*").alias("__k"), F.min("pos").alias("__first"), F.min_by("value", "pos").alias("__value"))
+    known = F.when(F.col("__v").isNotNull(), F.struct("__s", (-F.col("__first")).alias("f")))
+    forms = forms.groupBy(*by).agg(F.sum("__k").alias("__n"), F.max_by(F.struct("__value", "__s", "__k"), known).alias("__best"))
+    n, sums, agreeing = F.col("__n"), F.col("__best.__s").cast("double"), F.col("__best.__k")
+    bonus = F.when(agreeing > 1, F.least(F.lit(0.1), agreeing * 0.02)).otherwise(F.lit(0.0))
+    score = F.when(sums.isNull(), 0.0).when(n == 1, sums).otherwise(F.least(F.lit(1.0), F.least(F.lit(1.0), sums / n) + bonus))
+    return forms.select(*by, F.col("__best.__value").alias("value"), score.alias("confidence"), n.alias("candidates"), F.coalesce(agreeing, F.lit(0)).alias("agreeing"))
 
 
 TOTAL = r"(?i)(?:total|grand\s+total|amount\s+due|balance\s+due)[\s:]*\$?\s*([\d,]+\.?\d*)"

@@ -56,15 +56,14 @@ def percentiles(df: DataFrame, value: str, points: tuple[int, ...] = (50, 95, 99
     """For each group: n, mean, least, most and the value at 0-based place floor(n * p / 100), n - 1 at most.
 
     Rows are first counted by value, so that what is ranked is one row for each distinct value of a group."""
-    by = by or ()
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy("v") if by else Window.partitionBy(F.lit(1)).orderBy("v")
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    counted = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(whole))
-    place = lambda p: F.least(F.floor(F.col("n") * p / 100) + 1, F.col("n"))
-    at = [F.min(F.when(F.col("upto") >= place(p), F.col("v"))).alias(f"p{p}") for p in points]
-    total = F.sum((F.col("v").cast("decimal(18,2)") * F.col("c")).cast("decimal(38,2)")).cast("double")
-    return counted.groupBy(*by).agg(F.sum("c").alias("n"), (total / F.sum("c")).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), *at)
+    group = by or (F.lit(1),)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    whole = Window.partitionBy(*group)
+    counted = counted.withColumn("__upto", F.sum("__c").over(whole.orderBy("__v"))).withColumn("__n", F.sum("__c").over(whole))
+    place = lambda p: F.least(F.floor(F.col("__n") * p / 100) + 1, F.col("__n"))
+    at = [F.min(F.when(F.col("__upto") >= place(p), F.col("__v"))).alias(f"p{p}") for p in points]
+    total = F.sum((F.col("__v").cast("decimal(18,2)") * F.col("__c")).cast("decimal(38,2)")).cast("double")
+    return counted.groupBy(*by).agg(F.sum("__c").alias("n"), (total / F.sum("__c")).alias("mean"), F.min("__v").alias("least"), F.max("__v").alias("most"), *at)
 
 
 def error_breakdown(df: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, stric
 def malformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The lines that do not fit the schema."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(read["_corrupt_record"].alias("line")).where("line IS NOT NULL")
 
 
 def manifest(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
