@@ -183,7 +183,7 @@ def write_blocks(docs: DataFrame, path: str, vocabulary_file: str, end: int | No
             own = batch.schema.field("doc_id").type
             doc_ids = batch.column("doc_id").to_pylist()
             data, offsets = texts_of(batch.column("text"))
-            for a, b in batches_of(data, offsets, 2 << 20):
+            for a, b in batches_of(data, offsets, 1 << 20):
                 ids, at = use.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end)
                 i = 0
                 while i < b - a:
@@ -208,7 +208,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
     """The ids of a document (of each row with that id), from the blocks that may hold it."""
-    found = read_blocks(spark, path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    found = read_blocks(spark, path).where((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id))
     out = []
     for r in found.orderBy("shard", "block").collect():
         out += [unpack(r.payload, r.bits, r.offsets[k], r.offsets[k + 1]) for k, d in enumerate(r.doc_ids) if d == doc_id]
