@@ -152,3 +152,84 @@ def items_of_rows(rows: DataFrame) -> DataFrame:
 def normalize_invoice(df: DataFrame) -> DataFrame:
     """Text trimmed, amounts read from digits, dot and minus, a missing quantity 1."""
     return df.withColumns({"vendor": F.trim("vendor"), "amount": F.coalesce(F.nullif(F.regexp_replace("amount", r"[^\d.\-]", ""), F.lit("")).try_cast("double"), F.lit(0.0)), "qty": F.coalesce("qty", F.lit(1.0))})
+
+
+def extract_boxes(regions: DataFrame, top: int = 30) -> DataFrame:
+    """Fields from placed regions: number and date among the top ones by y, vendor the first of the left eight,
+    amounts from regions that hold their keyword and a number (the last wins), total else the largest amount."""
+    rank = F.row_number().over(Window.partitionBy("invoice_id").orderBy("y", "x", "region_id"))
+    left = F.row_number().over(Window.partitionBy("invoice_id", F.col("x") < 300).orderBy("y", "x", "region_id"))
+    money = F.regexp_extract(F.replace("text", F.lit(","), F.lit("")), r"(-?\d+\.\d{2})", 1).try_cast("double")
+    df = regions.withColumns({"__r": rank, "__l": left, "__m": money, "__low": F.lower("text")})
+    first = lambda value, ok: F.min_by(value, F.when(ok & value.isNotNull(), F.col("__r")))
+    last = lambda word: F.max_by(F.col("__m"), F.when(F.col("__low").rlike(word) & F.col("__m").isNotNull(), F.col("__r")))
+    part = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
+    return df.groupBy("invoice_id").agg(
+        first(part(r"(?i)invoice\s*#?\s*[:\-]?\s*([A-Za-z0-9\-/]+)"), F.col("__r") <= top).alias("invoice_number"), first(part(r"(\d{4}-\d{2}-\d{2})"), F.col("__r") <= top).alias("date"),
+        F.min_by("text", F.when((F.col("x") < 300) & (F.col("__l") <= 8), F.col("__r"))).alias("vendor"), last(r"\bsubtotal\b").alias("subtotal"), last(r"\b(tax|vat)\b").alias("tax"), F.coalesce(last(r"\b(total|amount due)\b"), F.max("__m")).alias("total"),
+    )
+
+
+def extract_parts(parts: DataFrame) -> DataFrame:
+    """Fields from regions with ``part`` (see quadrants): vendor the first of its part, tax a region with its
+    keyword and a number, grand total the largest number of the totals part."""
+    money = F.regexp_extract("text", r"(-?\d[\d,]*\.?\d*)\s*$", 1)
+    value = F.regexp_replace(money, ",", "").try_cast("double")
+    at = F.struct("y", "x", "region_id")
+    return parts.groupBy("invoice_id").agg(
+        F.min_by("text", F.when(F.col("part") == "vendor", at)).alias("vendor"), F.max(F.when(F.col("part") == "totals", value)).alias("total"), F.min_by(value, F.when(F.lower("text").rlike("^tax") & value.isNotNull(), at)).alias("tax"), F.count("part").alias("placed"),
+    )
+
+
+def extract_labelled(regions: DataFrame, kind: str = "zone") -> DataFrame:
+    """Contact details from header regions and amounts from footer ones; a tax line without a figure gives none."""
+    from docquarry.functions.scalars import email_of, phone_of
+
+    at, head = F.col("region_id"), F.col(kind) == "header"
+    first = lambda value, ok: F.min_by(value, F.when(ok & value.isNotNull(), at))
+    number = lambda word: F.regexp_extract("text", rf"(?i)^{word}\D*([\d,]+\.\d{{2}})", 1)
+    money = lambda word: F.regexp_replace(F.nullif(number(word), F.lit("")), ",", "").try_cast("double")
+    foot = F.col(kind) == "footer"
+    return regions.groupBy("invoice_id").agg(
+        first(F.nullif(F.regexp_extract("text", r"(?i)vendor:\s*(.+)", 1), F.lit("")), head).alias("vendor"), first(email_of(F.col("text")), head).alias("email"), first(phone_of(F.col("text")), head).alias("phone"),
+        first(money("tax"), foot).alias("tax"), first(money("total"), foot).alias("total"),
+    )
+
+
+def items_of_table(rows: DataFrame) -> DataFrame:
+    """Items of rows of three cells or more, by place: description, quantity, price, last cell the amount."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("x", "region_id", "text"))), lambda c: c["text"])
+    df = rows.groupBy("invoice_id", "row").agg(cells.alias("c")).where(F.size("c") >= 3)
+    number = lambda i: F.regexp_extract(F.try_element_at("c", F.lit(i)), r"(-?[\d.]+)", 1).try_cast("double")
+    return df.select("invoice_id", "row", F.col("c")[0].alias("description"), number(2).alias("qty"), number(3).alias("unit_price"), number(-1).alias("line_total"))
+
+
+def items_named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Items whose columns are named by a header word in their cells (word: qty, unit, total); the line total is
+    quantity times price, half up to cents. names: word, column; a small broadcast table."""
+    word, value = F.lower(F.regexp_extract("text", r"^([A-Za-z]+)\s+[\d.]+$", 1)), F.regexp_extract("text", r"([\d.]+)$", 1).try_cast("double")
+    cells = rows.withColumn("word", word).withColumn("value", value).join(F.broadcast(names), "word")
+    df = cells.groupBy("invoice_id", "row").agg(*(F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in ("qty", "unit_price")))
+    return df.where("qty IS NOT NULL AND unit_price IS NOT NULL").withColumn("line_total", F.floor(F.col("qty") * F.col("unit_price") * 100 + 0.5) / 100)
+
+
+def items_of_receipt(lines: DataFrame) -> DataFrame:
+    """Receipt lines with a price at the end; a count before an x or at the start, else 1."""
+    price = F.regexp_extract("text", r"\$?(\d+\.\d{2})\s*$", 1)
+    count = F.coalesce(F.nullif(F.regexp_extract("text", r"(?i)(?:qty\s+)?(\d+)\s*(?:x\b|@|unit)", 1), F.lit("")), F.nullif(F.regexp_extract("text", r"^(\d+)\s", 1), F.lit("")), F.lit("1"))
+    skip = F.lower("text").rlike("total:|subtotal|^tax|^total")
+    return lines.where((price != "") & ~skip).select("invoice_id", "line_no", F.trim(F.regexp_extract("text", r"^(?:\d+\s+)?([^\d$]+)", 1)).alias("description"), count.cast("double").alias("qty"), price.cast("double").alias("line_total"))
+
+
+def items_of_box_rows(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """Items of rows that are lists of regions (see rows_by_mean): first text that is no number the description,
+    last amount the total, first positive integer the quantity, price the total over it."""
+    placed = rows.select("invoice_id", "row", F.posexplode("region_ids").alias("place", "region_id"))
+    df = placed.join(regions.select("invoice_id", F.col("region_id").cast("long").alias("region_id"), "text", "confidence"), ["invoice_id", "region_id"])
+    amount = F.regexp_extract(F.replace("text", F.lit(","), F.lit("")), r"(-?\d+\.\d{2})", 1).try_cast("decimal(18,2)")
+    whole = F.regexp_extract("text", r"\b(\d+)\b", 1).try_cast("long")
+    df = df.groupBy("invoice_id", "row").agg(
+        F.min_by("text", F.when(~F.col("text").rlike(r"^[-\d.,\s$£€]+$"), F.col("place"))).alias("description"), F.max_by(amount, F.when(amount.isNotNull(), F.col("place"))).alias("line_total"),
+        F.min_by(whole, F.when(whole > 0, F.col("place"))).alias("qty"), F.min("confidence").alias("confidence"),
+    )
+    return df.where("line_total IS NOT NULL").withColumn("unit_price", F.when(F.col("qty") > 0, F.round(F.col("line_total") / F.col("qty"), 2)))
