@@ -28,7 +28,7 @@ from docquarry.llm.text import LOWER, NOT_ALNUM, Words, batches_of, mixed, power
 WINDOW, GRAM = 10, 5
 SPREAD = WINDOW - GRAM + 1
 #: Bytes of benchmark text that one broadcast index covers; more items go by further passes.
-INDEX_BYTES = 64 << 20
+INDEX_BYTES = 16 << 20
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -60,4 +60,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_language, op3_embedding_near_dedup, op4_substring_dedup, op5_context_tree, op6_token_ids, op7_source_mix, op8_decontaminate, op9_toxicity, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: SQL for what SQL can say; the others are tested against brute force, round trips or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_near_dedup": """
+with recursive v as (select row_number() over () r, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) e from embeddings),
+good as (select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.r x, b.r y from good a join good b on a.label = b.label and a.r <> b.r and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select r x, r y from v union select reach.x, links.y from reach join links on reach.y = links.x)
+select v.vec_id, coalesce(n, 0) n_links, c component_id, v.vec_id = c kept from v
+left join (select x, count(*) n from links group by 1) on x = v.r join (select reach.x r, min(o.vec_id) c from reach join v o on o.r = reach.y group by 1) m on m.r = v.r""",
+    "op4_substring_dedup": r"""
+with d as (select row_number() over () r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
+g as (select r, s, md5(array_to_string(w[s + 1:s + 35], ' ')) h from (select r, w, unnest(range(len(w) - 34)) s from d where len(w) >= 35)),
+again as (select h from g group by 1 having count(*) > 1),
+gone as (select distinct r, p from (select r, unnest(range(s, s + 35)) p from g join again using (h))),
+words as (select r, unnest(range(len(w))) p, unnest(w) x from d),
+kept as (select r, string_agg(x, ' ' order by p) t from words anti join gone using (r, p) group by 1)
+select doc_id, len(w) n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join (select r, count(*) n from gone group by 1) using (r) left join kept using (r)""",
+    "op8_decontaminate": f"""
+with d as (select row_number() over () r, doc_id, coalesce(regexp_extract_all({_LOWER}, '{_ALNUM}'), []) w from documents),
+i as (select distinct cast(item_id as varchar) item_id, w, least(10, len(w)) k from (select item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') w from benchmark) where len(w) > 0),
+iw as (select distinct item_id, k, array_to_string(w[s + 1:s + k], ' ') g from (select item_id, w, k, unnest(range(len(w) - k + 1)) s from i)),
+dw as (select r, k, s, array_to_string(w[s + 1:s + k], ' ') g from (select r, w, k, unnest(range(len(w) - k + 1)) s from d join (select distinct k from iw) on len(w) >= k)),
+hits as (select r, s, dw.k, item_id from dw join iw using (k, g)),
+n as (select r, count(distinct p) n from (select r, unnest(range(s, s + k)) p from hits) group by 1),
+m as (select r, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct r, item_id from hits) group by 1)
+select doc_id, len(w) n_words, coalesce(n, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n, 0) > 0 contaminated from d left join n using (r) left join m using (r)""",
+}
