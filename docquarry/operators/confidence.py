@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,5 +78,5 @@ def calibration(df: DataFrame) -> DataFrame:
     """Share and accuracy of the confidence bands 95-100, 90-95, 80-90 and below."""
     band = F.when(F.col("confidence") >= 0.95, "95-100").when(F.col("confidence") >= 0.90, "90-95").when(F.col("confidence") >= 0.80, "80-90").otherwise("<80")
     out = df.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.count_if("correct").alias("right"))
-    everything = df.agg(F.count("*").alias("all"))
-    return out.join(F.broadcast(everything)).select("band", "n", (F.col("n") / F.col("all")).alias("share"), (F.col("right") / F.col("n")).alias("accuracy"))
+    every = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return out.select("band", "n", (F.col("n") / every).alias("share"), (F.col("right") / F.col("n")).alias("accuracy"))

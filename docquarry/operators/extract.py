@@ -65,27 +65,30 @@ def amount(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("double")
 
 
-def line_value(f: Field) -> Column:
-    found = [F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in f.patterns]
-    value = F.coalesce(*found)
-    value = amount(value) if f.number else value
-    inside = value.isNotNull()
-    if f.head is not None:
-        inside &= F.col("line_no") <= f.head
-    if f.tail is not None:
-        inside &= F.col("line_no") > F.col("__last") - f.tail
-    if f.skip is not None:
-        inside &= ~F.lower("text").rlike(f.skip)
-    return F.when(inside, value)
-
-
 def extract_fields(lines: DataFrame, profile: str | tuple[Field, ...], key: str = "invoice_id") -> DataFrame:
-    """One row for each document with the profile's fields; a field that is not found is null."""
+    """One row for each document with the profile's fields; a field that is not found is null.
+
+    Every pattern is a column of its own first, so that it runs once a line however often it is used."""
     fields = PROFILES[profile] if isinstance(profile, str) else profile
     df = lines
     if any(f.tail is not None for f in fields):
         df = df.withColumn("__last", F.max("line_no").over(Window.partitionBy(key)))
-    df = df.select(key, "line_no", *(line_value(f).alias(f.name) for f in fields))
+    found = {p: f"__p{i}" for i, p in enumerate(dict.fromkeys(p for f in fields for p in f.patterns))}
+    passed = {p: f"__s{i}" for i, p in enumerate(dict.fromkeys(f.skip for f in fields if f.skip))}
+    df = df.withColumns({c: F.regexp_extract("text", p, 1) for p, c in found.items()} | {c: F.lower("text").rlike(p) for p, c in passed.items()})
+
+    def value(f: Field) -> Column:
+        text = F.coalesce(*(F.when(F.col(found[p]) != "", F.col(found[p])) for p in f.patterns))
+        inside = F.lit(True)
+        if f.head is not None:
+            inside &= F.col("line_no") <= f.head
+        if f.tail is not None:
+            inside &= F.col("line_no") > F.col("__last") - f.tail
+        if f.skip is not None:
+            inside &= ~F.col(passed[f.skip])
+        return F.when(inside, amount(text) if f.number else text)
+
+    df = df.select(key, "line_no", *(value(f).alias(f.name) for f in fields))
     pick = lambda f: (F.min_by if f.pick == "first" else F.max_by)(F.col(f.name), F.when(F.col(f.name).isNotNull(), F.col("line_no"))).alias(f.name)
     return df.groupBy(key).agg(*map(pick, fields))
 

@@ -125,7 +125,7 @@ def _(spark, d):
 
 @query("st8_folder_stream", "select 2 files")
 def _(spark, d):
-    out = R.run(R.file_stream(spark, d, "{nation,region}.parquet"), f"st8_{uuid.uuid4().hex[:12]}")
+    out = R.run(R.file_stream(spark, d, "{orders,lineitem}.parquet"), f"st8_{uuid.uuid4().hex[:12]}")
     return out.agg(F.count("*").cast("int").alias("files"))
 
 

@@ -108,16 +108,17 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(invoice_id, line_no, text): each invoice with lines, printed."""
     inv = invoices(spark, sf_dir).where("n_items > 0")
     text = lambda c: F.col(c).cast(MONEY).cast("string")
-    head = inv.select(
-        "invoice_id",
-        F.posexplode(F.array(F.concat(F.lit("Vendor: "), "vendor"), F.concat(F.lit("Invoice #: INV-"), F.col("invoice_id").cast("string")), F.concat(F.lit("Date: "), F.date_format("issue_date", "yyyy-MM-dd")), F.lit(""))).alias("k", "text"),
-    ).select("invoice_id", (F.col("k") + 1).alias("line_no"), "text")
     item = F.concat("description", F.lit("  Qty "), F.col("qty").cast("bigint").cast("string"), F.lit("  Unit "), text("unit_price"), F.lit("  Total "), text("line_total"))
     body = line_items(spark, sf_dir).select("invoice_id", (F.col("pos") + 4).alias("line_no"), item.alias("text"))
-    foot = inv.select(
-        "invoice_id", "n_items", F.posexplode(F.array(F.lit(""), F.concat(F.lit("Subtotal "), text("subtotal")), F.concat(F.lit("Tax "), text("tax")), F.concat(F.lit("Total "), text("grand_total")))).alias("k", "text")
-    ).select("invoice_id", (F.col("n_items") + 5 + F.col("k")).cast("int").alias("line_no"), "text")
-    return head.unionAll(body).unionAll(foot)
+    def line(no, value):
+        return F.struct(no.cast("int").alias("line_no"), value.alias("text"))
+
+    n = F.col("n_items")
+    around = (
+        line(F.lit(1), F.concat(F.lit("Vendor: "), "vendor")), line(F.lit(2), F.concat(F.lit("Invoice #: INV-"), F.col("invoice_id").cast("string"))), line(F.lit(3), F.concat(F.lit("Date: "), F.date_format("issue_date", "yyyy-MM-dd"))), line(F.lit(4), F.lit("")),
+        line(n + 5, F.lit("")), line(n + 6, F.concat(F.lit("Subtotal "), text("subtotal"))), line(n + 7, F.concat(F.lit("Tax "), text("tax"))), line(n + 8, F.concat(F.lit("Total "), text("grand_total"))),
+    )
+    return inv.select("invoice_id", F.inline(F.array(*around))).unionAll(body)
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
