@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import decontaminate, mixing, neardup, quality, tokens
+from docquarry.llm import decontaminate, mixing, nearcopies, quality, tokens
 from docquarry.llm.common import materialize, table
 from docquarry.llm.queries import vocabulary
 
@@ -20,8 +20,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.one_of_each(docs)
+    """One document of each group of near copies (5-word Jaccard similarity of 0.8 or more)."""
+    return nearcopies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ A null doc_id is kept and counts as a document of its own id null when it is alo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -151,7 +153,9 @@ class Plan:
             v, w = value_of(fp, group), len(group)
             own = self.count(i, v)
             one = own + sum(self.count(i, v ^ np.uint64(1 << k)) for k in range(w))
-            probes, cost = [1, 1 + w, 1 + w + w * (w - 1) // 2], [np.zeros(len(fp)), own + 1, one + 1 + w]
+            probes, cost = [1], [np.zeros(len(fp)), own + 1, one + 1 + w]
+            for u in range(1, top + 1):
+                probes.append(probes[-1] + comb(w, u))
             cost += [one * probes[u - 1] / probes[1] + probes[u - 1] for u in range(3, top + 1)]
             costs.append(cost[: top + 1])
         best = np.full((len(fp), top + 1), np.inf)
@@ -177,12 +181,10 @@ class Plan:
         for i, group in enumerate(self.groups):
             v, w = value_of(fp, group), len(group)
             yield i, np.arange(len(fp)), v, True
-            one = np.flatnonzero(t[:, i] >= 1)
-            two = np.flatnonzero(t[:, i] >= 2)
-            for k in range(w if len(one) else 0):
-                yield i, one, v[one] ^ np.uint64(1 << k), False
-                for j in range(k if len(two) else 0):
-                    yield i, two, v[two] ^ np.uint64((1 << k) | (1 << j)), False
+            for u in range(1, int(t[:, i].max(initial=0)) + 1):
+                some = np.flatnonzero(t[:, i] >= u)
+                for flips in combinations(range(w), u):
+                    yield i, some, v[some] ^ np.uint64(sum(1 << k for k in flips)), False
 
 
 def forest(near: np.ndarray) -> np.ndarray:
