@@ -18,8 +18,14 @@ def events(spark, d):
     """The events file (or folder of files) as a stream."""
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
-    folder, name = os.path.split(path)
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        out = reader.parquet(path)
+    else:
+        folder, name = os.path.split(path)
+        out = reader.option("pathGlobFilter", name).parquet(folder)
+    return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def usage(spark, d):

@@ -72,3 +72,12 @@ def test_stream_sinks_and_alerts(spark, data, tmp_path):
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "a.txt").write_text("x")
     assert streams.run(streams.file_stream(spark, str(tmp_path / "files")), "files_test").count() == 1
+
+
+def test_events_of_a_folder_are_streamed(spark, data, tmp_path):
+    from docquarry.plans import streams as P
+
+    rows = spark.read.parquet(f"{data}/events.parquet").limit(60)
+    rows.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert streams.run(P.events(spark, str(tmp_path)).select("event_id"), "of_folder").count() == rows.count() == 60
+    assert streams.run(P.events(spark, data).select("event_id"), "of_file").count() == spark.read.parquet(f"{data}/events.parquet").count()
