@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docquarry.storage import new_folder
+
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """A growing folder of Parquet files as a stream, event time as a timestamp (UTC session)."""
@@ -70,10 +72,21 @@ def usage_alerts(df: DataFrame, limit: float, share: float = 0.8, quiet_hours: i
 
 
 def run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is there now through the stream into a table in memory; for tests and small results."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All that is there now through the stream into Parquet files of the shared folder, read back. In
+    update mode every version of a row, in complete mode the last table."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    rows = spark.createDataFrame([], df.schema)
+    if mode == "append":
+        to_parquet(df, f"{path}/rows", f"{path}/log").awaitTermination()
+        return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+    def write(part: DataFrame, epoch: int) -> None:
+        part.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={epoch}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    rows.write.mode("append").parquet(f"{path}/rows")
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
 
 
 def to_targets(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

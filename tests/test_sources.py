@@ -81,3 +81,14 @@ def test_events_of_a_folder_are_streamed(spark, data, tmp_path):
     rows.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     assert streams.run(P.events(spark, str(tmp_path)).select("event_id"), "of_folder").count() == rows.count() == 60
     assert streams.run(P.events(spark, data).select("event_id"), "of_file").count() == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_stream_results_are_files_of_the_shared_folder(spark, data):
+    from docquarry.plans import streams as P
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    usage = P.usage(spark, data)
+    for mode, df in (("append", usage), ("update", streams.usage_windows(usage, "1 day")), ("complete", usage.groupBy("tenant").count())):
+        out = streams.run(df, f"files_{mode}", mode)
+        assert out.count() > 0 and out.columns == df.columns
+        assert all(f.startswith(f"file://{shared}/") for f in out.inputFiles())
