@@ -58,13 +58,14 @@ def usage_alerts(df: DataFrame, limit: float, share: float = 0.8, quiet_hours: i
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, last = state.get if state.exists else (0.0, -1)
         out = []
-        for pdf in parts:
-            for q, ts in pdf.sort_values("ts")[["quantity", "ts"]].itertuples(index=False):
-                total += float(q)
-                at = int(ts.timestamp())
-                if total >= share * limit and (last < 0 or at - last >= quiet_hours * 3600):
-                    out.append((key[0], total, ts))
-                    last = at
+        # all chunks of the key in one order, two numbers an event
+        events = pd.concat([pdf[["quantity", "ts"]].astype({"quantity": float}) for pdf in parts])
+        for q, ts in events.sort_values(["ts", "quantity"]).itertuples(index=False):
+            total += q
+            at = int(ts.timestamp())
+            if total >= share * limit and (last < 0 or at - last >= quiet_hours * 3600):
+                out.append((key[0], total, ts))
+                last = at
         state.update((total, last))
         yield pd.DataFrame(out, columns=["tenant", "quantity", "ts"])
 

@@ -92,3 +92,15 @@ def test_stream_results_are_files_of_the_shared_folder(spark, data):
         out = streams.run(df, f"files_{mode}", mode)
         assert out.count() > 0 and out.columns == df.columns
         assert all(f.startswith(f"file://{shared}/") for f in out.inputFiles())
+
+
+def test_alerts_do_not_depend_on_arrow_chunks(spark, tmp_path):
+    rows = spark.range(200).selectExpr("0L tenant", "cast(1 as decimal(18,2)) quantity", "timestamp_seconds(1700000000 + 60 * (id * 77 % 200)) ts")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = streams.run(streams.usage_alerts(streams.event_stream(spark, str(tmp_path / "in"), rows.schema), 100.0), "chunks")
+        got = out.selectExpr("quantity", "unix_timestamp(ts) at").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [tuple(r) for r in got] == [(80.0, 1700000000 + 60 * 79)]
