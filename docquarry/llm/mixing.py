@@ -2,12 +2,15 @@
 
 Words are cut into equal blocks. Seats (blocks) go to sources by highest quotients target/(2s+1),
 then inside a source to its shards by size, so every shard has an integer quota and can select on
-its own. Inside a shard documents stand in a seeded order on a circle of words; the quota is taken
-as whole rounds plus one run that starts at a seeded block.
+its own. A shard takes no more seats than its words allow under the limit: what it refuses goes to
+the next quotients. A source has one shard for about ``SHARD_WORDS`` words. Inside a shard documents
+stand in a seeded order on a circle of words; the quota is taken as whole rounds plus one run that
+starts at a seeded block.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own,
-ranked last; repeated rows are separate documents; ties in quotients go to the earlier key; an empty
-table gives an empty result; columns other than those read are ignored or, with ``carry``, kept.
+ranked last; repeated rows and ids are separate documents, placed by a hash of id and row, so that reruns
+agree whatever the order of rows; ties in quotients go to the earlier key; an empty table gives an empty
+result; other columns are ignored or, by ``mixed_copies``, kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,45 +19,53 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docquarry.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words of a shard, about; hash buckets of a source that make up its shards.
+SHARD_WORDS, BUCKETS = 1 << 17, 1 << 16
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sainte_lague(parts: DataFrame, group: Sequence[str], key: str, votes: str, seats: str) -> DataFrame:
+def sainte_lague(parts: DataFrame, group: Sequence[str], key: str, votes: str, seats: str, most: str | None = None) -> DataFrame:
     """``parts`` with the column ``quota``: the Sainte-Laguë share of ``seats`` (one number for each
-    group) by ``votes``; equal quotients go by ``key``.
+    group) by ``votes``; equal quotients go by ``key``. ``most``: seats a part can have.
 
-    Rounding votes to the common divisor is off by a few seats; only the quotients next to it are
-    listed and ranked. A part may gain at most its share of (missing + parts) seats plus one, so the
-    listed quotients are linear in the number of parts.
+    Rounding votes at the common level (that of the parts that stay under ``most``) is off by a few seats;
+    only the quotients next to it are listed and ranked. A part may gain at most its share of
+    (missing + parts) seats plus two, so the listed quotients are linear in the number of parts.
     """
+    own = parts.columns
     w = Window.partitionBy(*group)
-    total, n = F.sum(votes).over(w), F.count(F.lit(1)).over(w)
-    start = F.when(F.col("__tot") > 0, F.floor(F.col(votes) * F.col(seats) / F.col("__tot") + 0.5)).otherwise(0).cast("long")
-    df = parts.withColumn("__tot", total).withColumn("__n", n).withColumn("__s", start)
-    df = df.withColumn("__d", F.when(F.col("__tot") > 0, F.col(seats) - F.sum("__s").over(w)).otherwise(0))
-    room = F.floor(F.col(votes) / F.col("__tot") * (F.abs("__d") + F.col("__n"))) + 1
-    more = F.transform(F.sequence(F.lit(0).cast("long"), room), lambda k: F.col(votes) / (2 * (F.col("__s") + k) + 1))
-    less = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.least(room, F.col("__s") - 1)),
-        lambda k: -F.col(votes) / (2 * (F.col("__s") - k) - 1),
-    )
+    cap = F.col(most).cast("long") if most else F.col(seats).cast("long")
+    df = parts.select(*own, cap.alias("__cap"), F.col(votes).cast("double").alias("__v"))
+    reach = F.when(F.col("__v") > 0, F.col("__cap") / F.col("__v"))
+    order = w.orderBy(reach, F.col(key))
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = F.when(F.col("__v") > 0, (F.col(seats) - F.coalesce(F.sum(F.when(F.col("__v") > 0, F.col("__cap"))).over(before), F.lit(0))) / F.sum("__v").over(after))
+    df = df.withColumn("__l", level).withColumn("__l", F.greatest(F.max("__l").over(w), F.lit(0.0)))
+    df = df.withColumn("__s", F.when(F.col("__v") > 0, F.least(F.col("__cap"), F.floor(F.col("__v") * F.col("__l") + 0.5))).otherwise(0).cast("long"))
+    df = df.withColumn("__open", (F.col("__v") > 0) & (F.col("__s") < F.col("__cap"))).withColumn("__n", F.count(F.lit(1)).over(w))
+    df = df.withColumn("__d", F.least(F.col(seats), F.sum(F.when(F.col("__v") > 0, F.col("__cap")).otherwise(0)).over(w)) - F.sum("__s").over(w))
+    df = df.withColumn("__tot", F.sum(F.when((F.col("__d") < 0) | F.col("__open"), F.col("__v"))).over(w))
+    room = F.when(F.col("__tot") > 0, F.floor(F.col("__v") / F.col("__tot") * (F.abs("__d") + F.col("__n"))) + 2).otherwise(0).cast("long")
+    more = F.transform(F.sequence(F.lit(0).cast("long"), F.least(room, F.col("__cap") - F.col("__s")) - 1), lambda k: F.col("__v") / (2 * (F.col("__s") + k) + 1))
+    less = F.transform(F.sequence(F.lit(0).cast("long"), F.least(room, F.col("__s")) - 1), lambda k: -F.col("__v") / (2 * (F.col("__s") - k) - 1))
     none = F.array().cast("array<double>")
-    listed = F.when((F.col("__d") > 0) & (F.col(votes) > 0), more).when((F.col("__d") < 0) & (F.col("__s") > 0), less).otherwise(none)
-    df = df.select(*parts.columns, "__s", "__d", F.posexplode_outer(listed).alias("__k", "__q"))
-    order = Window.partitionBy(*group).orderBy(F.col("__q").desc_nulls_last(), F.col(key), F.col("__k"))
-    won = ((F.row_number().over(order) <= F.abs("__d")) & F.col("__q").isNotNull()).cast("long")
+    listed = F.when((F.col("__d") > 0) & F.col("__open"), more).when((F.col("__d") < 0) & (F.col("__s") > 0), less).otherwise(none)
+    df = df.select(*own, "__s", "__d", F.posexplode_outer(listed).alias("__k", "__q"))
+    first = Window.partitionBy(*group).orderBy(F.col("__q").desc_nulls_last(), F.col(key), F.col("__k"))
+    won = ((F.row_number().over(first) <= F.abs("__d")) & F.col("__q").isNotNull()).cast("long")
     return (
         df.withColumn("__won", won)
-        .groupBy(*parts.columns, "__s", "__d")
+        .groupBy(*own, "__s", "__d")
         .agg(F.sum("__won").alias("__w"))
-        .select(*parts.columns, (F.col("__s") + F.signum("__d").cast("long") * F.col("__w")).alias("quota"))
+        .select(*own, (F.col("__s") + F.signum("__d").cast("long") * F.col("__w")).alias("quota"))
     )
 
 
@@ -78,55 +89,57 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit
     return df.select("key", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
-def mix(
-    sized: DataFrame,
-    weights: Sequence[int] = (3, 1, 2),
-    share: float = 1.5,
-    limit: float = 2.0,
-    block: int = 8,
-    shards: int = 256,
-    seed: int = 7,
-    carry: bool = False,
-) -> DataFrame:
-    """``sized`` has doc_id, source and __size. Gives doc_id, size, source_size, target and taken, or
-    with ``carry`` all its columns and __taken."""
-    df = sized.withColumn("__key", F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")))
-    df = df.withColumn("__at", F.xxhash64("doc_id", F.lit(seed))).withColumn("__shard", F.pmod("__at", F.lit(shards)).cast("int"))
-    by = materialize(df.groupBy(F.col("__key").alias("key"), F.col("__shard").alias("shard")).agg(F.sum("__size").alias("n")), "mix")
+def placed(docs: DataFrame, row: Column, seed: int) -> DataFrame:
+    """key (of the source), at (place by hash), size and ``row`` of each document."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    key = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
+    return docs.select(key.alias("key"), F.xxhash64(*hashed, F.lit(seed)).alias("at"), word_count(F.col("text")).alias("size"), row.alias("row"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = 8, shard_words: int = SHARD_WORDS, seed: int = 7) -> DataFrame:
+    """``docs`` as ``placed`` gives them with source_size, target and taken."""
+    bucket = F.pmod("at", F.lit(BUCKETS)).cast("int")
+    by = materialize(docs.groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("n")), "mix")
     sources = source_targets(by.groupBy("key").agg(F.sum("n").alias("source_size")), weights, share, limit)
-    seats = sources.withColumn("all", F.lit(1)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("all")) / block).cast("long"))
-    seats = sainte_lague(seats, ["all"], "key", "target", "seats").select("key", "source_size", "target", F.col("quota").alias("blocks"))
-    quota = sainte_lague(by.join(seats, "key"), ["key"], "shard", "n", "blocks")
-    quota = quota.withColumn("words", F.least(F.col("quota"), F.floor(F.col("n") * F.lit(float(limit)) / block)).cast("long") * block)
+    sources = sources.withColumn("all", F.lit(1)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("all")) / block).cast("long"))
+    shards = F.least(F.lit(BUCKETS), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("source_size") / shard_words, F.lit(1.0)))))).cast("int")
+    sources = materialize(sainte_lague(sources, ["all"], "key", "target", "seats").select("key", "source_size", "target", F.col("quota").alias("blocks"), shards.alias("shards")), "sources")
+    parts = by.join(sources, "key").groupBy("key", F.pmod("bucket", F.col("shards")).alias("shard"), "source_size", "target", "blocks").agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("words", F.floor(F.col("n") * F.lit(float(limit))).cast("long"))
+    parts = parts.withColumn("most", F.ceil(F.col("words") / block))
+    full = F.col("target") >= F.floor(F.col("source_size") * F.lit(float(limit)))
+    parts = parts.withColumn("blocks", F.when(full, F.sum("most").over(Window.partitionBy("key"))).otherwise(F.col("blocks")))
+    quota = sainte_lague(parts, ["key"], "shard", "n", "blocks", "most")
+    words, n = F.least(F.col("quota") * block, F.col("words")), F.col("n")
     quota = quota.select(
-        F.col("key").alias("__key"), F.col("shard").alias("__shard"), F.col("n").alias("__n"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-        F.when(F.col("n") > 0, F.floor(F.col("words") / F.col("n"))).otherwise(0).cast("long").alias("__rounds"),
-        F.when(F.col("n") > 0, F.col("words") % F.col("n")).otherwise(0).alias("__rest"),
-        F.when(F.col("n") > 0, F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.ceil(F.col("n") / block)) * block).otherwise(0).alias("__from"),
+        "key", "shard", "source_size", "target", "n",
+        F.when(n > 0, F.floor(words / n)).otherwise(0).cast("long").alias("rounds"),
+        F.when(n > 0, words % n).otherwise(0).alias("rest"),
+        F.when(n > 0, F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.ceil(n / block)) * block).otherwise(0).alias("from"),
     )
-    lay = Window.partitionBy("__key", "__shard").orderBy("__at", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__a", F.coalesce(F.sum("__size").over(lay), F.lit(0))).join(quota, ["__key", "__shard"])
-    b, over = F.col("__a") + F.col("__size"), F.col("__from") + F.col("__rest") - F.col("__n")
+    quota = materialize(quota, "quota")
+    df = docs.join(sources.select("key", "shards"), "key").withColumn("shard", F.pmod("at", F.col("shards").cast("long")).cast("int"))
+    lay = Window.partitionBy("key", "shard").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("a", F.coalesce(F.sum("size").over(lay), F.lit(0))).join(quota, ["key", "shard"])
+    b, over = F.col("a") + F.col("size"), F.col("from") + F.col("rest") - F.col("n")
 
     def shared(lo: Column, hi: Column) -> Column:
-        return F.greatest(F.least(b, hi) - F.greatest(F.col("__a"), lo), F.lit(0))
+        return F.greatest(F.least(b, hi) - F.greatest(F.col("a"), lo), F.lit(0))
 
-    run = shared(F.col("__from"), F.least(F.col("__from") + F.col("__rest"), F.col("__n"))) + shared(F.lit(0), over)
-    df = df.withColumn("__taken", (F.col("__rounds") * F.col("__size") + run).cast("long"))
-    if carry:
-        return df.select(*sized.columns, "__taken")
-    return df.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+    run = shared(F.col("from"), F.least(F.col("from") + F.col("rest"), F.col("n"))) + shared(F.lit(0), over)
+    return df.select("row", "size", "source_size", "target", (F.col("rounds") * F.col("size") + run).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """One row for each document and what the mix takes of it."""
-    sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("__size")), "sizes")
-    return mix(sized, **options)
+    sized = materialize(placed(docs.select("doc_id", "source", "text"), F.col("doc_id"), seed), "sizes")
+    return mix(sized, seed=seed, **options).withColumnRenamed("row", "doc_id")
 
 
-def mixed_copies(docs: DataFrame, **options) -> DataFrame:
+def mixed_copies(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, rounded to whole documents (at most twice
     under the default limit); same columns."""
-    taken = mix(docs.withColumn("__size", word_count(F.col("text"))), carry=True, **options)
-    times = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size") + 0.5)).otherwise(0).cast("int")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    out = mix(placed(docs, whole, seed), seed=seed, **options)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy")).select("row.*")
