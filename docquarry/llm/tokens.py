@@ -9,10 +9,11 @@ Format: a Parquet table ``blocks`` of one row for each block of whole documents,
 A document is found by its doc_id range of a block (Parquet statistics on ``first_id``, ``last_id``) and
 read by its offsets alone; ids are unpacked in numpy.
 
-A text is encoded unit by unit: lower-cased, cut at white space and between letters and ASCII
-punctuation other than the apostrophe. The vocabulary's own pre-tokenisation cuts there too, so the
-ids are those of the whole text, and a unit that returns is encoded once. Words that hold ``<|`` (a
-special token, perhaps) stay whole.
+Ids are those that the tokenizers library gives the whole text. Where the vocabulary file lower-cases and
+pre-tokenises as ``UNIT_RULES`` says, a text is encoded unit by unit: A-Z lower-cased, cut at white space
+and between letters and ASCII punctuation other than the apostrophe. That pre-tokenisation cuts there too,
+so the ids are the same, and a unit that returns is encoded once. Words that hold ``<|`` (a special token,
+perhaps) stay whole and in their own case. Under any other file whole texts go to the library.
 
 Defined cases: null and empty texts give the end id alone; repeated rows are written each, equal ids in
 the order of their texts; a null doc_id comes first; an empty table gives an empty result; other columns
@@ -21,6 +22,7 @@ are ignored. A longer document than ``BLOCK`` ids has a block of its own.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -70,13 +72,29 @@ _MARK = np.zeros(256, bool)
 _MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
+#: What a vocabulary file must say for texts to be encoded unit by unit: fixed values of the file format.
+UNIT_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "suffix": "</w>",
+}
+
+
+def by_units(file: dict) -> bool:
+    """Whether a vocabulary file (as read from JSON) has the rules that units rely on."""
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    plain = all("<|" in x["content"] and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or any(c.isspace() for c in x["content"])) for x in file.get("added_tokens", []))
+    return file.get("normalizer") == UNIT_RULES["normalizer"] and steps[0].get("pattern") == {"Regex": UNIT_RULES["pattern"]} and len(steps) == 2 and file["model"].get("end_of_word_suffix") == UNIT_RULES["suffix"] and plain
+
+
 class Encoder:
-    """The ids of texts under a word-level vocabulary file, with a bounded memory of units."""
+    """The ids of texts under a vocabulary file, with a bounded memory of units."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.units = by_units(json.loads(self.tokenizer.to_str()))
         self.size = self.tokenizer.get_vocab_size()
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -104,8 +122,22 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each document in them), ``end`` after each."""
-        data = LOWER[data]
-        edges = self._edges(data, offsets)
+        ids, where = self._by_units(data, offsets) if self.units else self._whole(data, offsets)
+        if end is None:
+            return ids, where
+        return np.insert(ids, where[1:], end), where + np.arange(len(where))
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.append(0, np.cumsum([len(x) for x in found], dtype=np.int64)).astype(np.int64)
+
+    def _by_units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, data = data, LOWER[data]
+        edges, own_case = self._edges(data, offsets)
+        for a, b in own_case:
+            data[a:b] = raw[a:b]
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]) if len(data) else pa.array([], pa.large_binary())
         coded = units.dictionary_encode()
         at, unique = coded.indices.to_numpy(), coded.dictionary.to_pylist()
@@ -119,15 +151,13 @@ class Encoder:
         n = size[at]
         total = np.append(0, np.cumsum(n))
         ids = pool[np.arange(total[-1]) + np.repeat(begin[at] - total[:-1], n)]
-        where = total[np.searchsorted(edges, offsets)] if len(data) else np.zeros(len(offsets), np.int64)
-        if end is None:
-            return ids, where
-        return np.insert(ids, where[1:], end), where + np.arange(len(where))
+        return ids, total[np.searchsorted(edges, offsets)] if len(data) else np.zeros(len(offsets), np.int64)
 
-    def _edges(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where units and the white space between them begin, from 0 to the end of ``data``."""
+    def _edges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Where units and the white space between them begin, from 0 to the end of ``data``; and the words
+        that stay in their own case."""
         if not len(data):
-            return np.zeros(1, np.int64)
+            return np.zeros(1, np.int64), []
         words = Words(data, offsets, SPACE)
         letter, mark = _LETTER[data], _MARK[data]
         # letters U+00E0-U+00FF but the division sign
@@ -136,10 +166,11 @@ class Encoder:
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] = (letter[:-1] & mark[1:]) | (mark[:-1] & lead[1:])
         special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
-        for w in np.unique(np.searchsorted(words.start, special, "right") - 1).tolist():
-            cut[words.start[w] : words.end[w]] = False
+        whole = [(int(words.start[w]), int(words.end[w])) for w in np.unique(np.searchsorted(words.start, special, "right") - 1).tolist()]
+        for a, b in whole:
+            cut[a:b] = False
         cut[words.start] = cut[words.end] = cut[offsets] = True
-        return np.flatnonzero(cut).astype(np.int64)
+        return np.flatnonzero(cut).astype(np.int64), whole
 
 
 _ENCODERS: dict[str, Encoder] = {}
