@@ -3,19 +3,22 @@
 Unit vectors are cut into halves; each half has a codebook of its own, and a pair of codewords is a cell
 of the product grid. Equal vectors are one class. A class is stored in the cell of its nearest codewords
 and visits cells in ascending order of a lower bound: what its two halves would have to move, at
-least, to reach a cell's own region. The traversal of the two sorted lists stops where the bound passes
-the one that reaches ``RECALL`` of sampled neighbours at the threshold itself, and never beyond the bound
-that no link can pass. Pairs that meet in a cell are verified by cosine in double precision.
+least, to reach a cell's own region. The multi-sequence traversal of the two sorted lists stops where the
+bound passes the one that reaches ``RECALL`` of sampled neighbours at the threshold itself, and never beyond
+the bound that no link can pass. Pairs that meet in a cell are verified by cosine in double precision.
 
-Codebooks and the bound are fitted on at most ``SAMPLE`` classes (lowest hash first); every class is
-indexed. A cell of any size is cut into blocks of ``BLOCK`` rows and compared block by block; a block
-gives the links of each class summed up and a spanning forest of what it joins, never pairs.
+The codebooks grow with the largest label, about ``FILL`` classes of it to a cell, and are fitted with the
+bound on at most ``SAMPLE`` classes (lowest hash first); every class is indexed. Neighbouring cells of a label
+make a bundle of about ``BLOCK`` classes: a vector crosses the shuffle once for each bundle it visits, not for
+each cell. A larger bundle is cut into parts that are compared part by part; a task gives the links of each
+class summed up and a spanning forest of what it joins, never pairs.
 
 Defined cases: a row whose label is null, or whose vector is null, empty, zero or holds null or
 non-finite parts links with nothing; vectors of different length do not link; a repeated row is another
-vector (one more link) and takes part in the component of its id; a null vec_id is kept, joins nothing on
-behalf of others, and has component null unless its vector's class has an id; an empty table gives an
-empty result; other columns are ignored.
+vector (one more link); rows are told apart by their vectors, so rows that share a vec_id need not share a
+component; a row without vec_id links and counts like any other, and its component is the smallest vec_id it
+reaches (null without any); an empty table gives an empty result; other columns are ignored. Vectors are
+told apart by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from docquarry.llm.common import connected_components, materialize
 
 THRESHOLD, RECALL = 0.93, 0.999
 SAMPLE, BLOCK = 8000, 2048
-#: Classes of one label that a cell should hold, about; codewords of a half at most.
-FILL, MOST_WORDS = 512, 256
+#: Classes of one label that a cell should hold, about; codewords of a half at least and at most.
+FILL, LEAST_WORDS, MOST_WORDS = 512, 4, 256
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -70,7 +73,7 @@ class MultiIndex:
 
     def __init__(self, sample: np.ndarray, words: int, threshold: float, recall: float = RECALL, seed: int = 7):
         self.cut, self.safe = max(1, sample.shape[1] // 2), 2 * (1 - threshold) + 1e-9
-        self.books = [kmeans(x, words) for x in self.halves(sample)]
+        self.books = [along(kmeans(x, words)) for x in self.halves(sample)]
         self.gaps = [np.sqrt(distances(b, b)) for b in self.books]
         # neighbours at the threshold in random directions: how far must a traversal go to their cells?
         turn = np.random.default_rng(seed).normal(size=sample.shape)
@@ -97,25 +100,41 @@ class MultiIndex:
             out.append(np.where(np.arange(len(b))[None] == own[:, None], 0, way**2))
         return out
 
-    def visits(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, cells visited, home cell of each row): both lists of bounds are sorted and walked together
-        while their sum is within the stop."""
+    def visits(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cells): the cells that each row visits, nearest first. For each codeword of the first half a
+        pointer walks the sorted second half; the least sum of all pointers is the next cell."""
         one, two = self.bounds(u)
         first, second = np.argsort(one, axis=1, kind="stable"), np.argsort(two, axis=1, kind="stable")
         one, two = np.take_along_axis(one, first, 1), np.take_along_axis(two, second, 1)
+        two = np.hstack([two, np.full((len(u), 1), np.inf)])
+        at, left = np.zeros(one.shape, np.int64), np.arange(len(u))
+        ahead = one + two[:, :1]
         rows, cells, size = [], [], len(self.books[1])
-        for p in range(one.shape[1]):
-            left = np.flatnonzero(one[:, p] <= self.stop)
-            if not len(left):
-                break
-            for q in range(two.shape[1]):
-                left = left[one[left, p] + two[left, q] <= self.stop]
-                if not len(left):
-                    break
-                rows.append(left)
-                cells.append(first[left, p] * size + second[left, q])
-        home = self.home(u)
-        return np.concatenate(rows), np.concatenate(cells), home[0] * size + home[1]
+        while len(left):
+            p = ahead[left].argmin(axis=1)
+            on = ahead[left, p] <= self.stop
+            left, p = left[on], p[on]
+            rows.append(left)
+            cells.append(first[left, p] * size + second[left, at[left, p]])
+            at[left, p] += 1
+            ahead[left, p] = one[left, p] + two[left, at[left, p]]
+        return np.concatenate(rows), np.concatenate(cells)
+
+    def bundles(self, cells: np.ndarray, across: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """The bundle of each cell where a label's grid is cut into across x down bundles."""
+        one, two = np.divmod(cells, len(self.books[1]))
+        return (one * across // len(self.books[0])) * down + two * down // len(self.books[1])
+
+    def meets(self, bounds: list[np.ndarray], cells: np.ndarray) -> np.ndarray:
+        """(rows, cells): whether each row visits each cell."""
+        one, two = np.divmod(cells, len(self.books[1]))
+        return bounds[0][:, one] + bounds[1][:, two] <= self.stop
+
+
+def along(words: np.ndarray) -> np.ndarray:
+    """Codewords in the order of their widest direction, so that neighbours share a bundle."""
+    middle = words - words.mean(axis=0)
+    return words[np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")]
 
 
 def components_of(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,84 +161,94 @@ def usable(df: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(rep, n, root): of each class and block, the vectors it is linked to and a class it hangs together
-    with. classes: rep, m (vectors in it), label, dim, embedding; all of one dim."""
+    """(cid, n, root): of each class and task, the vectors it is linked to and a class it hangs together
+    with. classes: cid, m (vectors in it), label, dim, embedding; all of one dim."""
     spark = classes.sparkSession
-    total, labels = classes.agg(F.count("*"), F.countDistinct("label")).first()
-    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
-    words = int(np.clip(np.ceil(np.sqrt(total / max(1, labels) / FILL)), 1, MOST_WORDS))
+    labels = materialize(classes.groupBy("label").agg(F.count("*").alias("of_label")), "labels")
+    largest = labels.agg(F.max("of_label")).first()[0]
+    rows = classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("embedding").toArrow()
+    words = int(np.clip(np.ceil(np.sqrt(largest / FILL)), LEAST_WORDS, MOST_WORDS))
     index = spark.sparkContext.broadcast(MultiIndex(unit(matrix(rows.column("embedding"))), words, threshold))
+    names = ["label", "cid", "m", "embedding", "home", "own", "bundles"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, cells, home = index.value.visits(unit(matrix(batch.column("embedding"))))
-            order = np.argsort(rows, kind="stable")
-            ends = np.searchsorted(rows[order], np.arange(batch.num_rows + 1))
-            visited = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells[order], pa.int32()))
-            take = pa.array(rows)
-            base = [batch.column(c).take(take) for c in ("label", "rep", "m", "embedding")]
-            yield pa.RecordBatch.from_arrays([*base, pa.array(cells, pa.int32()), pa.array(home[rows], pa.int32()), visited.take(take)], ["label", "rep", "m", "embedding", "cell", "home", "visits"])
+            grid, u = index.value, unit(matrix(batch.column("embedding")))
+            rows, cells = grid.visits(u)
+            home = grid.home(u)
+            home = home[0] * len(grid.books[1]) + home[1]
+            want = np.ceil(batch.column("of_label").to_numpy() / BLOCK)
+            across = np.minimum(np.ceil(np.sqrt(want)), len(grid.books[0])).astype(np.int64)
+            down = np.minimum(np.ceil(want / across), len(grid.books[1])).astype(np.int64)
+            most = len(grid.books[0]) * len(grid.books[1])
+            met = np.unique(rows * most + grid.bundles(cells, across[rows], down[rows]))
+            ends = np.searchsorted(met // most, np.arange(batch.num_rows + 1))
+            bundles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(met % most, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(home, pa.int32()), pa.array(grid.bundles(home, across, down), pa.int32()), bundles], names)
 
     kinds = {c: classes.schema[c].dataType.simpleString() for c in ("label", "embedding")}
-    placed = materialize(classes.select("label", "rep", "m", "embedding").mapInArrow(place, f"label {kinds['label']}, rep long, m long, embedding {kinds['embedding']}, cell int, home int, visits array<int>"), "placed")
-    # block (h, v) of a cell: its h-th part of residents against its v-th part of visitors (residents too)
-    sizes = placed.groupBy("label", "cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("residents"), F.count("*").alias("visitors")).where("residents > 0 AND visitors > 1")
-    cuts = sizes.select("label", "cell", F.ceil(F.col("residents") / BLOCK).cast("int").alias("hs"), F.ceil(F.col("visitors") / BLOCK).cast("int").alias("vs"))
-    rows = placed.join(cuts, ["label", "cell"])
-    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    residents = rows.where("home = cell").withColumn("stored", F.lit(True)).withColumn("h", part("hs")).withColumn("v", all_of("vs"))
-    visitors = rows.withColumn("stored", F.lit(False)).withColumn("h", all_of("hs")).withColumn("v", part("vs"))
+    placed = classes.join(labels, "label").select(*names[:4], "of_label").mapInArrow(place, f"label {kinds['label']}, cid long, m long, embedding {kinds['embedding']}, home int, own int, bundles array<int>")
+    placed = materialize(placed, "placed")
+    # a bundle of more than BLOCK visitors is cut into parts; task (h, v): residents of part h, visitors of part v
+    cuts = placed.select("label", F.explode("bundles").alias("bundle")).groupBy("label", "bundle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    rows = placed.select(*names[:5], "own", F.explode("bundles").alias("bundle")).join(materialize(cuts, "cuts"), ["label", "bundle"])
+    rows = rows.withColumn("resident", F.col("own") == F.col("bundle")).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("cuts") - 1)
+    task = lambda h, v: F.struct(h.alias("h"), v.alias("v"))
+    asks, holds = F.transform(every, lambda x: task(x, F.col("part"))), F.transform(F.filter(every, lambda x: x != F.col("part")), lambda x: task(F.col("part"), x))
+    rows = rows.withColumn("task", F.explode(F.when(F.col("resident"), F.concat(asks, holds)).otherwise(asks)))
 
     def verify(table: pa.Table) -> pa.Table:
-        stored = table.column("stored").to_numpy()
-        cell = table.column("cell")[0].as_py()
-        rep, m, home = (table.column(c).to_numpy() for c in ("rep", "m", "home"))
+        grid, task = index.value, table.column("task")[0].as_py()
+        part, resident, cid, m, home = (table.column(c).to_numpy() for c in ("part", "resident", "cid", "m", "home"))
+        q, b = np.flatnonzero(part == task["v"]), np.flatnonzero(resident & (part == task["h"]))
         u = unit(matrix(table.column("embedding")))
-        q, b = np.flatnonzero(~stored), np.flatnonzero(stored)
-        near = u[q] @ u[b].T >= threshold
-        near &= rep[q][:, None] != rep[b][None]
-        forward = near @ m[b]
-        # a resident counts a visitor from elsewhere only if it does not itself visit that one's home
-        back, visits = np.zeros(len(b), np.int64), table.column("visits")
-        guests = np.flatnonzero(home[q] != cell)
-        for k in np.flatnonzero(near[guests].any(axis=0)).tolist():
-            mine = guests[near[guests, k]]
-            back[k] = m[q[mine]][~np.isin(home[q[mine]], visits[int(b[k])].as_py())].sum()
+        asked, stored = grid.bounds(u[q]), grid.bounds(u[b])
+        near = np.zeros((len(q), len(b)), bool)
+        for cell in np.unique(home[b]):
+            at = np.flatnonzero(home[b] == cell)
+            who = np.flatnonzero(grid.meets(asked, np.array([cell]))[:, 0])
+            near[np.ix_(who, at)] = u[q[who]] @ u[b[at]].T >= threshold
+        near &= cid[q][:, None] != cid[b][None]
+        some_q, some_b = near.any(axis=1), near.any(axis=0)
+        q, b, near = q[some_q], b[some_b], near[np.ix_(some_q, some_b)]
+        forward = near @ m[b].astype(float)
+        # a resident counts a visitor only if it does not itself visit that one's home
+        back = (near.T & ~grid.meets([x[some_b] for x in stored], home[q])) @ m[q].astype(float)
+        if not len(q):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("cid", "n", "root")})
         rows_, columns_ = components_of(near)
         least = np.full(near.shape[0] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, rows_, rep[q])
-        np.minimum.at(least, columns_, rep[b])
-        some_q, some_b = near.any(axis=1), near.any(axis=0)
-        return pa.table({
-            "rep": np.concatenate([rep[q][some_q], rep[b][some_b]]),
-            "n": np.concatenate([forward[some_q], back[some_b]]).astype(np.int64),
-            "root": np.concatenate([least[rows_][some_q], least[columns_][some_b]]),
-        })
+        np.minimum.at(least, rows_, cid[q])
+        np.minimum.at(least, columns_, cid[b])
+        return pa.table({"cid": np.concatenate([cid[q], cid[b]]), "n": np.concatenate([forward, back]).astype(np.int64), "root": np.concatenate([least[rows_], least[columns_]])})
 
-    keep = ["label", "cell", "h", "v", "stored", "rep", "m", "home", "visits", "embedding"]
-    return residents.select(*keep).unionAll(visitors.select(*keep)).groupBy("label", "cell", "h", "v").applyInArrow(verify, "rep long, n long, root long")
+    rows = rows.select("label", "bundle", "task", "resident", "part", "cid", "m", "home", "embedding")
+    return rows.groupBy("label", "bundle", "task").applyInArrow(verify, "cid long, n long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
-    whole = vectors.select("vec_id", "label", "embedding")
-    good = usable(whole).withColumn("dim", F.size("embedding"))
-    classes = good.groupBy("label", "dim", "embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("m")).where("rep IS NOT NULL")
-    classes = materialize(classes, "classes")
+    known = [F.xxhash64(F.lit(k), "embedding").alias(f"d{k}") for k in (1, 2)]
+    whole = vectors.select("vec_id", "label", "embedding").select("*", *known, F.size("embedding").alias("dim"))
+    classes = usable(whole).groupBy("label", "dim", "d1", "d2").agg(F.first("embedding").alias("embedding"), F.count("*").alias("m"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     found = None
     for (dim,) in classes.select("dim").distinct().orderBy("dim").collect():
         part = links(classes.where(F.col("dim") == dim), threshold)
         found = part if found is None else found.unionAll(part)
+    own = F.col("vec_id").cast("long")
     if found is None:
-        return whole.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+        return whole.select("vec_id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id"), F.lit(True).alias("kept"))
     found = materialize(found, "links")
-    sums = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    told = classes.join(sums, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    told = told.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = whole.join(told, ["label", "embedding"], "left")
-    component = F.coalesce("component_id", F.col("vec_id").cast("long"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    sums = found.groupBy("cid").agg(F.sum("n").alias("n"))
+    parts = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    told = classes.select("label", "dim", "d1", "d2", "cid", "m").join(sums, "cid", "left").join(parts, F.col("cid") == F.col("node"), "left")
+    told = told.select("label", "dim", "d1", "d2", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
+    out = materialize(whole.select("vec_id", "label", "dim", "d1", "d2").join(told, ["label", "dim", "d1", "d2"], "left").select("vec_id", "n_links", "component"), "told")
+    least = out.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").cast("long").alias("least"))
+    out = out.join(least, "component", "left")
+    component = F.when(F.col("component").isNull(), own).otherwise(F.col("least"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(own == component, F.lit(False)).alias("kept"))
