@@ -1,21 +1,28 @@
-"""Near copies by the Jaccard similarity of their 5-word shingles, found by prefix filtering.
+"""Near copies by the Jaccard similarity of their 5-word shingles: SimHash first, prefix filtering for the rest.
 
 A document is the set of its 5-word shingles (64-bit hashes; all words where there are fewer than five),
-ASCII case folded. Equal sets are one class. Shingles stand in one order: those that a bounded sample shows
-to be frequent last, else by hash. Of sets x, y with a similarity of at least ``SIMILAR`` = 0.8 at most
-0.25 |x| shingles of the union are not shared, so both hold a shared one among their first
-|x| - ceil(0.8 |x|) + 1. Where x has g |x| shingles that are not frequent, the first k of the union in hash
-order are all unshared with a probability of at most (0.25 / g)^k; k that brings it to 2^-64 is enough, the
-error that equal hashes have already. Sets that meet in a prefix are candidates; links come from their
-exact similarity alone.
-
-What is linked needs a spanning forest only: two rounds verify one partner of each class (the lowest of a
-seeded order that it meets), then every pair that meets and is not joined yet is verified. A shingle that
-more than ``HOT`` of the classes left share is compared in blocks by sketches: pairs that share too few of
-their 64 lowest hashes to have the similarity (21 of 64; a wrong drop has a probability below 1e-16) go.
+ASCII case folded. Equal sets are one class. Links come from exact similarity (``SIMILAR`` = 0.8 or more) of
+whole texts alone; what differs is where candidates come from, and what is linked needs a spanning forest
+only, so each round proposes one partner of a class:
+
+1. SimHash fingerprints of the sets, linked by the generalised pigeonhole of ``neardup``: a class and the
+   lowest of its fingerprint group. This joins exact and close copies, but a pair of similarity 0.8 differs in
+   about 10 of 64 bits, where random pairs begin to pass too, so it can't be complete.
+2. Prefixes. Shingles stand in one order: those that a bounded sample shows to be frequent last, else by hash.
+   Of sets x, y that are similar enough at most 0.25 |x| shingles of the union are not shared, so both hold
+   a shared one among their first |x| - ceil(0.8 |x|) + 1. Where x has g |x| shingles that are not frequent,
+   the first k of the union in hash order are all unshared with a probability of at most (0.25 / g)^k; k that
+   brings it to 2^-64 is enough, the error that equal hashes have already. The partner of a class is the one
+   that most of its prefix shingles name as their lowest class.
+3. Every pair that meets in a prefix and is not joined yet. A shingle that more than ``HOT`` of the classes left
+   share is compared in blocks.
+
+Candidates whose sketches (64 lowest hashes) share fewer than ``SHARED`` can't be similar enough (a wrong drop
+has a probability below 1e-16) and go before any text is fetched.
 
 Defined cases: null, empty and blank texts have the empty set and are one class; repeated rows and ties
-fall to the smallest doc_id; an empty table gives an empty result; rows without an id stay.
+fall to the smallest doc_id, of that to the lowest (set, text) hash and then to the lowest row as JSON; an
+empty table gives an empty result; rows without an id stay; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,19 +33,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm import neardup
 from docquarry.llm.common import connected_components, materialize
 from docquarry.llm.text import LOWER, Words, batches_of, mixed, texts_of
 
 WIDTH, SIMILAR = 5, (4, 5)
 #: Hashes of a sketch, and how many two near copies share at least; bound of the error in nats.
 SKETCH, SHARED, ERROR = 64, 21, 64 * math.log(2)
-#: Sampled classes, share of them that makes a shingle frequent, frequent shingles at most (cost only).
+#: Sampled documents, share of them that makes a shingle frequent, frequent shingles at most (cost only).
 SAMPLE, OFTEN, FREQUENT = 10_000, 0.002, 100_000
 #: Classes on one shingle that are still joined as rows; classes in a block beyond that.
 HOT, BLOCK = 48, 1024
+#: Texts that are compared at a time, and their compressed bytes.
+PAIRS, PAIR_BYTES = 256, 1 << 20
 
 
 def sets_of(column) -> list[np.ndarray]:
@@ -83,86 +94,123 @@ def prefix_of(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([x[~late], x[late]])[:size]
 
 
-def scan(docs: DataFrame, schema: str, of) -> DataFrame:
-    """Rows ``of`` (ids, sets) of each batch of doc_id and text."""
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def frequent_of(docs: DataFrame) -> np.ndarray:
+    """The shingles that a bounded sample of documents (equal sets once) shows most often, sorted; they
+    steer cost only."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield of(batch.column("doc_id"), batch.column("text"), sets_of(batch.column("text")))
+            sets = sets_of(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["set", "shingles"])
+
+    some = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = docs.join(F.broadcast(some), "doc_id", "left_semi").select("text")
+    found = texts.mapInArrow(scan, "set long, shingles array<long>").dropDuplicates(["set"]).select(F.explode("shingles").alias("shingle"))
+    most = found.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, OFTEN * SAMPLE))
+    top = most.orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).toPandas()
+    return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, schema)
 
+PRINTS = "doc_id long, text_hash long, set long, n long, fp long, prefix array<long>, sketch array<int>"
 
-def keyed(ids, texts, sets) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())], ["doc_id", "set", "n"])
 
+def prints_of(docs: DataFrame) -> DataFrame:
+    """What is known of each document, from one pass over the texts: its set's key and size, SimHash,
+    prefix and sketch."""
+    late = docs.sparkSession.sparkContext.broadcast(frequent_of(docs))
 
-def with_texts(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(set, text), one text of each class that ``sets`` (one column, set) names."""
-    ids = classes.join(sets, "set", "left_semi").select("set", F.col("rep").alias("doc_id"))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = sets_of(batch.column("text"))
+            columns = [
+                pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(neardup.majority(x).view(np.int64)) for x in sets], pa.int64()),
+                pa.array([prefix_of(x, late.value).view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([x[:SKETCH].astype(np.uint32).view(np.int32) for x in sets], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], ["doc_id", "text_hash", "set", "n", "fp", "prefix", "sketch"])
 
-    def of(ids, texts, found) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), texts], ["set", "text"])
+    return materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(scan, PRINTS), "prints")
 
-    wanted = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    return scan(wanted, "set long, text string", of).join(ids.select("set"), "set", "left_semi").dropDuplicates(["set"])
 
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose sizes and sketches allow the similarity."""
+    side = lambda c: classes.select(F.col("set").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(fits("na", "nb"))
+    least = F.least(F.lit(SHARED), F.floor(3 * F.least("na", "nb") / 5))
+    return both.where(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b")
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both)
+
+def fits(a: str, b: str) -> Column:
+    """Whether the sizes allow the similarity."""
+    return (F.col(a) * SIMILAR[1] >= F.col(b) * SIMILAR[0]) & (F.col(b) * SIMILAR[1] >= F.col(a) * SIMILAR[0])
+
+
+def texts_for(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(set, body), one compressed text of each class that ``sets`` (one column, set) names."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([set_key(x) for x in sets_of(batch.column("text"))], pa.int64())
+            body = pa.array([zstandard.compress((t or "").encode(), 3) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("set"), found, body], ["set", "found", "body"])
+
+    wanted = classes.join(sets, "set", "left_semi").select("set", F.col("rep").alias("doc_id"))
+    out = docs.select("doc_id", "text").join(wanted, "doc_id").select("set", "text").mapInArrow(scan, "set long, found long, body binary")
+    return materialize(out.where("set = found").select("set", "body").dropDuplicates(["set"]), "texts")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is high enough."""
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    texts = materialize(with_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), classes), "texts")
-    left, right = (texts.select(F.col("set").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    """The pairs (a, b) of sets whose similarity is high enough, by their whole texts."""
+    pairs = materialize(plausible(pairs.select("a", "b").distinct(), classes), "pairs")
+    texts = texts_for(docs, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), classes)
+    left, right = (texts.select(F.col("set").alias(c), F.col("body").alias(f"t{c}")) for c in "ab")
+
+    def sets_for(keys: list[int], bodies: list[bytes]) -> dict[int, np.ndarray]:
+        own = dict(zip(keys, bodies, strict=True))
+        return dict(zip(own, sets_of(pa.array([zstandard.decompress(x).decode() for x in own.values()], pa.string())), strict=True))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = sets_of(batch.column("ta")), sets_of(batch.column("tb"))
-            good = pa.array([similar(x, y) for x, y in zip(ta, tb, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(good)
+            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+            good, i = np.zeros(len(a), bool), 0
+            while i < len(a):
+                j, size = i, 0
+                while j < len(a) and j - i < PAIRS and (j == i or size + len(ta[j]) + len(tb[j]) <= PAIR_BYTES):
+                    size, j = size + len(ta[j]) + len(tb[j]), j + 1
+                xs, ys = sets_for(a[i:j], ta[i:j]), sets_for(b[i:j], tb[i:j])
+                good[i:j] = [similar(xs[p], ys[q]) for p, q in zip(a[i:j], b[i:j], strict=True)]
+                i = j
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(each, "a long, b long"), "links")
 
 
-def frequent_of(docs: DataFrame, classes: DataFrame) -> np.ndarray:
-    """The shingles that a bounded sample of classes shows most often, sorted; they steer cost only."""
-    some = classes.orderBy(F.xxhash64("set"), "set").limit(SAMPLE).select("set")
-
-    def of(ids, texts, sets) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["shingle"])
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(a, b): each set and the lowest of its SimHash group."""
+    prints = materialize(classes.groupBy(F.col("fp").alias("__fp")).agg(F.min("set").alias("__rep")), "fingerprints")
+    groups = connected_components(neardup.links(prints)).select(F.col("node").alias("__rep"), "component")
+    low = prints.join(groups, "__rep", "left").select(F.col("__fp").alias("fp"), F.coalesce("component", "__rep").alias("b"))
+    return classes.select("fp", F.col("set").alias("a")).join(low, "fp").where("a <> b").select("a", "b")
 
-    texts = with_texts(docs, some, classes)
-    found = scan(texts.withColumnRenamed("set", "doc_id"), "shingle long", of).groupBy("shingle").agg(F.count("*").alias("n"))
-    least = max(2, OFTEN * SAMPLE)
-    top = found.where(F.col("n") >= least).orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).toPandas()
-    return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
 
-
-def meeting(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def meeting(classes: DataFrame) -> DataFrame:
     """(shingle, set, n) of the prefixes, for shingles on which at least two classes meet."""
-    late = docs.sparkSession.sparkContext.broadcast(frequent_of(docs, classes))
-
-    def of(ids, texts, sets) -> pa.RecordBatch:
-        parts = [prefix_of(x, late.value) for x in sets]
-        many = np.array([len(p) for p in parts], np.int64)
-        keys = np.array([set_key(x) for x in sets], np.int64)
-        sizes = np.array([len(x) for x in sets], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)), ids.take(pa.array(np.repeat(np.arange(len(sets)), many))), pa.array(np.repeat(keys, many)), pa.array(np.repeat(sizes, many))], ["shingle", "doc_id", "set", "n"])
-
-    own = classes.select(F.col("rep").alias("doc_id"), "set")
-    rows = scan(docs.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), "shingle long, doc_id long, set long, n long", of)
-    rows = materialize(rows.join(own, ["doc_id", "set"], "left_semi").select("shingle", "set", "n").distinct(), "prefixes")
+    rows = classes.select(F.explode("prefix").alias("shingle"), "set", "n")
     shared = rows.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
     return materialize(rows.join(shared, "shingle", "left_semi"), "meeting")
 
 
-def fits(a: str, b: str):
-    """Whether the sizes allow the similarity."""
-    return (F.col(a) * SIMILAR[1] >= F.col(b) * SIMILAR[0]) & (F.col(b) * SIMILAR[1] >= F.col(a) * SIMILAR[0])
+def by_prefix(rows: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each set and the partner, of another component, that most of its shingles name as their lowest
+    in a seeded order."""
+    low = rows.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("set", F.lit(seed)).alias("o"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))).alias("low"))
+    met = rows.join(low, "shingle").where((F.col("component") != F.col("low.c")) & fits("n", "low.m"))
+    named = met.groupBy(F.col("set").alias("a"), F.col("low.b").alias("b")).agg(F.count("*").alias("k"))
+    return named.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
 
 
 def joined(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -173,24 +221,9 @@ def joined(rows: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(out.join(left, "shingle", "left_semi"), "left")
 
 
-def stars(rows: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each set and the lowest partner, in a seeded order, that its shingles have."""
-    order = F.xxhash64("set", F.lit(seed))
-    low = rows.groupBy("shingle").agg(F.min(F.struct(order.alias("o"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))).alias("low"))
-    met = rows.join(low, "shingle").where((F.col("component") != F.col("low.c")) & fits("n", "low.m"))
-    return met.groupBy(F.col("set").alias("a")).agg(F.min("low").alias("low")).select("a", F.col("low.b").alias("b"))
-
-
-def sketches(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    def of(ids, texts, found) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, pa.array([x[:SKETCH].tobytes() for x in found], pa.binary())], ["set", "sketch"])
-
-    return scan(with_texts(docs, sets, classes).withColumnRenamed("set", "doc_id"), "set long, sketch binary", of)
-
-
 def alike(pdf: pd.DataFrame) -> pd.DataFrame:
     """The pairs of a block whose sketches allow the similarity."""
-    each = [np.frombuffer(x, np.uint64) for x in pdf["sketch"]]
+    each = [np.asarray(x, np.int32) for x in pdf["sketch"]]
     values, who = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
     order = np.argsort(values, kind="stable")
     runs = np.split(who[order], np.flatnonzero(np.diff(values[order])) + 1)
@@ -205,40 +238,51 @@ def alike(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])}).drop_duplicates()
 
 
-def rest(rows: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): every pair that meets and is not joined yet."""
     k = rows.groupBy("shingle").agg(F.count("*").alias("k"))
     rows = materialize(rows.join(k, "shingle"), "rest")
     cold = rows.where(F.col("k") <= HOT)
     a, b = (cold.select("shingle", F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
     few = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b")
-    hot = rows.where(F.col("k") > HOT)
-    hot = hot.join(sketches(docs, hot.select("set").distinct(), classes), "set")
+    hot = rows.where(F.col("k") > HOT).join(classes.select("set", "sketch"), "set")
     hot = hot.withColumn("cuts", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("cut", F.pmod(F.xxhash64("set"), F.col("cuts")).cast("int"))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("x", F.least("cut", "other")).withColumn("y", F.greatest("cut", "other"))
     return few.unionAll(hot.groupBy("shingle", "x", "y").applyInPandas(alike, "a long, b long"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id of its group, of each row that has an id."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, set and component (a number of its group) of each row that has an id."""
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = materialize(scan(docs, "doc_id long, set long, n long", keyed), "sets")
-    classes = materialize(prints.groupBy("set", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    rows, links = meeting(docs, classes).withColumn("component", F.col("set")), None
-    for seed in (1, 2):
-        found = verified(stars(rows, seed), docs, classes)
-        links = found if links is None else links.unionAll(found)
-        rows = joined(rows, links)
-    links = links.unionAll(verified(rest(rows, docs, classes), docs, classes))
+    prints = prints_of(docs)
+    one = lambda c: F.first(c).alias(c)
+    classes = materialize(prints.groupBy("set").agg(F.min("doc_id").alias("rep"), *map(one, ("n", "fp", "prefix", "sketch"))), "classes")
+    rows = meeting(classes).withColumn("component", F.col("set"))
+    links = verified(by_fingerprint(classes).unionAll(by_prefix(rows, 1)), docs, classes)
+    rows = joined(rows, links)
+    links = links.unionAll(verified(by_prefix(rows, 2), docs, classes))
+    rows = joined(rows, links)
+    links = links.unionAll(verified(rest(rows, classes), docs, classes))
     parts = connected_components(links).select(F.col("node").alias("set"), "component")
-    parts = classes.join(parts, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    least = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return prints.join(parts.select("set", "component").join(least, "component"), "set").select("doc_id", "component_id")
+    whole = prints.select("doc_id", "text_hash", "set").join(parts, "set", "left")
+    return whole.withColumn("component", F.coalesce("component", "set"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id of its group, of each row that has an id."""
+    found = materialize(grouped(docs), "groups")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest doc_id (of repeated rows with
-    that id, the first text); same columns. Rows without an id stay."""
-    found = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("__id"), "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    """``docs`` with one row of each group, as the module's defined cases say; same columns. Rows without
+    an id stay."""
+    own = F.struct("doc_id", "set", "text_hash")
+    per = grouped(docs).groupBy("component", "doc_id", "set", "text_hash").agg(F.count("*").alias("rows"))
+    kept = per.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash", "rows"), own).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"), F.col("k.rows").alias("rows"))
+    kept = materialize(kept, "kept")
+    keyed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    single = keyed.join(kept.where("rows = 1"), ["id", "hash"]).select("row.*")
+    several = keyed.join(kept.where("rows > 1"), ["id", "hash"]).groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return single.unionAll(several).unionAll(docs.where("doc_id IS NULL"))

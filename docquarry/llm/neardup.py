@@ -74,15 +74,19 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     h = np.fromiter((digest(view[x:y], SEED) for x, y in zip(start[first].tolist(), end[last].tolist(), strict=True)), np.uint64, len(first))
     at = np.cumsum(several) - several
     for d in np.flatnonzero(several):
-        own = h[at[d] : at[d] + several[d]]
-        ones = np.zeros(BITS, np.int64)
-        for k in range(0, len(own), 1 << 14):
-            part = own[k : k + (1 << 14)]
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        out[d] = np.packbits(2 * ones > several[d], bitorder="little").view(np.uint64)[0]
+        out[d] = majority(h[at[d] : at[d] + several[d]])
     return out
 
 
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes; zero without any."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(h), 1 << 14):
+        part = h[k : k + (1 << 14)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+
+
 def with_fingerprints(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The ``keep`` columns and __fp, the fingerprint as a signed long."""
 
@@ -261,11 +265,3 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     where = classes.join(parts, F.col("__rep") == F.col("node"), "left").select("__fp", F.coalesce("component", "__rep").alias("__component"))
     whole = prints.join(where, "__fp", "left")
     return whole.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest doc_id (of repeated rows with
-    that id, the first text); same columns. Rows without an id stay."""
-    found = near_duplicates(docs, distance).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("__id"), "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
