@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,21 @@ def trainable(mod: int, held: int, id_col: str = "doc_id") -> Column:
     return F.coalesce(fold(mod, id_col) != held, F.lit(False))
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores after it until it clashes with no column of ``taken``."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a local session gets a temporary one;
+    a cluster is refused, since its executors could not read it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()

@@ -250,11 +250,11 @@ def asks(packed: DataFrame, shards: int, mod: int, held: int) -> DataFrame:
 
 
 def squeeze_counts(n: np.ndarray) -> bytes:
-    return zlib.compress(n.astype("<u4").tobytes(), 1)
+    return zlib.compress(n.astype("<u8").tobytes(), 1)
 
 
 def unsqueeze_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+    return np.frombuffer(zlib.decompress(data), "<u8").astype(np.int64)
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +319,7 @@ def word_answers(words: DataFrame) -> DataFrame:
         keys, total = _merged(table)
         shard = table.column("shard")[0].as_py()
         asked = [unsqueeze(k, n) for k, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        values = [total[np.searchsorted(keys, k)].astype("<u4").tobytes() for k in asked]
+        values = [squeeze_counts(total[np.searchsorted(keys, k)]) for k in asked]
         sums = np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
         return pa.table({"block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "kind": pa.array(["word"] * (len(asked) + 1)), "shard": pa.array([shard] * (len(asked) + 1), pa.int32()), "values": pa.array([*values, sums], pa.binary())})
 
@@ -359,7 +359,7 @@ def scores(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
         for row in left.to_pylist():
             hashes, _, counts = _block_words(row, mod, held)
             keys = distinct(np.concatenate([np.zeros(0, np.uint64), *hashes]))[0]
-            known = _lined_up(keys, (keys % np.uint64(shards)).astype(np.int64), shards, {s: np.frombuffer(v, "<u4") for s, v in got["word"].items()}, np.int64)
+            known = _lined_up(keys, (keys % np.uint64(shards)).astype(np.int64), shards, {s: unsqueeze_counts(v) for s, v in got["word"].items()}, np.int64)
             n = len(counts)
             of = np.repeat(np.arange(n), counts)
             c = known[np.searchsorted(keys, np.concatenate([np.zeros(0, np.uint64), *hashes]))]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize
+from docquarry.llm.common import free, materialize
 from docquarry.llm.text import LOWER, NOT_ALNUM, Words, batches_of, mixed, powers, texts_of
 
 #: Words of a window, of a k-gram, and k-grams to a winnowing window.
@@ -160,13 +160,13 @@ def hits(index: Index, column) -> tuple[np.ndarray, list, list]:
     return np.concatenate(counts) if counts else np.zeros(0, np.int64), spans, items
 
 
-FOUND = "__n_words long, __spans array<struct<a:long,b:long>>, __items array<string>"
+FOUND = "`{}` long, `{}` array<struct<a:long,b:long>>, `{}` array<string>"
 _SPAN = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("doc_id",), index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The ``keep`` columns of each document with __n_words, __spans (merged spans of hit words) and
-    __items (ids met, sorted as strings).
+    """The ``keep`` columns of each document with n_words, spans (merged spans of hit words) and items (ids
+    met, sorted as strings), under names that are ``free`` beside ``keep`` and text.
 
     The benchmark's size is read first; up to ``index_bytes`` of text make one broadcast index. More
     go by several passes over all documents, each with its own part of the items, and add up.
@@ -176,6 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = (
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // index_bytes))
     keep, out = list(keep), None
+    made = [free(c, [*keep, "text"]) for c in ("n_words", "spans", "items")]
     for k in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
         shared = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
@@ -187,17 +188,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = (
             for batch in batches:
                 n, spans, met = hits(shared.value, batch.column("text"))
                 if not first:
-                    spans = [merged([*map(lambda x: (x["a"], x["b"]), x), *y]) for x, y in zip(batch.column("__spans").to_pylist(), spans, strict=True)]
-                    met = [sorted({*x, *y}) for x, y in zip(batch.column("__items").to_pylist(), met, strict=True)]
+                    spans = [merged([*map(lambda x: (x["a"], x["b"]), x), *y]) for x, y in zip(batch.column(made[1]).to_pylist(), spans, strict=True)]
+                    met = [sorted({*x, *y}) for x, y in zip(batch.column(made[2]).to_pylist(), met, strict=True)]
                 spans = [[{"a": a, "b": b} for a, b in x] for x in spans]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(spans, _SPAN), pa.array(met, pa.list_(pa.string()))],
-                    [*names, "__n_words", "__spans", "__items"],
+                    [*names, *made],
                 )
 
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-        need = list(dict.fromkeys([*keep, "text"])) + ([] if first else ["__spans", "__items"])
-        out = source.select(*need).mapInArrow(scan, f"{schema}, {FOUND}")
+        need = list(dict.fromkeys([*keep, "text"])) + ([] if first else made[1:])
+        out = source.select(*(F.col(f"`{c}`") for c in need)).mapInArrow(scan, f"{schema}, {FOUND.format(*made)}")
         if not last:
             out = materialize(out, "hits")
     return out
@@ -215,23 +216,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     found = contamination(docs.select("doc_id", "text"), benchmark, **options)
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    return found.select(
-        "doc_id",
-        F.col("__n_words").alias("n_words"),
-        n_hit.alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
-        "__spans",
-        "__items",
-    ).withColumnsRenamed({"__spans": "spans", "__items": "items"})
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans", "items")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without those that hold a window of any item; same columns."""
     found = contamination(docs, benchmark, keep=docs.columns, **options)
-    return found.where(F.size("__spans") == 0).select(*docs.columns)
+    return found.where(F.size(free("spans", [*docs.columns, "text"])) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def sha256_of(items: list[str]) -> str:

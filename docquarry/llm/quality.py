@@ -4,12 +4,17 @@ Each text is compressed with either, in pieces of ``PIECE`` bytes so that the di
 the end of a long text. The difference of the two sizes over the text's own size goes through a
 logistic curve that is fitted on labelled texts the dictionaries have not seen.
 
-Learning is on a bounded sample: at most ``SAMPLE`` labelled texts of each class (lowest hash of the id
-first) of at most ``LONGEST`` bytes. Scoring covers every whole text.
-
-Defined cases: null and empty texts have difference 0 and get the curve's value there; without labels of
-both classes every score is the share of good labels (0.5 without any); repeated rows are scored
-each; a label row without id, text or value is ignored; other columns are ignored or kept.
+Learning is on a bounded sample: of each class at most ``SAMPLE`` labelled texts of at most ``LONGEST`` bytes
+each and ``BYTES`` in all, lowest hash of id and text first. Every other text of it trains the dictionary of
+its class, on every k-th piece so that at most ``PIECES`` are used; the others fit the curve. Scoring covers
+every whole text.
+
+Defined cases: null and empty texts have difference 0 and get the curve's value there; where a class has fewer
+than ``LEAST`` pieces to train on, or the curve lacks a class, every score is the share of good labels
+(smoothed by half a label, so 0.5 without any); where zstandard finds too little to train on, the last
+``DICTIONARY`` bytes of the pieces serve; repeated rows are scored each, and learned from once; an id that is
+labelled both ways and a label row without id, text or value are ignored; other columns are ignored or kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,24 +24,28 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import in_fold, trainable
+from docquarry.llm.common import free, in_fold, trainable
 from docquarry.llm.text import texts_of
 
 PIECE, DICTIONARY, LEVEL = 2048, 32 << 10, 3
-SAMPLE, LONGEST = 3000, 64 << 10
+#: Bounds of the sample of a class: texts, bytes of a text, bytes in all; pieces a dictionary is trained on.
+SAMPLE, LONGEST, BYTES, PIECES, LEAST = 3000, 64 << 10, 24 << 20, 6000, 1
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: Sequence[int], longest: int) -> list[tuple[int, str, int]]:
-    """(hash, text, label) of at most most[v] training documents of each label v, in hash order."""
-    known = labels.where(F.col(label).isin(0, 1) & trainable(mod, held)).select("doc_id", F.col(label).alias("__y")).distinct()
-    known = known.withColumn("__h", F.xxhash64("doc_id"))
-    picked = known.where("__y = 0").orderBy("__h").limit(most[0]).unionAll(known.where("__y = 1").orderBy("__h").limit(most[1]))
-    texts = docs.where(F.octet_length("text") <= longest).select("doc_id", "text")
-    rows = texts.join(F.broadcast(picked), "doc_id").select("__h", "text", "__y").collect()
-    return sorted((r[0], r[1], r[2]) for r in rows)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int, longest: int, in_all: int) -> list[tuple[int, str, int]]:
+    """(hash, text, label) of at most ``most`` training texts of each label, of at most ``in_all`` bytes together,
+    in hash order. What is drawn is chosen from ids, hashes and sizes; texts are fetched last."""
+    known = labels.where(F.col(label).isin(0, 1) & trainable(mod, held)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top").select("doc_id", "y")
+    texts = docs.where(F.octet_length("text") <= longest).select("doc_id", F.xxhash64("text").alias("t"), F.octet_length("text").alias("bytes"), "text")
+    found = texts.select("doc_id", "t", "bytes").join(known, "doc_id").distinct().withColumn("h", F.xxhash64("doc_id", "t"))
+    order = ("h", "doc_id", "t")
+    drawn = found.where("y = 0").orderBy(*order).limit(most).unionAll(found.where("y = 1").orderBy(*order).limit(most))
+    drawn = drawn.withColumn("sum", F.sum("bytes").over(Window.partitionBy("y").orderBy(*order))).where(F.col("sum") <= in_all)
+    rows = texts.select("doc_id", "t", "text").join(F.broadcast(drawn.select("doc_id", "t", "h", "y")), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])
+    return sorted((r[0], r[1], r[2]) for r in rows.select("h", "text", F.col("y").cast("int")).collect())
 
 
 def pieces(data: bytes) -> list[bytes]:
@@ -52,7 +61,7 @@ class CompressionClassifier:
         by = [[r for r in rows if r[2] == v] for v in (0, 1)]
         fit, check = by[0][::2] + by[1][::2], by[0][1::2] + by[1][1::2]
         parts = [[p for r in fit if r[2] == v for p in pieces(r[1].encode())] for v in (0, 1)]
-        if min(map(len, parts)) < 8 or len({r[2] for r in check}) < 2:
+        if min(map(len, parts)) < LEAST or len({r[2] for r in check}) < 2:
             return
         self.dictionaries = [self._dictionary(x) for x in parts]
         x = self.difference([r[1].encode() for r in check])
@@ -61,7 +70,7 @@ class CompressionClassifier:
     @staticmethod
     def _dictionary(parts: list[bytes]) -> bytes:
         try:
-            return zstandard.train_dictionary(DICTIONARY, parts[:: len(parts) // 6000 + 1]).as_bytes()
+            return zstandard.train_dictionary(DICTIONARY, parts[:: -(-len(parts) // PIECES)]).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself serves
             return b"".join(parts)[-DICTIONARY:]
 
@@ -108,29 +117,29 @@ class CompressionClassifier:
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.bias, -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, sample: int = SAMPLE, longest: int = LONGEST) -> CompressionClassifier:
-    return CompressionClassifier(labelled_sample(docs, labels, "quality", mod, held, (sample, sample), longest))
+def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, sample: int = SAMPLE, longest: int = LONGEST, in_all: int = BYTES) -> CompressionClassifier:
+    return CompressionClassifier(labelled_sample(docs, labels, "quality", mod, held, sample, longest, in_all))
 
 
 def scored(docs: DataFrame, model, keep: Sequence[str]) -> DataFrame:
-    """The ``keep`` columns and __score by ``model.scores`` of the whole text."""
-    shared, keep = docs.sparkSession.sparkContext.broadcast(model), tuple(keep)
+    """The ``keep`` columns and ``free("score", keep)`` by ``model.scores`` of the whole text."""
+    shared, keep, name = docs.sparkSession.sparkContext.broadcast(model), tuple(keep), free("score", keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = pa.array(shared.value.scores(batch.column("text")), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), score], [*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), score], [*keep, name])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(scan, f"{schema}, __score double")
+    return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"]))).mapInArrow(scan, f"{schema}, `{name}` double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score and predicted for each document."""
     out = scored(docs, fit(docs, labels, mod, held), ("doc_id",))
-    return out.select("doc_id", in_fold(mod, held).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", in_fold(mod, held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:
     """``docs`` that the classifier accepts; same columns."""
-    return scored(docs, fit(docs, labels, mod, held), docs.columns).where("__score >= 0.5").select(*docs.columns)
+    return scored(docs, fit(docs, labels, mod, held), docs.columns).where(F.col(free("score", docs.columns)) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -28,7 +28,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexttree.scores(table(spark, sf_dir, "documents")).drop("code_length")
+    return contexttree.scores(table(spark, sf_dir, "documents"))
 
 
 def vocabulary() -> str:
@@ -51,7 +51,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sentences")
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ A sentence scores sigmoid(bias + weights of its words); a document is toxic unle
 clean, 1 - prod(1 - p) (noisy-or). Weights are fitted to document labels through that product, so the
 sentences that explain a label are found without being marked.
 
-Learning is on a bounded sample: at most ``SAMPLE`` labelled texts of each class, lowest hash of the id
-first, of at most ``LONGEST`` bytes. Words are lower-cased runs of letters and digits; a word and its
+Learning is on a bounded sample: of each class at most ``SAMPLE`` labelled texts of at most ``LONGEST`` bytes
+each and ``BYTES`` in all, lowest hash of id and text first. Words are lower-cased runs of letters and digits; a word and its
 beginnings of 4, 5 and 6 bytes (so that inflected forms share evidence) are hashed into ``BUCKETS`` and
 count in a sentence's sum each time they stand there. Scoring covers every whole text.
 
 Defined cases: null, empty and wordless texts have no sentence and score 0; without labels of both
-classes every score is 0; repeated rows are scored each; other columns are ignored.
+classes every score is 0; repeated rows are scored each, and learned from once; an id that is labelled both
+ways is ignored; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from docquarry.llm.quality import labelled_sample
 from docquarry.llm.text import LOWER, NOT_ALNUM, Words, batches_of, span_hashes, texts_of
 
 BUCKETS = 1 << 18
-SAMPLE, LONGEST = 2500, 64 << 10
+SAMPLE, LONGEST, BYTES = 2500, 64 << 10, 16 << 20
 BEGINNINGS = (4, 5, 6)
 #: Sentences end at these bytes.
 STOP = np.zeros(256, bool)
@@ -113,7 +114,7 @@ class NoisyOr:
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, sample: int = SAMPLE) -> NoisyOr:
-    return NoisyOr(labelled_sample(docs, labels, "toxic", mod, held, (sample, sample), LONGEST))
+    return NoisyOr(labelled_sample(docs, labels, "toxic", mod, held, sample, LONGEST, BYTES))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> DataFrame:
