@@ -14,11 +14,13 @@ only, so each round proposes one partner of a class:
    the first k of the union in hash order are all unshared with a probability of at most (0.25 / g)^k; k that
    brings it to 2^-64 is enough, the error that equal hashes have already. The partner of a class is the one
    that most of its prefix shingles name as their lowest class.
-3. Every pair that meets in a prefix and is not joined yet. A shingle that more than ``HOT`` of the classes left
-   share is compared in blocks.
+3. Every pair that meets in a prefix and is not joined yet. Where at most ``HOT`` of the classes left share a
+   shingle they are joined as rows; more are compared in blocks, which give a spanning forest of what is
+   plausible. Classes that hang together so are a cluster: each of its texts is fetched once, and blocks of
+   the cluster are compared exactly and give a spanning forest of the links, never pairs.
 
-Candidates whose sketches (64 lowest hashes) share fewer than ``SHARED`` can't be similar enough (a wrong drop
-has a probability below 1e-16) and go before any text is fetched.
+Candidates whose sketches (``SKETCH`` lowest hashes) share fewer than ``SHARED`` can't be similar enough (a wrong
+drop has a probability below 1e-16) and go before any text is fetched.
 
 Defined cases: null, empty and blank texts have the empty set and are one class; repeated rows and ties
 fall to the smallest doc_id, of that to the lowest (set, text) hash and then to the lowest row as JSON; an
@@ -43,11 +45,11 @@ from docquarry.llm.text import LOWER, Words, batches_of, mixed, texts_of
 
 WIDTH, SIMILAR = 5, (4, 5)
 #: Hashes of a sketch, and how many two near copies share at least; bound of the error in nats.
-SKETCH, SHARED, ERROR = 64, 21, 64 * math.log(2)
+SKETCH, SHARED, ERROR = 128, 60, 64 * math.log(2)
 #: Sampled documents, share of them that makes a shingle frequent, frequent shingles at most (cost only).
 SAMPLE, OFTEN, FREQUENT = 10_000, 0.002, 100_000
-#: Classes on one shingle that are still joined as rows; classes in a block beyond that.
-HOT, BLOCK = 48, 1024
+#: Classes on one shingle that are still joined as rows; classes in a block beyond that, and their shingles.
+HOT, BLOCK, BLOCK_SHINGLES = 8, 512, 1 << 20
 #: Texts that are compared at a time, and their compressed bytes.
 PAIRS, PAIR_BYTES = 256, 1 << 20
 
@@ -221,34 +223,74 @@ def joined(rows: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(out.join(left, "shingle", "left_semi"), "left")
 
 
-def alike(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of a block whose sketches allow the similarity."""
-    each = [np.asarray(x, np.int32) for x in pdf["sketch"]]
-    values, who = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+def shared_of(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets have in common."""
+    values, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(values, kind="stable")
-    runs = np.split(who[order], np.flatnonzero(np.diff(values[order])) + 1)
-    both = np.zeros((len(each), len(each)), np.int32)
-    for run in runs:
-        if len(run) > 1:
-            both[np.ix_(run, run)] += 1
-    n, part, key = (pdf[c].to_numpy(np.int64) for c in ("n", "component", "set"))
+    values, who = values[order], who[order]
+    edges = np.flatnonzero(np.diff(values)) + 1
+    starts, ends = np.append(0, edges), np.append(edges, len(values))
+    both = np.zeros((len(sets), len(sets)), np.int32)
+    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        both[np.ix_(who[a:b], who[a:b])] += 1
+    return both
+
+
+def forest(near: np.ndarray, key: np.ndarray) -> pd.DataFrame:
+    """(a, b): each key that is linked and the lowest that its links reach."""
+    label = neardup.forest(near)
+    low = np.full(len(key), np.iinfo(np.int64).max)
+    np.minimum.at(low, label, key)
+    out = pd.DataFrame({"a": key, "b": low[label]})
+    return out[out.a != out.b].drop_duplicates()
+
+
+def apart(pdf: pd.DataFrame) -> np.ndarray:
+    """Pairs of different components whose sizes allow the similarity."""
+    n, part = pdf["n"].to_numpy(np.int64), pdf["component"].to_numpy(np.int64)
+    return (part[:, None] != part[None, :]) & (SIMILAR[1] * n[:, None] >= SIMILAR[0] * n[None, :]) & (SIMILAR[1] * n[None, :] >= SIMILAR[0] * n[:, None])
+
+
+def alike(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A forest of the pairs of a block whose sketches allow the similarity."""
+    n, both = pdf["n"].to_numpy(np.int64), shared_of([np.asarray(x, np.int32) for x in pdf["sketch"]])
     least = np.minimum(SHARED, 3 * np.minimum(n[:, None], n[None, :]) // 5)
-    good = (both >= least) & (part[:, None] != part[None, :]) & (SIMILAR[1] * n[:, None] >= SIMILAR[0] * n[None, :]) & (SIMILAR[1] * n[None, :] >= SIMILAR[0] * n[:, None])
-    i, j = np.nonzero(np.triu(good, 1))
-    return pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])}).drop_duplicates()
+    return forest((both >= least) & apart(pdf), pdf["set"].to_numpy(np.int64))
+
+
+def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A forest of the links between the components of a block, by whole texts."""
+    sets = sets_of(pa.array([zstandard.decompress(x).decode() for x in pdf["body"]], pa.string()))
+    n, both = np.array([len(x) for x in sets]), shared_of(sets)
+    near = SIMILAR[1] * both >= SIMILAR[0] * (n[:, None] + n[None, :] - both)
+    return forest(near & apart(pdf), pdf["set"].to_numpy(np.int64))
+
+
+def in_blocks(rows: DataFrame, cuts: Column) -> DataFrame:
+    """``rows`` once for each pair of blocks (x, y) of their group that they take part in; ``cuts``: blocks."""
+    rows = rows.withColumn("cuts", cuts.cast("int")).withColumn("cut", F.pmod(F.xxhash64("set"), F.col("cuts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return rows.withColumn("x", F.least("cut", "other")).withColumn("y", F.greatest("cut", "other")).drop("cuts", "cut", "other")
 
 
-def rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): every pair that meets and is not joined yet."""
+def rest(rows: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): enough links between the components that are left for what they join to be joined."""
     k = rows.groupBy("shingle").agg(F.count("*").alias("k"))
     rows = materialize(rows.join(k, "shingle"), "rest")
     cold = rows.where(F.col("k") <= HOT)
     a, b = (cold.select("shingle", F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    few = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b")
+    few = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct()
     hot = rows.where(F.col("k") > HOT).join(classes.select("set", "sketch"), "set")
-    hot = hot.withColumn("cuts", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("cut", F.pmod(F.xxhash64("set"), F.col("cuts")).cast("int"))
-    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("x", F.least("cut", "other")).withColumn("y", F.greatest("cut", "other"))
-    return few.unionAll(hot.groupBy("shingle", "x", "y").applyInPandas(alike, "a long, b long"))
+    hot = in_blocks(hot, F.ceil(F.col("k") / BLOCK)).select("shingle", "x", "y", "set", "n", "component", "sketch")
+    many = hot.groupBy("shingle", "x", "y").applyInPandas(alike, "a long, b long")
+    clusters = materialize(connected_components(plausible(few, classes).unionAll(many)).select(F.col("node").alias("set"), F.col("component").alias("cluster")), "clusters")
+    texts = texts_for(docs, clusters.select("set"), classes)
+    parts = rows.select("set", "n", "component").distinct()
+    found = clusters.join(parts, "set").join(texts, "set")
+    sizes = materialize(clusters.join(parts, "set").groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("s")), "sizes")
+    cuts = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1))
+    found = in_blocks(found.join(sizes, "cluster"), cuts).select("cluster", "x", "y", "set", "n", "component", "body")
+    return materialize(found.groupBy("cluster", "x", "y").applyInPandas(linked, "a long, b long"), "links")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -262,7 +304,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     rows = joined(rows, links)
     links = links.unionAll(verified(by_prefix(rows, 2), docs, classes))
     rows = joined(rows, links)
-    links = links.unionAll(verified(rest(rows, classes), docs, classes))
+    links = links.unionAll(rest(rows, docs, classes))
     parts = connected_components(links).select(F.col("node").alias("set"), "component")
     whole = prints.select("doc_id", "text_hash", "set").join(parts, "set", "left")
     return whole.withColumn("component", F.coalesce("component", "set"))

@@ -31,7 +31,7 @@ def copies():
     return [*out, None, "", " \t", out[0].upper()]
 
 
-@pytest.mark.parametrize(("hot", "block", "often"), [(48, 1024, 0.002), (2, 8, 0.0005)])
+@pytest.mark.parametrize(("hot", "block", "often"), [(8, 512, 0.002), (2, 8, 0.0005)])
 def test_stage_matches_brute_force(spark, copies, hot, block, often, monkeypatch):
     monkeypatch.setattr(nearcopies, "HOT", hot)
     monkeypatch.setattr(nearcopies, "BLOCK", block)
