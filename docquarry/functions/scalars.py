@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def clean_text(c: Column) -> Column:
     """White space runs to one space, control characters out, trimmed; in that order."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"[\x00-\x1f\x7f]", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"[\x00-\x1f\x7f-\x9f]", ""))
 
 
 def parse_number(c: Column) -> Column:

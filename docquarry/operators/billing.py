@@ -21,7 +21,7 @@ def usage_report(usage: DataFrame, first: str, last: str) -> DataFrame:
 
 def with_limits(usage: DataFrame, plans: DataFrame) -> DataFrame:
     """Usage beside its limit and rate; a resource without a limit has neither."""
-    return usage.join(F.broadcast(plans), "resource", "left")
+    return usage.join(plans, "resource", "left")
 
 
 def overage(usage: DataFrame, plans: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def api_usage(df: DataFrame) -> DataFrame:
 def subscription_price(df: DataFrame, tiers: DataFrame, promotions: DataFrame, as_of: str, tax: str = "0.10") -> DataFrame:
     """Price of subscriptions (tier, cycle, addons as money a month, promo): add-ons count twelvefold a year,
     a promotion needs its least tier rank and its date; tax on what is left."""
-    df = df.join(F.broadcast(tiers), "tier").join(F.broadcast(promotions), "promo", "left")
+    df = df.join(tiers, "tier").join(promotions, "promo", "left")
     yearly = F.col("cycle") == "annual"
     subtotal = (F.when(yearly, F.col("annual")).otherwise(F.col("monthly")) + F.col("addons") * F.when(yearly, 12).otherwise(1)).cast(D)
     valid = F.coalesce((F.col("rank") >= F.coalesce("min_rank", F.lit(0))) & (F.lit(as_of).cast("date") <= F.col("valid_until")), F.lit(False))
@@ -69,13 +69,13 @@ def subscription_price(df: DataFrame, tiers: DataFrame, promotions: DataFrame, a
 def entitled(df: DataFrame, features: DataFrame) -> DataFrame:
     """Subscriptions whose tier has the feature they ask for; ``features``: one row (tier, feature list)."""
     rows = features.select("tier", F.explode("features").alias("feature"))
-    return df.join(F.broadcast(rows), ["tier", "feature"], "left_semi")
+    return df.join(rows, ["tier", "feature"], "left_semi")
 
 
 def upgrades(tiers: DataFrame) -> DataFrame:
     """(tier, next): every tier of higher rank; of a fixed handful of tiers."""
     a, b = tiers.select("tier", "rank"), tiers.select(F.col("tier").alias("next"), F.col("rank").alias("next_rank"))
-    return a.join(F.broadcast(b), F.col("next_rank") > F.col("rank")).select("tier", "next")
+    return a.join(b, F.col("next_rank") > F.col("rank")).select("tier", "next")
 
 
 def revenue_summary(invoices: DataFrame, partners: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def revenue_summary(invoices: DataFrame, partners: DataFrame) -> DataFrame:
     month = F.date_format("issue_date", "yyyy-MM")
     share = F.coalesce(F.col("revenue_share"), F.lit(0).cast("decimal(5,4)"))
     payout = F.round(F.col("grand_total") * share, 2).cast(D)
-    joined = invoices.withColumn("code", F.lower("nation")).join(F.broadcast(partners.withColumn("code", F.lower("code"))), "code", "left")
+    joined = invoices.withColumn("code", F.lower("nation")).join(partners.withColumn("code", F.lower("code")), "code", "left")
     return joined.groupBy(month.alias("month")).agg(F.count("*").alias("invoices"), F.sum("grand_total").cast("double").alias("revenue"), F.sum(payout).cast("double").alias("payout"), F.count("revenue_share").alias("referred"))
 
 
@@ -112,7 +112,7 @@ def break_even(monthly: DataFrame, investment: float) -> DataFrame:
 
 def convert(df: DataFrame, rates: DataFrame) -> DataFrame:
     """Amounts by a rate table; a missing rate is 1. The rate is kept to 4 places, the amount to 2."""
-    df = df.join(F.broadcast(rates), "currency", "left")
+    df = df.join(rates, "currency", "left")
     rate = F.coalesce(F.round("rate", 4), F.lit(1)).cast("decimal(12,4)")
     return df.withColumn("rate", rate).withColumn("converted", F.round(F.col("amount") * rate, 2).cast(D))
 

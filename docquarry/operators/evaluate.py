@@ -25,12 +25,13 @@ def pairs(truth: DataFrame, predicted: DataFrame, key: str = "invoice_id") -> Da
 @dataclass(frozen=True)
 class FieldRule:
     """text: equal, folded (case and outer space aside), contains (either way), inside (truth in prediction),
-    tokens (share of truth's words found over .7). number: largest difference, ``relative`` to truth or not.
+    tokens (share of truth's words found over .7). number: limit of a difference, which must stay below it (``at_most``: may reach it), ``relative`` to truth or not.
     missing: whether both missing is agreement. every: whether fields without truth count too."""
 
     text: str = "equal"
     number: float = 0.01
     relative: bool = False
+    at_most: bool = False
     missing: bool = False
     every: bool = True
 
@@ -38,12 +39,12 @@ class FieldRule:
 #: Fixed values of the published measures.
 FIELD_RULES = {
     "truth_keys": FieldRule("folded", 1e-4, relative=True, every=False),
-    "contains": FieldRule("contains", 0.01),
-    "blocks": FieldRule("equal", 0.01),
+    "contains": FieldRule("contains", 0.01, at_most=True),
+    "blocks": FieldRule("folded", 0.01),
     "regions": FieldRule("tokens", 0.01),
-    "three_fields": FieldRule("equal", 0.01),
-    "paths_exact": FieldRule("equal", 0.0, missing=True),
-    "paths_string": FieldRule("folded", 0.0, missing=True),
+    "three_fields": FieldRule("equal", 0.01, at_most=True),
+    "paths_exact": FieldRule("folded", 0.0, at_most=True, missing=True),
+    "paths_string": FieldRule("folded", 0.0, at_most=True, missing=True),
     "four_fields": FieldRule("equal", 0.01, relative=True),
     "contained_in": FieldRule("inside", 0.01),
 }
@@ -64,10 +65,10 @@ def text_match(t: Column, p: Column, how: str) -> Column:
 
 
 def number_match(t: Column, p: Column, rule: FieldRule) -> Column:
-    off = F.abs(t - p).cast("double")
+    off = F.abs(t - p).cast("decimal(18,2)").cast("double")
     if rule.relative:
         return F.when(t == 0, p == 0).otherwise(off < F.lit(rule.number) * F.abs(t.cast("double")))
-    return off <= rule.number
+    return off <= rule.number if rule.at_most else off < rule.number
 
 
 def field_matches(df: DataFrame, rule: FieldRule) -> dict[str, Column]:

@@ -209,9 +209,9 @@ def items_of_table(rows: DataFrame) -> DataFrame:
 
 def items_named(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Items whose columns are named by a header word in their cells (word: qty, unit, total); the line total is
-    quantity times price, half up to cents. names: word, column; a small broadcast table."""
+    quantity times price, half up to cents. names: word, column; a small table."""
     word, value = F.lower(F.regexp_extract("text", r"^([A-Za-z]+)\s+[\d.]+$", 1)), F.regexp_extract("text", r"([\d.]+)$", 1).try_cast("double")
-    cells = rows.withColumn("word", word).withColumn("value", value).join(F.broadcast(names), "word")
+    cells = rows.withColumn("word", word).withColumn("value", value).join(names, "word")
     df = cells.groupBy("invoice_id", "row").agg(*(F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in ("qty", "unit_price")))
     return df.where("qty IS NOT NULL AND unit_price IS NOT NULL").withColumn("line_total", F.floor(F.col("qty") * F.col("unit_price") * 100 + 0.5) / 100)
 

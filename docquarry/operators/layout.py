@@ -68,7 +68,7 @@ def quadrants(regions: DataFrame) -> DataFrame:
     low = F.lower("text")
     part = (
         F.when((F.col("__cx") < F.col("__w") * 0.5) & (F.col("__cy") < F.col("__h") * 0.3), "vendor")
-        .when((F.col("__cx") > F.col("__w") * 0.5) & (F.col("__cy") < F.col("__h") * 0.3) | low.rlike("invoice|bill to|client|customer|date|due"), "client")
+        .when((F.col("__cx") > F.col("__w") * 0.5) | low.rlike("invoice|bill to|client|customer|date|due"), "client")
         .when(F.col("__cy").between(F.col("__top"), F.col("__low")), "line_items")
         .when(low.rlike("tax|vat|gst|discount|subtotal"), "tax")
         .when((F.col("__cx") > F.col("__w") * 0.6) & (F.col("__cy") > F.col("__h") * 0.7) | low.rlike("total"), "totals")
@@ -136,8 +136,8 @@ def near_numbers(regions: DataFrame, distance: float = 50.0, first: int = 10) ->
 
 def fields_by_schema(regions: DataFrame, specs: DataFrame) -> DataFrame:
     """(invoice_id, field, value, confidence): the first region of a field's zone that its pattern finds, with
-    group 1 of the pattern. specs: field, zone, pattern; a small broadcast table."""
-    df = zones(regions).join(F.broadcast(specs), "zone").withColumn("value", F.expr("regexp_extract(text, pattern, 1)")).where("value <> ''")
+    group 1 of the pattern. specs: field, zone, pattern; a small table."""
+    df = zones(regions).join(specs, "zone").withColumn("value", F.expr("regexp_extract(text, pattern, 1)")).where("value <> ''")
     return df.groupBy("invoice_id", "field").agg(F.min_by("value", "region_id").alias("value"), F.min_by("confidence", "region_id").alias("confidence"))
 
 

@@ -106,10 +106,10 @@ def stage_durations(df: DataFrame, key: str = "tenant") -> DataFrame:
 
 
 def illegal_transitions(df: DataFrame, legal: DataFrame, key: str = "tenant") -> DataFrame:
-    """Events whose (previous stage, stage) is not among the legal pairs; a small broadcast table."""
+    """Events whose (previous stage, stage) is not among the legal pairs; a small table."""
     order = Window.partitionBy(key).orderBy("ts", "document_id")
     moves = df.withColumn("previous", F.lag("stage").over(order)).where("previous IS NOT NULL")
-    return moves.join(F.broadcast(legal), (F.col("previous") == F.col("from")) & (F.col("stage") == F.col("to")), "left_anti")
+    return moves.join(legal, (F.col("previous") == F.col("from")) & (F.col("stage") == F.col("to")), "left_anti")
 
 
 def latest(df: DataFrame, *key: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Arithmetic, date, presence and business validation of invoices.
 
 Input columns: items_total (sum of the lines; null without lines), n_items, subtotal, tax, discount, total
-and confidence. A missing part counts as zero in a sum; a check whose own side is missing passes.
+and confidence. A missing part counts as zero in a sum; what a missing stated value means is the profile's.
 """
 
 from __future__ import annotations
@@ -22,70 +22,129 @@ def zero(c: str) -> Column:
 class Profile:
     """How an invoice's sums are held against each other.
 
-    measure: of a difference, ``abs`` itself, ``relative`` over the stated value (for a stated zero the
-    items must agree to the cent and the total within 0.01), ``floor`` over max(|stated|, 1).
-    strict: fails beyond the tolerance; otherwise already at it. base: what tax is added to.
-    items, total: "error", "warning" or None, what a failed check counts as.
+    measure: of a difference, ``abs`` itself, ``floor`` over max(|stated|, 1), ``relative`` over the stated value (1 for
+    zero; under a zero subtotal the items must agree to the cent and the total within 0.01). strict, items_strict:
+    fails beyond the tolerance; otherwise already at it. base: what tax is added to, the stated ``subtotal``, ``items``
+    where their sum is above 0, or what quantity, price and rate give (``recompute``: subtotal and tax are checked too).
+    items, total: "error", "warning" or None, what a failed check counts as. items_if, total_if: what must be there
+    (lines) or above zero (items, subtotal, total) or stated (tax) for the check. absent: a missing subtotal and total
+    count as ``zero``, the ``total`` alone does, or their checks are passed over (``skip``). lines: quantity times price
+    is held against each line's total. minor: a smaller difference of the total that is a warning. amounts: negative
+    amounts are errors. required: a missing subtotal or total is an error. notes: warnings of no lines and of a
+    confidence under the given value.
     """
 
     tolerance: str
     measure: str = "abs"
     strict: bool = True
+    items_strict: bool = True
     items: str | None = "error"
     total: str | None = "error"
     base: str = "subtotal"
     discount: bool = False
-    needs_items: bool = False
-    positive: bool = False
+    items_if: tuple[str, ...] = ()
+    total_if: tuple[str, ...] = ()
+    absent: str = "zero"
+    lines: bool = False
+    minor: str | None = None
+    amounts: bool = False
+    required: bool = False
+    no_items: bool = False
+    confidence: float | None = None
 
 
 #: Tolerances and comparisons are fixed values of the validated formats.
 PROFILES = {
-    "etl": Profile("0.01", needs_items=True),
-    "decimal": Profile("0.01", discount=True),
-    "guarded": Profile("0.01", needs_items=True, positive=True),
-    "model": Profile("0.02", total=None),
-    "quadrant": Profile("0.01", items=None, discount=True),
-    "override": Profile("0.01", strict=False, items=None, base="items"),
-    "relative": Profile("0.02", "relative"),
-    "half_unit": Profile("0.5"),
+    "etl": Profile("0.01", items_if=("lines",), absent="total", minor="0.005"),
+    "decimal": Profile("0.01", discount=True, lines=True),
+    "guarded": Profile("0.01", items_if=("lines", "subtotal"), total_if=("lines", "total")),
+    "model": Profile("0.02", total=None, amounts=True, no_items=True, confidence=0.7),
+    "quadrant": Profile("0.01", items=None, discount=True, lines=True),
+    "override": Profile("0.01", strict=False, items=None, base="items", discount=True),
+    "relative": Profile("0.02", "relative", absent="skip"),
+    "half_unit": Profile("0.5", total_if=("tax",), absent="skip"),
     "relative_floor": Profile("0.02", "floor"),
-    "eval": Profile("0.02", "relative", strict=False, items="warning"),
-    "receipt": Profile("0.01", total="warning"),
+    "eval": Profile("0.02", "floor", strict=False, items="warning", discount=True, items_if=("lines",)),
+    "receipt": Profile("0.01", total="warning", discount=True, items_if=("items", "subtotal"), total_if=("total", "subtotal"), no_items=True),
     "worker": Profile("0.02", items="warning"),
-    "item_tax": Profile("0.01", strict=False, base="items", discount=True, items=None),
-    "optional_parts": Profile("0.01", items=None, discount=True),
+    "item_tax": Profile("0.01", strict=False, items_strict=False, base="recompute", discount=True),
+    "optional_parts": Profile("0.01", items=None, discount=True, absent="skip", required=True),
 }
 
 
-def failed(difference: Column, stated: Column, p: Profile, exact: str) -> Column:
+def failed(difference: Column, stated: Column, p: Profile, strict: bool, zero_case: Column) -> Column:
     limit = F.lit(p.tolerance).cast("decimal(18,4)")
-    beyond = (lambda a, b: a > b) if p.strict else (lambda a, b: a >= b)
+    beyond = (lambda a, b: a > b) if strict else (lambda a, b: a >= b)
     if p.measure == "abs":
         return beyond(difference, limit)
-    size = F.greatest(F.abs(stated), F.lit(1).cast(D)) if p.measure == "floor" else F.abs(stated)
-    scaled = beyond(difference.cast("decimal(18,2)"), (limit * size).cast("decimal(28,6)"))
-    return F.when(F.lit(p.measure == "relative") & (stated == 0), difference > F.lit(exact).cast(D)).otherwise(scaled)
+    if p.measure == "floor":
+        return beyond(difference.cast("decimal(18,2)"), (limit * F.greatest(F.abs(stated), F.lit(1).cast(D))).cast("decimal(28,6)"))
+    over = F.when(stated == 0, F.lit(1).cast(D)).otherwise(stated)
+    scaled = (over > 0) & beyond(difference.cast("decimal(18,2)"), (limit * over).cast("decimal(28,6)"))
+    return F.when(F.col("subtotal") == 0, zero_case).otherwise(scaled)
+
+
+def with_line_checks(df: DataFrame, items: DataFrame) -> DataFrame:
+    """``df`` with what its lines give: line_off (largest difference of quantity times price from a line's total),
+    items_calc (sum of quantity times price), tax_calc (of that by the lines' rates), worst_line (least total)."""
+    amount = F.round(F.col("qty") * F.col("unit_price"), 2).cast(D)
+    sums = items.groupBy("invoice_id").agg(F.max(F.abs(amount - F.col("line_total"))).alias("line_off"), F.sum(amount).cast(D).alias("items_calc"), F.sum(amount * F.col("tax_rate")).cast("decimal(28,4)").alias("tax_calc"), F.min("line_total").alias("worst_line"))
+    return df.join(sums, "invoice_id", "left")
 
 
 def validate_arithmetic(df: DataFrame, profile: str | Profile = "decimal") -> DataFrame:
-    """``df`` with items_diff, total_diff, items_ok, total_ok, math_ok, is_valid (no check that counts as an
-    error failed) and issues."""
+    """``df`` with items_diff, total_diff, items_ok, total_ok, lines_ok, math_ok (no check failed), is_valid (none that
+    counts as an error) and issues. Checks of lines and of negative lines need the columns of ``with_line_checks`` and
+    are passed over without them; the recomputing profile needs them."""
     p = PROFILES[profile] if isinstance(profile, str) else profile
-    base = zero("items_total") if p.base == "items" else zero("subtotal")
-    expected = base + zero("tax") - (zero("discount") if p.discount else F.lit(0).cast(D))
-    items_diff, total_diff = F.abs(F.col("items_total") - F.col("subtotal")), F.abs(F.col("total") - expected)
-    items_bad = F.coalesce(failed(items_diff, F.col("subtotal"), p, "0.00"), F.lit(False)) if p.items else F.lit(False)
-    total_bad = F.coalesce(failed(total_diff, F.col("total"), p, "0.01"), F.lit(False)) if p.total else F.lit(False)
-    if p.needs_items:
-        items_bad = items_bad & (F.col("n_items") > 0)
-        total_bad = total_bad & (F.col("n_items") > 0) if p.positive else total_bad
-    if p.positive:
-        items_bad, total_bad = items_bad & (zero("subtotal") > 0), total_bad & (zero("total") > 0)
-    error = (items_bad & F.lit(p.items == "error")) | (total_bad & F.lit(p.total == "error"))
+    no, none = F.lit(False), F.lit(0).cast(D)
+    items, subtotal = zero("items_total"), zero("subtotal") if p.absent == "zero" else F.col("subtotal")
+    total, tax = F.col("total") if p.absent == "skip" else zero("total"), zero("tax")
+    base = subtotal
+    if p.base == "items":
+        base = F.when(items > 0, items).otherwise(zero("subtotal"))
+    elif p.base == "recompute":
+        items, tax = zero("items_calc"), F.coalesce(F.col("tax_calc"), F.lit(0).cast("decimal(28,4)"))
+        base = items
+    expected = base + tax - (zero("discount") if p.discount else none)
+    expected = F.round(expected, 2) if p.base == "recompute" else expected
+    holds = {"lines": F.col("n_items") > 0, "items": items > 0, "subtotal": zero("subtotal") > 0, "total": zero("total") > 0, "tax": F.col("tax").isNotNull()}
+    items_diff, total_diff = F.abs(items - subtotal), F.abs(total - expected)
+
+    def bad(diff: Column, stated: Column, strict: bool, zero_case: Column, needs: tuple[str, ...]) -> Column:
+        out = F.coalesce(failed(diff, stated, p, strict, zero_case), no)
+        for name in needs:
+            out = out & holds[name]
+        return out
+
+    items_bad = bad(items_diff, subtotal, p.items_strict, items_diff > 0, p.items_if) if p.items else no
+    total_bad = bad(total_diff, total, p.strict, total_diff > F.lit("0.01").cast(D), p.total_if) if p.total else no
+    if p.required:
+        total_bad = total_bad | F.col("subtotal").isNull() | F.col("total").isNull()
+    limit = F.lit(p.tolerance).cast("decimal(18,4)")
+    lines_bad = F.coalesce(F.col("line_off") > limit, no) if p.lines and "line_off" in df.columns else no
+    tax_bad = F.abs(tax - zero("tax")) >= limit if p.base == "recompute" else no
+    negative = no
+    if p.amounts:
+        worst = F.col("worst_line") if "worst_line" in df.columns else none
+        negative = (zero("subtotal") < 0) | (zero("total") < 0) | F.coalesce(worst < 0, no)
+    minor = F.coalesce((total_diff > F.lit(p.minor).cast("decimal(18,4)")) & ~total_bad, no) if p.minor else no
+    empty = F.col("n_items") == 0 if p.no_items else no
+    unsure = F.coalesce(F.col("confidence") < p.confidence, no) if p.confidence is not None else no
+    error = lines_bad | tax_bad | negative | (items_bad & F.lit(p.items == "error")) | (total_bad & F.lit(p.total == "error"))
     issue = lambda bad, kind, code, diff: F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(kind).alias("severity"), diff.cast("double").alias("difference")))
-    issues = F.filter(F.array(issue(items_bad, p.items, "SUBTOTAL_MISMATCH", items_diff), issue(total_bad, p.total, "TOTAL_MISMATCH", total_diff)), lambda x: x.isNotNull())
-    return df.withColumns({"items_diff": items_diff, "total_diff": total_diff, "items_ok": ~items_bad, "total_ok": ~total_bad, "math_ok": ~(items_bad | total_bad), "is_valid": ~error, "issues": issues})
+    found = [
+        issue(lines_bad, "error", "LINE_MISMATCH", F.col("line_off") if "line_off" in df.columns else none), issue(items_bad, p.items, "SUBTOTAL_MISMATCH", items_diff), issue(tax_bad, "error", "TAX_MISMATCH", F.abs(tax - zero("tax"))),
+        issue(total_bad, p.total, "TOTAL_MISMATCH", total_diff), issue(negative, "error", "NEGATIVE_AMOUNT", none), issue(minor, "warning", "MINOR_DIFFERENCE", total_diff), issue(empty, "warning", "NO_ITEMS", none), issue(unsure, "warning", "LOW_CONFIDENCE", none),
+    ]
+    issues = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return df.withColumns({"items_diff": items_diff, "total_diff": total_diff, "items_ok": ~items_bad, "total_ok": ~total_bad, "lines_ok": ~lines_bad, "math_ok": ~(items_bad | total_bad | lines_bad | tax_bad), "is_valid": ~error, "issues": issues})
+
+
+def floor_confidences(df: DataFrame) -> DataFrame:
+    """Field confidences of a validated invoice: 0.95 for a sum that holds, else 0.5; overall 0.90, else 0.65."""
+    field = lambda ok: F.when(F.col(ok), 0.95).otherwise(0.5)
+    return df.withColumns({"subtotal_confidence": field("items_ok"), "total_confidence": field("total_ok"), "overall_confidence": F.when(F.col("math_ok"), 0.90).otherwise(0.65)})
 
 
 def correct_arithmetic(df: DataFrame, rate: str = "0.10") -> DataFrame:
@@ -112,7 +171,8 @@ def validate_required(df: DataFrame, columns: list[str], falsy: bool = True) ->
         empty = F.col(c).cast("string").isin("", "0", "0.0", "0.00") if falsy else F.lit(False)
         return F.col(c).isNull() | F.coalesce(empty, F.lit(False))
 
-    return df.withColumn("missing", F.filter(F.array(*(F.when(gone(c), F.lit(c)) for c in columns)), lambda x: x.isNotNull()))
+    names = F.array(*(F.when(gone(c), F.lit(c)) for c in columns)) if columns else F.array().cast("array<string>")
+    return df.withColumn("missing", F.filter(names, lambda x: x.isNotNull()))
 
 
 def validate_types(df: DataFrame, column: str, paths: dict[str, str]) -> DataFrame:
@@ -147,14 +207,16 @@ def validate_statistical(df: DataFrame, value: str = "total", by: str = "vendor"
     return df.join(sums, by).withColumn("z", z).withColumn("outlier", F.coalesce(F.abs("z") > limit, F.lit(False))).drop("__n", "__s", "__q")
 
 
-def validate_document(df: DataFrame, as_of: str, profile: str = "decimal", low: float = 0.85) -> DataFrame:
-    """(invoice_id, field, issue, severity) of every finding of the checks above."""
-    df = validate_business(validate_dates(validate_arithmetic(df, profile), as_of))
+def validate_document(df: DataFrame, as_of: str, profile: str = "decimal", low: float = 0.85, required: tuple[str, ...] = (), numbers: tuple[str, ...] = ()) -> DataFrame:
+    """(invoice_id, field, issue, severity) of every finding of the checks above: sums, dates, business rules, presence
+    of the ``required`` columns and whether the ``numbers`` can be read as such."""
+    df = validate_required(validate_business(validate_dates(validate_arithmetic(df, profile), as_of)), list(required), falsy=False)
     found = lambda bad, field, issue, severity: F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(issue).alias("issue"), F.lit(severity).alias("severity")))
     issues = F.array(
         found(~F.col("items_ok"), "subtotal", "SUBTOTAL_MISMATCH", "error"), found(~F.col("total_ok"), "total", "TOTAL_MISMATCH", "error"), found(F.col("due_before_issue"), "due_date", "DUE_BEFORE_ISSUE", "error"),
         found(F.col("in_future"), "issue_date", "FUTURE_DATE", "warning"), found(F.col("too_old"), "issue_date", "TOO_OLD", "warning"), found(F.col("negative"), "amount", "NEGATIVE", "error"),
         found(F.col("high_tax"), "tax", "HIGH_TAX", "warning"), found(F.col("n_items") == 0, "line_items", "NO_ITEMS", "warning"), found(F.col("confidence") < low, "confidence", "LOW_CONFIDENCE", "warning"),
+        *(found(F.array_contains("missing", c), c, "MISSING", "error") for c in required), *(found(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull(), c, "NOT_A_NUMBER", "error") for c in numbers),
     )
     return df.select("invoice_id", F.inline(F.filter(issues, lambda x: x.isNotNull())))
 

@@ -82,7 +82,7 @@ def _(spark, d):
 @query("w6_quadrants", r"""
 with p as (select *, max(x + w) over (partition by invoice_id) pw, max(y + h) over (partition by invoice_id) ph, x + w / 2.0::double cx, y + h / 2.0::double cy, regexp_matches(text, '^[$€£¥]?\s*-?[\d.,]+%?$') num from regions),
 q as (select *, min(y) filter (num) over (partition by invoice_id) top, max(y + h) filter (num) over (partition by invoice_id) low from p)
-select invoice_id, region_id, case when cx < pw * 0.5::double and cy < ph * 0.3::double then 'vendor' when cx > pw * 0.5::double and cy < ph * 0.3::double or regexp_matches(lower(text), 'invoice|bill to|client|customer|date|due') then 'client' when cy between top and low then 'line_items'
+select invoice_id, region_id, case when cx < pw * 0.5::double and cy < ph * 0.3::double then 'vendor' when cx > pw * 0.5::double or regexp_matches(lower(text), 'invoice|bill to|client|customer|date|due') then 'client' when cy between top and low then 'line_items'
  when regexp_matches(lower(text), 'tax|vat|gst|discount|subtotal') then 'tax' when cx > pw * 0.6::double and cy > ph * 0.7::double or contains(lower(text), 'total') then 'totals' end part from q""")
 def _(spark, d):
     return L.quadrants(W.regions(spark, d)).select("invoice_id", "region_id", "part")

@@ -23,11 +23,11 @@ TEXT = {
     "contains": "(contains(lower(trim(p_{0})), lower(trim(t_{0}))) or contains(lower(trim(t_{0})), lower(trim(p_{0}))))",
     "tokens": "len(list_intersect(list_distinct(string_split(lower(trim(t_{0})), ' ')), string_split(lower(trim(p_{0})), ' '))) / len(list_distinct(string_split(lower(trim(t_{0})), ' '))) > 0.7",
 }
-NUMBER = {True: "case when t_total = 0 then p_total = 0 else cast(abs(t_total - p_total) as double) < {0} * abs(cast(t_total as double)) end", False: "cast(abs(t_total - p_total) as double) <= {0}"}
+NUMBER = {True: "case when t_total = 0 then p_total = 0 else cast(abs(t_total - p_total) as double) < {0} * abs(cast(t_total as double)) end", False: "cast(abs(t_total - p_total) as double) < {0}", "most": "cast(abs(t_total - p_total) as double) <= {0}"}
 #: For each profile: text rule, number rule (limit, relative), both missing agree, fields without truth count.
 RULES = {
-    "truth_keys": ("folded", 1e-4, True, False, False), "contains": ("contains", 0.01, False, False, True), "blocks": ("equal", 0.01, False, False, True), "regions": ("tokens", 0.01, False, False, True), "three_fields": ("equal", 0.01, False, False, True),
-    "paths_exact": ("equal", 0.0, False, True, True), "paths_string": ("folded", 0.0, False, True, True), "four_fields": ("equal", 0.01, True, False, True), "contained_in": ("inside", 0.01, False, False, True),
+    "truth_keys": ("folded", 1e-4, True, False, False), "contains": ("contains", 0.01, "most", False, True), "blocks": ("folded", 0.01, False, False, True), "regions": ("tokens", 0.01, False, False, True), "three_fields": ("equal", 0.01, "most", False, True),
+    "paths_exact": ("folded", 0.0, "most", True, True), "paths_string": ("folded", 0.0, "most", True, True), "four_fields": ("equal", 0.01, True, False, True), "contained_in": ("inside", 0.01, False, False, True),
 }
 
 

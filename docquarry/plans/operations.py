@@ -117,7 +117,7 @@ def _(spark, d):
 @query("j10_partner_referrals", "select nation, cast(share as double) share, count(*) n from invoices join (values ('nation_1', 0.15), ('nation_3', 0.2)) t(code, share) on lower(nation) = code group by 1, 2")
 def _(spark, d):
     p = partners(spark).withColumn("code", F.lower("code"))
-    return W.invoices(spark, d).join(F.broadcast(p), F.lower("nation") == F.col("code")).groupBy("nation", F.col("revenue_share").cast("double").alias("share")).agg(F.count("*").alias("n"))
+    return W.invoices(spark, d).join(p, F.lower("nation") == F.col("code")).groupBy("nation", F.col("revenue_share").cast("double").alias("share")).agg(F.count("*").alias("n"))
 
 
 COHORTS = """own as (select client_id, min(date_trunc('month', issue_date)) first, max(date_trunc('month', issue_date)) + interval 1 month after_ from invoices group by 1),
@@ -271,7 +271,7 @@ def _(spark, d):
 
 @query("j16_upgrade_paths", f"with {SUBS}, t as (select * from (values ('starter', 0), ('growth', 1), ('professional', 2), ('enterprise', 3)) t(tier, rank)) select c_custkey, a.tier, b.tier next from subs join t a using (tier) join t b on b.rank > a.rank")
 def _(spark, d):
-    return subscriptions(spark, d).select("c_custkey", "tier").join(F.broadcast(B.upgrades(tiers(spark))), "tier")
+    return subscriptions(spark, d).select("c_custkey", "tier").join(B.upgrades(tiers(spark)), "tier")
 
 
 @query("j11_subscription_changes", "select invoice_id, client_id, previous, case when previous is null then 'new' when previous = priority then 'same' else 'changed' end change from (select *, lag(priority) over (partition by client_id order by issue_date, invoice_id) previous from invoices)")

@@ -20,7 +20,7 @@ LABELS = """labels_ as (select invoice_id, case invoice_id % 6 when 0 then '$' |
  case invoice_id % 6 % 3 when 0 then strftime(issue_date, '%Y-%m-%d') when 1 then strftime(issue_date, '%m/%d/%Y') else strftime(issue_date, '%d-%m-%Y') end as day, currency, grand_total, tax, subtotal from invoices where n_items > 0)"""
 
 
-@query("f1_clean_text", r"select doc_id, trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[\x00-\x1f\x7f]', '', 'g')) text from documents")
+@query("f1_clean_text", r"select doc_id, trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[\x00-\x1f\x{7f}-\x{9f}]', '', 'g')) text from documents")
 def _(spark, d):
     return W.table(spark, d, "documents").select("doc_id", S.clean_text(F.col("text")).alias("text"))
 

@@ -8,33 +8,47 @@ from docquarry.registry import query
 
 SUMS = "coalesce(subtotal, 0) + coalesce(tax, 0)"
 FULL = f"{SUMS} - coalesce(discount, 0)"
-ITEMS = "coalesce(items_total, 0) + coalesce(tax, 0)"
-#: For each profile: (items check failed, total check failed, which of them are errors).
+#: What the lines give, in SQL.
+LINES = """lines_ as (select invoice_id, max(abs(a - line_total)) line_off, cast(sum(a) as decimal(18,2)) items_calc, cast(sum(a * tax_rate) as decimal(28,4)) tax_calc, min(line_total) worst_line
+ from (select *, cast(round(qty * unit_price, 2) as decimal(18,2)) a from line_items) group by 1), x as (select * from declared left join lines_ using (invoice_id))"""
+ITEMS, STATED, TOTAL = "coalesce(items_total, 0)", "coalesce(subtotal, 0)", "coalesce(total, 0)"
+#: For each profile, written out from the formats: lines, items and total check failed, another error, number of
+#: warnings that are no failed check, and which failed checks (i, t) are errors.
 CHECKS = {
-    "etl": ("n_items > 0 and abs(items_total - subtotal) > 0.01", f"abs(total - ({SUMS})) > 0.01", "it"),
-    "decimal": ("abs(items_total - subtotal) > 0.01", f"abs(total - ({FULL})) > 0.01", "it"),
-    "guarded": ("n_items > 0 and subtotal > 0 and abs(items_total - subtotal) > 0.01", f"n_items > 0 and total > 0 and abs(total - ({SUMS})) > 0.01", "it"),
-    "model": ("abs(items_total - subtotal) > 0.02", "false", "i"),
-    "quadrant": ("false", f"abs(total - ({FULL})) > 0.01", "t"),
-    "override": ("false", f"abs(total - ({ITEMS})) >= 0.01", "t"),
-    "relative": ("case when subtotal = 0 then items_total <> 0 else abs(items_total - subtotal) > 0.02 * abs(subtotal) end", f"case when total = 0 then abs(total - ({SUMS})) > 0.01 else abs(total - ({SUMS})) > 0.02 * abs(total) end", "it"),
-    "half_unit": ("abs(items_total - subtotal) > 0.5", f"abs(total - ({SUMS})) > 0.5", "it"),
-    "relative_floor": ("abs(items_total - subtotal) > 0.02 * greatest(abs(subtotal), 1)", f"abs(total - ({SUMS})) > 0.02 * greatest(abs(total), 1)", "it"),
-    "eval": ("case when subtotal = 0 then items_total <> 0 else abs(items_total - subtotal) >= 0.02 * abs(subtotal) end", f"case when total = 0 then abs(total - ({SUMS})) > 0.01 else abs(total - ({SUMS})) >= 0.02 * abs(total) end", "t"),
-    "receipt": ("abs(items_total - subtotal) > 0.01", f"abs(total - ({SUMS})) > 0.01", "i"),
-    "worker": ("abs(items_total - subtotal) > 0.02", f"abs(total - ({SUMS})) > 0.02", "t"),
-    "item_tax": ("false", f"abs(total - ({ITEMS} - coalesce(discount, 0))) >= 0.01", "t"),
-    "optional_parts": ("false", f"abs(total - ({FULL})) > 0.01", "t"),
+    "etl": ("false", "n_items > 0 and abs(items_total - subtotal) > 0.01", f"abs({TOTAL} - (subtotal + coalesce(tax, 0))) > 0.01", "false", f"coalesce(cast(abs({TOTAL} - (subtotal + coalesce(tax, 0))) > 0.005 and not abs({TOTAL} - (subtotal + coalesce(tax, 0))) > 0.01 as int), 0)", "it"),
+    "decimal": ("line_off > 0.01", f"abs({ITEMS} - {STATED}) > 0.01", f"abs({TOTAL} - ({FULL})) > 0.01", "false", "0", "it"),
+    "guarded": ("false", "n_items > 0 and subtotal > 0 and abs(items_total - subtotal) > 0.01", f"n_items > 0 and total > 0 and abs(total - ({SUMS})) > 0.01", "false", "0", "it"),
+    "model": ("false", f"abs({ITEMS} - {STATED}) > 0.02", "false", "subtotal < 0 or total < 0 or worst_line < 0", "cast(n_items = 0 as int) + cast(confidence < 0.7 as int)", "i"),
+    "quadrant": ("line_off > 0.01", "false", f"abs({TOTAL} - ({FULL})) > 0.01", "false", "0", "t"),
+    "override": ("false", "false", f"not abs(case when items_total > 0 then items_total else {STATED} end + coalesce(tax, 0) - coalesce(discount, 0) - {TOTAL}) < 0.01", "false", "0", "t"),
+    "relative": ("false", f"case when subtotal = 0 then {ITEMS} <> 0 else abs({ITEMS} - subtotal) > 0.02 * subtotal and subtotal > 0 end", "case when subtotal = 0 then abs(coalesce(tax, 0) - total) > 0.01 when total = 0 then abs(subtotal + coalesce(tax, 0)) > 0.02 else abs(subtotal + coalesce(tax, 0) - total) > 0.02 * total and total > 0 end", "false", "0", "it"),
+    "half_unit": ("false", f"abs({ITEMS} - subtotal) > 0.5", "abs(subtotal + tax - total) > 0.5", "false", "0", "it"),
+    "relative_floor": ("false", f"abs({ITEMS} - {STATED}) > 0.02 * greatest(abs({STATED}), 1)", f"abs({TOTAL} - ({SUMS})) > 0.02 * greatest(abs({TOTAL}), 1)", "false", "0", "it"),
+    "eval": ("false", f"n_items > 0 and abs(items_total - {STATED}) > 0.02 * greatest(abs({STATED}), 1)", f"case when {TOTAL} = 0 then not abs({FULL}) < 0.02 else not abs({TOTAL} - ({FULL})) < 0.02 * greatest(abs(total), 1) end", "false", "0", "t"),
+    "receipt": ("false", "items_total > 0 and subtotal > 0 and abs(items_total - subtotal) > 0.01", f"total > 0 and subtotal > 0 and abs(total - ({FULL})) > 0.01", "false", "cast(n_items = 0 as int)", "i"),
+    "worker": ("false", f"abs({ITEMS} - {STATED}) > 0.02", f"abs({TOTAL} - ({SUMS})) > 0.02", "false", "0", "t"),
+    "item_tax": ("false", f"not abs(coalesce(items_calc, 0) - {STATED}) < 0.01", f"not abs(round(coalesce(items_calc, 0) + coalesce(tax_calc, 0) - coalesce(discount, 0), 2) - {TOTAL}) < 0.01", "not abs(coalesce(tax_calc, 0) - coalesce(tax, 0)) < 0.01", "0", "it"),
+    "optional_parts": ("false", "false", f"subtotal is null or total is null or abs(total - ({FULL})) > 0.01", "false", "0", "t"),
 }
-for _name, (_items, _total, _errors) in CHECKS.items():
-    _error = " or ".join(x for x, k in (("i", "i"), ("t", "t")) if k in _errors)
+for _name, (_lines, _items, _total, _other, _warnings, _errors) in CHECKS.items():
+    _error = " or ".join(["l", "o"] + [k for k in "it" if k in _errors])
+    _math = "not (i or t or l or o)" if _name == "item_tax" else "not (i or t or l)"
 
     @query(f"v1_arithmetic_{_name}", f"""
-select invoice_id, not i items_ok, not t total_ok, not (i or t) math_ok, not ({_error}) is_valid, cast(i as bigint) + cast(t as bigint) n_issues
-from (select *, coalesce({_items}, false) i, coalesce({_total}, false) t from declared)""")
+with {LINES} select invoice_id, not l lines_ok, not i items_ok, not t total_ok, {_math} math_ok, not ({_error}) is_valid, cast(l as bigint) + cast(i as bigint) + cast(t as bigint) + cast(o as bigint) + w n_issues
+from (select *, coalesce({_lines}, false) l, coalesce({_items}, false) i, coalesce({_total}, false) t, coalesce({_other}, false) o, {_warnings} w from x)""")
     def _(spark, d, name=_name):
-        out = V.validate_arithmetic(W.declared(spark, d), name)
-        return out.select("invoice_id", "items_ok", "total_ok", "math_ok", "is_valid", F.size("issues").cast("long").alias("n_issues"))
+        p = V.PROFILES[name]
+        df = W.declared(spark, d)
+        df = V.with_line_checks(df, W.line_items(spark, d)) if p.lines or p.amounts or p.base == "recompute" else df
+        out = V.validate_arithmetic(df, name)
+        return out.select("invoice_id", "lines_ok", "items_ok", "total_ok", "math_ok", "is_valid", F.size("issues").cast("long").alias("n_issues"))
+
+
+@query("v1_field_confidences", f"select invoice_id, case when i then 0.5 else 0.95 end::double subtotal_confidence, case when t then 0.5 else 0.95 end::double total_confidence, case when i or t then 0.65 else 0.90 end::double overall_confidence from (select invoice_id, {CHECKS['relative_floor'][1]} i, {CHECKS['relative_floor'][2]} t from declared)")
+def _(spark, d):
+    out = V.floor_confidences(V.validate_arithmetic(W.declared(spark, d), "relative_floor"))
+    return out.select("invoice_id", "subtotal_confidence", "total_confidence", "overall_confidence")
 
 
 @query("v1_pass_rate_by_region", f"""
@@ -102,9 +116,12 @@ union all select invoice_id, 'issue_date', 'TOO_OLD', 'warning' from x where dat
 union all select invoice_id, 'amount', 'NEGATIVE', 'error' from x where coalesce(subtotal, 0) < 0 or coalesce(tax, 0) < 0 or coalesce(total, 0) < 0
 union all select invoice_id, 'tax', 'HIGH_TAX', 'warning' from x where case when subtotal > 0 then cast(tax as double) / cast(subtotal as double) end > 0.3
 union all select invoice_id, 'line_items', 'NO_ITEMS', 'warning' from x where n_items = 0
-union all select invoice_id, 'confidence', 'LOW_CONFIDENCE', 'warning' from x where confidence < 0.85""")
+union all select invoice_id, 'confidence', 'LOW_CONFIDENCE', 'warning' from x where confidence < 0.85
+union all select invoice_id, 'vendor', 'MISSING', 'error' from x where vendor is null
+union all select invoice_id, 'tax', 'MISSING', 'error' from x where tax is null
+union all select invoice_id, 'client', 'NOT_A_NUMBER', 'error' from x where client is not null and try_cast(client as double) is null""")
 def _(spark, d):
-    return V.validate_document(W.declared(spark, d), "1998-01-01")
+    return V.validate_document(W.declared(spark, d), "1998-01-01", required=("vendor", "tax"), numbers=("client", "client_id"))
 
 
 @query("p15_needs_review", f"""

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a temporary folder is set only where there is none."""
+    """A fresh path under spark.checkpoint.dir; in a local session without one a temporary folder is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         where = spark.sparkContext.getCheckpointDir()
     return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"

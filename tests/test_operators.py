@@ -1,10 +1,13 @@
 """Confidence, layout, extraction, metrics and plans on small inputs."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import scalars as S
 from docquarry.operators import confidence as C
+from docquarry.operators import datasets as DS
 from docquarry.operators import evaluate as E
 from docquarry.operators import extract as X
 from docquarry.operators import layout as L
@@ -119,3 +122,33 @@ def test_nested_loop_free_layout(spark, data):
 
     for name in ("j4_assign_tokens", "j5_near_numbers"):
         assert "NestedLoop" not in QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString(), name
+
+
+@pytest.mark.parametrize(("profile", "ok"), [("blocks", False), ("regions", False), ("contained_in", False), ("three_fields", True)])
+def test_a_cent_off_is_judged_as_the_measure_says(spark, profile, ok):
+    df = spark.createDataFrame([("Acme", " acme ", "USD", "USD", "2024-01-01", "2024-01-01", Decimal("10.00"), Decimal("10.01"))], "t_vendor string, p_vendor string, t_currency string, p_currency string, t_date string, p_date string, t_total decimal(18,2), p_total decimal(18,2)")
+    r = E.field_accuracy(df, profile).first()
+    assert r["total_ok"] is ok
+    assert E.field_accuracy(df, "paths_exact").first()["vendor_ok"] is True
+
+
+def test_the_whole_right_half_is_the_client(spark):
+    rows = [(1, 1, "left", 0, 0, 100, 20), (1, 2, "right", 700, 500, 100, 20), (1, 3, "12.00", 100, 400, 50, 20), (1, 4, "13.00", 100, 900, 50, 20)]
+    df = spark.createDataFrame(rows, "invoice_id long, region_id int, text string, x int, y int, w int, h int")
+    assert {r["region_id"]: r["part"] for r in L.quadrants(df).collect()} == {1: "vendor", 2: "client", 3: "line_items", 4: "line_items"}
+
+
+def test_split_and_sample_against_plain_python(spark):
+    import zlib
+
+    keys = list(range(500)) * 2
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, pos long")
+    place = lambda x: zlib.crc32(str(x).encode()) % 100
+    want = {k: "train" if place(k) < 80 else "validation" if place(k) < 90 else "test" for k in keys}
+    assert {(r["k"], r["split"]) for r in DS.split(df, "k", {"train": 80, "validation": 10, "test": 10}).collect()} == set(want.items())
+    rows = [(k % 7, k) for k in range(60)]
+    by = {}
+    for a, b in rows:
+        by.setdefault(a, []).append((zlib.crc32(f"{a}|{b}".encode()), b))
+    want = {(a, b) for a, x in by.items() for _, b in sorted(x)[:2]}
+    assert {tuple(r) for r in DS.sample_each(spark.createDataFrame(rows, "k long, pos long"), "k", 2, "k", "pos").collect()} == want
