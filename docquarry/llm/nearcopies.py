@@ -6,7 +6,7 @@ whole texts alone; what differs is where candidates come from, and what is linke
 only, so each round proposes one partner of a class:
 
 1. SimHash fingerprints of the sets, linked by the generalised pigeonhole of ``neardup``: a class and the
-   lowest of its fingerprint group. This joins exact and close copies, but a pair of similarity 0.8 differs in
+   lowest that its fingerprint is linked to. This joins exact and close copies, but a pair of similarity 0.8 differs in
    about 10 of 64 bits, where random pairs begin to pass too, so it can't be complete.
 2. Prefixes. Shingles stand in one order: those that a bounded sample shows to be frequent last, else by hash.
    Of sets x, y that are similar enough at most 0.25 |x| shingles of the union are not shared, so both hold
@@ -192,10 +192,11 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def by_fingerprint(classes: DataFrame) -> DataFrame:
-    """(a, b): each set and the lowest of its SimHash group."""
+    """(a, b): each set and the lowest that its SimHash fingerprint is linked to."""
     prints = materialize(classes.groupBy(F.col("fp").alias("__fp")).agg(F.min("set").alias("__rep")), "fingerprints")
-    groups = connected_components(neardup.links(prints)).select(F.col("node").alias("__rep"), "component")
-    low = prints.join(groups, "__rep", "left").select(F.col("__fp").alias("fp"), F.coalesce("component", "__rep").alias("b"))
+    both = neardup.links(prints).select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    near = both.groupBy(F.col("a").alias("__rep")).agg(F.min("b").alias("near"))
+    low = prints.join(near, "__rep", "left").select(F.col("__fp").alias("fp"), F.least("__rep", "near").alias("b"))
     return classes.select("fp", F.col("set").alias("a")).join(low, "fp").where("a <> b").select("a", "b")
 
 
@@ -206,11 +207,10 @@ def meeting(classes: DataFrame) -> DataFrame:
     return materialize(rows.join(shared, "shingle", "left_semi"), "meeting")
 
 
-def by_prefix(rows: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each set and the partner, of another component, that most of its shingles name as their lowest
-    in a seeded order."""
-    low = rows.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("set", F.lit(seed)).alias("o"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))).alias("low"))
-    met = rows.join(low, "shingle").where((F.col("component") != F.col("low.c")) & fits("n", "low.m"))
+def by_prefix(rows: DataFrame) -> DataFrame:
+    """(a, b): each set and the partner that most of its shingles name as their lowest in hash order."""
+    low = rows.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("set").alias("o"), F.col("set").alias("b"), F.col("n").alias("m"))).alias("low"))
+    met = rows.join(low, "shingle").where((F.col("set") != F.col("low.b")) & fits("n", "low.m"))
     named = met.groupBy(F.col("set").alias("a"), F.col("low.b").alias("b")).agg(F.count("*").alias("k"))
     return named.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
 
@@ -300,11 +300,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     one = lambda c: F.first(c).alias(c)
     classes = materialize(prints.groupBy("set").agg(F.min("doc_id").alias("rep"), *map(one, ("n", "fp", "prefix", "sketch"))), "classes")
     rows = meeting(classes).withColumn("component", F.col("set"))
-    links = verified(by_fingerprint(classes).unionAll(by_prefix(rows, 1)), docs, classes)
-    rows = joined(rows, links)
-    links = links.unionAll(verified(by_prefix(rows, 2), docs, classes))
-    rows = joined(rows, links)
-    links = links.unionAll(rest(rows, docs, classes))
+    links = verified(by_fingerprint(classes).unionAll(by_prefix(rows)), docs, classes)
+    links = links.unionAll(rest(joined(rows, links), docs, classes))
     parts = connected_components(links).select(F.col("node").alias("set"), "component")
     whole = prints.select("doc_id", "text_hash", "set").join(parts, "set", "left")
     return whole.withColumn("component", F.coalesce("component", "set"))
