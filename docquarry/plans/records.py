@@ -235,11 +235,10 @@ def _(spark, d):
     return W.invoices(spark, d).groupBy("region").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "region")
 
 
-@query("u1_merge", "select doc_id, 'a' origin from documents where doc_id % 2 = 0 union all select doc_id, 'b' from documents where doc_id % 3 = 0")
+@query("u1_merge", "select doc_id, 'documents' origin from documents union all select doc_id, 'labels' from labels")
 def _(spark, d):
-    docs = W.table(spark, d, "documents").select("doc_id")
-    part = lambda k, name: docs.where(F.col("doc_id") % k == 0).withColumn("origin", F.lit(name))
-    return part(2, "a").unionByName(part(3, "b"))
+    part = lambda name: W.table(spark, d, name).select("doc_id", F.lit(name).alias("origin"))
+    return part("documents").unionByName(part("labels"))
 
 
 @query("u2_key_differences", "select p.invoice_id, concat_ws(',', case when p.currency is distinct from t.currency then 'currency' end, case when p.vendor is distinct from t.vendor then 'vendor' end) changed from predictions p join (select invoice_id, vendor, currency from invoices) t using (invoice_id)")
@@ -257,16 +256,14 @@ def _(spark, d):
     return both.select("invoice_id", F.col("pos").cast("long").alias("pos"), E.jaccard(F.col("t_description"), F.col("p_description")).alias("jaccard"))
 
 
-@query("u4_run_intersect", "select doc_id from documents where doc_id % 2 = 0 intersect select doc_id from documents where doc_id % 3 = 0")
+@query("u4_run_intersect", "select doc_id from documents intersect select doc_id from labels")
 def _(spark, d):
-    docs = W.table(spark, d, "documents").select("doc_id")
-    return docs.where("doc_id % 2 = 0").intersect(docs.where("doc_id % 3 = 0"))
+    return W.table(spark, d, "documents").select("doc_id").intersect(W.table(spark, d, "labels").select("doc_id"))
 
 
-@query("u4_run_except", "select doc_id from documents where doc_id % 2 = 0 and doc_id % 3 <> 0")
+@query("u4_run_except", "select doc_id from documents except all select doc_id from labels")
 def _(spark, d):
-    docs = W.table(spark, d, "documents").select("doc_id")
-    return docs.where("doc_id % 2 = 0").exceptAll(docs.where("doc_id % 3 = 0"))
+    return W.table(spark, d, "documents").select("doc_id").exceptAll(W.table(spark, d, "labels").select("doc_id"))
 
 
 # -------------------------------------------------------------------------------------- training sets

@@ -70,11 +70,11 @@ def _(spark, d):
     return out[0].unionAll(out[1])
 
 
-@query("s16_manifest", "select invoice_id, truth from (select invoice_id, vendor truth from invoices where invoice_id % 100 < 3 and vendor is not null) where invoice_id % 100 < 2")
+@query("s16_manifest", "select invoice_id, vendor truth from invoices where vendor is not null")
 def _(spark, d):
-    inv = W.invoices(spark, d).where("invoice_id % 100 < 3")
+    inv = W.invoices(spark, d)
     name = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"), F.lit(".json"))
-    truth = inv.where("invoice_id % 100 < 2 and vendor is not null").select(F.concat(F.lit("x/"), name("invoice_id")).alias("path"), F.col("vendor").cast("binary").alias("content"))
+    truth = inv.where("vendor is not null").select(F.concat(F.lit("x/"), name("invoice_id")).alias("path"), F.col("vendor").cast("binary").alias("content"))
     found, _ = S.manifest(inv.select("invoice_id", name("invoice_id").alias("truth_path")), truth)
     return found.select("invoice_id", "truth")
 
