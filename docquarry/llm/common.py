@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that a task turns into stars at a time.
+TASK_EDGES = 1 << 18
+
 
 def fold(mod: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``mod``; null for a null id."""
@@ -61,21 +66,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links between ``u`` and ``v`` as stars: each node that is linked, and the lowest it reaches."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, low = ends[: len(u)], ends[len(u) :], np.arange(len(nodes))
+    while True:
+        new, least = low.copy(), np.minimum(low[a], low[b])
+        np.minimum.at(new, low[a], least)
+        np.minimum.at(new, low[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    at = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[at], nodes[low[at]]
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) as stars, ``TASK_EDGES`` at a time."""
+
+    def flush() -> pa.RecordBatch:
+        found = contracted(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in "uv"))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= TASK_EDGES:
+            yield flush()
+            held, n = [], 0
+    if n:
+        yield flush()
+
+
+def settled(edge: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars: no u twice, and none that is a v too."""
+    ends = edge.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(edge.select("v", F.lit(0), F.lit(1)))
+    node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not node.agg(F.max(F.expr("up > 1 OR up = 1 AND down = 1"))).first()[0]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long); component is the smallest
     node that links reach.
 
-    Alternating large-star and small-star rounds: each is two aggregations and two equi-joins on
+    Tasks of at most about ``TASK_EDGES`` edges each first turn their own into stars. Alternating large-star and
+    small-star rounds follow until all edges are stars: each is two aggregations and two equi-joins on
     plain edge rows, so a hub of any degree is pre-aggregated or split by the skew join and never
     gathered in one task. Self-loops and null ends are ignored; an empty input gives no rows.
     """
-    edge = (
-        edges.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+    edge = materialize(
+        edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges"
     )
-    edge, seen = materialize(edge, "edges"), None
+    tasks = max(1, -(-edge.count() // TASK_EDGES))
+    edge = materialize(edge.coalesce(tasks).mapInArrow(stars, "u long, v long"), "edges")
     for _ in range(max_rounds):
+        if settled(edge):
+            break
         both = edge.unionAll(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -88,10 +137,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         edge = materialize(small, "edges")
-        state = edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edge.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

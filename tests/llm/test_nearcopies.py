@@ -55,3 +55,18 @@ def test_wider_distances_are_complete(spark, distance):
     part = brute.components(list(range(len(prints))), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= distance)
     got = dict(map(tuple, common.connected_components(neardup.links(df, distance)).collect()))
     assert [got.get(i, i) for i in range(len(prints))] == part
+
+
+@pytest.mark.parametrize("task", [4, 50, 1 << 18])
+def test_components_of_chains_hubs_and_repeats(spark, task, monkeypatch):
+    monkeypatch.setattr(common, "TASK_EDGES", task)
+    rng = np.random.default_rng(9)
+    names = [int(x) for x in rng.permutation(400)]
+    edges = [(names[i], names[i + 1]) for i in range(60)] + [(names[70], names[i]) for i in range(71, 200)] + [(names[i], names[j]) for i, j in rng.integers(200, 400, (90, 2))]
+    edges = [edges[i] for i in rng.permutation(len(edges))] + edges[:20] + [(5, 5), (None, 3)]
+    linked = {frozenset(e) for e in edges if None not in e}
+    nodes = sorted({x for e in linked if len(e) > 1 for x in e})
+    part = brute.components(nodes, lambda i, j: frozenset((nodes[i], nodes[j])) in linked)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    assert dict(map(tuple, common.connected_components(df).collect())) == dict(zip(nodes, part, strict=True))
+    assert common.connected_components(df.where("1 = 0")).count() == 0
