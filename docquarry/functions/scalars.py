@@ -181,7 +181,7 @@ def is_table_region(c: Column) -> Column:
 
 #: One-argument functions that ``register`` offers to SQL, as text expressions.
 SQL_FUNCTIONS = {
-    "dq_clean_text": "trim(regexp_replace(regexp_replace(x, '\\\\s+', ' '), '[\\\\x00-\\\\x1f\\\\x7f]', ''))",
+    "dq_clean_text": "trim(regexp_replace(regexp_replace(x, '\\\\s+', ' '), '[\\\\x00-\\\\x1f\\\\x7f-\\\\x9f]', ''))",
     "dq_parse_number": "coalesce(try_cast(regexp_replace(x, '[^\\\\d.]', '') as double), 0d)",
     "dq_safe_float": "try_cast(regexp_replace(x, '[,$]', '') as double)",
 }

@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def place(key: Column) -> Column:
+    """The first 32 bits of the MD5 of the key as text; any SQL engine gives the same number."""
+    return F.conv(F.left(F.md5(key.cast("string").cast("binary")), F.lit(8)), 16, 10).cast("long")
+
+
 def bucket(key: Column, n: int) -> Column:
     """A place in 0..n-1 that depends on the key alone, so that it holds when data grow."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+    return place(key) % n
 
 
 def split(df: DataFrame, key: str, shares: dict[str, int]) -> DataFrame:
     """``split`` by shares of 100 of the hashed key."""
-    place, upto, out = bucket(F.col(key), 100), 0, None
+    at, upto, out = bucket(F.col(key), 100), 0, None
     for name, share in shares.items():
         upto += share
-        out = F.when(place < upto, name) if out is None else out.when(place < upto, name)
+        out = F.when(at < upto, name) if out is None else out.when(at < upto, name)
     return df.withColumn("split", out)
 
 
@@ -27,8 +32,8 @@ def field_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, kind, prompt, answer): a question for each field that has a value; wording by hash of key and field."""
     rows = F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("answer")) for c in columns))
     out = df.select(key, F.inline(rows)).where("answer IS NOT NULL")
-    place = bucket(F.concat_ws("|", F.col(key).cast("string"), "kind"), len(TEMPLATES)).cast("int")
-    template = F.element_at(F.array(*(F.lit(t) for t in TEMPLATES)), place + 1)
+    at = bucket(F.concat_ws("|", F.col(key).cast("string"), "kind"), len(TEMPLATES)).cast("int")
+    template = F.element_at(F.array(*(F.lit(t) for t in TEMPLATES)), at + 1)
     return out.select(key, "kind", F.replace(template, F.lit("{0}"), F.replace("kind", F.lit("_"), F.lit(" "))).alias("prompt"), "answer")
 
 
@@ -65,7 +70,7 @@ def validate_pairs(df: DataFrame, key: str = "conv_id") -> DataFrame:
 
 def sample_each(df: DataFrame, key: str, n: int, *order: str) -> DataFrame:
     """At most n rows of each key, by hash order."""
-    w = Window.partitionBy(key).orderBy(F.crc32(F.concat_ws("|", *(F.col(c).cast("string") for c in order)).cast("binary")), *order)
+    w = Window.partitionBy(key).orderBy(place(F.concat_ws("|", *(F.col(c).cast("string") for c in order))), *order)
     return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
 
 

@@ -92,6 +92,15 @@ def field_accuracy(df: DataFrame, profile: str | FieldRule) -> DataFrame:
     return df.withColumn("accuracy", F.when(F.col("counted") > 0, F.col("right") / F.col("counted")).otherwise(F.lit(0.0)))
 
 
+def compare_models(df: DataFrame, profile: str | FieldRule, *keep: str) -> DataFrame:
+    """(keep, base, tuned, gain, status): accuracy of two predictions (b_*, p_*) of each truth (t_*), in one pass.
+    status: completed where the tuned one is right in all, failed where in nothing, else partial."""
+    tuned = field_accuracy(df, profile).withColumn("tuned", F.col("accuracy"))
+    base = field_accuracy(tuned.withColumns({f"p_{c[2:]}": F.col(c) for c in df.columns if c.startswith("b_")}), profile).withColumnRenamed("accuracy", "base")
+    status = F.when(F.col("tuned") == 1.0, "completed").when(F.col("tuned") > 0, "partial").otherwise("failed")
+    return base.select(*keep, "base", "tuned", (F.col("tuned") - F.col("base")).alias("gain"), status.alias("status"))
+
+
 def field_f1(df: DataFrame) -> DataFrame:
     """tp, fp, fn and f1 of each pair: a wrong value is a miss, a value without truth a false alarm."""
     found = field_matches(df, FieldRule("folded", 1e-4, relative=True))

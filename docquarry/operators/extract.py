@@ -99,15 +99,24 @@ def joined_text(lines: DataFrame, key: str = "invoice_id", by: str = " ") -> Dat
     return lines.groupBy(key).agg(F.array_join(parts, by).alias("text"))
 
 
+#: Patterns of fields in whole texts, in order of preference; fixed values of the format.
+TEXT_PATTERNS = {
+    "invoice_number": (r"(?i)(?:invoice|inv)[\s#:]*([A-Z0-9\-]+)", r"(?i)invoice[\s#:]*#?[\s]*([0-9A-Z\-]+)", r"(?i)#[\s]*([0-9A-Z\-]{6,})"),
+    "vendor": (r"(?i)(?:from|vendor|supplier)[\s:]+([A-Z][A-Za-z\s&]+)", r"(?i)^([A-Z][A-Za-z\s&]{3,30})\s+(?:invoice|bill)"),
+    "date": (r"(?i)(?:date|invoice date)[\s:]+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"),
+}
+
+
 def extract_text(texts: DataFrame) -> DataFrame:
-    """Fields of whole texts: id and vendor by the first pattern, the first date, total as the largest amount
+    """Fields of whole texts: id, vendor and date by the first pattern that matches, total as the largest amount
     and subtotal as the second if under .9 of it, currency if the first three capitals are a known code."""
     amounts = F.concat(F.regexp_extract_all("text", F.lit(r"(?i)(?:total|amount due|balance)[\s:]*\$?[\s]*([\d,]+\.?\d*)"), 1), F.regexp_extract_all("text", F.lit(r"\$[\s]*([\d,]+\.?\d*)"), 1))
     down = F.sort_array(F.filter(F.transform(amounts, lambda x: F.regexp_replace(x, ",", "").try_cast("double")), lambda x: x.isNotNull()), asc=False)
     first = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
     code = first(r"([A-Z]{3})")
+    id_, vendor, date = (F.trim(F.coalesce(*map(first, TEXT_PATTERNS[c]))).alias(c) for c in ("invoice_number", "vendor", "date"))
     return texts.withColumn("__a", down).select(
-        texts.columns[0], first(r"(?i)(?:invoice|inv)[\s#:]*([A-Z0-9\-]+)").alias("invoice_number"), F.trim(first(r"(?i)(?:from|vendor|supplier)[\s:]+([A-Z][A-Za-z0-9#]+)")).alias("vendor"), first(r"(\d{4}-\d{2}-\d{2})").alias("date"),
+        texts.columns[0], id_, vendor, date,
         F.try_element_at("__a", F.lit(1)).alias("total"), F.when(F.try_element_at("__a", F.lit(2)) < F.try_element_at("__a", F.lit(1)) * 0.9, F.try_element_at("__a", F.lit(2))).alias("subtotal"), F.size("__a").cast("long").alias("amounts"),
         F.when(code.isNull(), "USD").when(code.isin("USD", "EUR", "GBP", "CAD", "AUD"), code).alias("currency"),
     )

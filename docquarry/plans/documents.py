@@ -28,7 +28,9 @@ for _name, _fields in T.PROFILES.items():
 @query("x1_fields_etl", r"""
 with t as (select invoice_id, string_agg(text, ' ' order by line_no) text from ocr_lines group by 1),
 a as (select invoice_id, text, list_reverse_sort(list_filter(list_transform(list_concat(regexp_extract_all(text, '(?i)(?:total|amount due|balance)[\s:]*\$?[\s]*([\d,]+\.?\d*)', 1), regexp_extract_all(text, '\$[\s]*([\d,]+\.?\d*)', 1)), lambda x: try_cast(replace(x, ',', '') as double)), lambda x: x is not null)) n, nullif(regexp_extract(text, '([A-Z]{3})', 1), '') code from t)
-select invoice_id, nullif(regexp_extract(text, '(?i)(?:invoice|inv)[\s#:]*([A-Z0-9\-]+)', 1), '') invoice_number, nullif(regexp_extract(text, '(?i)(?:from|vendor|supplier)[\s:]+([A-Z][A-Za-z0-9#]+)', 1), '') vendor, nullif(regexp_extract(text, '(\d{4}-\d{2}-\d{2})', 1), '') date,
+select invoice_id, trim(coalesce(nullif(regexp_extract(text, '(?i)(?:invoice|inv)[\s#:]*([A-Z0-9\-]+)', 1), ''), nullif(regexp_extract(text, '(?i)invoice[\s#:]*#?[\s]*([0-9A-Z\-]+)', 1), ''), nullif(regexp_extract(text, '(?i)#[\s]*([0-9A-Z\-]{6,})', 1), ''))) invoice_number,
+ trim(coalesce(nullif(regexp_extract(text, '(?i)(?:from|vendor|supplier)[\s:]+([A-Z][A-Za-z\s&]+)', 1), ''), nullif(regexp_extract(text, '(?i)^([A-Z][A-Za-z\s&]{3,30})\s+(?:invoice|bill)', 1), ''))) vendor,
+ trim(coalesce(nullif(regexp_extract(text, '(?i)(?:date|invoice date)[\s:]+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})', 1), ''), nullif(regexp_extract(text, '(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})', 1), ''))) date,
  n[1] total, case when n[2] < n[1] * 0.9::double then n[2] end subtotal, len(n) amounts, case when code is null then 'USD' when code in ('USD', 'EUR', 'GBP', 'CAD', 'AUD') then code end currency from a""")
 def _(spark, d):
     return T.extract_text(T.joined_text(W.ocr_lines(spark, d)))

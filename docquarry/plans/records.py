@@ -8,6 +8,7 @@ from docquarry.operators import evaluate as E
 from docquarry.operators import project as P
 from docquarry.operators import validate as V
 from docquarry.plans import views as W
+from docquarry.plans.scalars import DIFFICULTY
 from docquarry.registry import query
 
 
@@ -269,9 +270,9 @@ def _(spark, d):
 # -------------------------------------------------------------------------------------- training sets
 
 
-@query("d1_instruction_pairs", "with f as (select invoice_id, 'vendor' kind, vendor answer from invoices union all select invoice_id, 'grand_total', cast(grand_total as varchar) from invoices union all select invoice_id, 'issue_date', cast(issue_date as varchar) from invoices) select invoice_id, kind, answer from f where answer is not null")
+@query("d1_instruction_pairs", "with f as (select invoice_id, 'vendor' kind, vendor answer from invoices union all select invoice_id, 'grand_total', cast(grand_total as varchar) from invoices union all select invoice_id, 'issue_date', cast(issue_date as varchar) from invoices) select invoice_id, kind, case cast('0x' || left(md5(invoice_id || '|' || kind), 8) as bigint) % 3 when 0 then 'Read the ' || replace(kind, '_', ' ') || '.' when 1 then 'What is the ' || replace(kind, '_', ' ') || '?' else 'Give the ' || replace(kind, '_', ' ') || ' of this document.' end prompt, answer from f where answer is not null")
 def _(spark, d):
-    return D.field_pairs(W.invoices(spark, d), "invoice_id", ["vendor", "grand_total", "issue_date"]).select("invoice_id", "kind", "answer")
+    return D.field_pairs(W.invoices(spark, d), "invoice_id", ["vendor", "grand_total", "issue_date"])
 
 
 @query("d2_region_samples", "select invoice_id, 'vendor' region, vendor text from invoices where vendor is not null union all select invoice_id, 'line_items', string_agg(description, '; ' order by pos) from line_items group by 1 union all select invoice_id, 'totals', subtotal || ' + ' || tax || ' = ' || grand_total from invoices where grand_total is not null")
@@ -289,12 +290,12 @@ def _(spark, d):
     return D.conversations(W.table(spark, d, "conversations"), "conv_id")
 
 
-@query("d4_split")
+@query("d4_split", "select doc_id, case when p < 80 then 'train' when p < 90 then 'validation' else 'test' end split from (select doc_id, cast('0x' || left(md5(cast(doc_id as varchar)), 8) as bigint) % 100 p from documents)")
 def _(spark, d):
     return D.split(W.table(spark, d, "documents").select("doc_id"), "doc_id", {"train": 80, "validation": 10, "test": 10})
 
 
-@query("d5_sample_each")
+@query("d5_sample_each", "select invoice_id, pos from (select invoice_id, pos, row_number() over (partition by invoice_id order by cast('0x' || left(md5(invoice_id || '|' || pos), 8) as bigint), pos) k from line_items) where k <= 2")
 def _(spark, d):
     return D.sample_each(W.line_items(spark, d), "invoice_id", 2, "invoice_id", "pos").select("invoice_id", "pos")
 
@@ -304,6 +305,13 @@ def _(spark, d):
     return D.validate_pairs(W.table(spark, d, "conversations"))
 
 
+@query("d7_curriculum", f"select conv_id, turn, x difficulty from (select conv_id, turn, {DIFFICULTY} x from (select *, case when turn % 2 = 0 then turn end n, regexp_matches(lower(text), 'table|line_items') t from conversations)) where x <= 0.3::double + 0.7::double * (1 - cos(pi() / 8))")
+def _(spark, d):
+    turns = W.table(spark, d, "conversations")
+    score = S.difficulty(F.col("text"), F.when(F.col("turn") % 2 == 0, F.col("turn")))
+    return D.curriculum(turns, score, S.curriculum_threshold(0.25, schedule="cosine"), "conv_id", "turn").select("conv_id", "turn", "difficulty")
+
+
 @query("d8_review_queue", """with x as (select invoice_id, confidence, coalesce(abs(items_total - subtotal) > 0.01, false) i, coalesce(abs(total - (coalesce(subtotal, 0) + coalesce(tax, 0) - coalesce(discount, 0))) > 0.01, false) t from declared)
 select invoice_id, case when i and t then 'hard' when i or t then 'medium' else 'easy' end difficulty, case when i then 'SUBTOTAL_MISMATCH' when t then 'TOTAL_MISMATCH' end first_issue from x where i or t or confidence < 0.6""")
 def _(spark, d):

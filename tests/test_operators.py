@@ -139,16 +139,44 @@ def test_the_whole_right_half_is_the_client(spark):
 
 
 def test_split_and_sample_against_plain_python(spark):
-    import zlib
+    import hashlib
 
     keys = list(range(500)) * 2
     df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, pos long")
-    place = lambda x: zlib.crc32(str(x).encode()) % 100
+    first = lambda x: int(hashlib.md5(str(x).encode()).hexdigest()[:8], 16)
+    place = lambda x: first(x) % 100
     want = {k: "train" if place(k) < 80 else "validation" if place(k) < 90 else "test" for k in keys}
     assert {(r["k"], r["split"]) for r in DS.split(df, "k", {"train": 80, "validation": 10, "test": 10}).collect()} == set(want.items())
     rows = [(k % 7, k) for k in range(60)]
     by = {}
     for a, b in rows:
-        by.setdefault(a, []).append((zlib.crc32(f"{a}|{b}".encode()), b))
+        by.setdefault(a, []).append((first(f"{a}|{b}"), b))
     want = {(a, b) for a, x in by.items() for _, b in sorted(x)[:2]}
     assert {tuple(r) for r in DS.sample_each(spark.createDataFrame(rows, "k long, pos long"), "k", 2, "k", "pos").collect()} == want
+
+
+def test_text_fields_by_pattern_order(spark):
+    texts = [
+        (1, "Invoice # INV-77 Vendor: Acme Supplies & Co 12 High St Date: 03/04/2024 Total: $1,200.00 Subtotal $1,000.00 USD"),
+        (2, "Blue Harbor Trading Invoice 5 due 1-2-24, then 03/04/2024"),
+        (3, "ref #AB12CD34 of no bill"),
+        (4, ""),
+        (5, None),
+    ]
+    got = {r["k"]: (r["invoice_number"], r["vendor"], r["date"], r["total"]) for r in X.extract_text(spark.createDataFrame(texts, "k long, text string")).collect()}
+    assert got[1] == ("INV-77", "Acme Supplies & Co", "03/04/2024", 1200.0)
+    assert got[2] == ("5", "Blue Harbor Trading", "1-2-24", None)
+    assert got[3] == ("AB12CD34", None, None, None)
+    assert got[4][:3] == got[5][:3] == (None, None, None)
+
+
+def test_two_models_against_one_truth(spark):
+    money = "decimal(18,2)"
+    head = ", ".join(f"{s}_vendor string, {s}_currency string, {s}_date string, {s}_total {money}" for s in "tpb")
+    truth = ("Acme", "USD", "2024-01-01", Decimal("10.00"))
+    wrong = ("Other", "EUR", "2023-01-01", Decimal("11.00"))
+    half = ("acme ", "EUR", "2024-01-01", Decimal("10.01"))
+    rows = [(1, *truth, *truth, *half), (2, *truth, *wrong, *truth), (3, *truth, *half, *wrong)]
+    df = spark.createDataFrame(rows, f"k long, {head}")
+    got = {r["k"]: tuple(r)[1:] for r in E.compare_models(df, "blocks", "k").collect()}
+    assert got == {1: (0.5, 1.0, 0.5, "completed"), 2: (1.0, 0.0, -1.0, "failed"), 3: (0.0, 0.5, 0.5, "partial")}
