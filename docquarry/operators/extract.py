@@ -122,6 +122,42 @@ def extract_text(texts: DataFrame) -> DataFrame:
     )
 
 
+#: Patterns of fields in the joined text of regions; fixed values of the format.
+REGION_PATTERNS = {
+    "invoice_number": r"(?i)(?:invoice|inv)[\s#:]*([A-Z0-9\-]+)",
+    "date": r"(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+    "currency": r"\b(USD|EUR|GBP|CAD|JPY|CNY|AUD|CHF|INR)\b",
+    "amount": r"(\$?\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+    "vendor": r"(?i)^([A-Z][A-Z0-9\s&\-.,]+(?:INC|LLC|LTD|CORP|CO|COMPANY))",
+    "total": r"(?i)(?:total|grand\s+total|amount\s+due|balance\s+due)[\s:]*\$?\s*([\d,]+\.?\d*)",
+    "subtotal": r"(?i)subtotal[\s:]*\$?\s*([\d,]+\.?\d*)",
+    "tax": r"(?i)(?:tax|sales\s+tax|vat)[\s:]*\$?\s*([\d,]+\.?\d*)",
+    "no_vendor": r"invoice|bill to|ship to|date|page|invoice number",
+}
+
+
+def extract_region_text(lines: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """Fields of the lines of each document, one aggregation: the first match in the joined text; the second date is
+    due; USD where no code stands; the largest amount where no total is read. vendor: of the first 15 lines the first
+    that begins like a company name (that name), or has over three letters and no heading's word (the line)."""
+    first = lambda c: F.nullif(F.regexp_extract("text", REGION_PATTERNS[c], 1), F.lit(""))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    df = lines.groupBy(key).agg(ordered.alias("__l")).withColumn("text", F.array_join("__l", " "))
+
+    def vendor(line: Column) -> Column:
+        name = F.regexp_extract(line, REGION_PATTERNS["vendor"], 1)
+        return F.when(name != "", F.trim(name)).when((F.length(line) > 3) & ~F.lower(line).rlike(REGION_PATTERNS["no_vendor"]), line)
+
+    top = F.transform(F.slice("__l", 1, 15), lambda x: vendor(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    read = F.transform(F.regexp_extract_all("text", F.lit(REGION_PATTERNS["amount"]), 1), lambda x: F.regexp_replace(x, "[$,]", "").try_cast("double"))
+    df = df.withColumns({"__v": F.filter(top, lambda x: x.isNotNull()), "__a": F.filter(read, lambda x: x > 0), "__d": F.regexp_extract_all("text", F.lit(REGION_PATTERNS["date"]), 1)})
+    return df.select(
+        key, first("invoice_number").alias("invoice_number"), F.try_element_at("__d", F.lit(1)).alias("date"), F.try_element_at("__d", F.lit(2)).alias("due_date"), F.coalesce(first("currency"), F.lit("USD")).alias("currency"),
+        F.coalesce(amount(first("total")), F.array_max("__a")).alias("total"), amount(first("subtotal")).alias("subtotal"), amount(first("tax")).alias("tax"), F.try_element_at("__v", F.lit(1)).alias("vendor"),
+        F.slice(F.sort_array("__a", asc=False), 1, 10).alias("amounts"),
+    )
+
+
 def numbers_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\s+"), lambda x: F.regexp_replace(x, "[$,]", "").try_cast("double")), lambda x: x.isNotNull())
 

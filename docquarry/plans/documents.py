@@ -36,6 +36,19 @@ def _(spark, d):
     return T.extract_text(T.joined_text(W.ocr_lines(spark, d)))
 
 
+@query("x1_fields_regions_text", r"""
+with l as (select *, regexp_replace(text, '^\s+|\s+$', '', 'g') line, row_number() over (partition by invoice_id order by line_no) k from ocr_lines),
+v as (select invoice_id, arg_min(name, k) vendor from (select invoice_id, k, case when regexp_matches(line, '(?i)^[A-Z][A-Z0-9\s&\-.,]+(INC|LLC|LTD|CORP|CO|COMPANY)') then trim(regexp_extract(line, '(?i)^([A-Z][A-Z0-9\s&\-.,]+(INC|LLC|LTD|CORP|CO|COMPANY))', 1))
+ when length(line) > 3 and not (contains(lower(line), 'invoice') or contains(lower(line), 'bill to') or contains(lower(line), 'ship to') or contains(lower(line), 'date') or contains(lower(line), 'page')) then line end name from l where k <= 15) where name is not null group by 1),
+t as (select invoice_id, string_agg(text, ' ' order by line_no) text from ocr_lines group by 1),
+a as (select invoice_id, text, list_reverse_sort(list_filter(list_transform(regexp_extract_all(text, '\$?\d{1,3}(,\d{3})*(\.\d{2})?'), lambda x: try_cast(replace(replace(x, '$', ''), ',', '') as double)), lambda x: x > 0)) n, regexp_extract_all(text, '\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}') d from t)
+select invoice_id, nullif(regexp_extract(text, '(?i)(invoice|inv)[\s#:]*([A-Z0-9\-]+)', 2), '') invoice_number, d[1] date, d[2] due_date, coalesce(nullif(regexp_extract(text, '\b(USD|EUR|GBP|CAD|JPY|CNY|AUD|CHF|INR)\b', 1), ''), 'USD') currency,
+ coalesce(try_cast(replace(regexp_extract(text, '(?i)(total|grand\s+total|amount\s+due|balance\s+due)[\s:]*\$?\s*([\d,]+\.?\d*)', 2), ',', '') as double), n[1]) total, try_cast(replace(regexp_extract(text, '(?i)subtotal[\s:]*\$?\s*([\d,]+\.?\d*)', 1), ',', '') as double) subtotal,
+ try_cast(replace(regexp_extract(text, '(?i)(tax|sales\s+tax|vat)[\s:]*\$?\s*([\d,]+\.?\d*)', 2), ',', '') as double) tax, vendor, n[1:10] amounts from a left join v using (invoice_id)""")
+def _(spark, d):
+    return T.extract_region_text(W.ocr_lines(spark, d))
+
+
 SPECS = [("invoice_number", "header", r"INV-(\d+)"), ("date", "header", r"(\d{4}-\d{2}-\d{2})"), ("total", "footer", r"^Total (\S+)$"), ("quantity", "table", r"^Qty (\d+)$")]
 ZONED = "zoned as (select *, case when y < ph * 0.3::double then 'header' when y > ph * 0.7::double then 'footer' else 'table' end as zone from (select *, max(y + h) over (partition by invoice_id) ph from regions))"
 

@@ -180,3 +180,16 @@ def test_two_models_against_one_truth(spark):
     df = spark.createDataFrame(rows, f"k long, {head}")
     got = {r["k"]: tuple(r)[1:] for r in E.compare_models(df, "blocks", "k").collect()}
     assert got == {1: (0.5, 1.0, 0.5, "completed"), 2: (1.0, 0.0, -1.0, "failed"), 3: (0.0, 0.5, 0.5, "partial")}
+
+
+def test_region_text_fields(spark):
+    docs = {
+        1: ["INVOICE", "ACME SUPPLY CO", "Invoice # A-9", "2024-01-05", "due 2024-02-04", "Sales Tax: $5.00", "Amount due: $1,105.00 EUR"],
+        2: ["Page 1", " River Mills ", "", "paid 12.50 and 7.25"],
+        3: [""],
+    }
+    rows = [(k, i + 1, x) for k, x in docs.items() for i, x in enumerate(x)]
+    got = {r["k"]: tuple(r)[1:] for r in X.extract_region_text(spark.createDataFrame(rows, "k long, line_no int, text string"), "k").collect()}
+    assert got[1][:-1] == ("ACME", "2024-01-05", "2024-02-04", "EUR", 1105.0, None, 5.0, "ACME SUPPLY CO")
+    assert got[2] == (None, None, None, "USD", 12.5, None, None, "River Mills", [12.5, 7.25, 1.0])
+    assert got[3] == (None, None, None, "USD", None, None, None, None, [])
