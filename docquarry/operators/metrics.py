@@ -52,18 +52,34 @@ def quality(df: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(df: DataFrame, value: str, points: tuple[int, ...] = (50, 95, 99), by: tuple[str, ...] = ()) -> DataFrame:
+def percentiles(df: DataFrame, value: str, points: tuple[int, ...] = (50, 95, 99), by: tuple[str, ...] = (), cuts: int = 64) -> DataFrame:
     """For each group: n, mean, least, most and the value at 0-based place floor(n * p / 100), n - 1 at most.
 
-    Rows are first counted by value, so that what is ranked is one row for each distinct value of a group."""
-    group = by or (F.lit(1),)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    whole = Window.partitionBy(*group)
-    counted = counted.withColumn("__upto", F.sum("__c").over(whole.orderBy("__v"))).withColumn("__n", F.sum("__c").over(whole))
+    Exact without one task for a group: values are counted, then cut into about ``cuts`` ranges at approximate
+    quantiles; sums of ranges say which range holds each place, and only values of those are ranked. The
+    quantiles steer the size of ranges, never the result. Null groups count as a group."""
+    group = F.struct(*(by or (F.lit(1).alias("one"),))).alias("__g")
+    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("__v"))
+    counted = rows.groupBy("__g", "__v").agg(F.count("*").alias("__c"))
+    at = F.percentile_approx("__v", [k / cuts for k in range(1, cuts)], 10_000)
+    range_of = F.size(F.filter("__s", lambda x: x < F.col("__v")))
+    binned = counted.join(rows.groupBy("__g").agg(at.alias("__s")), "__g").withColumn("__b", range_of).drop("__s")
+
+    whole = Window.partitionBy("__g")
+    ranges = binned.groupBy("__g", "__b").agg(F.sum("__c").alias("__r"))
+    ranges = ranges.withColumn("__upto", F.sum("__r").over(whole.orderBy("__b"))).withColumn("__n", F.sum("__r").over(whole))
     place = lambda p: F.least(F.floor(F.col("__n") * p / 100) + 1, F.col("__n"))
-    at = [F.min(F.when(F.col("__upto") >= place(p), F.col("__v"))).alias(f"p{p}") for p in points]
+    holds = {p: (place(p) > F.col("__upto") - F.col("__r")) & (place(p) <= F.col("__upto")) for p in points}
+    ranges = ranges.select("__g", "__b", (F.col("__upto") - F.col("__r")).alias("__before"), *(F.when(x, place(p)).alias(f"__p{p}") for p, x in holds.items()))
+    ranked = binned.join(ranges.where(F.coalesce(*(f"__p{p}" for p in points)).isNotNull()), ["__g", "__b"])
+    ranked = ranked.withColumn("__k", F.col("__before") + F.sum("__c").over(Window.partitionBy("__g", "__b").orderBy("__v")))
+    found = ranked.groupBy("__g").agg(*(F.min(F.when(F.col("__k") >= F.col(f"__p{p}"), F.col("__v"))).alias(f"p{p}") for p in points))
+
     total = F.sum((F.col("__v").cast("decimal(18,2)") * F.col("__c")).cast("decimal(38,2)")).cast("double")
-    return counted.groupBy(*by).agg(F.sum("__c").alias("n"), (total / F.sum("__c")).alias("mean"), F.min("__v").alias("least"), F.max("__v").alias("most"), *at)
+    facts = F.sum("__c").alias("n"), (total / F.sum("__c")).alias("mean"), F.min("__v").alias("least"), F.max("__v").alias("most")
+    if not by:
+        return counted.agg(*facts).withColumn("__g", F.struct(F.lit(1).alias("one"))).join(found, "__g", "left").drop("__g")
+    return counted.groupBy("__g").agg(*facts).join(found, "__g").select("__g.*", "n", "mean", "least", "most", *(f"p{p}" for p in points))
 
 
 def error_breakdown(df: DataFrame) -> DataFrame:

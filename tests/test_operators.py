@@ -193,3 +193,22 @@ def test_region_text_fields(spark):
     assert got[1][:-1] == ("ACME", "2024-01-05", "2024-02-04", "EUR", 1105.0, None, 5.0, "ACME SUPPLY CO")
     assert got[2] == (None, None, None, "USD", 12.5, None, None, "River Mills", [12.5, 7.25, 1.0])
     assert got[3] == (None, None, None, "USD", None, None, None, None, [])
+
+
+def test_percentiles_against_plain_python(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), float(rnd.choice([rnd.randrange(40), rnd.randrange(10**6), 7]))) for _ in range(3000)] + [("c", 1.5), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+
+    def plain(values):
+        x = sorted(values)
+        return (len(x), x[0], x[-1], *(x[min(len(x) * p // 100, len(x) - 1)] for p in (50, 95, 99)))
+
+    columns = ("n", "least", "most", "p50", "p95", "p99")
+    want = {g: plain([v for k, v in rows if k == g and v is not None]) for g in ("a", "b", "c", None)}
+    for cuts in (2, 64):
+        assert {r["g"]: tuple(r[c] for c in columns) for r in M.percentiles(df, "v", by=("g",), cuts=cuts).collect()} == want
+    assert tuple(M.percentiles(df, "v").first()[c] for c in columns) == plain([v for _, v in rows if v is not None])
+    assert [tuple(r) for r in M.percentiles(df.where("v > 1e9"), "v").collect()] == [(None,) * 7]
