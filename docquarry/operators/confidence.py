@@ -66,7 +66,7 @@ def field_confidence(value: Column, base: float = 0.7) -> Column:
 
 
 #: Confidence that the presence of a part gives; fixed values.
-PRESENCE = {"invoice_number": 0.9, "vendor": 0.85, "total": 0.95, "line_items": 0.8, "date": 0.7}
+PRESENCE = {"invoice_number": 0.9, "date": 0.85, "total": 0.95, "vendor": 0.8, "line_items": 0.7}
 
 
 def presence_confidence(df: DataFrame, present: dict[str, Column]) -> DataFrame:

@@ -6,6 +6,7 @@ looks at. All fields of all documents come out of one aggregation by document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,8 +66,9 @@ def amount(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("double")
 
 
-def extract_fields(lines: DataFrame, profile: str | tuple[Field, ...], key: str = "invoice_id") -> DataFrame:
-    """One row for each document with the profile's fields; a field that is not found is null.
+def extract_fields(lines: DataFrame, profile: str | tuple[Field, ...], key: str = "invoice_id", more: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None) -> DataFrame:
+    """One row for each document with the profile's fields; a field that is not found is null. ``more``: further
+    columns from the same aggregation, each a value of a line and its aggregate.
 
     Every pattern is a column of its own first, so that it runs once a line however often it is used."""
     fields = PROFILES[profile] if isinstance(profile, str) else profile
@@ -88,9 +90,10 @@ def extract_fields(lines: DataFrame, profile: str | tuple[Field, ...], key: str
             inside &= ~F.col(passed[f.skip])
         return F.when(inside, amount(text) if f.number else text)
 
-    df = df.select(key, "line_no", *(value(f).alias(f.name) for f in fields))
+    more = more or {}
+    df = df.select(key, "line_no", *(value(f).alias(f.name) for f in fields), *(x.alias(f"__m_{c}") for c, (x, _) in more.items()))
     pick = lambda f: (F.min_by if f.pick == "first" else F.max_by)(F.col(f.name), F.when(F.col(f.name).isNotNull(), F.col("line_no"))).alias(f.name)
-    return df.groupBy(key).agg(*map(pick, fields))
+    return df.groupBy(key).agg(*map(pick, fields), *(whole(F.col(f"__m_{c}")).alias(c) for c, (_, whole) in more.items()))
 
 
 def joined_text(lines: DataFrame, key: str = "invoice_id", by: str = " ") -> DataFrame:
@@ -171,13 +174,26 @@ def items_of_section(lines: DataFrame) -> DataFrame:
     return df.select("invoice_id", pos.alias("pos"), F.col("__n")[0].alias("qty"), F.col("__n")[1].alias("unit_price"), total.alias("line_total"))
 
 
+#: Where the parts of a line end.
+PARTS = r"\s*\|\s*|\t+|\s{2,}"
+
+
 def items_delimited(lines: DataFrame, least: int = 3) -> DataFrame:
     """Lines cut at bars, tabs or two spaces; the first part names the item, numbers of the others follow."""
-    df = lines.withColumn("__p", F.filter(F.split("text", r"\s*\|\s*|\t+|\s{2,}"), lambda x: F.trim(x) != "")).where(F.size("__p") >= least)
+    df = lines.withColumn("__p", F.filter(F.split("text", PARTS), lambda x: F.trim(x) != "")).where(F.size("__p") >= least)
     number = lambda i: F.regexp_extract(F.try_element_at("__p", F.lit(i)), r"(-?[\d.]+)", 1).try_cast("double")
     return df.select("invoice_id", "line_no", F.col("__p")[0].alias("description"), number(2).alias("qty"), number(3).alias("unit_price"), number(-1).alias("line_total"))
 
 
+def parse_lines(lines: DataFrame, profile: str, key: str = "invoice_id", least: int = 3) -> DataFrame:
+    """The profile's fields, n_items and items_total of delimited lines of each document, from one pass over its lines."""
+    parts = F.filter(F.split("text", PARTS), lambda x: F.trim(x) != "")
+    total = F.regexp_extract(F.try_element_at(parts, F.lit(-1)), r"(-?[\d.]+)", 1).try_cast("double").cast("decimal(18,2)")
+    item = F.when(F.size(parts) >= least, F.struct(total.alias("total")))
+    money = lambda x: F.sum(x["total"]).cast("decimal(18,2)")
+    return extract_fields(lines, profile, key, {"n_items": (item, F.count), "items_total": (item, money)})
+
+
 def items_priced(lines: DataFrame) -> DataFrame:
     """Lines that end in a price; what stands before it is the description."""
     price = F.regexp_extract("text", r"(\d+\.\d{2})\s*$", 1)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docquarry.operators import confidence as C
 from docquarry.operators import extract as T
 from docquarry.operators import layout as L
 from docquarry.operators import validate as V
@@ -198,17 +199,19 @@ def _(spark, d):
 
 
 @query("x5_parse_document", r"""
-with f as (select invoice_id, arg_min(try_cast(regexp_extract(text, '(?i)^subtotal[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^subtotal[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') subtotal, arg_min(try_cast(regexp_extract(text, '(?i)^tax[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^tax[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') tax,
+with f as (select invoice_id, count(*) filter (regexp_matches(text, '(?i)invoice #[:\s]*\S')) ids, count(*) filter (regexp_matches(text, '(?i)date[:\s]+\S')) dates, count(*) filter (regexp_matches(text, '(?i)vendor[:\s]+.') and line_no <= 10) vendors, arg_min(try_cast(regexp_extract(text, '(?i)^subtotal[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^subtotal[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') subtotal, arg_min(try_cast(regexp_extract(text, '(?i)^tax[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^tax[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') tax,
  arg_min(try_cast(regexp_extract(text, '(?i)^total[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^total[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') total from ocr_lines group by 1),
-i as (select invoice_id, count(*) n_items, sum(cast(regexp_extract(text, '  Total (\d+\.\d{2})\s*$', 1) as decimal(18,2))) items_total from ocr_lines where regexp_extract(text, '  Total (\d+\.\d{2})\s*$', 1) <> '' group by 1)
-select invoice_id, n_items, cast(items_total as double) items_total, cast(total as double) total, not (abs(items_total - subtotal) > 0.02 * abs(subtotal)) items_ok, not (abs(total - (subtotal + tax)) > 0.02 * abs(total)) total_ok from f join i using (invoice_id)""")
+i as (select invoice_id, count(*) n_items, sum(cast(regexp_extract(text, '  Total (\d+\.\d{2})\s*$', 1) as decimal(18,2))) items_total from ocr_lines where regexp_extract(text, '  Total (\d+\.\d{2})\s*$', 1) <> '' group by 1),
+o as (select *, not (abs(items_total - subtotal) > 0.02 * abs(subtotal)) items_ok, not (abs(total - (subtotal + tax)) > 0.02 * abs(total)) total_ok,
+ (case when ids > 0 then 0.9::double else 0 end + case when dates > 0 then 0.85::double else 0 end + case when total is not null then 0.95::double else 0 end + case when vendors > 0 then 0.8::double else 0 end + 0.7::double) / (cast(ids > 0 as int) + cast(dates > 0 as int) + cast(total is not null as int) + cast(vendors > 0 as int) + 1) confidence from f join i using (invoice_id))
+select invoice_id, n_items, cast(items_total as double) items_total, cast(total as double) total, items_ok, total_ok, confidence, not (items_ok and total_ok) or confidence < 0.6 needs_review from o""")
 def _(spark, d):
-    lines = W.ocr_lines(spark, d)
     money = lambda c: F.col(c).cast("decimal(18,2)").alias(c)
-    head = T.extract_fields(lines, "keyword_line").select("invoice_id", money("subtotal"), money("tax"), money("total"))
-    items = T.items_delimited(lines).groupBy("invoice_id").agg(F.count("*").alias("n_items"), F.sum(F.col("line_total").cast("decimal(18,2)")).cast("decimal(18,2)").alias("items_total"))
-    out = V.validate_arithmetic(head.join(items, "invoice_id"), "relative")
-    return out.select("invoice_id", "n_items", F.col("items_total").cast("double").alias("items_total"), F.col("total").cast("double").alias("total"), "items_ok", "total_ok")
+    read = T.parse_lines(W.ocr_lines(spark, d), "keyword_line").withColumns({c: money(c) for c in ("subtotal", "tax", "total")}).where("n_items > 0")
+    checked = V.validate_arithmetic(read, "relative")
+    out = C.presence_confidence(checked, {c: F.col(c).isNotNull() for c in ("invoice_number", "date", "total", "vendor")} | {"line_items": F.col("n_items") > 0})
+    review = ~(F.col("items_ok") & F.col("total_ok")) | (F.col("overall") < 0.6)
+    return out.select("invoice_id", "n_items", F.col("items_total").cast("double").alias("items_total"), F.col("total").cast("double").alias("total"), "items_ok", "total_ok", F.col("overall").alias("confidence"), review.alias("needs_review"))
 
 
 @query("x6_normalize_invoice", "select invoice_id, trim(vendor) vendor, coalesce(try_cast(nullif(regexp_replace(amount, '[^\\d.\\-]', '', 'g'), '') as double), 0.0) amount, coalesce(qty, 1.0) qty from (select invoice_id, '  ' || vendor || ' ' vendor, case when invoice_id % 3 = 0 then 'n/a' else '$ ' || grand_total end amount, case when invoice_id % 4 = 0 then null else cast(n_items as double) end qty from invoices)")

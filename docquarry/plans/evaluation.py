@@ -287,7 +287,7 @@ def _(spark, d):
     return W.declared(spark, d).select("invoice_id", C.field_confidence(F.col("vendor")).alias("vendor"), C.field_confidence(F.col("tax")).alias("tax"))
 
 
-@query("a14_presence_confidence", "select invoice_id, (0.9::double + case when vendor is not null then 0.85::double else 0 end + case when total is not null then 0.95::double else 0 end + case when n_items > 0 then 0.8::double else 0 end + 0.7::double) / (2 + cast(vendor is not null as int) + cast(total is not null as int) + cast(n_items > 0 as int)) overall from declared")
+@query("a14_presence_confidence", "select invoice_id, (0.9::double + 0.85::double + case when total is not null then 0.95::double else 0 end + case when vendor is not null then 0.8::double else 0 end + case when n_items > 0 then 0.7::double else 0 end) / (2 + cast(vendor is not null as int) + cast(total is not null as int) + cast(n_items > 0 as int)) overall from declared")
 def _(spark, d):
     present = {"invoice_number": F.col("invoice_id").isNotNull(), "vendor": F.col("vendor").isNotNull(), "total": F.col("total").isNotNull(), "line_items": F.col("n_items") > 0, "date": F.col("issue_date").isNotNull()}
     return C.presence_confidence(W.declared(spark, d), present).select("invoice_id", "overall")
