@@ -4,10 +4,11 @@ The library turns each space (and each U+2581) into the marker U+2581 and puts o
 piece has a marker after another character, no merge crosses the place before a run of markers, so a text
 falls into chunks (a run of markers and what follows it up to the next) whose segmentations don't touch.
 
-1. Blocks of documents hold a dictionary of their chunks and, for each document, its codes (durable files).
-2. The distinct chunks of all blocks make one table: each is segmented and decoded once, by the library.
-3. Blocks meet the rows of their chunks by an equi-join (a chunk crosses the shuffle once for each block
-   that has it), and ids go back to their documents by position.
+Each task cuts its documents into blocks. The distinct chunks of a block make a table: each is segmented and
+decoded once, by the library, and ids go back to the places of the chunk by position in numpy. What a task's
+earlier blocks have segmented it remembers within bounds. Documents stand alone, so nothing crosses a shuffle
+and a lost task is run again alone. (A table for the whole corpus was tried first: to bring its rows back to the
+blocks took 4.5 times the size of the input in shuffles, to save work that costs less than cutting the texts.)
 
 Decoding is per chunk too: a run of byte pieces ends at a marker, which is always a piece of its own kind;
 the marker that the library puts before the text, and takes off again, is that of the first chunk.
@@ -27,15 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize
 from docquarry.llm.text import batches_of, texts_of
 
-#: Bytes of text to one block, about; bytes of text whose ids leave a task in one batch.
-BLOCK_BYTES, OUT_BYTES = 8 << 20, 2 << 20
+#: Bytes of text to one block, about; chunks remembered from block to block, of at most so many bytes.
+BLOCK_BYTES, REMEMBERED, SHORT = 4 << 20, 300_000, 64
 MARK, SPACE = "▁", 0x20
 #: What a normalizer that only marks spaces leaves as it is.
 PROBE = " a\t ﬁ　Bé é  "
@@ -53,6 +51,7 @@ class Model:
         marks_only = self.library.normalize(PROBE) == MARK + PROBE.replace(" ", MARK)
         self.apart = marks_only and self.mark != self.library.unk_id() and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.end = self.library.eos_id()
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, edges of chunks, first chunk of each document and their number)."""
@@ -69,15 +68,51 @@ class Model:
         edges = np.append(np.flatnonzero(start), len(data))
         return data, edges, np.searchsorted(edges[:-1], offsets)
 
-    def segment(self, chunks: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
-        """Ids and decoded bytes of each chunk."""
+    def segment(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids (as 32-bit values) and decoded bytes of each chunk."""
         texts = [c[1:] for c in chunks] if self.apart else chunks
         ids = self.library.encode(texts, num_threads=1) if texts else []
         surface = [s.encode() for s in self.library.decode(ids, num_threads=1)] if texts else []
         if self.apart:
             ids = [i if t else [self.mark] for i, t in zip(ids, texts, strict=True)]
             surface = [b" " + s for s in surface]
-        return ids, surface
+        return [(np.array(i, "<i4").tobytes(), s) for i, s in zip(ids, surface, strict=True)]
+
+    def table(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The rows of distinct chunks, from memory or segmented."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [c for c in chunks if c not in self.known]
+        rows = dict(zip(new, self.segment(new), strict=True))
+        out = [rows[c] if c in rows else self.known[c] for c in chunks]
+        self.known.update((c, r) for c, r in rows.items() if len(c) <= SHORT)
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids with end ids, offsets of documents in them, decoded bytes, offsets of documents in those)"""
+        data, edges, first = self.cut(data, offsets)
+        edges = np.ascontiguousarray(edges, np.int64)
+        if len(edges) < 2:
+            n = len(offsets)
+            return np.full(n - 1, self.end, np.int32), np.arange(n), np.zeros(0, np.uint8), np.zeros(n, np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        rows, codes = self.table(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        ids, at = gathered([r[0] for r in rows], np.int32, codes)
+        text, to = gathered([r[1] for r in rows], np.uint8, codes)
+        at, to = at[first], to[first]
+        if self.apart:
+            full = np.diff(to) > 0
+            text, to = np.delete(text, to[:-1][full]), to - np.append(0, np.cumsum(full))
+        return np.insert(ids, at[1:], self.end), at + np.arange(len(at)), text, to
+
+
+def gathered(runs: list[bytes], kind: type, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of values that ``codes`` name, one after another, and where each begins."""
+    pool = np.frombuffer(b"".join(runs), kind)
+    size = np.fromiter(map(len, runs), np.int64, len(runs)) // pool.itemsize
+    begin, n = np.cumsum(size) - size, size[codes]
+    at = np.append(0, np.cumsum(n))
+    return pool[np.arange(at[-1]) + np.repeat(begin[codes] - at[:-1], n)], at
 
 
 _MODELS: dict[str, Model] = {}
@@ -89,110 +124,19 @@ def model_at(path: str) -> Model:
     return _MODELS[path]
 
 
-def in_blocks(docs: DataFrame, model_file: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block long, doc_ids, first, codes, chunks): documents as codes into the block's own chunks."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        use, base, number, own = model_at(model_file), TaskContext.get().partitionId() << 32, 0, None
-        ids: list = []
-        parts: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        held = 0
-
-        def row() -> pa.RecordBatch:
-            offsets = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int64)
-            data, edges, first = use.cut(np.concatenate(parts), offsets)
-            edges = np.ascontiguousarray(edges, np.int64)
-            coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-            codes = zstandard.compress(coded.indices.to_numpy().astype("<i4").tobytes(), 3)
-            types = [pa.int64(), pa.list_(own), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
-            values = [[base + number], [ids], [first.tolist()], [codes], [coded.dictionary.to_pylist()]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["block", "doc_ids", "first", "codes", "chunks"])
-
-        for batch in batches:
-            own = batch.schema.field("doc_id").type
-            batch_ids = batch.column("doc_id").to_pylist()
-            text = batch.column("text")
-            if use.apart:
-                text = pc.replace_substring(text, MARK, " ")
-            data, offsets = texts_of(text)
-            for a, b in batches_of(data, offsets, 1 << 20):
-                size = int(offsets[b] - offsets[a])
-                if held and held + size > block_bytes:
-                    yield row()
-                    ids, parts, sizes, held, number = [], [], [], 0, number + 1
-                ids = ids + batch_ids[a:b]
-                parts.append(data[offsets[a] : offsets[b]].copy())
-                sizes.append(np.diff(offsets[a : b + 1]))
-                held += size
-        if ids:
-            yield row()
-
-    rows = docs.select("doc_id", "text").mapInArrow(scan, f"block long, doc_ids array<{kind}>, first array<long>, codes binary, chunks array<binary>")
-    return materialize(rows, "pieces")
-
-
-def chunk_table(chunks: DataFrame, model_file: str) -> DataFrame:
-    """(chunk, ids, surface) of each distinct chunk: its ids, and the bytes that they decode to."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = model_at(model_file)
-        for batch in batches:
-            data, offsets = texts_of(batch.column("chunk"))
-            for a, b in batches_of(data, offsets, OUT_BYTES):
-                part = batch.column("chunk").slice(a, b - a)
-                ids, surface = use.segment(part.to_pylist())
-                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.list_(pa.int32())), pa.array(surface, pa.binary())], ["chunk", "ids", "surface"])
-
-    return chunks.select("chunk").distinct().mapInArrow(scan, "chunk binary, ids array<int>, surface binary")
-
-
-def gathered(pool: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of ``pool`` (``size`` each) in the order of ``codes``, and where each begins."""
-    begin, n = np.cumsum(size) - size, size[codes]
-    at = np.append(0, np.cumsum(n))
-    return pool[np.arange(at[-1]) + np.repeat(begin[codes] - at[:-1], n)], at
-
-
 def encoded(docs: DataFrame, model_file: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids array<int> with the end id, decoded string, for each row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = in_blocks(docs, model_file, block_bytes)
-    asked = blocks.select("block", F.posexplode("chunks").alias("place", "chunk"))
-    table = materialize(chunk_table(asked, model_file), "chunks")
-    answer = F.sort_array(F.collect_list(F.struct("place", "ids", "surface")))
-    answers = asked.join(table, "chunk").groupBy("block").agg(answer.alias("answer"))
-    joined = blocks.select("block", "doc_ids", "first", "codes").join(answers, "block", "left")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = model_at(model_file)
         for batch in batches:
-            for k in range(batch.num_rows):
-                doc_ids, first = batch.column("doc_ids")[k].values, batch.column("first")[k].values.to_numpy()
-                codes = np.frombuffer(zstandard.decompress(batch.column("codes")[k].as_py(), max_output_size=4 * int(first[-1])) if first[-1] else b"", "<i4")
-                found = batch.column("answer")[k].values
-                ids = found.field("ids") if found is not None else pa.array([], pa.list_(pa.int32()))
-                surface, ends = texts_of(found.field("surface")) if found is not None else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-                id_size, pool = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy()
-                length = np.diff(ends)
-                sent = np.append(0, np.cumsum(length[codes]))[first]
-                for a, b in batches_of(surface, sent, OUT_BYTES):
-                    part = codes[first[a] : first[b]]
-                    out, at = gathered(pool, id_size, part)
-                    at = at[first[a : b + 1] - first[a]]
-                    out = np.insert(out, at[1:], use.end)
-                    at = at + np.arange(len(at))
-                    text, to = gathered(surface, length, part)
-                    to = to[first[a : b + 1] - first[a]]
-                    if use.apart:
-                        full = np.diff(to) > 0
-                        text = np.delete(text, to[:-1][full])
-                        to = to - np.append(0, np.cumsum(full))
-                    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(np.ascontiguousarray(to, np.int64)), pa.py_buffer(np.ascontiguousarray(text))])
-                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), lists, texts.cast(pa.large_string()).cast(pa.string())], ["doc_id", "ids", "decoded"])
-
-    return joined.mapInArrow(scan, f"doc_id {kind}, ids array<int>, decoded string")
+            text = batch.column("text")
+            data, offsets = texts_of(pc.replace_substring(text, MARK, " ") if use.apart else text)
+            for a, b in batches_of(data, offsets, block_bytes):
+                ids, at, text, to = use.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                texts = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(np.ascontiguousarray(to, np.int64)), pa.py_buffer(np.ascontiguousarray(text)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, texts.cast(pa.string())], ["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, ids array<int>, decoded string")
