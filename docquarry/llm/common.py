@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Edges that a task turns into stars at a time.
 TASK_EDGES = 1 << 18
@@ -30,6 +31,11 @@ def trainable(mod: int, held: int, id_col: str = "doc_id") -> Column:
     return F.coalesce(fold(mod, id_col) != held, F.lit(False))
 
 
+def whole_id(df: DataFrame, name: str) -> Column:
+    """An id column of ``df``: whole numbers as long, any other type as it is."""
+    return F.col(name).cast("long") if isinstance(df.schema[name].dataType, T.IntegralType) else F.col(name)
+
+
 def free(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores after it until it clashes with no column of ``taken``."""
     taken = {c.lower() for c in taken}

@@ -4,8 +4,10 @@ Unit vectors are cut into halves; each half has a codebook of its own, and a pai
 of the product grid. Equal vectors are one class. A class is stored in the cell of its nearest codewords
 and visits cells in ascending order of a lower bound: what its two halves would have to move, at
 least, to reach a cell's own region. The multi-sequence traversal of the two sorted lists stops where the
-bound passes the one that reaches ``RECALL`` of sampled neighbours at the threshold itself, and never beyond
-the bound that no link can pass. Pairs that meet in a cell are verified by cosine in double precision.
+bound passes the one that reaches ``RECALL`` of each kind of neighbour that a sample shows: pairs in it at the
+threshold or nearer, and neighbours simulated at the threshold itself in any direction, towards other rows,
+towards the nearest ones, and within either half alone. It never goes beyond the bound that no link can pass,
+which ``recall=1`` takes at once (exact). Pairs that meet in a cell are verified by cosine in double precision.
 
 The codebooks grow with the largest label, about ``FILL`` classes of it to a cell, and are fitted with the
 bound on at most ``SAMPLE`` classes (lowest hash first); every class is indexed. Neighbouring cells of a label
@@ -17,7 +19,7 @@ Defined cases: a row whose label is null, or whose vector is null, empty, zero o
 non-finite parts links with nothing; vectors of different length do not link; a repeated row is another
 vector (one more link); rows are told apart by their vectors, so rows that share a vec_id need not share a
 component; a row without vec_id links and counts like any other, and its component is the smallest vec_id it
-reaches (null without any); an empty table gives an empty result; other columns are ignored. Vectors are
+reaches (null without any), of the type of vec_id, whole numbers as long; an empty table gives an empty result; other columns are ignored. Vectors are
 told apart by two 64-bit hashes.
 """
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import connected_components, materialize
+from docquarry.llm.common import connected_components, materialize, whole_id
 
 THRESHOLD, RECALL = 0.93, 0.999
 SAMPLE, BLOCK = 8000, 2048
@@ -75,14 +77,28 @@ class MultiIndex:
         self.cut, self.safe = max(1, sample.shape[1] // 2), 2 * (1 - threshold) + 1e-9
         self.books = [along(kmeans(x, words)) for x in self.halves(sample)]
         self.gaps = [np.sqrt(distances(b, b)) for b in self.books]
-        # neighbours at the threshold in random directions: how far must a traversal go to their cells?
-        turn = np.random.default_rng(seed).normal(size=sample.shape)
-        turn -= (turn * sample).sum(axis=1, keepdims=True) * sample
-        turn /= np.maximum(np.sqrt((turn**2).sum(axis=1, keepdims=True)), 1e-12)
-        other = threshold * sample + np.sqrt(max(0.0, 1 - threshold**2)) * turn
-        rows, bounds, cells = np.arange(len(sample)), self.bounds(sample), self.home(other)
-        need = bounds[0][rows, cells[0]] + bounds[1][rows, cells[1]]
-        self.stop = float(min(self.safe, np.quantile(need, recall) + 1e-9))
+        self.stop = self.safe
+        if recall < 1:
+            needs = [np.quantile(self.needed(sample, other), recall) for other in simulated(sample, self.cut, threshold, seed)]
+            self.stop = float(min(self.safe, max(self.needed_by_pairs(sample, threshold, recall), *needs) + 1e-9))
+
+    def needed(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The bound at which u visits the home of v."""
+        rows, bounds, cells = np.arange(len(u)), self.bounds(u), self.home(v)
+        return bounds[0][rows, cells[0]] + bounds[1][rows, cells[1]]
+
+    def needed_by_pairs(self, u: np.ndarray, threshold: float, recall: float, bins: int = 4096) -> float:
+        """The bound that reaches the share ``recall`` of the neighbours among the rows (all of few)."""
+        counts, home = np.zeros(bins, np.int64), self.home(u)
+        for k in range(0, len(u), 256):
+            near = u[k : k + 256] @ u.T >= threshold
+            near[np.arange(len(near)), np.arange(k, k + len(near))] = False
+            if near.any():
+                one, two = self.bounds(u[k : k + 256])
+                need = (one[:, home[0]] + two[:, home[1]])[near]
+                counts += np.bincount(np.minimum(need * (bins / self.safe), bins - 1).astype(np.int64), minlength=bins)
+        reached = counts.cumsum()
+        return float((np.searchsorted(reached, recall * reached[-1]) + 1) * self.safe / bins) if reached[-1] else 0.0
 
     def halves(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return u[:, : self.cut], u[:, self.cut :]
@@ -131,6 +147,33 @@ class MultiIndex:
         return bounds[0][:, one] + bounds[1][:, two] <= self.stop
 
 
+def simulated(sample: np.ndarray, cut: int, threshold: float, seed: int) -> Iterator[np.ndarray]:
+    """A neighbour of each row exactly at the threshold: in any direction, along the data (towards other rows,
+    and towards the nearest ones), and along the data or in any direction within one half."""
+    rng, n = np.random.default_rng(seed), len(sample)
+    near = np.zeros(n, np.int64)
+    for k in range(0, n, 1024):
+        like = sample[k : k + 1024] @ sample.T
+        like[like >= threshold] = -2
+        like[np.arange(len(like)), np.arange(k, k + len(like))] = -2
+        near[k : k + 1024] = like.argmax(axis=1)
+    free = rng.normal(size=sample.shape)
+    toward, nearest = sample[rng.integers(0, n, n)] - sample, sample[near] - sample
+    for way in (free, toward, nearest):
+        for half in (slice(None), slice(0, cut), slice(cut, None)):
+            turn = np.zeros_like(sample)
+            turn[:, half] = way[:, half]
+            # at right angles to the row, and of length 1 where something is left
+            own = np.zeros_like(sample)
+            own[:, half] = sample[:, half]
+            turn -= (turn * sample).sum(axis=1, keepdims=True) / np.maximum((own * own).sum(axis=1, keepdims=True), 1e-12) * own
+            size = np.sqrt((turn**2).sum(axis=1, keepdims=True))
+            good = size[:, 0] > 1e-6
+            other = sample.copy()
+            other[good] = threshold * sample[good] + np.sqrt(max(0.0, 1 - threshold**2)) * (turn[good] / size[good])
+            yield other
+
+
 def along(words: np.ndarray) -> np.ndarray:
     """Codewords in the order of their widest direction, so that neighbours share a bundle."""
     middle = words - words.mean(axis=0)
@@ -160,7 +203,7 @@ def usable(df: DataFrame) -> DataFrame:
     return df.where("label IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0").where(~bad & some)
 
 
-def links(classes: DataFrame, threshold: float) -> DataFrame:
+def links(classes: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
     """(cid, n, root): of each class and task, the vectors it is linked to and a class it hangs together
     with. classes: cid, m (vectors in it), label, dim, embedding; all of one dim."""
     spark = classes.sparkSession
@@ -168,7 +211,7 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
     largest = labels.agg(F.max("of_label")).first()[0]
     rows = classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("embedding").toArrow()
     words = int(np.clip(np.ceil(np.sqrt(largest / FILL)), LEAST_WORDS, MOST_WORDS))
-    index = spark.sparkContext.broadcast(MultiIndex(unit(matrix(rows.column("embedding"))), words, threshold))
+    index = spark.sparkContext.broadcast(MultiIndex(unit(matrix(rows.column("embedding"))), words, threshold, recall))
     names = ["label", "cid", "m", "embedding", "home", "own", "bundles"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +272,7 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("label", "bundle", "task").applyInArrow(verify, "cid long, n long, root long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
     known = [F.xxhash64(F.lit(k), "embedding").alias(f"d{k}") for k in (1, 2)]
     whole = vectors.select("vec_id", "label", "embedding").select("*", *known, F.size("embedding").alias("dim"))
@@ -237,9 +280,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     found = None
     for (dim,) in classes.select("dim").distinct().orderBy("dim").collect():
-        part = links(classes.where(F.col("dim") == dim), threshold)
+        part = links(classes.where(F.col("dim") == dim), threshold, recall)
         found = part if found is None else found.unionAll(part)
-    own = F.col("vec_id").cast("long")
+    own = whole_id(vectors, "vec_id")
     if found is None:
         return whole.select("vec_id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id"), F.lit(True).alias("kept"))
     found = materialize(found, "links")
@@ -248,7 +291,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     told = classes.select("label", "dim", "d1", "d2", "cid", "m").join(sums, "cid", "left").join(parts, F.col("cid") == F.col("node"), "left")
     told = told.select("label", "dim", "d1", "d2", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
     out = materialize(whole.select("vec_id", "label", "dim", "d1", "d2").join(told, ["label", "dim", "d1", "d2"], "left").select("vec_id", "n_links", "component"), "told")
-    least = out.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").cast("long").alias("least"))
+    least = out.where("component IS NOT NULL").groupBy("component").agg(F.min(own).alias("least"))
     out = out.join(least, "component", "left")
     component = F.when(F.col("component").isNull(), own).otherwise(F.col("least"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(own == component, F.lit(False)).alias("kept"))
