@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.blocks import distinct, pack, parted, shards_for, squeeze, total_bytes, unpacked, unsqueeze
-from docquarry.llm.common import in_fold, materialize
+from docquarry.llm.common import in_fold, materialize, trainable
 from docquarry.llm.text import LOWER, Words, batches_of, joined, mixed
 
 #: Context bytes at most; the nearest SPLIT of them choose the shard.
@@ -188,14 +188,11 @@ def log_probabilities(pairs: np.ndarray, levels: list[Level], top: Top) -> np.nd
 # --------------------------------------------------------------------------------------------- Spark
 
 
-def _trains(doc_ids: list, mod: int, held: int) -> np.ndarray:
-    return np.array([d is not None and zlib.crc32(str(d).encode()) % mod != held for d in doc_ids], bool)
-
-
-def _parts(row: dict, mod: int, held: int) -> Iterator[tuple[Words, np.ndarray, list]]:
-    doc_ids, data, offsets = unpacked(row)
+def _parts(row: dict) -> Iterator[tuple[Words, np.ndarray]]:
+    ids, data, offsets = unpacked(row)
+    trains = np.array([x["trains"] for x in ids], bool)
     for a, b in batches_of(data, offsets, 2 << 20):
-        yield Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]), _trains(doc_ids[a:b], mod, held), doc_ids[a:b]
+        yield Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]), trains[a:b]
 
 
 def _counted(values: list[np.ndarray], trained: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,9 +204,9 @@ def _counted(values: list[np.ndarray], trained: list[np.ndarray]) -> tuple[np.nd
     return keys, out
 
 
-def _block_pairs(row: dict, mod: int, held: int, counted: bool = True):
+def _block_pairs(row: dict, counted: bool = True):
     pairs, trained, starts, base = [], [], [], 0
-    for words, trains, _ in _parts(row, mod, held):
+    for words, trains in _parts(row):
         pair, first = streams(words)
         pairs.append(pair)
         starts.append(first + base)
@@ -219,9 +216,9 @@ def _block_pairs(row: dict, mod: int, held: int, counted: bool = True):
     return pairs, trained, np.concatenate(starts) if starts else np.zeros(0, np.int64)
 
 
-def _block_words(row: dict, mod: int, held: int):
+def _block_words(row: dict):
     hashes, trained, counts = [], [], []
-    for words, trains, _ in _parts(row, mod, held):
+    for words, trains in _parts(row):
         h = words.hashes()
         hashes.append(h)
         counts.append(words.counts)
@@ -232,12 +229,12 @@ def _block_words(row: dict, mod: int, held: int):
 ASKS = "kind string, shard int, block long, n int, keys binary, counts binary"
 
 
-def asks(packed: DataFrame, shards: int, mod: int, held: int) -> DataFrame:
+def asks(packed: DataFrame, shards: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 for kind, made, place in (("pair", _block_pairs, shard_of), ("word", _block_words, lambda x, s: (x % np.uint64(s)).astype(np.int64))):
-                    values, trained, _ = made(row, mod, held)
+                    values, trained, _ = made(row)
                     keys, n = _counted(values, trained)
                     del values, trained
                     for s, at in parted(keys, place(keys, shards), shards):
@@ -337,12 +334,13 @@ def scores(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and code_length (bits for a
     byte of the coded text) of each document."""
     shards = shards_for(total_bytes(docs))
-    packed = pack(docs)
-    asked = asks(packed, shards, mod, held)
+    # what a document is called, and whether it is learned from, travel as one
+    packed = pack(docs.select(F.struct("doc_id", trainable(mod, held).alias("trains")).alias("doc_id"), "text"))
+    asked = asks(packed, shards)
     pairs = asked.where("kind = 'pair'").drop("kind").withColumn("kind", F.lit("pair"))
     words = asked.where("kind = 'word'")
     counted = word_answers(words)
-    ends = docs.where(F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) != held, F.lit(False))).count()
+    ends = docs.where(trainable(mod, held)).count()
     sums = [np.frombuffer(r[0], np.int64) for r in counted.where("block = -1").select("values").collect()]
     n_all = int(sum(x[0] for x in sums)) + ends
     distinct_all = int(sum(x[1] for x in sums)) + (ends > 0)
@@ -353,11 +351,11 @@ def scores(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
         got: dict[str, dict[int, bytes]] = {"word": {}, "pair": {}}
         for k, s, v in zip(*(right.column(c).to_pylist() for c in ("kind", "shard", "values")), strict=True):
             got[k][s] = v
-        own = left.schema.field("doc_ids").type.value_type
+        own = left.schema.field("doc_ids").type.value_type.field("doc_id").type
         base_unit = np.log10(n_all + 0.1 * (distinct_all + 1)) if n_all or distinct_all else np.log10(0.1)
         out = []
         for row in left.to_pylist():
-            hashes, _, counts = _block_words(row, mod, held)
+            hashes, _, counts = _block_words(row)
             keys = distinct(np.concatenate([np.zeros(0, np.uint64), *hashes]))[0]
             known = _lined_up(keys, (keys % np.uint64(shards)).astype(np.int64), shards, {s: unsqueeze_counts(v) for s, v in got["word"].items()}, np.int64)
             n = len(counts)
@@ -366,13 +364,13 @@ def scores(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
             base = np.bincount(of, np.log10(c + 0.1) - base_unit, n) + np.log10(ends + 0.1) - base_unit
             n_known = np.bincount(of, c > 0, n).astype(np.int64) + (ends > 0)
             del hashes, c, of
-            parts, _, starts = _block_pairs(row, mod, held, counted=False)
+            parts, _, starts = _block_pairs(row, counted=False)
             keys = distinct(np.concatenate([np.zeros(0, np.uint64), *parts]))[0]
             logs = _lined_up(keys, shard_of(keys, shards), shards, {s: np.frombuffer(v, np.float32) for s, v in got["pair"].items()}, np.float64)
             bits = np.concatenate([logs[np.searchsorted(keys, p)] for p in parts]) if parts else np.zeros(0)
             total = np.add.reduceat(bits, starts) if n else np.zeros(0)
             size = np.diff(np.append(starts, len(bits)))
-            out.append(pa.table({"doc_id": pa.array(row["doc_ids"], own), "n_tokens": counts + 1, "n_known": n_known, "base_score": base, "score": total * LOG10_2, "code_length": -total / size}))
+            out.append(pa.table({"doc_id": pa.array([x["doc_id"] for x in row["doc_ids"]], own), "n_tokens": counts + 1, "n_known": n_known, "base_score": base, "score": total * LOG10_2, "code_length": -total / size}))
         return pa.concat_tables(out)
 
     both = packed.groupBy("block").cogroup(answers.groupBy("block"))
