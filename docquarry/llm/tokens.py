@@ -16,7 +16,7 @@ so the ids are the same, and a unit that returns is encoded once. Words that hol
 perhaps) stay whole and in their own case. Under any other file whole texts go to the library.
 
 Defined cases: null and empty texts give the end id alone; repeated rows are written each, equal ids in
-the order of their texts; a null doc_id comes first; an empty table gives an empty result; other columns
+the order of their texts (and dealt over shards by how those begin); a null doc_id comes first; an empty table gives an empty result; other columns
 are ignored. A longer document than ``BLOCK`` ids has a block of its own.
 """
 
@@ -229,7 +229,7 @@ def write_blocks(docs: DataFrame, path: str, vocabulary_file: str, end: int | No
         if held:
             yield row()
 
-    placed = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    placed = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     placed.mapInArrow(scan, BLOCKS.format(kind)).write.option("compression", "zstd").parquet(path)
 
 
