@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame operations only.
 
-Words are cut into equal blocks. Seats (blocks) go to sources by highest quotients target/(2s+1),
+Words are cut into equal blocks of ``block`` words, or fewer (to one word) where that is over 1/``block`` of
+the least target, so that no source is too small for a seat. Seats (blocks) go to sources by highest quotients target/(2s+1),
 then inside a source to its shards by size, so every shard has an integer quota and can select on
-its own. A shard takes no more seats than its words allow under the limit: what it refuses goes to
-the next quotients. A source has one shard for about ``SHARD_WORDS`` words. Inside a shard documents
+its own. Neither takes more seats than its words allow under the limit (the last block is cut in words): what it
+refuses goes to the next quotients. A source has one shard for about ``SHARD_WORDS`` words. Inside a shard documents
 stand in a seeded order on a circle of words; the quota is taken as whole rounds plus one run that
 starts at a seeded block.
 
@@ -101,21 +102,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     bucket = F.pmod("at", F.lit(BUCKETS)).cast("int")
     by = materialize(docs.groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("n")), "mix")
     sources = source_targets(by.groupBy("key").agg(F.sum("n").alias("source_size")), weights, share, limit)
-    sources = sources.withColumn("all", F.lit(1)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("all")) / block).cast("long"))
+    every = Window.partitionBy("all")
+    sources = sources.withColumn("all", F.lit(1)).withColumn("least", F.min(F.when(F.col("target") > 0, F.col("target"))).over(every))
+    sources = sources.withColumn("block", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("least") / block))), F.lit(block)).cast("long"))
+    sources = sources.withColumn("seats", F.round(F.sum("target").over(every) / F.col("block")).cast("long")).withColumn("most", F.ceil(F.col("source_size") * F.lit(float(limit)) / F.col("block")))
     shards = F.least(F.lit(BUCKETS), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("source_size") / shard_words, F.lit(1.0)))))).cast("int")
-    sources = materialize(sainte_lague(sources, ["all"], "key", "target", "seats").select("key", "source_size", "target", F.col("quota").alias("blocks"), shards.alias("shards")), "sources")
-    parts = by.join(sources, "key").groupBy("key", F.pmod("bucket", F.col("shards")).alias("shard"), "source_size", "target", "blocks").agg(F.sum("n").alias("n"))
+    sources = materialize(sainte_lague(sources, ["all"], "key", "target", "seats", "most").select("key", "source_size", "target", "block", F.col("quota").alias("blocks"), shards.alias("shards")), "sources")
+    parts = by.join(sources, "key").groupBy("key", F.pmod("bucket", F.col("shards")).alias("shard"), "source_size", "target", "block", "blocks").agg(F.sum("n").alias("n"))
     parts = parts.withColumn("words", F.floor(F.col("n") * F.lit(float(limit))).cast("long"))
-    parts = parts.withColumn("most", F.ceil(F.col("words") / block))
+    parts = parts.withColumn("most", F.ceil(F.col("words") / F.col("block")))
     full = F.col("target") >= F.floor(F.col("source_size") * F.lit(float(limit)))
     parts = parts.withColumn("blocks", F.when(full, F.sum("most").over(Window.partitionBy("key"))).otherwise(F.col("blocks")))
     quota = sainte_lague(parts, ["key"], "shard", "n", "blocks", "most")
-    words, n = F.least(F.col("quota") * block, F.col("words")), F.col("n")
+    words, n = F.least(F.col("quota") * F.col("block"), F.col("words")), F.col("n")
     quota = quota.select(
         "key", "shard", "source_size", "target", "n",
         F.when(n > 0, F.floor(words / n)).otherwise(0).cast("long").alias("rounds"),
         F.when(n > 0, words % n).otherwise(0).alias("rest"),
-        F.when(n > 0, F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.ceil(n / block)) * block).otherwise(0).alias("from"),
+        F.when(n > 0, F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.ceil(n / F.col("block"))) * F.col("block")).otherwise(0).alias("from"),
     )
     quota = materialize(quota, "quota")
     df = docs.join(sources.select("key", "shards"), "key").withColumn("shard", F.pmod("at", F.col("shards").cast("long")).cast("int"))
