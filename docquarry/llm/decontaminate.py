@@ -27,7 +27,7 @@ from docquarry.llm.text import LOWER, NOT_ALNUM, Words, batches_of, mixed, power
 #: Words of a window, of a k-gram, and k-grams to a winnowing window.
 WINDOW, GRAM = 10, 5
 SPREAD = WINDOW - GRAM + 1
-#: Bytes of benchmark text that one broadcast index covers; more items go by further passes.
+#: Bytes of benchmark text that a broadcast index covers; a larger benchmark is joined by a shuffle.
 INDEX_BYTES = 16 << 20
 
 
@@ -168,40 +168,147 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = (
     """The ``keep`` columns of each document with n_words, spans (merged spans of hit words) and items (ids
     met, sorted as strings), under names that are ``free`` beside ``keep`` and text.
 
-    The benchmark's size is read first; up to ``index_bytes`` of text make one broadcast index. More
-    go by several passes over all documents, each with its own part of the items, and add up.
+    The benchmark's size (distinct texts with their ids) is read first. Up to ``index_bytes`` of it make one
+    broadcast index; a larger one is joined by a shuffle of fingerprints.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-total // index_bytes))
-    keep, out = list(keep), None
+    keep = list(keep)
     made = [free(c, [*keep, "text"]) for c in ("n_words", "spans", "items")]
-    for k in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
-        shared = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
-        first, last = k == 0, k == passes - 1
-        source = docs if first else out
-        names = keep if last else list(dict.fromkeys([*keep, "text"]))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, first=first, names=tuple(names)) -> Iterator[pa.RecordBatch]:
+    item_id = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
+    items = benchmark.where("text is not null").select(item_id.alias("item_id"), "text").distinct()
+    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+    if total > index_bytes:
+        return joined_contamination(docs, items, keep, made)
+    rows = items.collect()
+    shared = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, spans, met = hits(shared.value, batch.column("text"))
+            spans = [[{"a": a, "b": b} for a, b in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(spans, _SPAN), pa.array(met, pa.list_(pa.string()))], [*keep, *made])
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    need = list(dict.fromkeys([*keep, "text"]))
+    return docs.select(*(F.col(f"`{c}`") for c in need)).mapInArrow(scan, f"{schema}, {FOUND.format(*made)}")
+
+
+# ------------------------------------------------------------------------- a benchmark of any size, by joins
+
+
+def signed(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view(np.int64), pa.int64())
+
+
+def fingerprints(words: Words, shorter: Sequence[int], whole: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, first words, hashes): the winnowed k-grams of every text (``GRAM``) and all runs of the lengths
+    in ``shorter``; of texts of that very length only where ``whole``."""
+    hashes = words.hashes()
+    last = np.repeat(words.first[1:], words.counts)
+    if len(hashes) >= WINDOW:
+        grams, m = rolling(hashes, GRAM), len(hashes) - WINDOW + 1
+        kept = winnowed(grams, np.arange(m) + WINDOW <= last[:m])
+        yield 0, kept, grams[kept]
+    for n in shorter:
+        runs = rolling(hashes, n)
+        at = np.arange(len(runs))
+        at = at[at + n <= last[: len(at)]]
+        if whole:
+            at = np.intersect1d(at, words.first[:-1][words.counts == n])
+        yield n, at, runs[at]
+
+
+def windows_at(words: Words, first: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that begin at the words ``first``."""
+    return rolling(words.hashes(), WINDOW)[first]
+
+
+def joined_contamination(docs: DataFrame, items: DataFrame, keep: Sequence[str], made: Sequence[str]) -> DataFrame:
+    """``contamination`` for a benchmark that no task could hold: fingerprints of both sides meet in a shuffle, and
+    where they meet the windows around them do, by their whole hashes."""
+    rid = free("rid", [*keep, "text"])
+    need = list(dict.fromkeys([*keep, "text"]))
+    own_spans, own_names = free("found_spans", need), free("found_names", need)
+    source = materialize(docs.select(*(F.col(f"`{c}`") for c in need)).withColumn(rid, F.monotonically_increasing_id()), "documents")
+    slim = source.select(F.col(rid).alias("rid"), "text")
+    texts = materialize(items.select("text").distinct().select(F.xxhash64("text").alias("tid"), "text"), "texts")
+    long_, short = pa.int64(), pa.int32()
+
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple[int, Words]]:
+        data, offsets = texts_of(batch.column("text"))
+        for a, b in batches_of(data, offsets, 1 << 20):
+            yield a, Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], NOT_ALNUM)
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, words in cut(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(words.counts), short)], ["n"])
+
+    found = [r.n for r in texts.select("text").mapInArrow(lengths, "n int").where(f"n between 1 and {WINDOW - 1}").distinct().collect()]
+    shorter = sorted(found)
+
+    def marks(name: str, whole: bool):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n, spans, met = hits(shared.value, batch.column("text"))
-                if not first:
-                    spans = [merged([*map(lambda x: (x["a"], x["b"]), x), *y]) for x, y in zip(batch.column(made[1]).to_pylist(), spans, strict=True)]
-                    met = [sorted({*x, *y}) for x, y in zip(batch.column(made[2]).to_pylist(), met, strict=True)]
-                spans = [[{"a": a, "b": b} for a, b in x] for x in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(spans, _SPAN), pa.array(met, pa.list_(pa.string()))],
-                    [*names, *made],
-                )
-
-        schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-        need = list(dict.fromkeys([*keep, "text"])) + ([] if first else made[1:])
-        out = source.select(*(F.col(f"`{c}`") for c in need)).mapInArrow(scan, f"{schema}, {FOUND.format(*made)}")
-        if not last:
-            out = materialize(out, "hits")
-    return out
+                own = batch.column(name).to_numpy()
+                for a, words in cut(batch):
+                    of = np.repeat(np.arange(len(words.counts)), words.counts)
+                    for n, at, hashes in fingerprints(words, shorter, whole):
+                        d = of[at]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n), short), signed(hashes), pa.array(own[a + d], long_), pa.array(at - words.first[d], long_)], ["n", "hash", name, "at"])
+
+        return scan
+
+    theirs = materialize(texts.mapInArrow(marks("tid", True), "n int, hash long, tid long, at long"), "item_marks")
+    ours = slim.mapInArrow(marks("rid", False), "n int, hash long, rid long, at long")
+    met = materialize(ours.join(theirs.select("n", "hash").distinct(), ["n", "hash"], "left_semi"), "marks")
+
+    # windows of items, and of documents around the marks that met
+    def all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("tid").to_numpy()
+            for a, words in cut(batch):
+                first = np.arange(max(len(words) - WINDOW + 1, 0))
+                first = first[first + WINDOW <= np.repeat(words.first[1:], words.counts)[: len(first)]]
+                of = np.repeat(np.arange(len(words.counts)), words.counts)[first]
+                yield pa.RecordBatch.from_arrays([signed(windows_at(words, first)), pa.array(own[a + of], long_)], ["hash", "tid"])
+
+    def near_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, places = batch.column("rid").to_numpy(), batch.column("places")
+            for a, words in cut(batch):
+                near = np.zeros(len(words) + 1, bool)
+                for k, base in enumerate(words.first[:-1].tolist()):
+                    at = base + places[a + k].values.to_numpy()
+                    for back in range(SPREAD):
+                        near[at[at - back >= base] - back] = True
+                first = np.flatnonzero(near[: max(len(words) - WINDOW + 1, 0)])
+                first = first[first + WINDOW <= np.repeat(words.first[1:], words.counts)[first]]
+                of = np.repeat(np.arange(len(words.counts)), words.counts)[first]
+                yield pa.RecordBatch.from_arrays([signed(windows_at(words, first)), pa.array(own[a + of], long_), pa.array(first - words.first[of], long_)], ["hash", "rid", "at"])
+
+    whole = materialize(texts.mapInArrow(all_windows, "hash long, tid long").distinct(), "item_windows")
+    marked = met.where("n = 0").groupBy("rid").agg(F.collect_list("at").alias("places"))
+    asked = slim.join(marked, "rid").mapInArrow(near_windows, "hash long, rid long, at long")
+    hit = asked.join(whole.select("hash").distinct(), "hash", "left_semi").select(F.lit(0).alias("n"), "hash", "rid", "at")
+    hit = materialize(hit.unionByName(met.where("n > 0").select("n", "hash", "rid", "at")), "hits")
+    # spans, and the texts whose windows occur
+    length = F.when(F.col("n") == 0, WINDOW).otherwise(F.col("n"))
+    pieces = F.sort_array(F.collect_set(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b"))))
+    spans = hit.groupBy("rid").agg(pieces.alias(own_spans))
+    known = whole.select(F.lit(0).alias("n"), "hash", "tid").unionAll(theirs.where("n > 0").select("n", "hash", "tid").distinct())
+    ids = items.select(F.xxhash64("text").alias("tid"), "item_id")
+    names = hit.select("rid", "n", "hash").distinct().join(known, ["n", "hash"]).select("rid", "tid").distinct().join(ids, "tid").groupBy("rid").agg(F.sort_array(F.collect_set("item_id")).alias(own_names))
+    both = source.join(spans.join(names, "rid").withColumnRenamed("rid", rid), rid, "left")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.concatenate([np.zeros(0, np.int64), *(words.counts for _, words in cut(batch))])
+            spans = [[{"a": a, "b": b} for a, b in merged([(y["a"], y["b"]) for y in x or []])] for x in batch.column(own_spans).to_pylist()]
+            items = [x or [] for x in batch.column(own_names).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))], [*keep, *made])
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return both.select(*(F.col(f"`{c}`") for c in need), own_spans, own_names).mapInArrow(finish, f"{schema}, {FOUND.format(*made)}")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
