@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import connected_components, materialize
+from docquarry.llm.common import connected_components, materialize, whole_id
 from docquarry.llm.text import LOWER, Words, batches_of, texts_of
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -258,10 +258,13 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of each document."""
+    """doc_id, fingerprint (16 hex digits) and component_id (of the type of doc_id, whole numbers as long) of
+    each document."""
     prints = materialize(with_fingerprints(docs, ("doc_id",)), "prints")
-    classes = materialize(prints.where("doc_id IS NOT NULL").groupBy("__fp").agg(F.min("doc_id").cast("long").alias("__rep")), "classes")
+    known = prints.where("doc_id IS NOT NULL").groupBy("__fp").agg(F.min(whole_id(docs, "doc_id")).alias("__id"))
+    classes = materialize(known.withColumn("__rep", F.col("__fp")), "classes")
     parts = connected_components(links(classes, distance))
-    where = classes.join(parts, F.col("__rep") == F.col("node"), "left").select("__fp", F.coalesce("component", "__rep").alias("__component"))
-    whole = prints.join(where, "__fp", "left")
-    return whole.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))
+    where = classes.join(parts, F.col("__rep") == F.col("node"), "left").select("__fp", "__id", F.coalesce("component", "__rep").alias("__component"))
+    least = where.groupBy("__component").agg(F.min("__id").alias("component_id"))
+    whole = prints.join(where.join(least, "__component").select("__fp", "component_id"), "__fp", "left")
+    return whole.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
