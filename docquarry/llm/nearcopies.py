@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import neardup
-from docquarry.llm.common import connected_components, materialize
+from docquarry.llm.common import connected_components, materialize, whole_id
 from docquarry.llm.text import LOWER, Words, batches_of, mixed, texts_of
 
 WIDTH, SIMILAR = 5, (4, 5)
@@ -76,11 +76,11 @@ def sets_of(column) -> list[np.ndarray]:
     return out
 
 
-def set_key(x: np.ndarray) -> int:
-    """A 64-bit hash of a set, as a signed long."""
+def set_keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit hashes of each set, as signed longs."""
     with np.errstate(over="ignore"):
-        h = mixed(np.array([mixed(x).sum(dtype=np.uint64) + np.uint64(len(x))], np.uint64))
-    return int(h.view(np.int64)[0])
+        sums = [[mixed(x ^ c).sum(dtype=np.uint64) + np.uint64(len(x)) for x in sets] for c in (np.uint64(0), np.uint64(0x9E3779B97F4A7C15))]
+        return [pa.array(mixed(np.array(x, np.uint64)).view(np.int64), pa.int64()) for x in sums]
 
 
 def prefix_of(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -108,21 +108,21 @@ def frequent_of(docs: DataFrame) -> np.ndarray:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = sets_of(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["set", "shingles"])
+            yield pa.RecordBatch.from_arrays([*set_keys(sets), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["key", "check", "shingles"])
 
     some = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.join(F.broadcast(some), "doc_id", "left_semi").select("text")
-    found = texts.mapInArrow(scan, "set long, shingles array<long>").dropDuplicates(["set"]).select(F.explode("shingles").alias("shingle"))
+    found = texts.mapInArrow(scan, "key long, check long, shingles array<long>").dropDuplicates(["key", "check"]).select(F.explode("shingles").alias("shingle"))
     most = found.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, OFTEN * SAMPLE))
     top = most.orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).toPandas()
     return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-PRINTS = "doc_id long, text_hash long, set long, n long, fp long, prefix array<long>, sketch array<int>"
+PRINTS = "doc_id {}, text_hash long, key long, check long, n long, fp long, prefix array<long>, sketch array<int>"
 
 
 def prints_of(docs: DataFrame) -> DataFrame:
-    """What is known of each document, from one pass over the texts: its set's key and size, SimHash,
+    """What is known of each document, from one pass over the texts: the two keys of its set and its size, SimHash,
     prefix and sketch."""
     late = docs.sparkSession.sparkContext.broadcast(frequent_of(docs))
 
@@ -130,12 +130,12 @@ def prints_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = sets_of(batch.column("text"))
             columns = [
-                pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(neardup.majority(x).view(np.int64)) for x in sets], pa.int64()),
+                *set_keys(sets), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(neardup.majority(x).view(np.int64)) for x in sets], pa.int64()),
                 pa.array([prefix_of(x, late.value).view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([x[:SKETCH].astype(np.uint32).view(np.int32) for x in sets], pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], ["doc_id", "text_hash", "set", "n", "fp", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], ["doc_id", "text_hash", "key", "check", "n", "fp", "prefix", "sketch"])
 
-    return materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(scan, PRINTS), "prints")
+    return materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(scan, PRINTS.format(docs.schema["doc_id"].dataType.simpleString())), "prints")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -156,13 +156,14 @@ def texts_for(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([set_key(x) for x in sets_of(batch.column("text"))], pa.int64())
             body = pa.array([zstandard.compress((t or "").encode(), 3) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("set"), found, body], ["set", "found", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column("set"), body], ["set", "body"])
 
-    wanted = classes.join(sets, "set", "left_semi").select("set", F.col("rep").alias("doc_id"))
-    out = docs.select("doc_id", "text").join(wanted, "doc_id").select("set", "text").mapInArrow(scan, "set long, found long, body binary")
-    return materialize(out.where("set = found").select("set", "body").dropDuplicates(["set"]), "texts")
+    # by id and text: rows that share an id are fetched for their own text only
+    wanted = classes.join(sets, "set", "left_semi").select("set", "rep.doc_id", "rep.text_hash")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    out = keyed.join(wanted, ["doc_id", "text_hash"]).select("set", "text").mapInArrow(scan, "set long, body binary")
+    return materialize(out.dropDuplicates(["set"]), "texts")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -293,18 +294,28 @@ def rest(rows: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(found.groupBy("cluster", "x", "y").applyInPandas(linked, "a long, b long"), "links")
 
 
+def numbered(prints: DataFrame) -> DataFrame:
+    """One row of each distinct set, under a number of its own (``set``): its first key, or where different sets
+    share that a hash of both keys for all but the first."""
+    one = lambda c: F.first(c).alias(c)
+    rep = F.min(F.struct("doc_id", "text_hash")).alias("rep")
+    classes = materialize(prints.groupBy("key", "check").agg(rep, *map(one, ("n", "fp", "prefix", "sketch"))), "sets")
+    shared = classes.groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
+    number = F.when(F.col("check") != F.col("low"), F.xxhash64("key", "check")).otherwise(F.col("key"))
+    return classes.join(materialize(shared, "shared").select("key", "low"), "key", "left").withColumn("set", number).drop("low")
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, set and component (a number of its group) of each row that has an id."""
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.where("doc_id IS NOT NULL").select(whole_id(docs, "doc_id").alias("doc_id"), "text")
     prints = prints_of(docs)
-    one = lambda c: F.first(c).alias(c)
-    classes = materialize(prints.groupBy("set").agg(F.min("doc_id").alias("rep"), *map(one, ("n", "fp", "prefix", "sketch"))), "classes")
+    classes = materialize(numbered(prints), "classes")
     rows = meeting(classes).withColumn("component", F.col("set"))
     links = verified(by_fingerprint(classes).unionAll(by_prefix(rows)), docs, classes)
     links = links.unionAll(rest(joined(rows, links), docs, classes))
     parts = connected_components(links).select(F.col("node").alias("set"), "component")
-    whole = prints.select("doc_id", "text_hash", "set").join(parts, "set", "left")
-    return whole.withColumn("component", F.coalesce("component", "set"))
+    of_keys = classes.select("key", "check", "set").join(parts, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    return prints.select("doc_id", "text_hash", "key", "check").join(of_keys, ["key", "check"]).drop("key", "check")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -321,7 +332,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     per = grouped(docs).groupBy("component", "doc_id", "set", "text_hash").agg(F.count("*").alias("rows"))
     kept = per.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash", "rows"), own).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"), F.col("k.rows").alias("rows"))
     kept = materialize(kept, "kept")
-    keyed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    keyed = docs.where("doc_id IS NOT NULL").select(whole_id(docs, "doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     single = keyed.join(kept.where("rows = 1"), ["id", "hash"]).select("row.*")
     several = keyed.join(kept.where("rows > 1"), ["id", "hash"]).groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return single.unionAll(several).unionAll(docs.where("doc_id IS NULL"))
