@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from docquarry.llm import blocks, common, contexttree, decontaminate, embeddings, language, mixing, neardup, quality, queries, substrings, text, tokens, toxicity
+from docquarry.llm import blocks, common, contexttree, decontaminate, embeddings, language, mixing, nearcopies, neardup, quality, queries, substrings, text, tokens, toxicity
 
 
 def rows_of(df):
@@ -146,6 +146,86 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert {r["n_links"] for r in embeddings.near_duplicates(df.where("vec_id > 311 and vec_id < 316")).collect()} == {0}
 
 
+def shaped(kind):
+    rng = np.random.default_rng(11)
+    if kind == "low_rank":
+        return rng.normal(size=(700, 4)) @ rng.normal(size=(4, 48))
+    if kind == "one_half":
+        base = np.repeat(rng.normal(size=(20, 48)), 35, 0)
+        base[:, :24] += rng.normal(size=(700, 24)) * 0.45
+        return base
+    base, out = rng.normal(size=(14, 48)), []
+    for b in base:
+        turn = rng.normal(size=(3, 48))
+        out.append(b + np.linalg.norm(b) * 0.2 * rng.normal(size=(50, 3)) @ (turn / np.linalg.norm(turn, axis=1)[:, None]))
+    return np.concatenate(out)
+
+
+@pytest.mark.parametrize("kind", ["low_rank", "one_half", "clustered"])
+def test_links_of_data_of_few_dimensions_are_found(spark, kind, monkeypatch):
+    """Recall through the grid of 4 to 256 codewords; the safe bound is exact."""
+    v = shaped(kind)
+    u = embeddings.unit(v)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    for words in (4, 16, 64, 256):
+        grid = embeddings.MultiIndex(u[::2], words, 0.93)
+        home = grid.home(u)
+        bounds = grid.bounds(u)
+        visits = bounds[0][:, home[0]] + bounds[1][:, home[1]] <= grid.stop
+        found = near & (visits | visits.T)
+        assert found.sum() >= 0.99 * near.sum()
+        safe = embeddings.MultiIndex(u[::2], words, 0.93, recall=1.0)
+        assert safe.stop == safe.safe and (near <= (bounds[0][:, home[0]] + bounds[1][:, home[1]] <= safe.stop)).all()
+    df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embeddings, "LEAST_WORDS", 16)
+    part = brute.components(list(range(len(v))), lambda i, j: near[i, j])
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, recall=1.0).collect()}
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(v))] == list(zip(near.sum(axis=1).tolist(), part, strict=True))
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "double"])
+def test_ids_of_other_types(spark, docs, rows, kind):
+    """op3, op10, the near-copy stage and op5 on ids that are no longs."""
+    own = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+    want = {"string": "string", "int": "bigint", "double": "double"}[kind]
+    vectors = spark.createDataFrame([(5, [1.0, 0.0], 1), (40, [1.0, 0.01], 1), (None, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = embeddings.near_duplicates(vectors.withColumn("vec_id", F.col("vec_id").cast(kind)))
+    assert got.schema["component_id"].dataType.simpleString() == want
+    first = "40" if kind == "string" else 5
+    assert {(r["vec_id"], r["component_id"], r["kept"]) for r in got.collect()} == {(f(5), first, f(5) == first), (f(40), first, f(40) == first), (None, None, False)} if (f := {"string": str, "int": int, "double": float}[kind]) else None
+    prints = neardup.near_duplicates(own)
+    assert prints.schema["component_id"].dataType.simpleString() == want and prints.count() == len(rows)
+    assert nearcopies.groups(own).schema["component_id"].dataType.simpleString() == want
+    assert nearcopies.one_of_each(own).columns == own.columns
+    scored = contexttree.scores(own).collect()
+    learned = {r["doc_id"]: r["n_tokens"] for r in scored if r["doc_id"] is not None and not r["held_out"]}
+    assert sum(r["n_tokens"] for r in scored if r["doc_id"] is not None and not r["held_out"]) == scored[0]["train_tokens"] and learned
+
+
+def test_repeated_ids_fetch_their_own_texts(spark):
+    """Rows that share one id: a near-copy stage reads each text once."""
+    base = [[f"w{(k * 37 + x) % 5000}" for x in range(60)] for k in range(30)]
+    rows = [(7, " ".join(w)) for w in base] + [(7, " ".join([*w[:58], "x", "y"])) for w in base]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = nearcopies.numbered(nearcopies.prints_of(df))
+    assert nearcopies.texts_for(df, classes.select("set"), classes).count() == 60
+    assert nearcopies.one_of_each(df).count() == 30
+
+
+def test_sets_that_share_a_key_stay_apart(spark):
+    rows = [(k, 1, 9, c, 3, 0, [1], [1]) for k, c in ((1, 5), (2, 5), (3, 6), (4, -6))]
+    prints = spark.createDataFrame(rows, "doc_id long, text_hash long, key long, check long, n long, fp long, prefix array<long>, sketch array<int>")
+    got = nearcopies.numbered(prints).collect()
+    assert len(got) == 3 and len({r["set"] for r in got}) == 3 and {r["set"] for r in got if r["check"] == -6} == {9}
+
+
+def test_windows_with_one_hash_are_told_apart():
+    keys, check = np.array([5, 5, 7, 5, 7], np.uint64), np.array([1, 2, 3, 1, 3], "<u4")
+    order, first = substrings.grouped(keys, check)
+    assert np.diff(np.append(first, 5)).tolist() == [2, 1, 2] and keys[order].tolist() == [5, 5, 5, 7, 7]
+
+
 def test_traversal_visits_ascending_and_all_within_the_bound():
     rng = np.random.default_rng(2)
     u = embeddings.unit(rng.normal(size=(200, 10)))
@@ -384,13 +464,15 @@ def test_contamination_matches_brute_force(spark, docs, none, rows, size):
     assert clean.columns == docs.columns and clean.count() == sum(e[1] == 0 for e in expect) and {tuple(r)[:4] for r in clean.collect()} == kept
 
 
-def test_every_shared_window_is_found(spark):
+@pytest.mark.parametrize("size", [1 << 20, 100])
+def test_every_shared_window_is_found(spark, size):
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(30)]
     texts = [" ".join(rng.choice(words, rng.integers(0, 80))) for _ in range(150)]
     items = [(i, " ".join(t.split()[rng.integers(0, 20) :][:12])) for i, t in enumerate(texts[:40])]
+    items += [(100 + i, t) for i, t in enumerate(dict(items).values())] + [(0, "w1 w2 w3 again"), (200, "w5"), (201, "w7 w8")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(rows_of(decontaminate.contaminated_documents(df, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256")))
+    got = sorted(rows_of(decontaminate.contaminated_documents(df, spark.createDataFrame(items, "item_id long, text string"), index_bytes=size).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256")))
     assert got == [(i, *e) for i, e in enumerate(brute.contamination(texts, items))]
 
 
