@@ -129,12 +129,6 @@ def _(spark, d):
     return out.agg(F.count("*").cast("int").alias("files"))
 
 
-@query("st9_retention", "select event_id from events where ts >= (select max(ts) from events) - interval 7 days")
-def _(spark, d):
-    e = W.table(spark, d, "events")
-    return e.join(F.broadcast(e.agg(F.max("ts").alias("last"))), F.col("ts") >= F.col("last") - F.expr("interval 7 days")).select("event_id")
-
-
 @query("st10_multi_sink_stream", "select event_type, count(*) n, 2 copies from events group by 1")
 def _(spark, d):
     from docquarry.plans.streams import events

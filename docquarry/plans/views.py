@@ -214,4 +214,6 @@ def with_views(sql: str) -> str:
     if not views:
         return sql
     sql = sql.strip()
+    if sql.lower().startswith("with recursive "):
+        return f"with recursive {views}, {sql[15:]}"
     return f"with {views}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {views}\n{sql}"

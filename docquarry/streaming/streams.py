@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docquarry.storage import new_folder
 
@@ -52,24 +50,12 @@ def job_progress(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by("stage", F.struct("ts", "document_id")).alias("stage"), F.count("*").alias("events"))
 
 
-def usage_alerts(df: DataFrame, limit: float, share: float = 0.8, quiet_hours: int = 24) -> DataFrame:
-    """(tenant, quantity, ts) when a tenant's sum passes the share of its limit, once in the quiet hours."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, last = state.get if state.exists else (0.0, -1)
-        out = []
-        # all chunks of the key in one order, two numbers an event
-        events = pd.concat([pdf[["quantity", "ts"]].astype({"quantity": float}) for pdf in parts])
-        for q, ts in events.sort_values(["ts", "quantity"]).itertuples(index=False):
-            total += q
-            at = int(ts.timestamp())
-            if total >= share * limit and (last < 0 or at - last >= quiet_hours * 3600):
-                out.append((key[0], total, ts))
-                last = at
-        state.update((total, last))
-        yield pd.DataFrame(out, columns=["tenant", "quantity", "ts"])
-
-    return df.groupBy("tenant").applyInPandasWithState(step, "tenant long, quantity double, ts timestamp", "total double, last long", "append", GroupStateTimeout.NoTimeout)
+def completed_jobs(df: DataFrame, job: str, region: str, gap: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(job, start, end, regions) of jobs that are complete: each region counts once however often it comes, and a
+    job is over when nothing of it has come for the gap. Two stateful operators in one append stream."""
+    once = df.withWatermark("ts", late).dropDuplicatesWithinWatermark([job, region])
+    out = once.groupBy(F.session_window("ts", gap), job).agg(F.count("*").alias("regions"))
+    return out.select(job, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "regions")
 
 
 def run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
