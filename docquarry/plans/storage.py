@@ -1,7 +1,5 @@
 """Queries: what is written to files and read back, batch and stream."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from docquarry.operators import confidence as C
@@ -16,10 +14,37 @@ from docquarry.storage import new_folder
 from docquarry.streaming import streams as R
 
 
-@query("s1_s2_folder_source", "select 1 files, true hashed")
+#: A page as a file: its id, its text and a line end.
+PAGE = "cast(page_id as varchar) || chr(10) || coalesce(html, '') || chr(10)"
+PAGES = f"select page_id, octet_length(encode({PAGE})) size, sha256({PAGE}) sha256 from pages"
+
+
+def page_files(spark, d, path, where="true"):
+    """Each page as a file of its own, in four folders."""
+    text = F.concat(F.col("page_id").cast("string"), F.lit("\n"), F.coalesce("html", F.lit("")))
+    S.write_files(W.table(spark, d, "pages").where(where).select(text.alias("text"), (F.col("page_id") % 4).alias("shelf")), path, "text", "shelf")
+
+
+def of_page(files):
+    """Rows of files with the page's id, from the first line."""
+    return files.select(F.substring_index(F.col("content").cast("string"), "\n", 1).cast("long").alias("page_id"), "size", "sha256")
+
+
+@query("s1_s2_folder_source", f"select *, 's1' \"source\" from ({PAGES}) union all select *, 's2' from ({PAGES}) where page_id % 4 = 1 and size between 100 and 52428800")
+def _(spark, d):
+    path = new_folder(spark, "pages")
+    page_files(spark, d, path)
+    whole = of_page(S.folder(spark, path, "*.txt", recursive=True)).withColumn("source", F.lit("s1"))
+    part = of_page(S.folder(spark, path, "*.txt", prefix="shelf=1", recursive=True, least=S.LEAST, most=S.MOST)).withColumn("source", F.lit("s2"))
+    return whole.unionAll(part)
+
+
+@query("s2_listing", f"select page_id % 4 shelf, count(*) files, cast(sum(size) as bigint) size from ({PAGES}) group by 1")
 def _(spark, d):
-    out = S.folder(spark, d, "orders.parquet", content=False)
-    return out.groupBy().agg(F.count("*").cast("int").alias("files"), F.every((F.length("sha256") == 64) & (F.col("size") > 0)).alias("hashed"))
+    path = new_folder(spark, "pages")
+    page_files(spark, d, path)
+    shelf = F.regexp_extract("path", "shelf=([0-9]+)/", 1).cast("long")
+    return S.listing(spark, path, "*.txt").groupBy(shelf.alias("shelf")).agg(F.count("*").alias("files"), F.sum("size").alias("size"))
 
 
 @query("s5_json_lines", "select doc_id, lang, length(text) n from documents")
@@ -44,12 +69,15 @@ def _(spark, d):
     return spark.read.parquet(path).where("stage = 'purchase'").select("document_id", "tenant")
 
 
-@query("s9_data_lake", "select year(issue_date) as year, month(issue_date) as month, count(*) n from invoices group by 1, 2")
+@query("s9_data_lake", """with l as (select document_id, cast(ts as date) as "date", case when cast(ts as date) = date '2024-01-15' then ms + 1 else ms end ms from pipeline_metrics)
+select document_id, year("date") as "year", month("date") as "month", day("date") as "day", ms from l""")
 def _(spark, d):
     path = new_folder(spark, "lake")
-    days = W.invoices(spark, d).select("invoice_id", "issue_date").repartition(F.month("issue_date"))
-    S.write_by_day(days.withColumn("issue_date", F.trunc("issue_date", "month")), path, "issue_date")
-    return spark.read.parquet(path).groupBy(F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month")).agg(F.count("*").alias("n"))
+    rows = W.pipeline_metrics(spark, d).select("document_id", F.to_date("ts").alias("date"), "ms")
+    S.write_by_day(rows, path, "date")
+    # one day is loaded again, corrected
+    S.write_by_day(rows.where("date = date '2024-01-15'").withColumn("ms", F.col("ms") + 1), path, "date")
+    return spark.read.parquet(path).select("document_id", *(F.col(c).cast("long").alias(c) for c in ("year", "month", "day")), "ms")
 
 
 @query("s8_two_tables", "select i.invoice_id, i.vendor, count(l.pos) lines from invoices i left join line_items l using (invoice_id) group by 1, 2")
@@ -60,23 +88,40 @@ def _(spark, d):
     return spark.read.parquet(f"{path}/invoices").select("invoice_id", "vendor").join(child, "invoice_id", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
 
 
-@query("s12_targets", "select invoice_id, cast(grand_total as double) total, t target from invoices, (values ('csv'), ('parquet')) v(t)")
+@query("s12_targets", "with n as (select count(*) n from invoices) select * from (values ('csv', 1::bigint, true), ('parquet', 1, true), ('late', 2, true), ('broken', 2, false)) v(target, attempts, went), (select n as \"rows\" from n) where went union all select 'broken', 2, false, 0")
 def _(spark, d):
     path = new_folder(spark, "targets")
-    df = W.invoices(spark, d).select("invoice_id", F.col("grand_total").cast("double").alias("total"))
-    done = S.write_targets(df, {"csv": lambda x: S.write_csv(x, f"{path}/csv"), "parquet": lambda x: x.write.parquet(f"{path}/parquet"), "broken": lambda x: x.write.format("none such").save(path)})
-    reads = {"csv": lambda: spark.read.schema("invoice_id long, total double").option("header", True).csv(f"{path}/csv"), "parquet": lambda: spark.read.parquet(f"{path}/parquet")}
-    out = [reads[name]().withColumn("target", F.lit(name)) for name, went, _ in done if went]
-    return out[0].unionAll(out[1])
-
-
-@query("s16_manifest", "select invoice_id, vendor truth from invoices where vendor is not null")
+    df, tried = W.invoices(spark, d).select("invoice_id", F.col("grand_total").cast("double").alias("total")), []
+
+    def late(x):
+        tried.append(1)
+        if len(tried) == 1:
+            raise ConnectionError("not there yet")
+        x.write.parquet(f"{path}/late")
+
+    targets = {"csv": lambda x: S.write_csv(x, f"{path}/csv"), "parquet": lambda x: x.write.parquet(f"{path}/parquet"), "late": late, "broken": lambda x: x.write.format("none such").save(path)}
+    for _ in range(2):
+        status = S.load(df, targets, f"{path}/ledger", 1)
+    reads = {"csv": spark.read.schema("invoice_id long, total double").option("header", True).csv(f"{path}/csv"), "parquet": spark.read.parquet(f"{path}/parquet"), "late": spark.read.parquet(f"{path}/late")}
+    held = None
+    for name, rows in reads.items():
+        n = rows.agg(F.count("*").alias("rows")).withColumn("target", F.lit(name))
+        held = n if held is None else held.unionByName(n)
+    status = status.groupBy("target").agg(F.count("*").alias("attempts"), F.bool_or("went").alias("went"))
+    return status.join(held, "target", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
+@query("s16_manifest", f"select page_id, cast(page_id % 7 <> 0 as boolean) found, case when page_id % 7 <> 0 then sha256({PAGE}) end sha256 from pages")
 def _(spark, d):
-    inv = W.invoices(spark, d)
-    name = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"), F.lit(".json"))
-    truth = inv.where("vendor is not null").select(F.concat(F.lit("x/"), name("invoice_id")).alias("path"), F.col("vendor").cast("binary").alias("content"))
-    found, _ = S.manifest(inv.select("invoice_id", name("invoice_id").alias("truth_path")), truth)
-    return found.select("invoice_id", "truth")
+    path = new_folder(spark, "pages")
+    page_files(spark, d, path)
+    files = S.folder(spark, path, "*.txt", recursive=True)
+    # the manifest is a file too; every seventh page's truth is not where it says
+    rows = of_page(files.select("content", "size", F.col("name").alias("sha256"))).select("page_id", F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("gone-"), "sha256")).otherwise(F.col("sha256")).alias("truth_path"))
+    rows.write.json(f"{path}-manifest")
+    found, missing = S.manifest(S.json_lines(spark, f"{path}-manifest", "page_id long, truth_path string", strict=True), files)
+    found = found.join(files.select(F.col("name").alias("truth_path"), F.lit(True).alias("found"), "sha256"), "truth_path").select("page_id", "found", "sha256")
+    return found.unionByName(missing.select("page_id", F.lit(False).alias("found"), F.lit(None).cast("string").alias("sha256")))
 
 
 @query("s17_layouts", "select invoice_id, layout, count(*) n from regions, (values ('pages'), ('text_regions'), ('tokens'), ('text_blocks')) v(layout) where confidence >= 0.7 group by 1, 2")
@@ -123,10 +168,15 @@ def _(spark, d):
     return spark.read.schema("conv_id long, turn long, role string").parquet(out)
 
 
-@query("st8_folder_stream", "select 2 files")
+@query("st8_folder_stream", PAGES)
 def _(spark, d):
-    out = R.run(R.file_stream(spark, d, "{orders,lineitem}.parquet"), f"st8_{uuid.uuid4().hex[:12]}")
-    return out.agg(F.count("*").cast("int").alias("files"))
+    path = new_folder(spark, "pages")
+    out = new_folder(spark, "ingested")
+    # files arrive in two waves; the second run goes on where the first ended
+    for wave in ("page_id % 2 = 0", "page_id % 2 = 1"):
+        page_files(spark, d, path, wave)
+        R.to_parquet(of_page(S.folder_stream(spark, path, "*.txt", content=True)), out, f"{out}-log").awaitTermination()
+    return spark.read.schema("page_id long, size long, sha256 string").parquet(out)
 
 
 @query("st10_multi_sink_stream", "select event_type, count(*) n, 2 copies from events group by 1")

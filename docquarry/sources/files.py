@@ -2,18 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def folder(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False, content: bool = True) -> DataFrame:
-    """path, size, modified, sha256 (and content) of the files of a folder or object-store prefix."""
+#: Sizes of a document that is read whole: a small one is no document, a large one no row.
+LEAST, MOST = 100, 50 << 20
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+@contextmanager
+def bundles(spark: SparkSession, partition_bytes: int = 128 << 20, open_cost: int = 64 << 10) -> Iterator[None]:
+    """Reads that are planned inside put many small files into one task, by their sizes."""
+    names = {"spark.sql.files.maxPartitionBytes": partition_bytes, "spark.sql.files.openCostInBytes": open_cost}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def described(raw: DataFrame, content: bool) -> DataFrame:
+    out = raw.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), "content")
+    return out if content else out.drop("content")
+
+
+def prefixed(path: str, prefix: str) -> str:
+    """What a listing of ``path`` by the beginning of a key reads."""
+    return f"{path.rstrip('/')}/{prefix}*" if prefix else path
+
+
+def folder(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False, content: bool = True, prefix: str = "", after: str | None = None, least: int = 0, most: int = (1 << 31) - 1) -> DataFrame:
+    """path, name, size, modified, sha256 (and content) of the files of a folder or object-store prefix, a row each.
+
+    ``prefix``: beginning of the keys below ``path`` (not only whole folder names); ``after``: modified since, as
+    yyyy-MM-ddTHH:mm:ss; sizes between ``least`` and ``most`` bytes. Name, time and size are decided on the
+    listing: no other file is opened."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
-    df = reader.load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), "content")
-    return df if content else df.drop("content")
+    reader = reader if after is None else reader.option("modifiedAfter", after)
+    return described(reader.load(prefixed(path, prefix)).where(F.col("length").between(least, most)), content)
+
+
+def listing(spark: SparkSession, path: str, glob: str = "*", prefix: str = "") -> DataFrame:
+    """path, name, size and modified of the files, none of which is opened."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(prefixed(path, prefix))
+    return raw.select("path", "_metadata.file_name", "_metadata.file_size", "_metadata.file_modification_time").toDF("path", "name", "size", "modified")
+
+
+def folder_stream(spark: SparkSession, path: str, glob: str = "*", prefix: str = "", content: bool = False, files: int = 1000) -> DataFrame:
+    """``folder`` as a stream: each new file once, at most ``files`` of them in a micro-batch."""
+    reader = spark.readStream.format("binaryFile").schema(_FILE).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files)
+    return described(reader.load(prefixed(path, prefix)), content)
+
+
+def write_files(df: DataFrame, path: str, text: str, by: str | None = None) -> None:
+    """One file for each row: its text and a line end, in folders of ``by``."""
+    out = df.select(*filter(None, [by]), F.col(text).alias("value")).write.mode("append").option("maxRecordsPerFile", 1)
+    (out.partitionBy(by) if by else out).text(path)
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
@@ -29,11 +81,10 @@ def malformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return lines.select(read["_corrupt_record"].alias("line")).where("line IS NOT NULL")
 
 
-def manifest(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with their truth file, rows without one) of a manifest (id, truth_path); files: path, content."""
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    named = files.select(name.alias("truth_path"), F.col("content").cast("string").alias("truth"))
-    return rows.join(named, "truth_path"), rows.join(named, "truth_path", "left_anti")
+def manifest(rows: DataFrame, files: DataFrame, name: str = "truth_path") -> tuple[DataFrame, DataFrame]:
+    """(rows with their truth file, rows without one) of a manifest (id, ``name``); files: name, content."""
+    named = files.select(F.col("name").alias(name), F.col("content").cast("string").alias("truth"))
+    return rows.join(named, name), rows.join(named, name, "left_anti")
 
 
 _BOX = "array<double>"
@@ -66,9 +117,11 @@ def write_stage(df: DataFrame, path: str, stage: str = "stage") -> None:
 
 
 def write_by_day(df: DataFrame, path: str, day: str) -> None:
-    """Under year=/month=/day= of a date column."""
+    """Under year=/month=/day= of a date column. Days that ``df`` has replace those that are there; the others
+    stay as they are."""
     parts = {"year": F.year(day), "month": F.date_format(day, "MM"), "day": F.date_format(day, "dd")}
-    df.withColumns(parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
+    rows = df.withColumns(parts).repartition(*parts)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
 def write_parent_and_child(parent: DataFrame, child: DataFrame, path: str) -> None:
@@ -93,6 +146,26 @@ def write_targets(df: DataFrame, targets: dict[str, Callable[[DataFrame], None]]
         df.unpersist()
 
 
+LEDGER = "batch long, target string, attempt int, went boolean, error string"
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """What was tried: a row for each (batch, target, attempt)."""
+    return spark.read.schema(LEDGER).json(path)
+
+
+def load(df: DataFrame, targets: dict[str, Callable[[DataFrame], None]], path: str, batch: int) -> DataFrame:
+    """``write_targets`` with a ledger at ``path``: a rerun of a batch writes to those targets only that it has not
+    reached yet, so that each gets it once. The status rows of the batch so far."""
+    spark = df.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("append").json(path)
+    before = {r.target: (r.went, r.attempts) for r in ledger(spark, path).where(F.col("batch") == batch).groupBy("target").agg(F.bool_or("went").alias("went"), F.max("attempt").alias("attempts")).collect()}
+    open_ = {name: write for name, write in targets.items() if not before.get(name, (False, 0))[0]}
+    rows = [(batch, name, before.get(name, (False, 0))[1] + 1, went, error) for name, went, error in write_targets(df, open_)] if open_ else []
+    spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("append").json(path)
+    return ledger(spark, path).where(F.col("batch") == batch)
+
+
 def write_error_log(errors: DataFrame, path: str) -> None:
     errors.write.mode("append").partitionBy("error").json(path)
 

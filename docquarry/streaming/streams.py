@@ -16,12 +16,6 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def file_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """New files of a folder, with their hash."""
-    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).load(path)
-    return raw.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-
-
 def once_each(df: DataFrame, *keys: str, late: str = "10 minutes") -> DataFrame:
     """Each key's first row only."""
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))

@@ -20,6 +20,64 @@ def test_folder_and_json_lines(spark, tmp_path):
     assert files.malformed(spark, path, spark.createDataFrame([], "id long").schema).count() == 1
 
 
+def test_listing_by_prefix_time_and_size(spark, tmp_path):
+    import os
+
+    for name, size in (("in/2024-01/a.pdf", 200), ("in/2024-02/b.pdf", 50), ("in/2025-01/c.pdf", 300), ("in/2024-01/d.txt", 400), ("out/2024-01/e.pdf", 200)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    os.utime(tmp_path / "in/2024-01/a.pdf", (1_000_000_000, 1_000_000_000))
+    names = lambda df: sorted(r["name"] for r in df.collect())
+    root = str(tmp_path)
+    assert names(files.folder(spark, root, "*.pdf", recursive=True, prefix="in/2024-")) == ["a.pdf", "b.pdf"]
+    assert names(files.folder(spark, root, "*.pdf", recursive=True, prefix="in/", least=files.LEAST, most=files.MOST)) == ["a.pdf", "c.pdf"]
+    assert names(files.folder(spark, root, "*.pdf", recursive=True, prefix="in/", after="2020-01-01T00:00:00")) == ["b.pdf", "c.pdf"]
+    assert [(r["name"], r["size"]) for r in files.listing(spark, root, "*.txt").collect()] == [("d.txt", 400)]
+    plan = files.folder(spark, root, recursive=True, least=100)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(length), GreaterThanOrEqual(length,100)" in plan
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    spark.range(60).selectExpr("cast(id as string) text").coalesce(2).transform(lambda df: files.write_files(df, str(tmp_path / "f"), "text") or df)
+    read = lambda: files.folder(spark, str(tmp_path / "f"), "*.txt")
+    with files.bundles(spark, 16 << 10, 8 << 10):
+        assert read().rdd.getNumPartitions() >= 20
+    with files.bundles(spark):
+        df = read()
+        assert df.rdd.getNumPartitions() <= 4 and df.count() == 60
+
+
+def test_a_rerun_reaches_open_targets_only(spark, tmp_path):
+    df, written, down = spark.range(3), [], [True]
+
+    def flaky(x):
+        if down[0]:
+            raise ConnectionError("down")
+        written.append(("b", x.count()))
+
+    targets = {"a": lambda x: written.append(("a", x.count())), "b": flaky}
+    status = lambda rows: sorted((r["target"], r["attempt"], r["went"], r["error"]) for r in rows.collect())
+    assert status(files.load(df, targets, str(tmp_path / "l"), 7)) == [("a", 1, True, ""), ("b", 1, False, "down")]
+    down[0] = False
+    assert status(files.load(df, targets, str(tmp_path / "l"), 7)) == [("a", 1, True, ""), ("b", 1, False, "down"), ("b", 2, True, "")]
+    files.load(df, targets, str(tmp_path / "l"), 7)
+    files.load(df, {"a": targets["a"]}, str(tmp_path / "l"), 8)
+    assert written == [("a", 3), ("b", 3), ("a", 3)]
+
+
+def test_a_day_is_rewritten_alone_and_read_alone(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    rows = spark.sql("select id, date_add(date '2024-02-27', cast(id as int)) d, 1 v from range(5)")
+    files.write_by_day(rows, path, "d")
+    files.write_by_day(rows.where("id = 2").withColumn("v", F.lit(2)), path, "d")
+    read = spark.read.parquet(path)
+    assert sorted((r["id"], r["v"]) for r in read.collect()) == [(0, 1), (1, 1), (2, 2), (3, 1), (4, 1)]
+    one = read.where("year = 2024 and month = 2 and day = 29")
+    assert [r["id"] for r in one.collect()] == [2]
+    assert one._jdf.queryExecution().executedPlan().execute().getNumPartitions() == 1
+    assert "PartitionFilters: [isnotnull(year" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_manifest_reports_missing_truth(spark, tmp_path):
     (tmp_path / "t1.json").write_text("{}")
     rows = spark.createDataFrame([(1, "t1.json"), (2, "t2.json")], "id int, truth_path string")
@@ -69,7 +127,7 @@ def test_stream_sinks(spark, data, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "a.txt").write_text("x")
-    assert streams.run(streams.file_stream(spark, str(tmp_path / "files")), "files_test").count() == 1
+    assert streams.run(files.folder_stream(spark, str(tmp_path / "files")), "files_test").count() == 1
 
 
 def test_events_of_a_folder_are_streamed(spark, data, tmp_path):
