@@ -117,10 +117,10 @@ def _(spark, d):
     page_files(spark, d, path)
     files = S.folder(spark, path, "*.txt", recursive=True)
     # the manifest is a file too; every seventh page's truth is not where it says
-    rows = of_page(files.select("content", "size", F.col("name").alias("sha256"))).select("page_id", F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("gone-"), "sha256")).otherwise(F.col("sha256")).alias("truth_path"))
-    rows.write.json(f"{path}-manifest")
-    found, missing = S.manifest(S.json_lines(spark, f"{path}-manifest", "page_id long, truth_path string", strict=True), files)
-    found = found.join(files.select(F.col("name").alias("truth_path"), F.lit(True).alias("found"), "sha256"), "truth_path").select("page_id", "found", "sha256")
+    named = of_page(files.withColumn("sha256", F.substring_index("path", "/", -2)))
+    named.select("page_id", F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("gone-"), "sha256")).otherwise(F.col("sha256")).alias("truth_path")).write.json(f"{path}-manifest")
+    found, missing = S.manifest(S.json_lines(spark, f"{path}-manifest", "page_id long, truth_path string", strict=True), files, depth=2)
+    found = found.select("page_id", F.lit(True).alias("found"), "sha256")
     return found.unionByName(missing.select("page_id", F.lit(False).alias("found"), F.lit(None).cast("string").alias("sha256")))
 
 

@@ -81,9 +81,10 @@ def malformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return lines.select(read["_corrupt_record"].alias("line")).where("line IS NOT NULL")
 
 
-def manifest(rows: DataFrame, files: DataFrame, name: str = "truth_path") -> tuple[DataFrame, DataFrame]:
-    """(rows with their truth file, rows without one) of a manifest (id, ``name``); files: name, content."""
-    named = files.select(F.col("name").alias(name), F.col("content").cast("string").alias("truth"))
+def manifest(rows: DataFrame, files: DataFrame, name: str = "truth_path", depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(rows with truth and sha256 of their file, rows without one) of a manifest (id, ``name``). files: path,
+    content, sha256; ``name`` is the last ``depth`` parts of a path."""
+    named = files.select(F.substring_index("path", "/", -depth).alias(name), F.col("content").cast("string").alias("truth"), "sha256")
     return rows.join(named, name), rows.join(named, name, "left_anti")
 
 
