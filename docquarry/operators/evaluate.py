@@ -139,7 +139,7 @@ def table_counts(truth: DataFrame, predicted: DataFrame, key: str = "invoice_id"
 
 
 def table_score(counts: DataFrame, profile: str) -> DataFrame:
-    """``score`` of a table structure under one of six published formulas."""
+    """``score`` of a table structure under one of five published formulas over counts (a sixth: ``markup_score``)."""
     t, p = F.col("truth_rows"), F.col("predicted_rows")
     most = F.greatest(t, p)
     ratio = F.when(most > 0, F.least(t, p) / most).otherwise(F.lit(1.0))
@@ -153,12 +153,20 @@ def table_score(counts: DataFrame, profile: str) -> DataFrame:
         "row_cell": same * 0.3 + cell * 0.7,
         "three_parts": ratio * 0.4 + columns * 0.3 + like * 0.3,
         "ratios": (ratio + columns) / 2,
-        "markup": (F.when(t > 0, F.least(F.lit(1.0), p / t)).otherwise(F.lit(0.0)) + F.when(t > 0, F.least(F.lit(1.0), (p * 3) / (t * 3))).otherwise(F.lit(0.0))) / 2,
-        "items": F.when(t > 0, F.least(F.lit(1.0), p / t)).otherwise(F.lit(0.0)),
+        "items": F.when(t > 0, F.greatest(F.lit(0.0), 1 - F.abs(t - p) / t)).otherwise((p == 0).cast("double")),
     }[profile]
     return counts.withColumn("score", score)
 
 
+def markup_score(truth: Column, predicted: Column) -> Column:
+    """Likeness of two HTML tables by their rows and the cells of their first rows: 1 where both agree (two empty
+    ones too), less for rows or cells that are missing and for those too many, below 0 for many too many."""
+    rows = lambda x: F.regexp_count(F.coalesce(x, F.lit("")), F.lit("<tr"))
+    cells = lambda x: F.regexp_count(F.regexp_extract(F.coalesce(x, F.lit("")), "(?s)<tr[^>]*>(.*?)</tr>", 1), F.lit("<t[dh]"))
+    like = lambda f: 1 - F.abs(f(predicted) - f(truth)) / F.greatest(f(truth), F.lit(1))
+    return (like(rows) + like(cells)) / 2
+
+
 def numeric_accuracy(truth: DataFrame, predicted: DataFrame, unmatched: bool, key: str = "invoice_id") -> DataFrame:
     """right, counted and accuracy of quantities and line totals; truth lines without a partner count as
     wrong with ``unmatched`` and not at all otherwise."""

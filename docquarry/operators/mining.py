@@ -22,36 +22,21 @@ def number_likeness(t: Column, p: Column) -> Column:
     return F.lit(1.0) - F.least(F.abs(p - t) / F.greatest(F.abs(t), F.lit(1.0)), F.lit(1.0))
 
 
-def mine_errors(df: DataFrame, items: DataFrame, counts: DataFrame, compat: bool = False) -> DataFrame:
-    """(invoice_id, item_pos, element, error, confidence): every wrong field, line value and line count.
-
-    A missing predicted amount is an error of its own kind; with ``compat`` it is passed over, as where the
-    truth stands in for it."""
-    def field(c: str, element: str) -> Column:
-        t, p = F.col(f"t_{c}").cast("string"), F.col(f"p_{c}").cast("string")
-        kind = F.when(p.isNull(), "missing").otherwise("wrong_value")
-        return F.when(t.isNotNull() & ~t.eqNullSafe(p), F.struct(F.lit(element).alias("element"), kind.alias("error"), F.coalesce(letter_likeness(t, p), F.lit(0.0)).alias("confidence")))
-
-    t, p = F.col("t_total"), F.col("p_total")
-    off = F.abs(t - p).cast("double") > 0.01
-    amount = F.when(off, F.struct(F.lit("financial.total").alias("element"), F.lit("wrong_value").alias("error"), number_likeness(t, p).alias("confidence")))
-    if not compat:
-        amount = F.when(t.isNotNull() & p.isNull(), F.struct(F.lit("financial.total").alias("element"), F.lit("missing").alias("error"), F.lit(0.0).alias("confidence"))).otherwise(amount)
-    found = F.array(field("vendor", "vendor.name"), field("currency", "metadata.currency"), field("date", "metadata.date"), amount)
-    head = df.select("invoice_id", F.lit(None).cast("int").alias("item_pos"), F.inline(F.filter(found, lambda x: x.isNotNull())))
-
-    both = items.where(F.col("t_qty").isNotNull() & F.col("p_qty").isNotNull())
-    wrong = lambda c: F.when(F.col(f"t_{c}") != F.col(f"p_{c}"), F.struct(F.lit(f"line_items.{c}").alias("element"), F.lit("wrong_value").alias("error"), number_likeness(F.col(f"t_{c}"), F.col(f"p_{c}")).alias("confidence")))
-    lines = both.select("invoice_id", F.col("pos").cast("int").alias("item_pos"), F.inline(F.filter(F.array(wrong("qty"), wrong("line_total")), lambda x: x.isNotNull())))
-    table = counts.where("truth_rows <> predicted_rows").select("invoice_id", F.lit(None).cast("int").alias("item_pos"), F.lit("line_items").alias("element"), F.lit("misaligned_table").alias("error"), (F.least("truth_rows", "predicted_rows") / F.greatest("truth_rows", "predicted_rows")).alias("confidence"))
-    return head.unionAll(lines).unionAll(table)
-
-
-def error_rollup(errors: DataFrame) -> DataFrame:
-    """(level, name, n, low): errors in all, by kind and by element in one pass; low: confidence under .5."""
-    sets = errors.groupingSets([[], ["error"], ["element"]], "error", "element").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") < 0.5).alias("low"), F.grouping("error").alias("__e"), F.grouping("element").alias("__l"))
-    level = F.when(F.col("__e") == 0, "error").when(F.col("__l") == 0, "element").otherwise("all")
-    return sets.select(level.alias("level"), F.coalesce("error", "element", F.lit("")).alias("name"), "n", "low")
+#: Errors that a roll-up gives in full.
+DETAILS = 100
+
+
+def error_rollup(errors: DataFrame, details: int = DETAILS, key: str = "invoice_id") -> DataFrame:
+    """(level, name, n, low, examples): errors in all, by kind, by element and by sample, from one aggregation; low:
+    confidence under .5. Level ``all`` has the first ``details`` errors in the order of samples and lines, the others
+    none: a top-k that each task keeps within that bound. ``errors`` is read twice: hand over a written table."""
+    sets = errors.groupingSets([[], ["error"], ["element"], [key]], "error", "element", key).agg(F.count("*").alias("n"), F.count_if(F.col("confidence") < 0.5).alias("low"), F.grouping_id().alias("__g"))
+    level = F.when(F.col("__g") == 7, "all").when(F.col("__g") == 3, "error").when(F.col("__g") == 5, "element").otherwise("sample")
+    name = F.coalesce("error", "element", F.col(key).cast("string"), F.lit(""))
+    row = F.struct(key, "item_pos", "element", "error", "confidence")
+    first = errors.select(row.alias("e")).orderBy("e").limit(details).agg(F.sort_array(F.collect_list("e")).alias("examples"))
+    found = sets.select(level.alias("level"), name.alias("name"), "n", "low")
+    return found.join(first.withColumn("level", F.lit("all")), "level", "left")
 
 
 def hard_samples(errors: DataFrame, least: int = 3) -> DataFrame:

@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from docquarry.operators import confidence as C
 from docquarry.operators import evaluate as E
+from docquarry.operators import compare as N
 from docquarry.operators import mining as M
+from docquarry.operators import project as P
 from docquarry.operators import validate as V
 from docquarry.plans import views as W
 from docquarry.registry import query
+from docquarry.storage import new_folder
 
 
 def paired(spark, d):
@@ -71,8 +74,7 @@ SCORES = {
     "row_cell": f"{SAME} * 0.3 + case when truth_rows > 0 then cast(same_description + same_qty + same_total as double) / (3 * truth_rows) else 0.0 end * 0.7",
     "three_parts": f"{RATIO} * 0.4 + {COLUMNS} * 0.3 + case when both_rows > 0 then cast(like_description + same_qty + same_total as double) / (3 * both_rows) else 0.0 end * 0.3",
     "ratios": f"({RATIO} + {COLUMNS}) / 2",
-    "markup": "case when truth_rows > 0 then (least(1.0, cast(predicted_rows as double) / truth_rows) + least(1.0, cast(predicted_rows * 3 as double) / (truth_rows * 3))) / 2 else 0.0 end",
-    "items": "case when truth_rows > 0 then least(1.0, cast(predicted_rows as double) / truth_rows) else 0.0 end",
+    "items": "case when truth_rows > 0 then greatest(0.0, 1 - cast(abs(truth_rows - predicted_rows) as double) / truth_rows) else cast(predicted_rows = 0 as double) end",
 }
 for _name, _score in SCORES.items():
 
@@ -81,6 +83,22 @@ for _name, _score in SCORES.items():
         return E.table_score(E.table_counts(W.line_items(spark, d), W.predicted_items(spark, d)), name).select("invoice_id", "score")
 
 
+HTML = "select invoice_id, '<table>' || string_agg('<tr><td>' || description || '</td><td>' || cast(qty as bigint) || '</td><td>' || line_total || '</td></tr>', '' order by pos) || '</table>' html from {0} group by 1"
+COUNTED = "len(regexp_extract_all({0}, '{1}'))"
+
+
+@query("e3_table_markup", f"""with t as ({HTML.format("line_items")}), p as (select invoice_id, case when invoice_id % 3 = 0 then replace(html, '</td></tr>', '</td><td>x</td></tr>') when invoice_id % 5 = 0 then replace(html, '</table>', '<tr><td>more</td></tr><tr></tr></table>') else html end html from ({HTML.format("predicted_items")})),
+b as (select t.invoice_id, t.html t, coalesce(p.html, '') p from t left join p using (invoice_id)),
+n as (select invoice_id, {COUNTED.format("t", "<tr")} tr, {COUNTED.format("p", "<tr")} pr, {COUNTED.format("regexp_extract(t, '(?s)<tr[^>]*>(.*?)</tr>', 1)", "<t[dh]")} tc, {COUNTED.format("regexp_extract(p, '(?s)<tr[^>]*>(.*?)</tr>', 1)", "<t[dh]")} pc from b)
+select invoice_id, ((1 - cast(abs(pr - tr) as double) / greatest(tr, 1)) + (1 - cast(abs(pc - tc) as double) / greatest(tc, 1))) / 2 score from n""")
+def _(spark, d):
+    i, html = F.col("invoice_id"), F.col("html")
+    t, p = P.html_table(W.line_items(spark, d)), P.html_table(W.predicted_items(spark, d))
+    wide, long = F.replace(html, F.lit("</td></tr>"), F.lit("</td><td>x</td></tr>")), F.replace(html, F.lit("</table>"), F.lit("<tr><td>more</td></tr><tr></tr></table>"))
+    p = p.select(i, F.when(i % 3 == 0, wide).when(i % 5 == 0, long).otherwise(html).alias("read"))
+    return t.join(p, "invoice_id", "left").select("invoice_id", E.markup_score(html, F.col("read")).alias("score"))
+
+
 for _name, _all in (("matched", False), ("all", True)):
 
     @query(f"e2_numbers_{_name}", f"""with {ALIGNED}, s as (select invoice_id, count(*) filter (abs(t_qty - p_qty) <= 0.01) + count(*) filter (cast(abs(t_line_total - p_line_total) as double) <= 0.01) hit, 2 * count(*) counted from aligned where t_qty is not null {"" if _all else "and p_qty is not null"} group by 1)
@@ -176,18 +194,28 @@ def _(spark, d):
 
 LETTERS = "list_distinct(list_filter(string_split(lower({0}), ''), lambda x: x <> ''))"
 LIKE = "coalesce(cast(len(list_intersect({a}, {b})) as double) / len(list_distinct(list_concat({a}, {b}))), 0.0)"
-FIELD_ERROR = "select invoice_id, cast(null as int) item_pos, '{1}' element, case when p_{0} is null then 'missing' else 'wrong_value' end error, {2} confidence from pairs where t_{0} is not null and t_{0} is distinct from p_{0}"
-NEAR = "1.0 - least(abs(cast({1} as double) - cast({0} as double)) / greatest(abs(cast({0} as double)), 1.0), 1.0)"
-ERRORS = f"""{PAIRS}, {COUNTS}, errors as ({" union all ".join(FIELD_ERROR.format(c, e, LIKE.format(a=LETTERS.format(f't_{c}'), b=LETTERS.format(f'p_{c}'))) for c, e in (("vendor", "vendor.name"), ("currency", "metadata.currency"), ("date", "metadata.date")))}
-union all select invoice_id, null, 'financial.total', case when p_total is null then 'missing' else 'wrong_value' end, case when p_total is null then 0.0 else {NEAR.format("t_total", "p_total")} end from pairs where t_total is not null and coalesce(cast(abs(t_total - p_total) as double) > 0.01, true)
-union all select invoice_id, pos, 'line_items.qty', 'wrong_value', {NEAR.format("t_qty", "p_qty")} from aligned where t_qty <> p_qty
-union all select invoice_id, pos, 'line_items.line_total', 'wrong_value', {NEAR.format("t_line_total", "p_line_total")} from aligned where t_line_total <> p_line_total
-union all select invoice_id, null, 'line_items', 'misaligned_table', cast(least(truth_rows, predicted_rows) as double) / greatest(truth_rows, predicted_rows) from counts where truth_rows <> predicted_rows)"""
+NEAR = "1.0 - least(abs({1} - {0}) / greatest(abs({0}), 1.0), 1.0)"
+FOLD = "lower(trim(coalesce({0}, '')))"
+_LIKE = LIKE.format(a=LETTERS.format("x"), b=LETTERS.format("y"))
+
+
+def _fields(names: str, prefix: str = "") -> list[str]:
+    """Errors of text fields, as (element, folded truth x, folded prediction y)."""
+    return [f"select invoice_id, cast(null as int) item_pos, '{prefix}{n}' element, {FOLD.format('t_' + n)} x, {FOLD.format('p_' + n)} y from records" for n in names.split()]
+
+
+_TEXTS = [*_fields("name address city state postal_code email", "vendor_"), *_fields("invoice_id issue_date due_date payment_terms currency"), f"select invoice_id, cast(pos as int), 'line_item_description', {FOLD.format('t_description')}, {FOLD.format('p_description')} from record_items where in_t and in_p"]
+_NUMBERS = [f"select invoice_id, cast(null as int) item_pos, '{n}' element, t_{n} x, p_{n} y from records" for n in ("subtotal", "tax_total", "discount_total", "grand_total")]
+_NUMBERS += [f"select invoice_id, cast(pos as int), 'line_item_{n}', t_{n}, p_{n} from record_items where in_t and in_p" for n in ("quantity", "unit_price", "line_total")]
+ERRORS = f"""texts as ({" union all ".join(_TEXTS)}), numbers as ({" union all ".join(_NUMBERS)}), sizes as (select invoice_id, count(*) filter (in_t) nt, count(*) filter (in_p) np from record_items group by 1),
+errors as (select invoice_id, item_pos, element, case when y = '' then 'missing_field' else 'incorrect_value' end error, case when y = '' then 0.0::double else {_LIKE} end confidence from texts where y = '' or x <> y
+union all select invoice_id, item_pos, element, case when y is null then 'missing_field' else 'incorrect_value' end, case when y is null then 0.0::double else {NEAR.format("x", "y")} end from numbers where y is null or abs(y - x) > 0.01
+union all select invoice_id, null, 'grand_total', 'wrong_format', 0.0::double from records where abs(p_subtotal + p_tax_total - p_discount_total - p_grand_total) > 0.01
+union all select invoice_id, null, 'line_items', 'misaligned_table', 0.0::double from sizes where nt <> np)"""
 
 
 def errors(spark, d):
-    t, p = W.line_items(spark, d), W.predicted_items(spark, d)
-    return M.mine_errors(paired(spark, d), E.aligned_items(t, p), E.table_counts(t, p))
+    return N.mine_errors(W.records(spark, d))
 
 
 @query("m1_errors", f"with {ERRORS} select * from errors")
@@ -195,9 +223,15 @@ def _(spark, d):
     return errors(spark, d)
 
 
-@query("a15_error_rollup", f"with {ERRORS} select 'all' as level, '' as name, count(*) n, count(*) filter (confidence < 0.5) low from errors union all select 'error', error, count(*), count(*) filter (confidence < 0.5) from errors group by error union all select 'element', element, count(*), count(*) filter (confidence < 0.5) from errors group by element")
+@query("a15_error_rollup", f"""with {ERRORS}, low as (select *, confidence < 0.5 l from errors), first as (select list({{'invoice_id': invoice_id, 'item_pos': item_pos, 'element': element, 'error': error}} order by invoice_id, item_pos nulls first, element, error) x from (select * from errors order by invoice_id, item_pos nulls first, element, error limit 100)),
+r as (select 'all' as level, '' as name, count(*) n, count(*) filter (l) low from low union all select 'error', error, count(*), count(*) filter (l) from low group by error union all select 'element', element, count(*), count(*) filter (l) from low group by element union all select 'sample', cast(invoice_id as varchar), count(*), count(*) filter (l) from low group by invoice_id)
+select r.*, case when level = 'all' then (select string_agg(e.invoice_id || ':' || coalesce(cast(e.item_pos as varchar), '-') || ':' || e.element || ':' || e.error, ' ') from (select unnest(x) e from first)) end examples from r""")
 def _(spark, d):
-    return M.error_rollup(errors(spark, d))
+    # one scan of the tables: the errors are few, and written once for both readings
+    path = new_folder(spark, "errors")
+    errors(spark, d).write.parquet(path)
+    told = F.transform("examples", lambda e: F.concat_ws(":", e["invoice_id"].cast("string"), F.coalesce(e["item_pos"].cast("string"), F.lit("-")), e["element"], e["error"]))
+    return M.error_rollup(spark.read.parquet(path)).withColumn("examples", F.array_join(told, " "))
 
 
 @query("a15_hard_samples", f"with {ERRORS} select invoice_id, count(*) n from errors group by 1 having count(*) >= 3")
@@ -205,6 +239,68 @@ def _(spark, d):
     return M.hard_samples(errors(spark, d))
 
 
+_FOLDED = lambda t, p: f"cast({FOLD.format(t)} = {FOLD.format(p)} as int)"
+_SAME = lambda names: [_FOLDED(f"t_{n}", f"p_{n}") for n in names.split()]
+_CLOSE = lambda n: f"cast(coalesce(abs(t_{n} - p_{n}) < 0.01, t_{n} is null and p_{n} is null) as int)"
+_MONEY = [_CLOSE(n) for n in ("subtotal", "tax_total", "discount_total", "grand_total")]
+_SHARE = lambda parts: f"cast({' + '.join(parts)} as double) / {len(parts)}"
+BLOCKS = f"""blocks as (select invoice_id, {_SHARE(_SAME("name address city state postal_code email"))} vendor_block, {_SHARE(_SAME("client nation"))} client_info, {_SHARE(_SAME("invoice_id issue_date due_date payment_terms"))} invoice_metadata, {_SHARE([*_MONEY, *_SAME("currency")])} financial_summary from records)"""
+CELLS = f"""agreed as (select invoice_id, count(*) filter (in_t) nt, count(*) filter (in_p) np, count(*) filter (in_t and in_p) nb, sum({_FOLDED("t_description", "p_description")} + {_CLOSE("quantity")} + {_CLOSE("unit_price")} + {_CLOSE("line_total")}) filter (in_t and in_p) ok from record_items group by 1)"""
+
+
+@query("e1_blocks", f"with {BLOCKS} select * from blocks")
+def _(spark, d):
+    return N.block_accuracies(W.records(spark, d)).select("invoice_id", "vendor_block", "client_info", "invoice_metadata", "financial_summary")
+
+
+@query("e4_documents_blocks", f"""with {BLOCKS}, {CELLS}, s as (select b.*, case when coalesce(nt, 0) = 0 and coalesce(np, 0) = 0 then 1.0 when coalesce(nt, 0) = 0 or coalesce(np, 0) = 0 then 0.0 else cast(nt = np as double) * 0.3::double + cast(ok as double) / (nb * 4) * 0.7::double end line_item_table from blocks b left join agreed using (invoice_id))
+select invoice_id, cast(line_item_table as double) line_item_table, floor((vendor_block * 1.5 + client_info * 1.5 + invoice_metadata * 1.5 + financial_summary * 2.0 + line_item_table * 2.5) / 9 * 1000000000 + 0.5) score9 from s""")
+def _(spark, d):
+    return N.weighted_scores(W.records(spark, d)).select("invoice_id", "line_item_table", F.floor(F.col("score") * 1000000000 + 0.5).cast("double").alias("score9"))
+
+
+_WORDS = lambda x: f"list_distinct(list_filter(regexp_split_to_array({FOLD.format(x)}, '\\s+'), lambda w: w <> ''))"
+_COMMON = lambda t, p: f"cast(len(list_intersect({_WORDS(t)}, {_WORDS(p)})) as double) / greatest(len({_WORDS(t)}), 1)"
+_ZERO = lambda n: f"cast(abs(coalesce(t_{n}, 0.0) - coalesce(p_{n}, 0.0)) < 0.01 as int)"
+
+
+@query("e1_regions_of_blocks", f"""with x as (select *, concat_ws(' ', t_address || ',', t_city || ',', t_state, t_postal_code) t_place from records),
+y as (select invoice_id, {_SHARE([*_SAME("name"), f"cast({_COMMON('t_place', 'p_address')} > 0.7 as int)", f"cast(coalesce(contains({FOLD.format('p_contact')}, lower(t_email)) or contains({FOLD.format('p_contact')}, lower(t_tax_id)), t_email is null and t_tax_id is null) as int)"])} vendor_block,
+ {_SHARE(_SAME("invoice_id issue_date due_date client"))} client_invoice_info, {_SHARE([*(_ZERO(n) for n in ("subtotal", "tax_total", "discount_total", "grand_total")), f"cast({FOLD.format('t_payment_terms')} = {FOLD.format('p_payment_terms')} or {_COMMON('t_payment_terms', 'p_payment_terms')} > 0.7 as int)", *_SAME("currency")])} financial_summary from x)
+select *, (vendor_block + client_invoice_info + financial_summary) / 3 accuracy from y""")
+def _(spark, d):
+    return N.region_accuracies(W.records(spark, d)).select("invoice_id", "vendor_block", "client_invoice_info", "financial_summary", "accuracy")
+
+
+_STRIP = lambda x, keep: f"regexp_replace({FOLD.format(x)}, '[^{keep}]', '', 'g')"
+
+
+def _leaf(field: str, t: str, p: str, kind: str, source: str = "records", where: str = "true") -> str:
+    same = f"{FOLD.format(f'cast({t} as varchar)')} = {FOLD.format(f'cast({p} as varchar)')}"
+    if kind == "number":
+        same += f" or coalesce(abs({t} - {p}) < 0.01, false)"
+    if kind == "date":
+        same += f" or {_STRIP(t, '0-9')} = {_STRIP(p, '0-9')}"
+    return f"select invoice_id, '{field}' field, '{kind}' kind, {same} matches from {source} where ({t} is not null or {p} is not null) and {where}"
+
+
+LEAVES = " union all ".join([
+    *(_leaf(n, f"t_{n}", f"p_{n}", "text") for n in ("name", "address", "city", "state", "postal_code", "email", "invoice_id", "payment_terms", "currency")), _leaf("country", "t_state", "cast(null as varchar)", "text"), _leaf("tax_id", "t_tax_id", "cast(null as varchar)", "text"), _leaf("contact", "cast(null as varchar)", "p_contact", "text"),
+    _leaf("name", "t_client", "p_client", "text"), _leaf("nation", "t_nation", "p_nation", "text"), *(_leaf(n, f"t_{n}", f"p_{n}", "date") for n in ("issue_date", "due_date")), *(_leaf(n, f"t_{n}", f"p_{n}", "number") for n in ("subtotal", "tax_total", "discount_total", "grand_total")),
+    _leaf("description", "t_description", "p_description", "text", "record_items"), *(_leaf(n, f"t_{n}", f"p_{n}", "number", "record_items") for n in ("quantity", "unit_price", "line_total")),
+])
+
+
+@query("e1_all_leaves", f"with leaf as ({LEAVES}) select invoice_id, count(*) filter (matches) hit, count(*) counted, cast(count(*) filter (matches) as double) / count(*) accuracy from leaf group by 1")
+def _(spark, d):
+    return N.leaf_accuracy(W.records(spark, d)).withColumnRenamed("right", "hit")
+
+
+@query("e1_by_field", f"with leaf as ({LEAVES}) select field, kind, count(*) filter (matches) hit, count(*) counted, cast(count(*) filter (matches) as double) / count(*) accuracy from leaf group by 1, 2")
+def _(spark, d):
+    return N.accuracy_by_field(W.records(spark, d)).withColumnRenamed("right", "hit")
+
+
 @query("t1_synthesis_plan", f"with {ERRORS} select element, n, case when contains(element, 'line_items') then 'complex_table' when contains(element, 'currency') then 'multi_currency' else 'unusual_layout' end kind, least(n * 10, 100) samples from (select element, count(*) n from errors group by 1 order by n desc, element limit 5)")
 def _(spark, d):
     return M.synthesis_plan(errors(spark, d))

@@ -150,11 +150,11 @@ def _(spark, d):
     return S.replay(spark, path, "invoice_id long, element string, confidence double, error string").groupBy("error").agg(F.count("*").alias("n"))
 
 
-@query("m4_replay", f"with {ERRORS} select invoice_id, 'Read ' || element || ' again.' prompt from errors where error = 'missing'")
+@query("m4_replay", f"with {ERRORS} select invoice_id, 'Read ' || element || ' again.' prompt from errors where error = 'missing_field'")
 def _(spark, d):
     path = new_folder(spark, "errors")
     S.write_error_log(errors(spark, d), path)
-    rows = S.replay(spark, path, "invoice_id long, element string, confidence double, error string").where("error = 'missing'")
+    rows = S.replay(spark, path, "invoice_id long, element string, confidence double, error string").where("error = 'missing_field'")
     return rows.select("invoice_id", F.concat(F.lit("Read "), "element", F.lit(" again.")).alias("prompt"))
 
 

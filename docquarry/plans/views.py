@@ -104,6 +104,65 @@ def predicted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("qty", qty).withColumn("place", place).drop("pos").withColumnRenamed("place", "pos")
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(invoice_id, t, p): each invoice with its lines as one nested record, and as a model reads it, with mistakes
+    by fixed rules. Lines are gathered once by their invoice; all else happens in the row."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "p_name", "l_discount", "l_tax")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("invoice_id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    money = lambda x: x.cast(MONEY)
+    rate = lambda x: x.cast("decimal(4,2)")
+    cut = lambda x: money(F.round(money(x["l_extendedprice"]) * rate(x["l_discount"]), 2))
+    tax = lambda x: money(F.round((money(x["l_extendedprice"]) - cut(x)) * rate(x["l_tax"]), 2))
+    total = lambda f: F.aggregate("lines", F.lit(0).cast(MONEY), lambda s, x: money(s + f(x)))
+    i = F.col("invoice_id")
+    at = lambda name: table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(f"{name}_key"), F.col("n_name").alias(name), F.col("n_regionkey").alias(f"{name}_region"))
+    region = lambda name: table(spark, sf_dir, "region").select(F.col("r_regionkey").alias(f"{name}_key"), F.col("r_name").alias(name))
+    currency = F.create_map(*(F.lit(x) for x in ("AFRICA", "GBP", "AMERICA", "USD", "ASIA", "JPY", "EUROPE", "EUR", "MIDDLE EAST", "USD")))
+    df = (
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("invoice_id"), "o_custkey", F.to_date("o_orderdate").alias("issued"))
+        .join(lines, "invoice_id", "left")
+        .join(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(at("c_nation"), F.col("c_nationkey") == F.col("c_nation_key")).join(region("c_region_name"), F.col("c_nation_region") == F.col("c_region_name_key"))
+        .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), F.get("lines", F.lit(0))["l_suppkey"] == F.col("s_suppkey"), "left")
+        .join(at("s_nation"), F.col("s_nationkey") == F.col("s_nation_key"), "left").join(region("s_region_name"), F.col("s_nation_region") == F.col("s_region_name_key"), "left")
+    )
+    df = df.withColumns({"subtotal": total(lambda x: money(x["l_extendedprice"])), "discount": total(cut), "tax": total(tax)})
+    df = df.withColumn("grand", money(F.col("subtotal") - F.col("discount") + F.col("tax"))).withColumn("due", F.to_date(F.array_min(F.transform("lines", lambda x: x["l_shipdate"]))))
+    number = lambda c: F.col(c).cast("double")
+    key = F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
+    address, email = F.concat(F.col("s_suppkey").cast("string"), F.lit(" Market Street")), F.concat(F.lit("billing"), F.col("s_suppkey").cast("string"), F.lit("@example.com"))
+    terms = F.concat(F.lit("Net "), F.element_at(F.array(F.lit("15"), F.lit("30"), F.lit("45")), (i % 3 + 1).cast("int")))
+    item = lambda x: F.struct(x["p_name"].alias("description"), x["l_quantity"].cast("double").alias("quantity"), cents(x["l_extendedprice"] / x["l_quantity"]).alias("unit_price"), money(x["l_extendedprice"]).cast("double").alias("line_total"))
+
+    def misread(x: Column, k: Column) -> Column:
+        n = i + k + 1
+        y = item(x)
+        return F.when(n % 11 != 0, F.struct(
+            F.when(n % 31 == 0, F.concat(y["description"], F.lit(" x"))).otherwise(y["description"]).alias("description"), F.when(n % 17 == 0, y["quantity"] + 1).otherwise(y["quantity"]).alias("quantity"),
+            F.when(n % 37 != 0, y["unit_price"]).alias("unit_price"), y["line_total"].alias("line_total"),
+        ))
+
+    truth = F.struct(
+        F.struct(F.col("s_name").alias("name"), address.alias("address"), F.col("s_nation").alias("city"), F.col("s_region_name").alias("state"), key.alias("postal_code"), email.alias("email"), F.col("s_region_name").alias("country"), F.lit(None).cast("string").alias("phone"), F.concat(F.lit("TAX"), key).alias("tax_id")).alias("vendor"),
+        F.struct(F.col("c_name").alias("name"), F.col("c_nation").alias("nation")).alias("client"), F.concat(F.lit("INV-"), i.cast("string")).alias("invoice_id"), F.col("issued").cast("string").alias("issue_date"), F.col("due").cast("string").alias("due_date"), terms.alias("payment_terms"),
+        F.transform("lines", item).alias("items"), F.struct(number("subtotal").alias("subtotal"), number("tax").alias("tax_total"), number("discount").alias("discount_total"), number("grand").alias("grand_total"), currency[F.col("c_region_name")].alias("currency")).alias("financial"),
+    )
+    grand = F.when(i % 7 == 0, F.col("grand") + F.lit("0.05").cast(MONEY)).when(i % 29 == 0, F.round(F.col("grand") * F.lit("1.10").cast("decimal(4,2)"), 2)).otherwise(F.col("grand")).cast(MONEY).cast("double")
+    read = F.struct(
+        F.struct(
+            F.when(i % 13 == 0, F.lit(None)).when(i % 5 == 0, F.upper("s_name")).otherwise(F.col("s_name")).alias("name"), F.when(i % 17 == 0, F.concat(F.lit("PO Box "), F.col("s_suppkey").cast("string"))).otherwise(F.concat_ws(", ", address, F.col("s_nation"), F.concat_ws(" ", "s_region_name", key))).alias("address"),
+            F.when(i % 11 != 0, F.col("s_nation")).alias("city"), F.col("s_region_name").alias("state"), F.when(i % 9 == 0, F.reverse(key)).otherwise(key).alias("postal_code"), F.when(i % 8 == 0, F.replace(email, F.lit("@"), F.lit(" at "))).otherwise(email).alias("email"),
+            F.when(i % 8 == 0, F.lit("call us")).otherwise(F.concat(F.lit("Mail "), email)).alias("contact"),
+        ).alias("vendor"),
+        F.struct(F.when(i % 27 == 0, F.lit("Cash sale")).otherwise(F.col("c_name")).alias("name"), F.col("c_nation").alias("nation")).alias("client"), F.concat(F.lit("INV-"), i.cast("string")).alias("invoice_id"),
+        F.when(i % 23 == 0, F.date_add("issued", 1)).otherwise(F.col("issued")).cast("string").alias("issue_date"), F.when(i % 21 != 0, F.col("due")).cast("string").alias("due_date"), F.when(i % 14 == 0, "Net 90").when(i % 6 == 0, F.lower(terms)).otherwise(terms).alias("payment_terms"),
+        F.filter(F.transform("lines", misread), lambda x: x.isNotNull()).alias("items"),
+        F.struct(F.when(i % 16 != 0, number("subtotal")).alias("subtotal"), F.when(i % 12 == 0, number("tax") + 1).otherwise(number("tax")).alias("tax_total"), number("discount").alias("discount_total"), grand.alias("grand_total"), F.when(i % 19 == 0, "CHF").otherwise(currency[F.col("c_region_name")]).alias("currency")).alias("financial"),
+    )
+    return df.select("invoice_id", truth.alias("t"), read.alias("p"))
+
+
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(invoice_id, line_no, text): each invoice with lines, printed."""
     inv = invoices(spark, sf_dir).where("n_items > 0")
@@ -175,6 +234,22 @@ select invoice_id, client, nation, region, issue_date, due_date, subtotal, tax,
 from invoices""",
     "predicted_items": """
 select * exclude (pos, qty), case when (invoice_id + pos) % 17 = 0 then qty + 1 else qty end qty, row_number() over (partition by invoice_id order by pos) pos from line_items where (invoice_id + pos) % 11 <> 0""",
+    "records": """
+select i.invoice_id, i.invoice_id k, i.subtotal sub, i.tax tx, i.discount disc, i.grand_total gt, s_name t_name, s_suppkey || ' Market Street' t_address, sn.n_name t_city, sr.r_name t_state, lpad(cast(s_suppkey as varchar), 6, '0') t_postal_code, 'billing' || s_suppkey || '@example.com' t_email, 'TAX' || lpad(cast(s_suppkey as varchar), 6, '0') t_tax_id,
+ client t_client, nation t_nation, 'INV-' || i.invoice_id t_invoice_id, cast(issue_date as varchar) t_issue_date, cast(i.due_date as varchar) t_due_date, 'Net ' || [15, 30, 45][i.invoice_id % 3 + 1] t_payment_terms,
+ cast(i.subtotal as double) t_subtotal, cast(i.tax as double) t_tax_total, cast(i.discount as double) t_discount_total, cast(i.grand_total as double) t_grand_total, currency t_currency,
+ case when i.invoice_id % 13 = 0 then null when i.invoice_id % 5 = 0 then upper(s_name) else s_name end p_name, case when i.invoice_id % 17 = 0 then 'PO Box ' || s_suppkey else concat_ws(', ', t_address, t_city, concat_ws(' ', t_state, t_postal_code)) end p_address,
+ case when i.invoice_id % 11 <> 0 then t_city end p_city, t_state p_state, case when i.invoice_id % 9 = 0 then reverse(t_postal_code) else t_postal_code end p_postal_code, case when i.invoice_id % 8 = 0 then replace(t_email, '@', ' at ') else t_email end p_email, case when i.invoice_id % 8 = 0 then 'call us' else 'Mail ' || t_email end p_contact,
+ case when i.invoice_id % 27 = 0 then 'Cash sale' else client end p_client, nation p_nation, t_invoice_id p_invoice_id, cast(case when i.invoice_id % 23 = 0 then issue_date + 1 else issue_date end as varchar) p_issue_date, case when i.invoice_id % 21 <> 0 then t_due_date end p_due_date, case when i.invoice_id % 14 = 0 then 'Net 90' when i.invoice_id % 6 = 0 then lower(t_payment_terms) else t_payment_terms end p_payment_terms,
+ case when i.invoice_id % 16 <> 0 then t_subtotal end p_subtotal, case when i.invoice_id % 12 = 0 then t_tax_total + 1 else t_tax_total end p_tax_total, t_discount_total p_discount_total,
+ cast(cast(case when i.invoice_id % 7 = 0 then i.grand_total + 0.05 when i.invoice_id % 29 = 0 then round(i.grand_total * 1.10, 2) else i.grand_total end as decimal(18,2)) as double) p_grand_total, case when i.invoice_id % 19 = 0 then 'CHF' else currency end p_currency
+from invoices i left join invoice_sums s on s.invoice_id = i.invoice_id left join supplier on s_suppkey = s.suppkey left join nation sn on sn.n_nationkey = s_nationkey left join region sr on sr.r_regionkey = sn.n_regionkey""",
+    "record_items": """
+with x as (select invoice_id, pos, description, cast(qty as double) quantity, unit_price, cast(line_total as double) line_total, invoice_id + pos n from line_items),
+q as (select *, row_number() over (partition by invoice_id order by pos) place from x where n % 11 <> 0)
+select coalesce(x.invoice_id, q.invoice_id) invoice_id, coalesce(x.pos, q.place) pos, x.pos is not null in_t, q.place is not null in_p, x.description t_description, x.quantity t_quantity, x.unit_price t_unit_price, x.line_total t_line_total,
+ case when q.n % 31 = 0 then q.description || ' x' else q.description end p_description, case when q.n % 17 = 0 then q.quantity + 1 else q.quantity end p_quantity, case when q.n % 37 <> 0 then q.unit_price end p_unit_price, q.line_total p_line_total
+from x full join q on x.invoice_id = q.invoice_id and x.pos = q.place""",
     "ocr_lines": """
 select invoice_id, 1 line_no, 'Vendor: ' || vendor text from invoices where n_items > 0
 union all select invoice_id, 2, 'Invoice #: INV-' || invoice_id from invoices where n_items > 0

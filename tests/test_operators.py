@@ -83,14 +83,6 @@ def test_error_class_priority(spark):
     assert got == {1: ("TOTAL_MISMATCH", 5), 2: ("TABLE_STRUCTURE_ERROR", 4), 3: ("CURRENCY_ERROR", 3)}
 
 
-def test_missing_prediction_is_an_error_unless_compat(spark):
-    df = spark.createDataFrame([(1, 10.0, None)], "invoice_id int, t_total double, p_total double").withColumns({f"{s}_{c}": F.lit("x") for s in "tp" for c in ("vendor", "currency", "date")})
-    items = spark.createDataFrame([], "invoice_id int, pos int, t_qty double, p_qty double, t_line_total double, p_line_total double")
-    counts = spark.createDataFrame([], "invoice_id int, truth_rows long, predicted_rows long")
-    assert [r["error"] for r in N.mine_errors(df, items, counts).collect()] == ["missing"]
-    assert N.mine_errors(df, items, counts, compat=True).count() == 0
-
-
 def test_empty_extraction_never_contains(spark):
     df = spark.createDataFrame([("Acme", "")], "t_vendor string, p_vendor string").withColumns({"t_currency": F.lit("USD"), "p_currency": F.lit("USD"), "t_date": F.lit("d"), "p_date": F.lit("d"), "t_total": F.lit(1.0), "p_total": F.lit(1.0)})
     assert E.field_accuracy(df, "contains").first()["vendor_ok"] is False
