@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 D = "decimal(18,2)"
 
@@ -30,7 +31,8 @@ class Profile:
     (lines) or above zero (items, subtotal, total) or stated (tax) for the check. absent: a missing subtotal and total
     count as ``zero``, the ``total`` alone does, or their checks are passed over (``skip``). lines: quantity times price
     is held against each line's total. minor: a smaller difference of the total that is a warning. amounts: negative
-    amounts are errors. required: a missing subtotal or total is an error. notes: warnings of no lines and of a
+    amounts are errors. total_zero: a missing total counts as 0 even where other missing parts are passed over.
+    price_for_total: a line without a total counts by its price (``items_stated`` of ``with_line_checks``). required: a missing subtotal or total is an error. notes: warnings of no lines and of a
     confidence under the given value.
     """
 
@@ -51,6 +53,8 @@ class Profile:
     required: bool = False
     no_items: bool = False
     confidence: float | None = None
+    total_zero: bool = False
+    price_for_total: bool = False
 
 
 #: Tolerances and comparisons are fixed values of the validated formats.
@@ -62,7 +66,7 @@ PROFILES = {
     "quadrant": Profile("0.01", items=None, discount=True, lines=True),
     "override": Profile("0.01", strict=False, items=None, base="items", discount=True),
     "relative": Profile("0.02", "relative", absent="skip"),
-    "half_unit": Profile("0.5", total_if=("tax",), absent="skip"),
+    "half_unit": Profile("0.5", total_if=("tax",), absent="skip", total_zero=True, price_for_total=True),
     "relative_floor": Profile("0.02", "floor"),
     "eval": Profile("0.02", "floor", strict=False, items="warning", discount=True, items_if=("lines",)),
     "receipt": Profile("0.01", total="warning", discount=True, items_if=("items", "subtotal"), total_if=("total", "subtotal"), no_items=True),
@@ -86,9 +90,11 @@ def failed(difference: Column, stated: Column, p: Profile, strict: bool, zero_ca
 
 def with_line_checks(df: DataFrame, items: DataFrame) -> DataFrame:
     """``df`` with what its lines give: line_off (largest difference of quantity times price from a line's total),
-    items_calc (sum of quantity times price), tax_calc (of that by the lines' rates), worst_line (least total)."""
+    items_calc (sum of quantity times price), tax_calc (of that by the lines' rates), worst_line (least total),
+    items_stated (sum of totals, of the price where a line has none or 0)."""
     amount = F.round(F.col("qty") * F.col("unit_price"), 2).cast(D)
-    sums = items.groupBy("invoice_id").agg(F.max(F.abs(amount - F.col("line_total"))).alias("line_off"), F.sum(amount).cast(D).alias("items_calc"), F.sum(amount * F.col("tax_rate")).cast("decimal(28,4)").alias("tax_calc"), F.min("line_total").alias("worst_line"))
+    stated = F.coalesce(F.when(F.col("line_total") != 0, F.col("line_total")), F.round("unit_price", 2).cast(D), F.lit(0).cast(D))
+    sums = items.groupBy("invoice_id").agg(F.max(F.abs(amount - F.col("line_total"))).alias("line_off"), F.sum(amount).cast(D).alias("items_calc"), F.sum(amount * F.col("tax_rate")).cast("decimal(28,4)").alias("tax_calc"), F.min("line_total").alias("worst_line"), F.sum(stated).cast(D).alias("items_stated"))
     return df.join(sums, "invoice_id", "left")
 
 
@@ -99,7 +105,9 @@ def validate_arithmetic(df: DataFrame, profile: str | Profile = "decimal") -> Da
     p = PROFILES[profile] if isinstance(profile, str) else profile
     no, none = F.lit(False), F.lit(0).cast(D)
     items, subtotal = zero("items_total"), zero("subtotal") if p.absent == "zero" else F.col("subtotal")
-    total, tax = F.col("total") if p.absent == "skip" else zero("total"), zero("tax")
+    if p.price_for_total and "items_stated" in df.columns:
+        items = zero("items_stated")
+    total, tax = F.col("total") if p.absent == "skip" and not p.total_zero else zero("total"), zero("tax")
     base = subtotal
     if p.base == "items":
         base = F.when(items > 0, items).otherwise(zero("subtotal"))
@@ -175,13 +183,43 @@ def validate_required(df: DataFrame, columns: list[str], falsy: bool = True) ->
     return df.withColumn("missing", F.filter(names, lambda x: x.isNotNull()))
 
 
+def json_kind(value: Column) -> Column:
+    """number, string, boolean, list, object, null of a VARIANT; NULL where there is no value."""
+    schema = F.schema_of_variant(value)
+    kind = F.when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
+    return kind.when(F.startswith(schema, F.lit("ARRAY")), "list").when(F.startswith(schema, F.lit("OBJECT")), "object").when(schema == "VOID", "null").when(schema.isNotNull(), "other")
+
+
 def validate_types(df: DataFrame, column: str, paths: dict[str, str]) -> DataFrame:
-    """For each path of a JSON column: whether its value is present and of the kind (number, string)."""
-    checks = {}
-    for path, kind in paths.items():
-        value = F.get_json_object(column, f"$.{path}")
-        checks[f"{path}_ok"] = F.coalesce(F.expr(f"try_cast(get_json_object({column}, '$.{path}') as double)").isNotNull() if kind == "number" else value.isNotNull(), F.lit(False))
-    return df.withColumns(checks)
+    """For each path of a JSON column: whether its value is present and of the JSON kind (``json_kind``); a number in
+    quotes is no number."""
+    value = F.try_parse_json(column)
+    return df.withColumns({f"{path}_ok": F.coalesce(json_kind(F.try_variant_get(value, f"$.{path}", "variant")) == kind, F.lit(False)) for path, kind in paths.items()})
+
+
+def type_errors(df: DataFrame, column: str, numbers: tuple[str, ...] = ("subtotal", "tax", "grand_total"), within: str = "financial_summary", items: str = "line_items", item_numbers: tuple[str, ...] = ("unit_price", "line_total"), key: str = "invoice_id") -> DataFrame:
+    """(key, path, want, got) of what a JSON document holds in the wrong kind: amounts that are no numbers, a list of lines
+    that is none, lines that are no objects, numbers of lines that are none; lines by their place from 0. What is absent
+    is passed over; text that is no JSON is one error at the root."""
+    value = F.try_parse_json(column)
+    at = lambda v, path: F.try_variant_get(v, path, "variant")
+
+    def wrong(v: Column, want: str, path: Column) -> Column:
+        got = json_kind(v)
+        return F.when(got != want, F.struct(path.alias("path"), F.lit(want).alias("want"), got.alias("got")))
+
+    found = [wrong(at(value, f"$.{within}.{n}"), "number", F.lit(f"{within}.{n}")) for n in numbers]
+    found += [wrong(at(value, f"$.{items}"), "list", F.lit(items)), F.when(F.col(column).isNotNull() & value.isNull(), F.struct(F.lit("$").alias("path"), F.lit("json").alias("want"), F.lit("text").alias("got")))]
+
+    def of(item: Column, i: Column) -> Column:
+        path = F.concat(F.lit(f"{items}["), i.cast("string"), F.lit("]"))
+        own = [wrong(item, "object", path)]
+        own += [wrong(F.when(json_kind(item) == "object", at(item, f"$.{n}")), "number", F.concat(path, F.lit(f".{n}"))) for n in item_numbers]
+        return F.array(*own)
+
+    lines = F.coalesce(F.try_variant_get(value, f"$.{items}", "array<variant>"), F.array().cast("array<variant>"))
+    every = F.concat(F.array(*found), F.flatten(F.transform(lines, of)))
+    return df.select(key, F.inline(F.filter(every, lambda x: x.isNotNull())))
 
 
 def validate_business(df: DataFrame, max_rate: float = 0.30, max_id: int = 50) -> DataFrame:
@@ -209,14 +247,14 @@ def validate_statistical(df: DataFrame, value: str = "total", by: str = "vendor"
 
 def validate_document(df: DataFrame, as_of: str, profile: str = "decimal", low: float = 0.85, required: tuple[str, ...] = (), numbers: tuple[str, ...] = ()) -> DataFrame:
     """(invoice_id, field, issue, severity) of every finding of the checks above: sums, dates, business rules, presence
-    of the ``required`` columns and whether the ``numbers`` can be read as such."""
+    of the ``required`` columns and whether the ``numbers`` are such by type (text is none, whatever it says)."""
     df = validate_required(validate_business(validate_dates(validate_arithmetic(df, profile), as_of)), list(required), falsy=False)
     found = lambda bad, field, issue, severity: F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(issue).alias("issue"), F.lit(severity).alias("severity")))
     issues = F.array(
         found(~F.col("items_ok"), "subtotal", "SUBTOTAL_MISMATCH", "error"), found(~F.col("total_ok"), "total", "TOTAL_MISMATCH", "error"), found(F.col("due_before_issue"), "due_date", "DUE_BEFORE_ISSUE", "error"),
         found(F.col("in_future"), "issue_date", "FUTURE_DATE", "warning"), found(F.col("too_old"), "issue_date", "TOO_OLD", "warning"), found(F.col("negative"), "amount", "NEGATIVE", "error"),
         found(F.col("high_tax"), "tax", "HIGH_TAX", "warning"), found(F.col("n_items") == 0, "line_items", "NO_ITEMS", "warning"), found(F.col("confidence") < low, "confidence", "LOW_CONFIDENCE", "warning"),
-        *(found(F.array_contains("missing", c), c, "MISSING", "error") for c in required), *(found(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull(), c, "NOT_A_NUMBER", "error") for c in numbers),
+        *(found(F.array_contains("missing", c), c, "MISSING", "error") for c in required), *(found(F.col(c).isNotNull(), c, "NOT_A_NUMBER", "error") for c in numbers if not isinstance(df.schema[c].dataType, T.NumericType)),
     )
     return df.select("invoice_id", F.inline(F.filter(issues, lambda x: x.isNotNull())))
 

@@ -77,7 +77,7 @@ CASES = [
     # a line check and the sum; lines need not add up
     ("quadrant", "1.00", 1, "100.00", "10.00", "5.00", "105.01", True, True), ("quadrant", "1.00", 1, "100.00", "10.00", "5.00", "105.02", False, False),
     # half a unit; without a tax the total is not held against anything
-    ("half_unit", "100.50", 1, "100.00", "1.00", None, "101.50", True, True), ("half_unit", "100.51", 1, "100.00", "1.00", None, "101.00", False, False), ("half_unit", "100.00", 1, "100.00", None, None, "900.00", True, True), ("half_unit", None, 0, None, "1.00", None, "900.00", True, True),
+    ("half_unit", "100.50", 1, "100.00", "1.00", None, "101.50", True, True), ("half_unit", "100.51", 1, "100.00", "1.00", None, "101.00", False, False), ("half_unit", "100.00", 1, "100.00", None, None, "900.00", True, True), ("half_unit", None, 0, None, "1.00", None, "900.00", True, True), ("half_unit", "100.00", 1, "100.00", "10.00", None, None, False, False), ("half_unit", None, 0, "0.20", "0.20", None, None, True, True),
     # relative to the stated values; a zero subtotal is exact
     ("relative", "130.00", 2, "130.00", "13.00", None, "143.00", True, True), ("relative", "100.00", 1, "100.00", "10.00", None, "50.00", False, False), ("relative", None, 0, "0.00", "0.00", None, "0.00", True, True), ("relative", None, 0, "0.00", "0.00", None, "0.02", False, False),
     ("relative", "102.00", 1, "100.00", "0.00", None, "100.00", True, True), ("relative", "102.01", 1, "100.00", "0.00", None, "100.00", False, False), ("relative", None, 0, "100.00", "0.00", None, "100.00", False, False),
@@ -123,3 +123,35 @@ def test_warnings_are_named(spark):
 def test_confidences_follow_the_checks(spark):
     row = lambda **k: V.floor_confidences(V.validate_arithmetic(invoice(spark, **k), "relative_floor")).first()[-3:]
     assert tuple(row()) == (0.95, 0.95, 0.90) and tuple(row(total="200.00")) == (0.95, 0.5, 0.65)
+
+
+def test_a_line_without_total_counts_by_its_price(spark):
+    items = spark.createDataFrame([(1, 2.0, 50.0, None, None), (1, 1.0, 7.0, D("0.00"), None), (2, 2.0, 50.0, D("100.00"), None)], "invoice_id long, qty double, unit_price double, line_total decimal(18,2), tax_rate decimal(4,2)")
+    df = spark.createDataFrame([(1, None, 2, D("57.00"), D("0.00"), None, D("57.00"), 0.9), (2, D("100.00"), 1, D("100.60"), D("0.00"), None, D("100.60"), 0.9)], SCHEMA)
+    got = {r["invoice_id"]: (r["items_ok"], r["is_valid"]) for r in V.validate_arithmetic(V.with_line_checks(df, items), "half_unit").collect()}
+    assert got == {1: (True, True), 2: (False, False)}
+
+
+#: (document, errors as path, want, got): from the validated format.
+TYPED = [
+    ('{"financial_summary": {"subtotal": 1, "tax": 0.5, "grand_total": 1.5e0}, "line_items": [{"unit_price": 1, "line_total": 2}]}', []),
+    ('{"financial_summary": {"subtotal": "12", "tax": null, "grand_total": true}}', [("financial_summary.grand_total", "number", "boolean"), ("financial_summary.subtotal", "number", "string"), ("financial_summary.tax", "number", "null")]),
+    ('{"line_items": "none"}', [("line_items", "list", "string")]), ('{"line_items": {"a": 1}}', [("line_items", "list", "object")]), ('{"line_items": []}', []), ("{}", []), (None, []), ('{"line', [("$", "json", "text")]),
+    ('{"line_items": [{"unit_price": "1"}, "text", 3, {"line_total": []}, {"unit_price": 2}]}', [("line_items[0].unit_price", "number", "string"), ("line_items[1]", "object", "string"), ("line_items[2]", "object", "number"), ("line_items[3].line_total", "number", "list")]),
+]
+
+
+def test_json_types(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(TYPED)], "invoice_id int, body string")
+    got: dict = {k: [] for k in range(len(TYPED))}
+    for r in V.type_errors(df, "body").collect():
+        got[r["invoice_id"]].append((r["path"], r["want"], r["got"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: e for k, (_, e) in enumerate(TYPED)}
+    props = spark.createDataFrame([('{"n": "12", "s": 5}',), ('{"n": 12, "s": "x"}',), ("{}",), (None,)], "props string")
+    assert [tuple(r)[1:] for r in V.validate_types(props, "props", {"n": "number", "s": "string"}).collect()] == [(False, False), (True, True), (False, False), (False, False)]
+
+
+def test_text_is_no_number_by_type(spark):
+    df = invoice(spark).withColumns({"client": F.lit("12"), "client_id": F.lit(12), "vendor": F.lit("v"), "issue_date": F.lit("2024-01-01").cast("date"), "due_date": F.lit(None).cast("date")})
+    issues = [(r["field"], r["issue"]) for r in V.validate_document(df, "2024-06-01", numbers=("client", "client_id")).collect()]
+    assert ("client", "NOT_A_NUMBER") in issues and ("client_id", "NOT_A_NUMBER") not in issues
