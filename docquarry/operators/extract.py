@@ -268,13 +268,49 @@ def items_of_table(rows: DataFrame) -> DataFrame:
     return df.select("invoice_id", "row", F.col("c")[0].alias("description"), number(2).alias("qty"), number(3).alias("unit_price"), number(-1).alias("line_total"))
 
 
-def items_named(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Items whose columns are named by a header word in their cells (word: qty, unit, total); the line total is
-    quantity times price, half up to cents. names: word, column; a small table."""
-    word, value = F.lower(F.regexp_extract("text", r"^([A-Za-z]+)\s+[\d.]+$", 1)), F.regexp_extract("text", r"([\d.]+)$", 1).try_cast("double")
-    cells = rows.withColumn("word", word).withColumn("value", value).join(names, "word")
-    df = cells.groupBy("invoice_id", "row").agg(*(F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in ("qty", "unit_price")))
-    return df.where("qty IS NOT NULL AND unit_price IS NOT NULL").withColumn("line_total", F.floor(F.col("qty") * F.col("unit_price") * 100 + 0.5) / 100)
+#: Words in a header that name a column; fixed values of the read formats.
+HEADER_WORDS = {"description": ("description", "item"), "quantity": ("qty", "quantity"), "unit_price": ("unit price", "price", "rate"), "total": ("total", "amount")}
+
+
+def number_of(text: Column) -> Column:
+    """A numeric cell as a number: both separators are thousands and decimals as in 1.234,56, a lone comma a decimal."""
+    plain = F.regexp_replace(text, r"[^\d.,\-]", "")
+    both = F.contains(plain, F.lit(",")) & F.contains(plain, F.lit("."))
+    european = F.replace(F.replace(plain, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return F.when(both, european).otherwise(F.replace(plain, F.lit(","), F.lit("."))).try_cast("double")
+
+
+def items_named(regions: DataFrame, step: int = 10) -> DataFrame:
+    """(invoice_id, row, description, quantity, unit_price, total, line_total): the lines of a table under the names of
+    its first row. regions: those of one table a page. Rows are buckets of ``step``; a cell belongs to the header whose
+    x interval it overlaps most (without any, to the header of its place); rows of three cells or more count. The line
+    total is quantity times price, half up to cents, where the row has both, else the stated total."""
+    cell = F.struct("x", "region_id", "text", (F.col("x") + F.col("w")).alias("end"))
+    rows = regions.withColumn("row", (F.bround((F.col("y") + F.col("h") / 2) / step) * step).cast("int"))
+    lines = F.sort_array(F.collect_list(F.struct("row", cell.alias("cell"))))
+    df = rows.groupBy("invoice_id").agg(lines.alias("c")).withColumn("__first", F.col("c")[0]["row"])
+    of_row = lambda r: F.transform(F.filter("c", lambda c: c["row"] == r), lambda c: c["cell"])
+    df = df.withColumn("head", of_row(F.col("__first"))).withColumn("rows", F.filter(F.array_distinct(F.transform("c", lambda c: c["row"])), lambda r: r != F.col("__first")))
+    df = df.select("invoice_id", "head", F.explode(F.transform("rows", lambda r: F.struct(r.alias("row"), of_row(r).alias("cells")))).alias("r")).select("invoice_id", "head", "r.row", "r.cells").where(F.size("cells") >= 3)
+
+    def header(c: Column, place: Column) -> Column:
+        shared = lambda h: F.least(c["end"], h["end"]) - F.greatest(c["x"], h["x"])
+        start = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n"))
+        best = F.aggregate("head", start, lambda s, h: F.when(shared(h) > s["n"], F.struct(h["text"].alias("text"), shared(h).cast("long").alias("n"))).otherwise(s))
+        return F.lower(F.coalesce(best["text"], F.get(F.col("head"), place)["text"]))
+
+    named = F.transform("cells", lambda c, i: F.struct(header(c, i).alias("h"), c["text"].alias("text")))
+    df = df.withColumn("named", named)
+
+    def column(words: tuple[str, ...]) -> Column:
+        """The first cell under a header that is one of the words, else under one that holds one."""
+        same = F.filter("named", lambda c: F.trim(c["h"]).isin(*words))
+        holds = F.filter("named", lambda c: c["h"].rlike("|".join(words)))
+        return F.coalesce(F.get(same, F.lit(0))["text"], F.get(holds, F.lit(0))["text"])
+
+    text = {k: column(w) for k, w in HEADER_WORDS.items()}
+    df = df.select("invoice_id", "row", text["description"].alias("description"), *(number_of(text[k]).alias(k) for k in ("quantity", "unit_price", "total")))
+    return df.withColumn("line_total", F.coalesce(F.floor(F.col("quantity") * F.col("unit_price") * 100 + 0.5) / 100, F.col("total")))
 
 
 def items_of_receipt(lines: DataFrame) -> DataFrame:

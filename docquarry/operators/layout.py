@@ -59,21 +59,73 @@ def zones(regions: DataFrame, head: float = 0.3, foot: float = 0.7) -> DataFrame
     return regions.withColumn("__h", height).withColumn("zone", zone).drop("__h")
 
 
+#: Distance of centres below which two boxes are near, and how many numeric ones count; fixed values.
+NEAR, FIRST_NUMBERS = 50.0, 10
+#: Words of each part of a page; fixed values.
+CLIENT_WORDS, TAX_WORDS = "invoice|bill to|client|customer|date|due", "tax|vat|gst|discount|subtotal"
+
+
+def pages(regions: DataFrame) -> DataFrame:
+    """(invoice_id, cells): the regions of a page as one array in reading order, so that what concerns a page
+    happens within its row. The only exchange of the operators below is this one."""
+    sure = F.col("confidence") if "confidence" in regions.columns else F.lit(1.0)
+    cell = F.struct("y", "x", "region_id", "text", "w", "h", sure.alias("confidence"))
+    return regions.groupBy("invoice_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Pages back as regions, with the named columns of the page."""
+    cells = df.select("invoice_id", *columns, F.inline("cells"))
+    kept = [c for c in cells.columns if c not in ("invoice_id", "region_id", "text", "x", "y", "w", "h", "confidence")]
+    return cells.select("invoice_id", "region_id", "text", "x", "y", "w", "h", "confidence", *kept)
+
+
+def centre(c: Column) -> tuple[Column, Column]:
+    return c["x"] + c["w"] / 2, c["y"] + c["h"] / 2
+
+
+def is_number(c: Column) -> Column:
+    return c["text"].rlike(NUMERIC)
+
+
+def beside(c: Column, numbers: Column, distance: float = NEAR) -> Column:
+    """Whether the centre of a cell is nearer than the distance to that of one of the cells."""
+    x, y = centre(c)
+
+    def near(n: Column) -> Column:
+        nx, ny = centre(n)
+        return (x - nx) * (x - nx) + (y - ny) * (y - ny) < distance * distance
+
+    return F.exists(numbers, near)
+
+
+def first_numbers(cells: Column, first: int = FIRST_NUMBERS) -> Column:
+    return F.slice(F.filter(cells, is_number), 1, first)
+
+
 def quadrants(regions: DataFrame) -> DataFrame:
-    """vendor, client, line_items, tax or totals, by place and keyword; each region takes the first that fits,
-    a total with its number in one region counting as totals if nothing else fits."""
-    whole = Window.partitionBy("invoice_id")
-    df = regions.withColumns({"__w": F.max(F.col("x") + F.col("w")).over(whole), "__h": F.max(F.col("y") + F.col("h")).over(whole), "__cx": F.col("x") + F.col("w") / 2, "__cy": F.col("y") + F.col("h") / 2, "__n": F.col("text").rlike(NUMERIC)})
-    df = df.withColumns({"__top": F.min(F.when(F.col("__n"), F.col("y"))).over(whole), "__low": F.max(F.when(F.col("__n"), F.col("y") + F.col("h"))).over(whole)})
-    low = F.lower("text")
-    part = (
-        F.when((F.col("__cx") < F.col("__w") * 0.5) & (F.col("__cy") < F.col("__h") * 0.3), "vendor")
-        .when((F.col("__cx") > F.col("__w") * 0.5) | low.rlike("invoice|bill to|client|customer|date|due"), "client")
-        .when(F.col("__cy").between(F.col("__top"), F.col("__low")), "line_items")
-        .when(low.rlike("tax|vat|gst|discount|subtotal"), "tax")
-        .when((F.col("__cx") > F.col("__w") * 0.6) & (F.col("__cy") > F.col("__h") * 0.7) | low.rlike("total"), "totals")
-    )
-    return df.withColumn("part", part).drop("__w", "__h", "__cx", "__cy", "__n", "__top", "__low")
+    """vendor, client, line_items, tax or totals, by place and keyword; each region takes the first that fits. Line items
+    stand between the highest and the lowest number of the page and near one of its first ``FIRST_NUMBERS``; a total
+    with its number in one region counts as totals if nothing else fits."""
+    most = lambda f: F.array_max(F.transform("cells", f))
+    numbers = F.filter("cells", is_number)
+    df = pages(regions).withColumns({
+        "__w": most(lambda c: c["x"] + c["w"]), "__h": most(lambda c: c["y"] + c["h"]), "__top": F.array_min(F.transform(numbers, lambda c: c["y"])),
+        "__low": F.array_max(F.transform(numbers, lambda c: c["y"] + c["h"])), "__n": F.slice(numbers, 1, FIRST_NUMBERS),
+    })
+
+    def part(c: Column) -> Column:
+        cx, cy = centre(c)
+        low = F.lower(c["text"])
+        return (
+            F.when((cx < F.col("__w") * 0.5) & (cy < F.col("__h") * 0.3), "vendor")
+            .when((cx > F.col("__w") * 0.5) | low.rlike(CLIENT_WORDS), "client")
+            .when(cy.between(F.col("__top"), F.col("__low")) & beside(c, F.col("__n")), "line_items")
+            .when(low.rlike(TAX_WORDS), "tax")
+            .when((cx > F.col("__w") * 0.6) & (cy > F.col("__h") * 0.7) | low.rlike("total"), "totals")
+        )
+
+    return spread(df.withColumn("cells", F.transform("cells", lambda c: c.withField("part", part(c)))).select("invoice_id", "cells"))
 
 
 def extents(regions: DataFrame, *by: str) -> DataFrame:
@@ -107,31 +159,62 @@ def overlap(a: str, b: str) -> Column:
     return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
 
 
-def assign(tokens: DataFrame, boxes: DataFrame, least: float = 0.1, grid: int = 200) -> DataFrame:
-    """Each token with the box of its page it overlaps most, over the least share; the first box of equals.
+def share_of(c: Column, box: Column) -> Column:
+    """Intersection over union of a cell (x, y, w, h) and a box (x1, y1, x2, y2)."""
+    w = F.greatest(F.least(c["x"] + c["w"], box["x2"]) - F.greatest(c["x"], box["x1"]), F.lit(0))
+    h = F.greatest(F.least(c["y"] + c["h"], box["y2"]) - F.greatest(c["y"], box["y1"]), F.lit(0))
+    union = c["w"] * c["h"] + (box["x2"] - box["x1"]) * (box["y2"] - box["y1"]) - w * h
+    return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
+
+
+def best_box(c: Column, boxes: Column, least: float) -> Column:
+    """(box, iou) that a cell overlaps most, over the least share; the first of equals. NULL where there is none."""
+    start = F.struct(F.lit(None).cast("string").alias("box"), F.lit(float(least)).alias("iou"))
+
+    def better(best: Column, b: Column) -> Column:
+        share = share_of(c, b).cast("double")
+        return F.when(share > best["iou"], F.struct(b["box"].alias("box"), share.alias("iou"))).otherwise(best)
+
+    found = F.aggregate(boxes, start, better)
+    return F.when(found["box"].isNotNull(), found)
+
+
+def assign(tokens: DataFrame, boxes: DataFrame, least: float = 0.1) -> DataFrame:
+    """(invoice_id, region_id, box, iou): each token with the box of its page it overlaps most, over the least share; the
+    first box of equals. Both sides are arrays of their page: pages meet once, by an equi-join, and the overlap is a
+    fold inside the row. tokens: regions; boxes: invoice_id, box, x1..y2."""
+    held = boxes.groupBy("invoice_id").agg(F.sort_array(F.collect_list(F.struct("box", "x1", "y1", "x2", "y2"))).alias("boxes"))
+    return assigned(pages(tokens).join(held, "invoice_id"), least)
+
+
+def assigned(df: DataFrame, least: float = 0.1) -> DataFrame:
+    """``assign`` of pages that hold their boxes (cells, boxes) already."""
+    found = F.transform("cells", lambda c: F.struct(c["region_id"].alias("region_id"), best_box(c, F.col("boxes"), least).alias("b")))
+    out = df.select("invoice_id", F.inline(found)).where("b IS NOT NULL")
+    return out.select("invoice_id", "region_id", F.col("b.box").alias("box"), F.col("b.iou").alias("iou"))
+
 
-    Both sides are laid on a grid of cells, so only boxes that share a cell meet, by an equi-join; of the cells
-    a pair shares, the first counts. tokens: invoice_id, region_id, x, y, w, h; boxes: invoice_id, box, x1..y2."""
-    t = tokens.select("invoice_id", "region_id", F.col("x").alias("t_x1"), F.col("y").alias("t_y1"), (F.col("x") + F.col("w")).alias("t_x2"), (F.col("y") + F.col("h")).alias("t_y2"))
-    b = boxes.select("invoice_id", "box", *(F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")))
+def box_around(cells: Column, name: Column) -> Column:
+    """(box, x1, y1, x2, y2) around an array of cells."""
+    least, most = (lambda f: F.array_min(F.transform(cells, f))), (lambda f: F.array_max(F.transform(cells, f)))
+    return F.struct(name.alias("box"), least(lambda c: c["x"]).alias("x1"), least(lambda c: c["y"]).alias("y1"), most(lambda c: c["x"] + c["w"]).alias("x2"), most(lambda c: c["y"] + c["h"]).alias("y2"))
 
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{p}{lo}") / grid), F.floor(F.col(f"{p}{hi}") / grid))
-        return df.withColumn("gx", F.explode(span("x1", "x2"))).withColumn("gy", F.explode(span("y1", "y2")))
 
-    met = cells(t, "t_").join(cells(b, "b_"), ["invoice_id", "gx", "gy"])
-    first = (F.col("gx") == F.greatest(F.floor(F.col("t_x1") / grid), F.floor(F.col("b_x1") / grid))) & (F.col("gy") == F.greatest(F.floor(F.col("t_y1") / grid), F.floor(F.col("b_y1") / grid)))
-    met = met.where(first).withColumn("iou", overlap("t_", "b_")).where(F.col("iou") > least)
-    return met.groupBy("invoice_id", "region_id").agg(F.min_by("box", F.struct((-F.col("iou")).alias("o"), "box")).alias("box"), F.max("iou").alias("iou"))
+def zoned_pages(regions: DataFrame, head: float = 0.3, foot: float = 0.7) -> DataFrame:
+    """Pages with ``boxes``, those of their zones (footer, header, table) that hold anything, and the height."""
+    height = F.array_max(F.transform("cells", lambda c: c["y"] + c["h"]))
+    zone = lambda c: F.when(c["y"] < F.col("height") * head, "header").when(c["y"] > F.col("height") * foot, "footer").otherwise("table")
+    df = pages(regions).withColumn("height", height).withColumn("cells", F.transform("cells", lambda c: c.withField("zone", zone(c))))
+    of = lambda n: F.filter("cells", lambda c: c["zone"] == n)
+    own = [(n, of(n)) for n in ("footer", "header", "table")]
+    boxes = F.array(*(F.when(F.size(cells) > 0, box_around(cells, F.lit(n))) for n, cells in own))
+    return df.withColumn("boxes", F.filter(boxes, lambda b: b.isNotNull()))
 
 
-def near_numbers(regions: DataFrame, distance: float = 50.0, first: int = 10) -> DataFrame:
-    """Regions whose centre is within the distance of one of their page's first numeric ones."""
-    centre = regions.withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2})
-    numbers = centre.where(F.col("text").rlike(NUMERIC)).withColumn("k", F.row_number().over(page("y", "x", "region_id"))).where(F.col("k") <= first)
-    numbers = numbers.select(F.col("invoice_id").alias("n_id"), F.col("cx").alias("n_cx"), F.col("cy").alias("n_cy"))
-    dx, dy = F.col("cx") - F.col("n_cx"), F.col("cy") - F.col("n_cy")
-    return centre.join(numbers, (F.col("invoice_id") == F.col("n_id")) & (dx * dx + dy * dy <= distance * distance), "left_semi").drop("cx", "cy")
+def near_numbers(regions: DataFrame, distance: float = NEAR, first: int = FIRST_NUMBERS) -> DataFrame:
+    """Regions whose centre is nearer than the distance to one of their page's first numeric ones."""
+    df = pages(regions).withColumn("__n", first_numbers(F.col("cells"), first))
+    return spread(df.select("invoice_id", F.filter("cells", lambda c: beside(c, F.col("__n"), distance)).alias("cells")))
 
 
 def fields_by_schema(regions: DataFrame, specs: DataFrame) -> DataFrame:
@@ -148,10 +231,33 @@ REGION_TYPES = {
 }
 
 
-def semantic_layout(regions: DataFrame, kind: str = "zone") -> DataFrame:
-    """Per page and region type: regions in reading order, their text joined, and their box."""
+def semantic_layout(regions: DataFrame, zone: bool = True, least: float = 0.0) -> DataFrame:
+    """Per page and region type, from one gathering of the page: number of regions, their text in reading order, tokens
+    (region ids) by the box of a type that they overlap most, box and content. The content of a table is its rows (by
+    bucket, cells by x, parted by a bar), of anything else its lines as they are. ``zone``: types from the zones of the
+    page; otherwise ``regions`` has ``kind``."""
     names = F.create_map(*(F.lit(x) for kv in REGION_TYPES.items() for x in kv))
-    df = reading_order(regions).withColumn("region_type", F.coalesce(names[F.lower(kind)], F.lit("text_block")))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
-    box = (F.min("x").alias("x1"), F.min("y").alias("y1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"))
-    return df.groupBy("invoice_id", "region_type").agg(F.count("*").alias("n"), F.array_join(texts, " ").alias("text"), *box)
+    if zone:
+        df = zoned_pages(regions)
+    else:
+        kind = F.coalesce(names[F.lower("kind")], F.lit("text_block"))
+        cell = F.struct("y", "x", "region_id", "text", "w", "h", "confidence", kind.alias("zone"))
+        df = regions.groupBy("invoice_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+        kinds = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["zone"])))
+        df = df.withColumn("boxes", F.transform(kinds, lambda k: box_around(F.filter("cells", lambda c: c["zone"] == k), k)))
+    told = F.transform("cells", lambda c: F.struct(c["region_id"].alias("region_id"), best_box(c, F.col("boxes"), least)["box"].alias("box")))
+    df = df.withColumn("__told", told)
+
+    def block(b: Column) -> Column:
+        own = F.filter("cells", lambda c: c["zone"] == b["box"])
+        bucket = lambda c: (F.bround((c["y"] + c["h"] / 2) / 10) * 10).cast("int")
+        rows = F.array_sort(F.array_distinct(F.transform(own, bucket)))
+        line = lambda r: F.array_join(F.transform(F.array_sort(F.transform(F.filter(own, lambda c: bucket(c) == r), lambda c: F.struct(c["x"], c["region_id"], c["text"]))), lambda c: c["text"]), " | ")
+        table = F.array_join(F.transform(rows, line), "\n")
+        text = F.array_join(F.transform(own, lambda c: c["text"]), " ")
+        kind = F.coalesce(names[b["box"]], F.lit("text_block"))
+        tokens = F.transform(F.filter("__told", lambda t: t["box"] == b["box"]), lambda t: t["region_id"])
+        content = F.when(kind.isin("table", "line_items_table"), table).otherwise(F.array_join(F.transform(own, lambda c: c["text"]), "\n"))
+        return F.struct(kind.alias("region_type"), F.size(own).cast("long").alias("n"), text.alias("text"), b["x1"].alias("x1"), b["y1"].alias("y1"), b["x2"].alias("x2"), b["y2"].alias("y2"), F.array_sort(tokens).alias("tokens"), content.alias("content"))
+
+    return df.select("invoice_id", F.inline(F.transform("boxes", block)))

@@ -95,13 +95,25 @@ def _(spark, d):
     return L.zones(W.regions(spark, d)).select("invoice_id", "region_id", "zone")
 
 
-@query("w6_quadrants", r"""
-with p as (select *, max(x + w) over (partition by invoice_id) pw, max(y + h) over (partition by invoice_id) ph, x + w / 2.0::double cx, y + h / 2.0::double cy, regexp_matches(text, '^[$€£¥]?\s*-?[\d.,]+%?$') num from regions),
-q as (select *, min(y) filter (num) over (partition by invoice_id) top, max(y + h) filter (num) over (partition by invoice_id) low from p)
-select invoice_id, region_id, case when cx < pw * 0.5::double and cy < ph * 0.3::double then 'vendor' when cx > pw * 0.5::double or regexp_matches(lower(text), 'invoice|bill to|client|customer|date|due') then 'client' when cy between top and low then 'line_items'
+#: The first numbers of a page, and whether a region's centre is near one of them.
+PLACED = r"""p as (select *, max(x + w) over (partition by invoice_id) pw, max(y + h) over (partition by invoice_id) ph, x + w / 2.0::double cx, y + h / 2.0::double cy, regexp_matches(text, '^[$€£¥]?\s*-?[\d.,]+%?$') num from {0}),
+firsts as (select invoice_id, list({{'x': cx, 'y': cy}} order by y, x, region_id)[1:10] f, min(y) top, max(y + h) low from p where num group by 1),
+q as (select p.*, top, low, coalesce(len(list_filter(f, lambda n: (n.x - cx) * (n.x - cx) + (n.y - cy) * (n.y - cy) < 2500)) > 0, false) near from p left join firsts using (invoice_id))"""
+#: Regions whose cells hold bare numbers.
+BARE = "(select * replace (regexp_replace(text, '^(Qty|Unit|Total) ', '') as text) from regions)"
+
+
+def bare(spark, d):
+    return W.regions(spark, d).withColumn("text", F.regexp_replace("text", "^(Qty|Unit|Total) ", ""))
+
+
+for _name, _source, _read in (("w6_quadrants", "regions", W.regions), ("w6_quadrants_of_numbers", BARE, bare)):
+
+    @query(_name, f"""with {PLACED.format(_source)}
+select invoice_id, region_id, case when cx < pw * 0.5::double and cy < ph * 0.3::double then 'vendor' when cx > pw * 0.5::double or regexp_matches(lower(text), 'invoice|bill to|client|customer|date|due') then 'client' when cy between top and low and near then 'line_items'
  when regexp_matches(lower(text), 'tax|vat|gst|discount|subtotal') then 'tax' when cx > pw * 0.6::double and cy > ph * 0.7::double or contains(lower(text), 'total') then 'totals' end part from q""")
-def _(spark, d):
-    return L.quadrants(W.regions(spark, d)).select("invoice_id", "region_id", "part")
+    def _(spark, d, read=_read):
+        return L.quadrants(read(spark, d)).select("invoice_id", "region_id", "part")
 
 
 BOXES = f"{ZONED}, boxes as (select invoice_id, zone, min(x) x1, min(y) y1, max(x + w) x2, max(y + h) y2, count(*) n from zoned group by 1, 2)"
@@ -179,23 +191,29 @@ def _(spark, d):
     return T.items_of_rows(L.rows_by_bucket(plain))
 
 
-@query("j4_assign_tokens", f"""with {BOXES}, o as (select r.invoice_id, region_id, zone, greatest(least(x + w, x2) - greatest(x, x1), 0) * greatest(least(y + h, y2) - greatest(y, y1), 0) i, w * h a, (x2 - x1) * (y2 - y1) b from regions r join boxes using (invoice_id)), u as (select *, cast(i as double) / (a + b - i) iou from o where a + b - i > 0)
-select invoice_id, region_id, arg_min(zone, (-iou, zone)) box, max(iou) iou from u where iou > 0.02 group by 1, 2""")
+#: Overlap of each region with the box of each zone of its page, the boxes being one row of a page.
+SHARES = """{0}, held as materialized (select invoice_id, list({{'zone': zone, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} order by zone) b from boxes group by 1),
+met as (select r.*, unnest(b) z from zoned r join held using (invoice_id)),
+o as (select *, greatest(least(x + w, z.x2) - greatest(x, z.x1), 0) * greatest(least(y + h, z.y2) - greatest(y, z.y1), 0) i, w * h a, (z.x2 - z.x1) * (z.y2 - z.y1) c from met),
+u as (select *, case when a + c - i > 0 then cast(i as double) / (a + c - i) else 0.0 end iou from o)""".format(BOXES)
+
+
+@query("j4_assign_tokens", f"with {SHARES} select invoice_id, region_id, arg_min(z.zone, (-iou, z.zone)) box, max(iou) iou from u where iou > 0.02 group by 1, 2")
 def _(spark, d):
-    r = W.regions(spark, d)
-    return L.assign(r, L.extents(L.zones(r), "invoice_id", "zone").withColumnRenamed("zone", "box"), 0.02)
+    return L.assigned(L.zoned_pages(W.regions(spark, d)), 0.02)
 
 
-@query("j5_near_numbers", r"""with c as (select *, x + w / 2.0::double cx, y + h / 2.0::double cy from (select * replace (regexp_replace(text, '^(Qty|Unit|Total) ', '') as text) from regions)), n as (select * from (select *, row_number() over (partition by invoice_id order by y, x, region_id) k from c where regexp_matches(text, '^[$€£¥]?\s*-?[\d.,]+%?$')) where k <= 10)
-select invoice_id, region_id from c where exists (select 1 from n where n.invoice_id = c.invoice_id and (n.cx - c.cx) * (n.cx - c.cx) + (n.cy - c.cy) * (n.cy - c.cy) <= 2500)""")
+@query("j5_near_numbers", f"with {PLACED.format(BARE)} select invoice_id, region_id from q where near")
 def _(spark, d):
-    plain = W.regions(spark, d).withColumn("text", F.regexp_replace("text", "^(Qty|Unit|Total) ", ""))
-    return L.near_numbers(plain).select("invoice_id", "region_id")
+    return L.near_numbers(bare(spark, d)).select("invoice_id", "region_id")
 
 
-@query("x4_semantic_layout", f"with {ZONED}, r as (select *, case zone when 'header' then 'header' when 'footer' then 'footer' else 'table' end region_type from zoned) select invoice_id, region_type, count(*) n, string_agg(text, ' ' order by y, x, region_id) text, min(x) x1, min(y) y1, max(x + w) x2, max(y + h) y2 from r group by 1, 2")
+@query("x4_semantic_layout", f"""with {SHARES}, told as (select invoice_id, region_id, arg_min(z.zone, (-iou, z.zone)) box from u where iou > 0 group by 1, 2), tokens as (select invoice_id, box, list(region_id order by region_id) t from told group by 1, 2),
+rows_ as (select invoice_id, cast(round_even((y + h / 2.0::double) / 10, 0) * 10 as int) r, string_agg(text, ' | ' order by x, region_id) line from zoned where zone = 'table' group by 1, 2), tables as (select invoice_id, string_agg(line, chr(10) order by r) content from rows_ group by 1),
+r as (select invoice_id, zone, count(*) n, string_agg(text, ' ' order by y, x, region_id) text, min(x) x1, min(y) y1, max(x + w) x2, max(y + h) y2, string_agg(text, chr(10) order by y, x, region_id) lines from zoned group by 1, 2)
+select r.invoice_id, zone region_type, n, text, x1, y1, x2, y2, array_to_string(coalesce(t, []), ',') tokens, case when zone = 'table' then content else lines end content from r left join tokens on tokens.invoice_id = r.invoice_id and box = zone left join tables on tables.invoice_id = r.invoice_id""")
 def _(spark, d):
-    return L.semantic_layout(L.zones(W.regions(spark, d)))
+    return L.semantic_layout(W.regions(spark, d)).withColumn("tokens", F.array_join(F.col("tokens").cast("array<string>"), ","))
 
 
 @query("x5_parse_document", r"""

@@ -6,7 +6,7 @@ from docquarry.operators import confidence as C
 from docquarry.operators import extract as T
 from docquarry.operators import layout as L
 from docquarry.plans import views as W
-from docquarry.plans.documents import BOXES, ZONED
+from docquarry.plans.documents import SHARES, ZONED
 from docquarry.plans.evaluation import ERRORS, errors
 from docquarry.registry import query
 from docquarry.sources import files as S
@@ -236,10 +236,24 @@ def _(spark, d):
     return T.items_of_table(L.rows_by_bucket(W.regions(spark, d)))
 
 
-@query("x2_items_header_named", rf"with {BUCKETS}, c as (select invoice_id, row_, max(try_cast(regexp_extract(text, '([\d.]+)$', 1) as double)) filter (regexp_matches(text, '^Qty\s+[\d.]+$')) qty, max(try_cast(regexp_extract(text, '([\d.]+)$', 1) as double)) filter (regexp_matches(text, '^Unit\s+[\d.]+$')) unit_price from b group by 1, 2) select invoice_id, row_ as \"row\", qty, unit_price, floor(qty * unit_price * 100 + 0.5) / 100 line_total from c where qty is not null and unit_price is not null".replace('\\"', '"'))
+def named_table(spark, d):
+    """The line items of a page as a table of bare cells under a header row; every third page has price before quantity."""
+    cells = W.regions(spark, d).where("text not like 'Sub%' and text not like 'Tax%' and text not like 'Total %' or region_id % 10 = 3").where("region_id >= 50 and region_id % 10 < 4")
+    swapped = F.col("invoice_id") % 3 == 0
+    column = F.col("region_id") % 10
+    x = F.when(swapped & (column == 1), 340).when(swapped & (column == 2), 190).otherwise(F.col("x"))
+    cells = cells.withColumn("text", F.regexp_replace("text", "^(Qty|Unit|Total) ", "")).withColumn("x", x.cast("int"))
+    titles = F.array(F.struct(F.lit("Description").alias("text"), F.lit(40).alias("x"), F.lit(0).alias("k")), *(F.struct(F.lit(t).alias("text"), F.when(swapped, a).otherwise(b).cast("int").alias("x"), F.lit(k).alias("k")) for k, (t, a, b) in enumerate((("Quantity", 340, 190), ("Unit Price", 190, 340), ("Total", 490, 490)), 1)))
+    head = cells.groupBy("invoice_id").agg(F.min("y").alias("top")).select("invoice_id", "top", F.inline(titles))
+    head = head.select("invoice_id", F.col("k").alias("region_id"), "text", "x", (F.col("top") - 30).alias("y"), F.lit(100).alias("w"), F.lit(20).alias("h"), F.lit(1.0).alias("confidence"))
+    return cells.unionByName(head)
+
+
+@query("x2_items_header_named", """with c as (select * from regions where region_id >= 50 and region_id % 10 < 4 and (region_id % 10 = 3 or not (text like 'Sub%' or text like 'Tax%' or text like 'Total %'))), r as (select *, cast(round_even((y + h / 2.0::double) / 10, 0) * 10 as int) row_, region_id % 10 k, regexp_replace(text, '^(Qty|Unit|Total) ', '') v from c),
+g as (select invoice_id, row_ as "row", max(v) filter (k = 0) description, try_cast(max(v) filter (k = 1) as double) quantity, try_cast(max(v) filter (k = 2) as double) unit_price, try_cast(max(v) filter (k = 3) as double) total, count(*) n from r group by 1, 2)
+select invoice_id, "row", description, quantity, unit_price, total, coalesce(floor(quantity * unit_price * 100 + 0.5) / 100, total) line_total from g where n >= 3""")
 def _(spark, d):
-    names = spark.createDataFrame([("qty", "qty"), ("unit", "unit_price")], "word string, `column` string")
-    return T.items_named(L.rows_by_bucket(W.regions(spark, d)), names)
+    return T.items_named(named_table(spark, d))
 
 
 @query("x2_items_receipt", r"select invoice_id, line_no, trim(regexp_extract(text, '^(?:\d+\s+)?([^\d$]+)', 1)) description, cast(coalesce(nullif(regexp_extract(text, '(?i)(?:qty\s+)?(\d+)\s*(?:x\b|@|unit)', 1), ''), nullif(regexp_extract(text, '^(\d+)\s', 1), ''), '1') as double) qty, cast(regexp_extract(text, '\$?(\d+\.\d{2})\s*$', 1) as double) line_total from ocr_lines where regexp_extract(text, '\$?(\d+\.\d{2})\s*$', 1) <> '' and not regexp_matches(lower(text), 'total:|subtotal|^tax|^total')")
@@ -253,9 +267,7 @@ def _(spark, d):
     return T.items_of_box_rows(L.rows_by_mean(r), r)
 
 
-@query("f15_overlap", f"with {BOXES}, o as (select r.invoice_id, region_id, zone, greatest(least(x + w, x2) - greatest(x, x1), 0) * greatest(least(y + h, y2) - greatest(y, y1), 0) i, w * h a, (x2 - x1) * (y2 - y1) b from regions r join boxes using (invoice_id) where true) select invoice_id, region_id, zone, case when a + b - i > 0 then cast(i as double) / (a + b - i) else 0.0 end iou from o")
+@query("f15_overlap", f"with {SHARES} select invoice_id, region_id, z.zone as zone, iou from u")
 def _(spark, d):
-    r = W.regions(spark, d)
-    boxes = L.extents(L.zones(r), "invoice_id", "zone").select("invoice_id", "zone", *(F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")))
-    t = r.select("invoice_id", "region_id", F.col("x").alias("a_x1"), F.col("y").alias("a_y1"), (F.col("x") + F.col("w")).alias("a_x2"), (F.col("y") + F.col("h")).alias("a_y2"))
-    return t.join(boxes, "invoice_id").select("invoice_id", "region_id", "zone", L.overlap("a_", "b_").alias("iou"))
+    shares = F.flatten(F.transform("cells", lambda c: F.transform("boxes", lambda b: F.struct(c["region_id"].alias("region_id"), b["box"].alias("zone"), L.share_of(c, b).alias("iou")))))
+    return L.zoned_pages(W.regions(spark, d)).select("invoice_id", F.inline(shares))

@@ -104,17 +104,29 @@ def predicted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("qty", qty).withColumn("place", place).drop("pos").withColumnRenamed("place", "pos")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(invoice_id, t, p): each invoice with its lines as one nested record, and as a model reads it, with mistakes
-    by fixed rules. Lines are gathered once by their invoice; all else happens in the row."""
+def gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(invoice_id, lines): the lines of each invoice that has any, in their order; one exchange."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "p_name", "l_discount", "l_tax")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("invoice_id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("invoice_id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+
+
+def with_sums(df: DataFrame) -> DataFrame:
+    """subtotal, discount, tax and grand total of ``lines``, as ``invoices`` has them."""
     money = lambda x: x.cast(MONEY)
     rate = lambda x: x.cast("decimal(4,2)")
     cut = lambda x: money(F.round(money(x["l_extendedprice"]) * rate(x["l_discount"]), 2))
     tax = lambda x: money(F.round((money(x["l_extendedprice"]) - cut(x)) * rate(x["l_tax"]), 2))
     total = lambda f: F.aggregate("lines", F.lit(0).cast(MONEY), lambda s, x: money(s + f(x)))
+    df = df.withColumns({"subtotal": total(lambda x: money(x["l_extendedprice"])), "discount": total(cut), "tax": total(tax)})
+    return df.withColumn("grand", money(F.col("subtotal") - F.col("discount") + F.col("tax")))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(invoice_id, t, p): each invoice with its lines as one nested record, and as a model reads it, with mistakes
+    by fixed rules. Lines are gathered once by their invoice; all else happens in the row."""
+    lines = gathered(spark, sf_dir)
+    money = lambda x: x.cast(MONEY)
     i = F.col("invoice_id")
     at = lambda name: table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(f"{name}_key"), F.col("n_name").alias(name), F.col("n_regionkey").alias(f"{name}_region"))
     region = lambda name: table(spark, sf_dir, "region").select(F.col("r_regionkey").alias(f"{name}_key"), F.col("r_name").alias(name))
@@ -127,8 +139,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), F.get("lines", F.lit(0))["l_suppkey"] == F.col("s_suppkey"), "left")
         .join(at("s_nation"), F.col("s_nationkey") == F.col("s_nation_key"), "left").join(region("s_region_name"), F.col("s_nation_region") == F.col("s_region_name_key"), "left")
     )
-    df = df.withColumns({"subtotal": total(lambda x: money(x["l_extendedprice"])), "discount": total(cut), "tax": total(tax)})
-    df = df.withColumn("grand", money(F.col("subtotal") - F.col("discount") + F.col("tax"))).withColumn("due", F.to_date(F.array_min(F.transform("lines", lambda x: x["l_shipdate"]))))
+    df = with_sums(df).withColumn("due", F.to_date(F.array_min(F.transform("lines", lambda x: x["l_shipdate"]))))
     number = lambda c: F.col(c).cast("double")
     key = F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
     address, email = F.concat(F.col("s_suppkey").cast("string"), F.lit(" Market Street")), F.concat(F.lit("billing"), F.col("s_suppkey").cast("string"), F.lit("@example.com"))
@@ -164,20 +175,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(invoice_id, line_no, text): each invoice with lines, printed."""
-    inv = invoices(spark, sf_dir).where("n_items > 0")
-    text = lambda c: F.col(c).cast(MONEY).cast("string")
-    item = F.concat("description", F.lit("  Qty "), F.col("qty").cast("bigint").cast("string"), F.lit("  Unit "), text("unit_price"), F.lit("  Total "), text("line_total"))
-    body = line_items(spark, sf_dir).select("invoice_id", (F.col("pos") + 4).alias("line_no"), item.alias("text"))
-    def line(no, value):
-        return F.struct(no.cast("int").alias("line_no"), value.alias("text"))
-
-    n = F.col("n_items")
-    around = (
-        line(F.lit(1), F.concat(F.lit("Vendor: "), "vendor")), line(F.lit(2), F.concat(F.lit("Invoice #: INV-"), F.col("invoice_id").cast("string"))), line(F.lit(3), F.concat(F.lit("Date: "), F.date_format("issue_date", "yyyy-MM-dd"))), line(F.lit(4), F.lit("")),
-        line(n + 5, F.lit("")), line(n + 6, F.concat(F.lit("Subtotal "), text("subtotal"))), line(n + 7, F.concat(F.lit("Tax "), text("tax"))), line(n + 8, F.concat(F.lit("Total "), text("grand_total"))),
-    )
-    return inv.select("invoice_id", F.inline(F.array(*around))).unionAll(body)
+    """(invoice_id, line_no, text): each invoice with lines, printed in its own row from lines gathered once."""
+    df = with_sums(gathered(spark, sf_dir)).join(table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("issued"), "o_custkey"), F.col("invoice_id") == F.col("o_orderkey"))
+    df = df.join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    df = df.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.get("lines", F.lit(0))["l_suppkey"] == F.col("s_suppkey"), "left")
+    text = lambda x: x.cast(MONEY).cast("string")
+    item = lambda x: F.concat(x["p_name"], F.lit("  Qty "), x["l_quantity"].cast("bigint").cast("string"), F.lit("  Unit "), text(cents(x["l_extendedprice"] / x["l_quantity"])), F.lit("  Total "), text(x["l_extendedprice"]))
+    line = lambda value: F.array(value.cast("string"))
+    head = (F.concat(F.lit("Vendor: "), "s_name"), F.concat(F.lit("Invoice #: INV-"), F.col("invoice_id").cast("string")), F.concat(F.lit("Date: "), F.date_format("issued", "yyyy-MM-dd")), F.lit(""))
+    foot = (F.lit(""), F.concat(F.lit("Subtotal "), text(F.col("subtotal"))), F.concat(F.lit("Tax "), text(F.col("tax"))), F.concat(F.lit("Total "), text(F.col("grand"))))
+    page = F.concat(*map(line, head), F.transform("lines", item), *map(line, foot))
+    return df.select("invoice_id", F.posexplode(page).alias("line_no", "text")).select("invoice_id", (F.col("line_no") + 1).alias("line_no"), "text")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

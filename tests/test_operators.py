@@ -63,6 +63,87 @@ def test_tokens_take_the_box_they_overlap_most(spark):
     assert [(r["region_id"], r["box"]) for r in L.assign(tokens, boxes).collect()] == [(0, "b")]
 
 
+def test_line_items_stand_near_the_first_numbers(spark):
+    # a page 400 wide; numbers at x 40; what is far from all of them is no line item
+    cells = [("10.00", 40, 400), ("Nut", 60, 405), ("Far", 180, 405), ("20.00", 40, 430), ("end", 390, 900), ("30.00", 40, 700), ("Bolt", 40, 500)]
+    got = {r["text"]: r["part"] for r in L.quadrants(regions(spark, cells)).collect()}
+    assert got["Nut"] == got["10.00"] == "line_items" and got["Far"] is None and got["Bolt"] is None
+    many = [(f"{k}.00", 40, 300 + 60 * k) for k in range(12)] + [("Late", 40, 300 + 60 * 11), ("Tall", 300, 2000)]
+    got = {r["text"]: r["part"] for r in L.quadrants(regions(spark, many)).collect()}
+    assert got["9.00"] == "line_items" and got["11.00"] is None and got["Late"] is None
+
+
+def test_nearness_is_below_the_distance(spark):
+    cells = [("5", 0, 0), ("at", 50, 0), ("in", 49, 0)]
+    assert sorted(r["text"] for r in L.near_numbers(regions(spark, cells)).collect()) == ["5", "in"]
+
+
+def test_a_page_is_gathered_once(spark, data):
+    from docquarry.queries import QUERIES
+
+    for name in ("j4_assign_tokens", "j5_near_numbers", "x4_semantic_layout", "w6_quadrants"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 4 and plan.count("lineitem.parquet") == 1 and "Window" not in plan, name
+
+
+def test_content_by_kind(spark):
+    df = regions(spark, [("Title", 0, 0), ("b", 100, 198), ("a", 0, 196), ("c", 0, 240), ("foot", 0, 400)])
+    got = {r["region_type"]: (r["n"], r["content"], r["tokens"]) for r in L.semantic_layout(df).collect()}
+    assert got["table"][:2] == (3, "a | b\nc") and got["header"][1] == "Title" and got["footer"][2] == [4]
+    kinds = df.withColumn("kind", F.when(F.col("text") == "Title", "Vendor").when(F.col("text") == "foot", "nonsense").otherwise("line_items"))
+    got = {r["region_type"]: r["content"] for r in L.semantic_layout(kinds, zone=False).collect()}
+    assert got == {"vendor_block": "Title", "text_block": "foot", "line_items_table": "a | b\nc"}
+
+
+def test_table_under_its_header(spark):
+    def table(*rows):
+        cells = [(1, 100 * r + c, t, x, 30 * r, w, 20, 1.0) for r, row in enumerate(rows) for c, (t, x, w) in enumerate(row)]
+        return spark.createDataFrame(cells, "invoice_id int, region_id int, text string, x int, y int, w int, h int, confidence double")
+
+    head = [("Item", 0, 80), ("Price", 100, 60), ("Qty", 200, 40), ("Amount", 300, 60)]
+    got = X.items_named(table(head, [("Nut", 10, 30), ("1.234,50", 110, 50), ("2", 215, 10), ("2.469,00", 300, 60)], [("Bolt", 0, 30), ("7,25", 120, 40), ("x", 200, 10)], [("only", 0, 20), ("3", 210, 10)])).orderBy("row").collect()
+    assert [(r.description, r.quantity, r.unit_price, r.total, r.line_total) for r in got] == [("Nut", 2.0, 1234.5, 2469.0, 2469.0), ("Bolt", None, 7.25, None, None)]
+    # a cell over no header takes the header of its place
+    got = X.items_named(table(head, [("Cap", -60, 10), ("4", 110, 10), ("3", 205, 10)])).first()
+    assert (got.description, got.unit_price, got.quantity, got.line_total) == ("Cap", 4.0, 3.0, 12.0)
+
+
+def box_rows(cells, tolerance=10):
+    """Rows of regions by the running mean, in plain Python."""
+    rows = []
+    for cy, x, k in sorted(((y + h / 2) // 1, x, k) for k, (_, x, y, _, h) in enumerate(cells)):
+        if rows and abs(cy - sum(c for c, _, _ in rows[-1]) / len(rows[-1])) <= tolerance:
+            rows[-1].append((cy, x, k))
+        else:
+            rows.append([(cy, x, k)])
+    return [[k for _, k in sorted((x, k) for _, x, k in row)] for row in rows]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rows_by_mean_and_their_items_equal_plain_folds(spark, seed):
+    import random
+    import re
+
+    rng = random.Random(seed)
+    words = ["Nut", "Bolt M8", "12", "3", "1,234.50", "7.25", "0.99 each", "x 2", "$ 4.00", "0"]
+    cells = [(rng.choice(words), rng.randrange(0, 400), rng.randrange(0, 300), 30, rng.choice([8, 20, 21])) for _ in range(60)]
+    df = spark.createDataFrame([(1, k, t, x, y, w, h, k / 100) for k, (t, x, y, w, h) in enumerate(cells)], "invoice_id int, region_id int, text string, x int, y int, w int, h int, confidence double")
+    rows = L.rows_by_mean(df)
+    want = box_rows(cells)
+    assert [r["region_ids"] for r in rows.orderBy("row").collect()] == want
+    items = {}
+    for n, row in enumerate(want):
+        texts = [cells[k][0] for k in row]
+        amounts = [float(m[1]) for t in texts if (m := re.search(r"(-?\d+\.\d{2})", t.replace(",", "")))]
+        wholes = [int(m[1]) for t in texts if (m := re.search(r"\b(\d+)\b", t)) and int(m[1]) > 0]
+        if amounts:
+            names = [t for t in texts if not re.fullmatch(r"[-\d.,\s$€£]+", t)]
+            qty = wholes[0] if wholes else None
+            items[n] = (names[0] if names else None, qty, amounts[-1], min(k / 100 for k in row))
+    got = {r["row"]: (r["description"], r["qty"], float(r["line_total"]), r["confidence"]) for r in X.items_of_box_rows(rows, df).collect()}
+    assert got == items
+
+
 def test_last_line_wins_and_subtotal_counts_as_total(spark):
     lines = spark.createDataFrame([(1, 1, "Acme Inc"), (1, 2, "Invoice #: INV-7"), (1, 3, "Total 12.00"), (1, 4, "Subtotal 9.00")], "invoice_id int, line_no int, text string")
     r = X.extract_fields(lines, "heuristic").first()
