@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -137,8 +138,10 @@ def tax_id_of(c: Column) -> Column:
 
 
 def line_total(qty: Column, price: Column, rate: Column, discount: Column) -> Column:
-    """qty x price x (1 + rate / 100) - discount, half up to cents."""
-    return F.round(qty.cast("decimal(12,2)") * price.cast("decimal(12,2)") * (1 + rate.cast("decimal(5,2)") / 100).cast("decimal(8,4)") - discount.cast("decimal(12,2)"), 2).cast("decimal(18,2)")
+    """qty x price x (1 + rate / 100) - discount, half up to cents; null beyond the range of amounts."""
+    money = lambda x: x.try_cast("decimal(12,2)")
+    factor = (1 + rate.try_cast("decimal(5,2)") / 100).cast("decimal(8,4)")
+    return F.round(money(qty) * money(price) * factor - money(discount), 2).try_cast("decimal(18,2)")
 
 
 def content_key(c: Column, *more: Column) -> Column:
@@ -179,15 +182,34 @@ def is_table_region(c: Column) -> Column:
     return prompt_of(c) == "Table Recognition:"
 
 
-#: One-argument functions that ``register`` offers to SQL, as text expressions.
-SQL_FUNCTIONS = {
-    "dq_clean_text": "trim(regexp_replace(regexp_replace(x, '\\\\s+', ' '), '[\\\\x00-\\\\x1f\\\\x7f-\\\\x9f]', ''))",
-    "dq_parse_number": "coalesce(try_cast(regexp_replace(x, '[^\\\\d.]', '') as double), 0d)",
-    "dq_safe_float": "try_cast(regexp_replace(x, '[,$]', '') as double)",
-}
+#: Functions that ``register`` offers to SQL: argument types and the expression above that each is.
+SQL_FUNCTIONS: dict[str, tuple[dict[str, str], Callable[..., Column]]] = {
+    "dq_clean_text": ({"x": "string"}, clean_text), "dq_parse_number": ({"x": "string"}, parse_number), "dq_normalize_currency": ({"x": "string"}, normalize_currency), "dq_safe_float": ({"x": "string"}, safe_float),
+    "dq_parse_mixed_number": ({"x": "string"}, parse_mixed_number), "dq_parse_item_number": ({"x": "string"}, lambda x: parse_mixed_number(x, True)), "dq_amount": ({"x": "string"}, amount_of), "dq_parse_currency": ({"x": "string"}, parse_currency),
+    "dq_currency_alias": ({"x": "string"}, currency_alias), "dq_detect_currency": ({"x": "string"}, detect_currency), "dq_parse_date": ({"x": "string"}, lambda x: parse_date(x, ISO_FIRST)), "dq_parse_date_day_first": ({"x": "string"}, lambda x: parse_date(x, DAY_FIRST)),
+    "dq_is_numeric": ({"x": "string"}, is_numeric), "dq_is_date": ({"x": "string"}, is_date), "dq_is_total_keyword": ({"x": "string"}, is_total_keyword), "dq_token_overlap": ({"x": "string", "y": "string"}, token_overlap), "dq_json": ({"x": "string"}, json_of),
+    "dq_money_text": ({"x": "double", "y": "string"}, money_text), "dq_tax_rate": ({"x": "decimal(18,2)", "y": "decimal(18,2)"}, tax_rate), "dq_relative_error": ({"x": "double", "y": "double"}, relative_error),
+    "dq_email": ({"x": "string"}, email_of), "dq_phone": ({"x": "string"}, phone_of), "dq_tax_id": ({"x": "string"}, tax_id_of), "dq_line_total": ({"q": "double", "p": "double", "r": "double", "d": "double"}, line_total),
+    "dq_content_key": ({"x": "string"}, content_key), "dq_difficulty": ({"x": "string", "n": "int"}, difficulty), "dq_prompt": ({"x": "string"}, prompt_of), "dq_is_table_region": ({"x": "string"}, is_table_region),
+}
+#: Lines of a document as SQL hands them over.
+ITEMS_TYPE = "array<struct<description string, quantity double, unit_price double, line_total double>>"
+
+
+def sql_of(spark: SparkSession, args: dict[str, str], make: Callable[..., Column]) -> tuple[str, str]:
+    """(return type, SQL text) of an expression over arguments of the given types, as Spark resolves it."""
+    frame = spark.range(0).select(*(F.lit(None).cast(t).alias(n) for n, t in args.items()))
+    df = frame.select(make(*map(F.col, args)).alias("r"))
+    resolved = df._jdf.queryExecution().analyzed().expressions().head().child()
+    return df.schema["r"].dataType.simpleString(), resolved.sql()
 
 
 def register(spark: SparkSession) -> None:
-    """The scalars above as temporary SQL functions."""
-    for name, body in SQL_FUNCTIONS.items():
-        spark.sql(f"create or replace temporary function {name}(x string) returns {'string' if 'text' in name else 'double'} return {body}")
+    """The scalars above as temporary SQL functions, made from the expressions themselves, and the table functions
+    ``dq_items`` (lines of a document as rows) and ``dq_amounts`` (amounts in a text, by place)."""
+    for name, (args, make) in SQL_FUNCTIONS.items():
+        kind, body = sql_of(spark, args, make)
+        spark.sql(f"create or replace temporary function {name}({', '.join(f'{n} {t}' for n, t in args.items())}) returns {kind} return {body}")
+    spark.sql(f"create or replace temporary function dq_items(items {ITEMS_TYPE}) returns table(pos int, description string, quantity double, unit_price double, line_total double) return select t.pos + 1, t.i.description, t.i.quantity, t.i.unit_price, t.i.line_total from posexplode(dq_items.items) as t(pos, i)")
+    amounts, (_, value) = r"regexp_extract_all(replace(dq_amounts.txt, ',', ''), '(-?\\d+(?:\\.\\d{1,4})?)', 1)", sql_of(spark, {"a": "string"}, amount_of)
+    spark.sql(f"create or replace temporary function dq_amounts(txt string) returns table(pos int, amount decimal(18,2)) return select t.pos + 1, {value} from posexplode({amounts}) as t(pos, a)")

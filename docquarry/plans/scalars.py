@@ -157,3 +157,23 @@ def _(spark, d):
 def _(spark, d):
     S.register(spark)
     return labels(spark, d).select("invoice_id", F.expr("dq_parse_number(text)").alias("parsed"), F.expr("dq_safe_float(text)").alias("safe"))
+
+
+@query("f_sql_table_functions", "select invoice_id, cast(pos as bigint) pos, t_description description, t_quantity quantity, t_unit_price unit_price, t_line_total line_total from record_items where in_t")
+def _(spark, d):
+    S.register(spark)
+    W.records(spark, d).select("invoice_id", "t.items").createOrReplaceTempView("dq_documents")
+    return spark.sql("select invoice_id, cast(i.pos as bigint) pos, i.description, i.quantity, i.unit_price, i.line_total from dq_documents, lateral dq_items(items) i")
+
+
+@query("f_scorer_hook", "select invoice_id, cast(length(text) % 7 as double) / 7 score, length(text) > 20 long from ocr_lines where text <> ''")
+def _(spark, d):
+    from docquarry.operators.hooks import scored
+
+    def load():
+        import pandas as pd
+
+        # a stub in place of a trained model
+        return lambda batch: pd.DataFrame({"score": batch["text"].str.len() % 7 / 7, "long": batch["text"].str.len() > 20})
+
+    return scored(W.ocr_lines(spark, d).where("text <> ''"), load, ["text"], "score double, long boolean", ["invoice_id"])
