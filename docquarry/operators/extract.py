@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Field:
     """The first pattern that matches a line gives its value (group 1); ``pick``: first or last line that has
-    one. head, tail: only that many lines from the top or bottom. skip: lines that match are passed over.
-    number: read as an amount."""
+    one. head, tail: only that many lines from the top or bottom; foot: only lines beyond that share of the document.
+    skip: lines that match are passed over; need: only lines that match count. number: read as an amount; upper: in
+    capitals. otherwise: the field whose value stands in where none is found."""
 
     name: str
     patterns: tuple[str, ...]
@@ -26,6 +27,10 @@ class Field:
     head: int | None = None
     tail: int | None = None
     skip: str | None = None
+    need: str | None = None
+    foot: float | None = None
+    upper: bool = False
+    otherwise: str | None = None
 
 
 AMOUNT = r"([\d,]+\.?\d*)"
@@ -46,19 +51,34 @@ PROFILES: dict[str, tuple[Field, ...]] = {
         Field("subtotal", (r"(?i)^subtotal[:\s]*\$?" + AMOUNT,), number=True),
         Field("tax", (r"(?i)^tax[:\s]*\$?" + AMOUNT,), number=True),
         Field("total", (r"(?i)^total[:\s]*\$?" + AMOUNT,), number=True),
+        Field("tax_percent", (r"(\d+\.?\d*)%",), "last", True, need="tax"),
     ),
     "store_receipt": (
+        Field("vendor", (r"(?i)^\s*(.*\bwalmart\b.*?)\s*$",), head=6, otherwise="first_line"), Field("first_line", (r"^\s*(\S.*?)\s*$",)),
+        Field("store_number", (r"(?i)store\s*#\s*(\d+)", r"(?i)st#\s*(\d+)")),
+        Field("date", (r"(\d{1,2}/\d{1,2}/\d{2,4})\s+\d{1,2}:\d{2}", r"([A-Za-z]{3,9}\s+\d{1,2},\s*\d{4})\s+\d{1,2}:\d{2}", r"(\d{4}-\d{2}-\d{2})\s+\d{2}:\d{2}")),
+        Field("time", (r"(?i)\d{1,2}/\d{1,2}/\d{2,4}\s+(\d{1,2}:\d{2}\s*(?:am|pm)?)", r"(?i)[a-z]{3,9}\s+\d{1,2},\s*\d{4}\s+(\d{1,2}:\d{2}\s*(?:am|pm)?)", r"\d{4}-\d{2}-\d{2}\s+(\d{2}:\d{2})")),
+        Field("method", (r"(?i)\b(visa|mastercard|amex|discover)\b", r"(?i)\b(cash)\b"), "last", tail=10, upper=True),
+        Field("last4", (r"(\d{4})\b",), "last", tail=10, need=r"\b(visa|mastercard|amex|discover)\b"),
         Field("subtotal", (r"(?i)subtotal.*?" + AMOUNT,), "last", True, tail=20),
         Field("tax", (r"(?i)\b(?:sales tax|tax)\b.*?" + AMOUNT,), "last", True, tail=20),
         Field("total", (r"(?i)\b(?:grand total|total|amount due|amt due)\b.*?" + AMOUNT,), "last", True, tail=20, skip="subtotal"),
     ),
     "simple": (Field("vendor", (r"^(.+)$",), head=1), Field("total", (r"(?i)total.*?(\d+\.\d{2})\s*$",), "last", True, tail=30)),
     "receipt": (
-        Field("merchant", (r"^\s*(\S.*?)\s*$",), head=5),
-        Field("receipt_no", (r"(?i)(?:receipt|invoice|trans)[^0-9]*(\d{1,})",), "last"),
+        Field("merchant", (r"^\s*(\S.{2,}?)\s*$",), head=5),
+        Field("address", (r"(?i)^(.*\d+\s+[a-z\s]+(?:street|st|avenue|ave|road|rd|boulevard|blvd).*)$",), "last"),
+        Field("phone", (r"(\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})",), "last"),
+        Field("date", (r"(\d{1,2}/\d{1,2}/\d{2,4})", r"(\d{4}-\d{2}-\d{2})", r"(\d{1,2}-[A-Za-z]{3}-\d{2,4})"), "last", upper=True),
+        Field("time", (r"(?i)(\d{1,2}:\d{2}(?::\d{2})?\s*(?:am|pm)?)",), "last", upper=True),
+        Field("receipt_no", (r"(\d+)\D*$",), "last", need=r"receipt|rec#|no\."),
+        Field("cashier", (r"(?i)cashier[:\s]*([a-z0-9]+)",), "last", upper=True),
+        Field("register", (r"(?i)reg(?:ister)?[:\s#]*([a-z0-9]+)",), "last", upper=True, need="register|reg#"),
+        Field("method", tuple(rf"(?i)({m})" for m in ("cash", "visa", "mastercard", "amex", "debit", "credit")), "last", foot=0.8, upper=True),
+        Field("tendered", (r"(\d+\.\d{2})",), "last", True, foot=0.8, need="tendered|cash"),
+        Field("change", (r"(\d+\.\d{2})",), "last", True, foot=0.8, need="change"),
         Field("total", (r"(?i)^\s*(?:grand total|total|amount)\b\D*" + AMOUNT,), "last", True),
     ),
-    "validator_text": (Field("subtotal", (r"(?i)^sub\s?total\D*" + AMOUNT,), number=True), Field("total", (r"(?i)^total\D*" + AMOUNT,), number=True)),
 }
 
 
@@ -73,10 +93,10 @@ def extract_fields(lines: DataFrame, profile: str | tuple[Field, ...], key: str
     Every pattern is a column of its own first, so that it runs once a line however often it is used."""
     fields = PROFILES[profile] if isinstance(profile, str) else profile
     df = lines
-    if any(f.tail is not None for f in fields):
+    if any(f.tail is not None or f.foot is not None for f in fields):
         df = df.withColumn("__last", F.max("line_no").over(Window.partitionBy(key)))
     found = {p: f"__p{i}" for i, p in enumerate(dict.fromkeys(p for f in fields for p in f.patterns))}
-    passed = {p: f"__s{i}" for i, p in enumerate(dict.fromkeys(f.skip for f in fields if f.skip))}
+    passed = {p: f"__s{i}" for i, p in enumerate(dict.fromkeys(x for f in fields for x in (f.skip, f.need) if x))}
     df = df.withColumns({c: F.regexp_extract("text", p, 1) for p, c in found.items()} | {c: F.lower("text").rlike(p) for p, c in passed.items()})
 
     def value(f: Field) -> Column:
@@ -86,14 +106,69 @@ def extract_fields(lines: DataFrame, profile: str | tuple[Field, ...], key: str
             inside &= F.col("line_no") <= f.head
         if f.tail is not None:
             inside &= F.col("line_no") > F.col("__last") - f.tail
+        if f.foot is not None:
+            inside &= F.col("line_no") > F.floor(F.col("__last") * f.foot)
         if f.skip is not None:
             inside &= ~F.col(passed[f.skip])
+        if f.need is not None:
+            inside &= F.col(passed[f.need])
+        text = F.upper(text) if f.upper else text
         return F.when(inside, amount(text) if f.number else text)
 
     more = more or {}
     df = df.select(key, "line_no", *(value(f).alias(f.name) for f in fields), *(x.alias(f"__m_{c}") for c, (x, _) in more.items()))
     pick = lambda f: (F.min_by if f.pick == "first" else F.max_by)(F.col(f.name), F.when(F.col(f.name).isNotNull(), F.col("line_no"))).alias(f.name)
-    return df.groupBy(key).agg(*map(pick, fields), *(whole(F.col(f"__m_{c}")).alias(c) for c, (_, whole) in more.items()))
+    out = df.groupBy(key).agg(*map(pick, fields), *(whole(F.col(f"__m_{c}")).alias(c) for c, (_, whole) in more.items()))
+    return out.withColumns({f.name: F.coalesce(f.name, f.otherwise) for f in fields if f.otherwise})
+
+
+#: Forms of dates on receipts; fixed values of the format.
+RECEIPT_DATES = ("M/d/yyyy", "M/d/yy", "MMM d, yyyy", "yyyy-MM-dd")
+
+
+def store_receipts(lines: DataFrame) -> DataFrame:
+    """Fields of a store's receipt, the date as an ISO one where it can be read (as it stands otherwise) and the last
+    four digits of the card where it was paid by card."""
+    df = extract_fields(lines, "store_receipt")
+    # two digits of a year would fit four, too
+    dates = [F.when(F.col("date").rlike(r"/\d{2}$") == (f == "M/d/yy"), F.try_to_timestamp("date", F.lit(f)).cast("date").cast("string")) if f.startswith("M/d") else F.try_to_timestamp("date", F.lit(f)).cast("date").cast("string") for f in RECEIPT_DATES]
+    return df.withColumns({"date": F.coalesce(*dates, "date"), "last4": F.when(F.col("method") != "CASH", F.col("last4"))}).drop("first_line")
+
+
+def pipeline_fields(lines: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """The ``keyword_line`` fields with the tax rate as a share and the vendor's address: from the first of the top 15
+    lines with a number and a street word, up to three lines, ended by a blank one."""
+    top = (F.when(F.col("line_no") <= 17, F.struct("line_no", F.trim("text").alias("text"))), lambda c: F.sort_array(F.collect_list(c)))
+    df = extract_fields(lines, "keyword_line", key, {"__top": top})
+    street = F.filter("__top", lambda x: (x["line_no"] <= 15) & x["text"].rlike(r"\d") & F.lower(x["text"]).rlike("street|st|ave|blvd|road|rd"))
+    df = df.withColumn("__at", F.get(street, F.lit(0))["line_no"])
+    below = F.filter("__top", lambda x: (x["line_no"] >= F.col("__at")) & (x["line_no"] < F.col("__at") + 3))
+    blank = F.array_min(F.transform(F.filter(below, lambda x: x["text"] == ""), lambda x: x["line_no"]))
+    kept = F.filter(below, lambda x: x["line_no"] < F.coalesce(blank, F.lit(1 << 30)))
+    address = F.when(F.col("__at").isNotNull(), F.array_join(F.transform(kept, lambda x: x["text"]), "\n"))
+    return df.withColumns({"address": address, "tax_rate": F.col("tax_percent") / 100}).drop("__top", "__at", "tax_percent")
+
+
+def counted_items(lines: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """(key, line_no, description, qty, unit_price, line_total) of lines like ``Nut 2 x 50.00``: of the words with a digit or
+    a dot the first is the count, the second the price; without two such that can be read the line is none."""
+    marked = lines.where(F.lower("text").rlike("qty|unit|total|x|item"))
+    plain = F.replace(F.translate("text", "=$", "  "), F.lit(","), F.lit(""))
+    words = F.filter(F.split(F.trim(plain), r"\s+"), lambda w: w != "")
+    df = marked.withColumn("__w", words).withColumn("__n", F.filter("__w", lambda w: w.rlike(r"[\d.]")))
+    first, second = (F.get("__n", F.lit(k)).try_cast("double") for k in (0, 1))
+    name = F.array_join(F.filter("__w", lambda w: ~w.rlike(r"[\d.]")), " ")
+    out = df.select(key, "line_no", F.coalesce(F.nullif(name, F.lit("")), F.lit("item")).alias("description"), first.cast("long").alias("qty"), second.alias("unit_price"))
+    return out.where("qty is not null and unit_price is not null").withColumn("line_total", F.round(F.col("qty") * F.col("unit_price").cast("decimal(18,4)"), 2).cast("double"))
+
+
+def validator_text(lines: DataFrame, key: str = "invoice_id", rate: str = "0.10") -> DataFrame:
+    """vendor (first line), number of counted items, their sum, tax at the rate and grand total of each document."""
+    head = lines.groupBy(key).agg(F.min_by(F.trim("text"), "line_no").alias("vendor"))
+    sums = counted_items(lines, key).groupBy(key).agg(F.count("*").alias("n_items"), F.sum(F.col("line_total").cast("decimal(18,2)")).alias("subtotal"))
+    df = head.join(sums, key, "left").withColumns({"n_items": F.coalesce("n_items", F.lit(0)), "subtotal": F.coalesce("subtotal", F.lit(0)).cast("decimal(18,2)")})
+    df = df.withColumn("tax", F.round(F.col("subtotal") * F.lit(rate).cast("decimal(4,2)"), 2).cast("decimal(18,2)"))
+    return df.withColumn("grand_total", (F.col("subtotal") + F.col("tax")).cast("decimal(18,2)"))
 
 
 def joined_text(lines: DataFrame, key: str = "invoice_id", by: str = " ") -> DataFrame:

