@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators.validate import json_kind
+
 
 def place(key: Column) -> Column:
     """The first 32 bits of the MD5 of the key as text; any SQL engine gives the same number."""
@@ -37,6 +39,89 @@ def field_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return out.select(key, "kind", F.replace(template, F.lit("{0}"), F.replace("kind", F.lit("_"), F.lit(" "))).alias("prompt"), "answer")
 
 
+#: What is asked for each kind of pair; the wording goes by a hash of document and kind.
+QUESTIONS = {
+    "full_extraction": ("Give all data of this document as JSON.", "Read the whole document into JSON.", "Turn this invoice into structured data."), "vendor_block": ("Who issued this document? Answer as JSON.", "Give the vendor block."),
+    "client_info": ("Who is billed? Answer as JSON.", "Give the client block."), "invoice_metadata": ("Give number, dates and terms as JSON.", "Read the header data."), "line_items": ("List all lines as JSON.", "Read the table of items."),
+    "financial_summary": ("Give all amounts as JSON.", "Read the totals."), "invoice_id": ("What is the invoice number?",), "grand_total": ("What is the total amount due?",), "vendor_name": ("What is the vendor name?",), "due_date": ("What is the due date?",),
+    "table": ("Write the items as a table.", "Give the lines in markdown."), "reasoning": ("Do the amounts add up? Show the sum.", "Check the total step by step."), "summary": ("Sum this document up in a sentence.", "What is this document about?"),
+}
+
+
+def asked(key: Column, kind: Column) -> Column:
+    """A wording for each kind."""
+    at = place(F.concat_ws("|", key.cast("string"), kind))
+    wordings = F.create_map(*(x for k, q in QUESTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, q)))))[kind]
+    return F.get(wordings, (at % F.size(wordings)).cast("int"))
+
+
+def instruction_pairs(df: DataFrame, kinds: tuple[str, ...] = tuple(QUESTIONS), side: str = "t", key: str = "invoice_id") -> DataFrame:
+    """(key, kind, prompt, answer) of nested records: the whole as JSON, each region as ``{region, content}``, single
+    fields as ``{field, value}``, the lines as a markdown table, the sum step by step as JSON, and a sentence. What has no
+    value gives no pair of its field; everything happens in the row."""
+    at = lambda c: F.col(f"{side}.{c}")
+    region = lambda name, content: F.to_json(F.struct(F.lit(name).alias("region"), content.alias("content")))
+    field = lambda name, value: F.when(value.isNotNull(), F.to_json(F.struct(F.lit(name).alias("field"), value.alias("value"))))
+    meta = F.struct(*(at(c).alias(c) for c in ("invoice_id", "issue_date", "due_date", "payment_terms")))
+    items = F.coalesce(at("items"), F.array().cast(df.schema[side].dataType["items"].dataType))
+    money = at("financial")
+    row = lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", x["description"], *(F.format_number(x[c], 2) for c in ("quantity", "unit_price", "line_total"))), F.lit(" |"))
+    table = F.array_join(F.concat(F.array(F.lit("| description | quantity | unit price | total |"), F.lit("|---|---|---|---|")), F.transform(items, row)), "\n")
+    total = money["subtotal"] + money["tax_total"] - money["discount_total"]
+    steps = F.to_json(F.struct(*(money[c].alias(c) for c in ("subtotal", "tax_total", "discount_total")), F.round(total, 2).alias("sum"), money["grand_total"].alias("stated"), (F.abs(total - money["grand_total"]) <= 0.01).alias("agrees")))
+    sentence = F.concat(F.lit("Invoice "), at("invoice_id"), F.lit(" of "), at("vendor.name"), F.lit(" for "), at("client.name"), F.lit(": "), F.size(items).cast("string"), F.lit(" items, "), F.format_number(money["grand_total"], 2), F.lit(" "), money["currency"], F.lit("."))
+    answers = {
+        "full_extraction": F.to_json(F.struct(*(at(c).alias(c) for c in ("invoice_id", "vendor", "client", "issue_date", "due_date", "payment_terms")), items.alias("items"), money.alias("financial_summary"))),
+        "vendor_block": region("vendor_block", at("vendor")), "client_info": region("client_info", at("client")), "invoice_metadata": region("invoice_metadata", meta), "line_items": region("line_items", F.struct(items.alias("items"))), "financial_summary": region("financial_summary", money),
+        "invoice_id": field("invoice_id", at("invoice_id")), "grand_total": field("grand_total", money["grand_total"]), "vendor_name": field("vendor_name", at("vendor.name")), "due_date": field("due_date", at("due_date")),
+        "table": F.when(F.size(items) > 0, table), "reasoning": F.when(total.isNotNull() & money["grand_total"].isNotNull(), steps), "summary": sentence,
+    }
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), answers[k].alias("answer")) for k in kinds))
+    out = df.select(key, F.inline(pairs)).where("answer IS NOT NULL")
+    return out.select(key, "kind", asked(F.col(key), F.col("kind")).alias("prompt"), "answer")
+
+
+#: What is asked of receipts: question and the column that answers, or all.
+RECEIPT_QUESTIONS = {"receipt_extraction": ("Read this receipt into JSON.", None), "receipt_total": ("What was paid in total?", "total"), "receipt_merchant": ("Which shop is this?", "merchant"), "receipt_payment": ("How was it paid?", "method")}
+
+
+def receipt_pairs(fields: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """(key, kind, prompt, answer) of receipts' fields; a field without value is not asked for."""
+    whole = F.to_json(F.struct(*(c for c in fields.columns if c != key)))
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(q).alias("prompt"), (whole if c is None else F.col(c).cast("string")).alias("answer")) for k, (q, c) in RECEIPT_QUESTIONS.items()]
+    return fields.select(key, F.inline(F.array(*rows))).where("answer IS NOT NULL")
+
+
+def training_samples(pairs: DataFrame, image: Column, key: str = "invoice_id") -> DataFrame:
+    """(key, kind, sample): each pair as a JSON line of an image and a conversation of a human and an assistant."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    talk = F.array(turn("human", F.concat(F.lit("<image>\n"), "prompt")), turn("assistant", F.col("answer")))
+    return pairs.select(key, "kind", F.to_json(F.struct(image.alias("image"), talk.alias("conversations"))).alias("sample"))
+
+
+def validate_samples(df: DataFrame, column: str = "sample") -> DataFrame:
+    """``df`` with ``errors`` (the first that applies: no JSON, no image, no conversations, not two turns in a list, an answer
+    that is no JSON) and ``warnings`` (first turn is no human, second no assistant, answer without region or content)."""
+    value = F.try_parse_json(column)
+    get = lambda v, path, kind="variant": F.try_variant_get(v, path, kind)
+    turns = get(value, "$.conversations", "array<variant>")
+    role = lambda k: get(value, f"$.conversations[{k}].role", "string")
+    answer = F.try_parse_json(F.coalesce(get(value, "$.conversations[1].content", "string"), F.lit("")))
+    has = lambda path: json_kind(get(answer, path)).isNotNull()
+    error = (
+        F.when(value.isNull(), "invalid_json").when(json_kind(get(value, "$.image")).isNull(), "missing_image").when(json_kind(get(value, "$.conversations")).isNull(), "missing_conversations")
+        .when((json_kind(get(value, "$.conversations")) != "list") | (F.coalesce(F.size(turns), F.lit(0)) < 2), "invalid_conversations").when(answer.isNull(), "answer_no_json")
+    )
+    spoken = value.isNotNull() & (F.coalesce(F.size(turns), F.lit(0)) >= 2)
+    told = F.array(
+        F.when(spoken & ~role(0).eqNullSafe(F.lit("human")), "first_not_human"), F.when(spoken & ~role(1).eqNullSafe(F.lit("assistant")), "second_not_assistant"),
+        F.when(answer.isNotNull() & error.isNull() & ~has("$.region"), "no_region"), F.when(answer.isNotNull() & error.isNull() & ~has("$.content"), "no_content"),
+    )
+    early = error.isin("invalid_json", "missing_image", "missing_conversations", "invalid_conversations")
+    warnings = F.when(F.coalesce(early, F.lit(False)), F.array().cast("array<string>")).otherwise(F.filter(told, lambda x: x.isNotNull()))
+    return df.withColumns({"error": error, "warnings": warnings})
+
+
 def region_samples(df: DataFrame, items: DataFrame) -> DataFrame:
     """(invoice_id, region, text): vendor, line item and totals samples."""
     lines = items.groupBy("invoice_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "description"))), lambda x: x["description"]).alias("d")).select("invoice_id", F.lit("line_items").alias("region"), F.array_join("d", "; ").alias("text"))

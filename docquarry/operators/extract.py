@@ -171,6 +171,19 @@ def validator_text(lines: DataFrame, key: str = "invoice_id", rate: str = "0.10"
     return df.withColumn("grand_total", (F.col("subtotal") + F.col("tax")).cast("decimal(18,2)"))
 
 
+def lines_of_pages(pages: DataFrame, step: int = 10, by: str = "  ") -> DataFrame:
+    """(invoice_id, line_no, text) of pages (cells): cells whose centres fall into one bucket are a line, left to right;
+    ``line_no`` is the bucket."""
+    bucket = lambda c: (F.bround((c["y"] + c["h"] / 2) / step) * step).cast("int")
+    rows = F.array_distinct(F.transform("cells", bucket))
+
+    def line(r: Column) -> Column:
+        own = F.array_sort(F.transform(F.filter("cells", lambda c: bucket(c) == r), lambda c: F.struct(c["x"], c["region_id"], c["text"])))
+        return F.struct(r.alias("line_no"), F.array_join(F.transform(own, lambda c: c["text"]), by).alias("text"))
+
+    return pages.select("invoice_id", F.inline(F.transform(rows, line)))
+
+
 def joined_text(lines: DataFrame, key: str = "invoice_id", by: str = " ") -> DataFrame:
     """(key, text): the lines of each document in order."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])

@@ -262,20 +262,43 @@ def _(spark, d):
     return L.semantic_layout(W.regions(spark, d)).withColumn("tokens", F.array_join(F.col("tokens").cast("array<string>"), ","))
 
 
-@query("x5_parse_document", r"""
-with f as (select invoice_id, count(*) filter (regexp_matches(text, '(?i)invoice #[:\s]*\S')) ids, count(*) filter (regexp_matches(text, '(?i)date[:\s]+\S')) dates, count(*) filter (regexp_matches(text, '(?i)vendor[:\s]+.') and line_no <= 10) vendors, arg_min(try_cast(regexp_extract(text, '(?i)^subtotal[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^subtotal[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') subtotal, arg_min(try_cast(regexp_extract(text, '(?i)^tax[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^tax[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') tax,
- arg_min(try_cast(regexp_extract(text, '(?i)^total[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^total[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') total from ocr_lines group by 1),
-i as (select invoice_id, count(*) n_items, sum(cast(regexp_extract(text, '  Total (\d+\.\d{2})\s*$', 1) as decimal(18,2))) items_total from ocr_lines where regexp_extract(text, '  Total (\d+\.\d{2})\s*$', 1) <> '' group by 1),
-o as (select *, not (abs(items_total - subtotal) > 0.02 * abs(subtotal)) items_ok, not (abs(total - (subtotal + tax)) > 0.02 * abs(total)) total_ok,
- (case when ids > 0 then 0.9::double else 0 end + case when dates > 0 then 0.85::double else 0 end + case when total is not null then 0.95::double else 0 end + case when vendors > 0 then 0.8::double else 0 end + 0.7::double) / (cast(ids > 0 as int) + cast(dates > 0 as int) + cast(total is not null as int) + cast(vendors > 0 as int) + 1) confidence from f join i using (invoice_id))
-select invoice_id, n_items, cast(items_total as double) items_total, cast(total as double) total, items_ok, total_ok, confidence, not (items_ok and total_ok) or confidence < 0.6 needs_review from o""")
-def _(spark, d):
+#: What is read from lines (invoice_id, line_no, text), checked and reviewed.
+PARSED = r"""f as (select invoice_id, count(*) filter (regexp_matches(text, '(?i)invoice #[:\s]*\S')) ids, count(*) filter (regexp_matches(text, '(?i)date[:\s]+\S')) dates, count(*) filter (regexp_matches(text, '(?i)vendor[:\s]+.') and line_no <= {1}) vendors, arg_min(try_cast(regexp_extract(text, '(?i)^subtotal[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^subtotal[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') subtotal, arg_min(try_cast(regexp_extract(text, '(?i)^tax[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^tax[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') tax,
+ arg_min(try_cast(regexp_extract(text, '(?i)^total[:\s]*\$?([\d,]+\.?\d*)', 1) as decimal(18,2)), line_no) filter (regexp_extract(text, '(?i)^total[:\s]*\$?([\d,]+\.?\d*)', 1) <> '') total from {0} group by 1),
+i as (select invoice_id, count(*) n_items, sum(cast(regexp_extract(text, '  Total (\d+\.\d{{2}})\s*$', 1) as decimal(18,2))) items_total from {0} where regexp_extract(text, '  Total (\d+\.\d{{2}})\s*$', 1) <> '' group by 1),
+o as (select f.*, coalesce(n_items, 0) n_items, items_total, not coalesce(abs(coalesce(items_total, 0) - subtotal) > 0.02 * abs(subtotal), false) items_ok, not coalesce(abs(total - (subtotal + tax)) > 0.02 * abs(total), false) total_ok,
+ coalesce((case when ids > 0 then 0.9::double else 0 end + case when dates > 0 then 0.85::double else 0 end + case when total is not null then 0.95::double else 0 end + case when vendors > 0 then 0.8::double else 0 end + case when n_items > 0 then 0.7::double else 0 end) / nullif(cast(ids > 0 as int) + cast(dates > 0 as int) + cast(total is not null as int) + cast(vendors > 0 as int) + cast(coalesce(n_items, 0) > 0 as int), 0), 0.0) presence from f left join i using (invoice_id))"""
+#: Printed invoices, and the heads of those that have no lines.
+PRINTED = "printed as (select * from ocr_lines union all select invoice_id, 2, 'Invoice #: INV-' || invoice_id from invoices where n_items = 0 union all select invoice_id, 3, 'Date: ' || strftime(issue_date, '%Y-%m-%d') from invoices where n_items = 0)"
+
+
+def parsed(lines):
+    """Documents read from lines, with or without items, their sums checked."""
     money = lambda c: F.col(c).cast("decimal(18,2)").alias(c)
-    read = T.parse_lines(W.ocr_lines(spark, d), "keyword_line").withColumns({c: money(c) for c in ("subtotal", "tax", "total")}).where("n_items > 0")
-    checked = V.validate_arithmetic(read, "relative")
-    out = C.presence_confidence(checked, {c: F.col(c).isNotNull() for c in ("invoice_number", "date", "total", "vendor")} | {"line_items": F.col("n_items") > 0})
-    review = ~(F.col("items_ok") & F.col("total_ok")) | (F.col("overall") < 0.6)
-    return out.select("invoice_id", "n_items", F.col("items_total").cast("double").alias("items_total"), F.col("total").cast("double").alias("total"), "items_ok", "total_ok", F.col("overall").alias("confidence"), review.alias("needs_review"))
+    read = T.parse_lines(lines, "keyword_line").withColumns({c: money(c) for c in ("subtotal", "tax", "total")})
+    checked = V.validate_arithmetic(read.withColumn("n_items", F.coalesce("n_items", F.lit(0))), "relative")
+    return C.presence_confidence(checked, {c: F.col(c).isNotNull() for c in ("invoice_number", "date", "total", "vendor")} | {"line_items": F.col("n_items") > 0})
+
+
+def reviewed(df, confidence):
+    review = ~(F.col("items_ok") & F.col("total_ok")) | (confidence < 0.6)
+    return df.select("invoice_id", "n_items", F.col("items_total").cast("double").alias("items_total"), F.col("total").cast("double").alias("total"), "items_ok", "total_ok", confidence.alias("confidence"), review.alias("needs_review"))
+
+
+@query("x5_parse_document", f"with {PRINTED}, {PARSED.format('printed', 10)} select invoice_id, n_items, cast(items_total as double) items_total, cast(total as double) total, items_ok, total_ok, presence confidence, not (items_ok and total_ok) or presence < 0.6 needs_review from o")
+def _(spark, d):
+    bare = W.invoices(spark, d).where("n_items = 0")
+    head = F.array(F.struct(F.lit(2).alias("line_no"), F.concat(F.lit("Invoice #: INV-"), F.col("invoice_id").cast("string")).alias("text")), F.struct(F.lit(3).alias("line_no"), F.concat(F.lit("Date: "), F.date_format("issue_date", "yyyy-MM-dd")).alias("text")))
+    df = parsed(W.ocr_lines(spark, d).unionByName(bare.select("invoice_id", F.inline(head))))
+    return reviewed(df, F.col("overall"))
+
+
+@query("x5_parse_regions", f"""with lined as (select invoice_id, cast(round_even((y + h / 2.0::double) / 10, 0) * 10 as int) line_no, string_agg(text, '  ' order by x, region_id) text from regions group by 1, 2), sure as (select invoice_id, floor(avg(confidence) * 1000000 + 0.5) / 1000000 c from regions group by 1), {PARSED.format('lined', 310)}
+select invoice_id, n_items, cast(items_total as double) items_total, cast(total as double) total, items_ok, total_ok, c confidence, not (items_ok and total_ok) or c < 0.6 needs_review from o join sure using (invoice_id)""")
+def _(spark, d):
+    df = L.pages(W.regions(spark, d)).withColumn("sure", F.floor(F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["confidence"], lambda s: s / F.size("cells")) * 1000000 + 0.5) / 1000000)
+    out = parsed(T.lines_of_pages(df)).join(df.select("invoice_id", "sure"), "invoice_id")
+    return reviewed(out, F.col("sure"))
 
 
 @query("x6_normalize_invoice", "select invoice_id, trim(vendor) vendor, coalesce(try_cast(nullif(regexp_replace(amount, '[^\\d.\\-]', '', 'g'), '') as double), 0.0) amount, coalesce(qty, 1.0) qty from (select invoice_id, '  ' || vendor || ' ' vendor, case when invoice_id % 3 = 0 then 'n/a' else '$ ' || grand_total end amount, case when invoice_id % 4 = 0 then null else cast(n_items as double) end qty from invoices)")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import scalars as S
 from docquarry.operators import datasets as D
+from docquarry.operators import extract as X
 from docquarry.operators import evaluate as E
 from docquarry.operators import project as P
 from docquarry.operators import validate as V
@@ -275,6 +276,47 @@ def _(spark, d):
     return D.field_pairs(W.invoices(spark, d), "invoice_id", ["vendor", "grand_total", "issue_date"])
 
 
+_PICK = "cast('0x' || left(md5(invoice_id || '|' || kind), 8) as bigint) % "
+_WORDED = " ".join(f"when '{k}' then [{', '.join(repr(x) for x in q)}][{_PICK}{len(q)} + 1]" for k, q in D.QUESTIONS.items())
+#: What an answer must hold: the region or field it names, and a value read from it.
+PAIR_PARTS = """select invoice_id, 'full_extraction' kind, t_invoice_id named, t_grand_total amount, n from r union all select invoice_id, 'vendor_block', 'vendor_block', null, 0 from r union all select invoice_id, 'client_info', 'client_info', null, 0 from r union all select invoice_id, 'invoice_metadata', 'invoice_metadata', null, 0 from r
+union all select invoice_id, 'line_items', 'line_items', null, n from r union all select invoice_id, 'financial_summary', 'financial_summary', t_grand_total, 0 from r union all select invoice_id, 'invoice_id', 'invoice_id', null, 0 from r union all select invoice_id, 'grand_total', 'grand_total', t_grand_total, 0 from r where t_grand_total is not null
+union all select invoice_id, 'vendor_name', 'vendor_name', null, 0 from r where t_name is not null union all select invoice_id, 'due_date', 'due_date', null, 0 from r where t_due_date is not null union all select invoice_id, 'table', null, null, n from r where n > 0
+union all select invoice_id, 'reasoning', cast(abs(t_subtotal + t_tax_total - t_discount_total - t_grand_total) <= 0.01 as varchar), t_grand_total, 0 from r where t_grand_total is not null union all select invoice_id, 'summary', t_invoice_id, null, n from r where t_name is not null and t_grand_total is not null"""
+
+
+@query("d1_pairs_by_kind", f"with n as (select invoice_id, count(*) filter (in_t) n from record_items group by 1), r as (select records.*, coalesce(n, 0) n from records left join n using (invoice_id)), p as ({PAIR_PARTS}) select invoice_id, kind, case kind {_WORDED} end prompt, named, amount, cast(n as bigint) n from p")
+def _(spark, d):
+    out = D.instruction_pairs(W.records(spark, d))
+    at = lambda path: F.get_json_object("answer", path)
+    named = F.when(F.col("kind") == "summary", F.regexp_extract("answer", "Invoice (INV-[0-9]+)", 1)).when(F.col("kind") == "reasoning", at("$.agrees")).when(F.col("kind") == "full_extraction", at("$.invoice_id")).otherwise(F.coalesce(at("$.region"), at("$.field")))
+    amount = F.when(F.col("kind") == "full_extraction", at("$.financial_summary.grand_total")).when(F.col("kind") == "financial_summary", at("$.content.grand_total")).when(F.col("kind") == "grand_total", at("$.value")).when(F.col("kind") == "reasoning", at("$.stated"))
+    listed = lambda path: F.size(F.from_json(at(path), "array<string>"))
+    n = F.when(F.col("kind") == "full_extraction", listed("$.items")).when(F.col("kind") == "line_items", listed("$.content.items")).when(F.col("kind") == "table", F.regexp_count("answer", F.lit("\n")) - 1).when(F.col("kind") == "summary", F.regexp_extract("answer", ": ([0-9]+) items", 1).cast("int")).otherwise(0)
+    return out.select("invoice_id", "kind", "prompt", named.alias("named"), amount.cast("double").alias("amount"), n.cast("long").alias("n"))
+
+
+@query("d1_receipt_pairs", "select invoice_id, kind, answer from (select invoice_id, 'receipt_total' kind, cast(cast(grand_total as double) as varchar) answer from receipts union all select invoice_id, 'receipt_merchant', case when k % 2 = 0 then 'Walmart Supercenter' else 'Corner Shop Inc' end from receipts union all select invoice_id, 'receipt_payment', case when k % 4 = 0 then 'CASH' else 'VISA' end from receipts union all select invoice_id, 'receipt_extraction', cast(invoice_id as varchar) from receipts)")
+def _(spark, d):
+    out = D.receipt_pairs(X.extract_fields(W.receipt_lines(spark, d), "receipt"))
+    return out.select("invoice_id", "kind", F.when(F.col("kind") == "receipt_extraction", F.get_json_object("answer", "$.receipt_no")).otherwise(F.col("answer")).alias("answer"))
+
+
+def faulty_samples(spark, d):
+    """Samples of the vendor block; some broken by fixed rules."""
+    i = F.col("invoice_id")
+    pairs = D.instruction_pairs(W.records(spark, d), ("vendor_block",)).withColumn("answer", F.when(i % 5 == 0, F.lit("Acme")).when(i % 7 == 0, F.replace("answer", F.lit('"region"'), F.lit('"part"'))).otherwise(F.col("answer")))
+    df = D.training_samples(pairs, F.concat(i.cast("string"), F.lit(".png")))
+    text = F.when(i % 11 == 0, F.replace("sample", F.lit('"image":'), F.lit('"picture":'))).when(i % 13 == 0, F.replace("sample", F.lit('"conversations":'), F.lit('"talk":'))).when(i % 17 == 0, F.lit('{"image": "a", "conversations": [{"role": "human"}]}')).when(i % 19 == 0, F.replace("sample", F.lit('"human"'), F.lit('"user"'))).when(i % 23 == 0, F.left("sample", F.lit(30))).otherwise(F.col("sample"))
+    return df.withColumn("sample", text)
+
+
+@query("d6_validate_samples", """select invoice_id, case when i % 11 = 0 then 'missing_image' when i % 13 = 0 then 'missing_conversations' when i % 17 = 0 then 'invalid_conversations' when i % 19 <> 0 and i % 23 = 0 then 'invalid_json' when i % 5 = 0 then 'answer_no_json' end error,
+ case when i % 11 = 0 or i % 13 = 0 or i % 17 = 0 or (i % 19 <> 0 and i % 23 = 0) then '' else concat_ws(',', case when i % 19 = 0 then 'first_not_human' end, case when i % 5 <> 0 and i % 7 = 0 then 'no_region' end) end warnings from (select invoice_id, invoice_id i from records)""")
+def _(spark, d):
+    return D.validate_samples(faulty_samples(spark, d)).select("invoice_id", "error", F.array_join("warnings", ",").alias("warnings"))
+
+
 @query("d2_region_samples", "select invoice_id, 'vendor' region, vendor text from invoices where vendor is not null union all select invoice_id, 'line_items', string_agg(description, '; ' order by pos) from line_items group by 1 union all select invoice_id, 'totals', subtotal || ' + ' || tax || ' = ' || grand_total from invoices where grand_total is not null")
 def _(spark, d):
     return D.region_samples(W.invoices(spark, d), W.line_items(spark, d))
