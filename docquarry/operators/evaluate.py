@@ -190,6 +190,23 @@ def document_scores(fields: DataFrame, numbers: DataFrame, tables: DataFrame, we
     return df.withColumn("overall", F.col("field") * a + F.col("number") * b + F.col("table") * c + F.col("valid") * d)
 
 
+def row_scores(df: DataFrame, weights: str = "even") -> DataFrame:
+    """``document_scores`` of rows that hold their lines (t_items, p_items: arrays of qty and line_total) beside the fields
+    (t_*, p_*): nothing is aligned by a join."""
+    a, b, c, d = OVERALL[weights]
+    size = lambda x: F.coalesce(F.size(x), F.lit(0))
+    n, m = F.greatest(size("t_items"), F.lit(0)), F.greatest(size("p_items"), F.lit(0))
+    near = lambda x, y: (F.abs(x - y) <= 0.01).cast("int")
+    both = F.least(n, m)
+    hits = F.zip_with(F.slice("t_items", 1, both), F.slice("p_items", 1, both), lambda t, p: near(t["qty"], p["qty"]) + near(t["line_total"], p["line_total"]))
+    right = F.aggregate(hits, F.lit(0), lambda s, x: s + x)
+    df = field_accuracy(df, "blocks").withColumns({
+        "field": F.col("accuracy"), "valid": F.col("total_ok").cast("double"),
+        "number": F.when(n > 0, F.coalesce(right, F.lit(0)) / (2 * n)).otherwise(1.0), "table": F.when(F.greatest(n, m) > 0, F.least(n, m) / F.greatest(n, m)).otherwise(1.0),
+    })
+    return df.withColumn("overall", F.col("field") * a + F.col("number") * b + F.col("table") * c + F.col("valid") * d)
+
+
 def summary(df: DataFrame, *columns: str, by: tuple[str, ...] = ()) -> DataFrame:
     """mean, population deviation, least and most of each column."""
     aggs = []

@@ -121,6 +121,11 @@ def test_rollup_levels_and_examples(spark):
 
 def test_plans_of_records(spark, data):
     """Lines are read once and gathered by one exchange; nothing is aligned by a join."""
+    from docquarry.queries import QUERIES
+
+    for name in ("e4_documents_even", "m1_errors", "e4_documents_blocks"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") <= 6, name
     for df in (C.mine_errors(W.records(spark, data)), C.weighted_scores(W.records(spark, data)), C.leaf_accuracy(W.records(spark, data))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") <= 6 and "Window" not in plan and "NestedLoop" not in plan
