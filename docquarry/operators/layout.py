@@ -45,7 +45,7 @@ def rows_by_gap(regions: DataFrame, gap: int = 12) -> DataFrame:
 
 def rows_by_bucket(regions: DataFrame, step: int = 10) -> DataFrame:
     """Row as the centre rounded half to even to whole steps."""
-    return regions.withColumn("row", (F.bround((F.col("y") + F.col("h") / 2) / step) * step).cast("int"))
+    return regions.withColumn("row", bucket_of(step))
 
 
 def reading_order(regions: DataFrame) -> DataFrame:
@@ -65,30 +65,20 @@ NEAR, FIRST_NUMBERS = 50.0, 10
 CLIENT_WORDS, TAX_WORDS = "invoice|bill to|client|customer|date|due", "tax|vat|gst|discount|subtotal"
 
 
-def pages(regions: DataFrame) -> DataFrame:
+def pages(regions: DataFrame, **more: Column) -> DataFrame:
     """(invoice_id, cells): the regions of a page as one array in reading order, so that what concerns a page
-    happens within its row. The only exchange of the operators below is this one."""
+    happens within its row. The only exchange of the operators below is this one. ``more``: what each cell carries
+    besides; patterns are matched here, a row each in compiled code, and not again inside the arrays."""
     sure = F.col("confidence") if "confidence" in regions.columns else F.lit(1.0)
-    cell = F.struct("y", "x", "region_id", "text", "w", "h", sure.alias("confidence"))
+    cell = F.struct("y", "x", "region_id", "text", "w", "h", sure.alias("confidence"), *(x.alias(c) for c, x in more.items()))
     return regions.groupBy("invoice_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Pages back as regions, with the named columns of the page."""
-    cells = df.select("invoice_id", *columns, F.inline("cells"))
-    kept = [c for c in cells.columns if c not in ("invoice_id", "region_id", "text", "x", "y", "w", "h", "confidence")]
-    return cells.select("invoice_id", "region_id", "text", "x", "y", "w", "h", "confidence", *kept)
-
-
-def centre(c: Column) -> tuple[Column, Column]:
+def centre(c: Column | dict[str, Column]) -> tuple[Column, Column]:
     return c["x"] + c["w"] / 2, c["y"] + c["h"] / 2
 
 
-def is_number(c: Column) -> Column:
-    return c["text"].rlike(NUMERIC)
-
-
-def beside(c: Column, numbers: Column, distance: float = NEAR) -> Column:
+def beside(c: Column | dict[str, Column], numbers: Column, distance: float = NEAR) -> Column:
     """Whether the centre of a cell is nearer than the distance to that of one of the cells."""
     x, y = centre(c)
 
@@ -99,33 +89,22 @@ def beside(c: Column, numbers: Column, distance: float = NEAR) -> Column:
     return F.exists(numbers, near)
 
 
-def first_numbers(cells: Column, first: int = FIRST_NUMBERS) -> Column:
-    return F.slice(F.filter(cells, is_number), 1, first)
-
-
 def quadrants(regions: DataFrame) -> DataFrame:
     """vendor, client, line_items, tax or totals, by place and keyword; each region takes the first that fits. Line items
     stand between the highest and the lowest number of the page and near one of its first ``FIRST_NUMBERS``; a total
     with its number in one region counts as totals if nothing else fits."""
-    most = lambda f: F.array_max(F.transform("cells", f))
-    numbers = F.filter("cells", is_number)
-    df = pages(regions).withColumns({
-        "__w": most(lambda c: c["x"] + c["w"]), "__h": most(lambda c: c["y"] + c["h"]), "__top": F.array_min(F.transform(numbers, lambda c: c["y"])),
-        "__low": F.array_max(F.transform(numbers, lambda c: c["y"] + c["h"])), "__n": F.slice(numbers, 1, FIRST_NUMBERS),
-    })
-
-    def part(c: Column) -> Column:
-        cx, cy = centre(c)
-        low = F.lower(c["text"])
-        return (
-            F.when((cx < F.col("__w") * 0.5) & (cy < F.col("__h") * 0.3), "vendor")
-            .when((cx > F.col("__w") * 0.5) | low.rlike(CLIENT_WORDS), "client")
-            .when(cy.between(F.col("__top"), F.col("__low")) & beside(c, F.col("__n")), "line_items")
-            .when(low.rlike(TAX_WORDS), "tax")
-            .when((cx > F.col("__w") * 0.6) & (cy > F.col("__h") * 0.7) | low.rlike("total"), "totals")
-        )
-
-    return spread(df.withColumn("cells", F.transform("cells", lambda c: c.withField("part", part(c)))).select("invoice_id", "cells"))
+    low, text = F.lower("text"), F.col("text")
+    marked = pages(regions, cx=F.col("x") + F.col("w") / 2, cy=F.col("y") + F.col("h") / 2, num=text.rlike(NUMERIC), client=low.rlike(CLIENT_WORDS), tax=low.rlike(TAX_WORDS), total=F.contains(low, F.lit("total")))
+    most = lambda cells, f: F.array_max(F.transform(cells, f))
+    df = marked.select("invoice_id", "cells", F.filter("cells", lambda c: c["num"]).alias("__n"), most("cells", lambda c: c["x"] + c["w"]).alias("__w"), most("cells", lambda c: c["y"] + c["h"]).alias("__h"))
+    page = ("__w", "__h")
+    df = df.select("invoice_id", *page, F.array_min(F.transform("__n", lambda c: c["y"])).alias("__top"), most("__n", lambda c: c["y"] + c["h"]).alias("__low"), F.slice("__n", 1, FIRST_NUMBERS).alias("__n"), F.inline("cells"))
+    near = F.exists("__n", lambda n: (F.col("cx") - n["cx"]) * (F.col("cx") - n["cx"]) + (F.col("cy") - n["cy"]) * (F.col("cy") - n["cy"]) < NEAR * NEAR)
+    part = (
+        F.when((F.col("cx") < F.col("__w") * 0.5) & (F.col("cy") < F.col("__h") * 0.3), "vendor").when((F.col("cx") > F.col("__w") * 0.5) | F.col("client"), "client")
+        .when(F.when(F.col("cy").between(F.col("__top"), F.col("__low")), near), "line_items").when(F.col("tax"), "tax").when((F.col("cx") > F.col("__w") * 0.6) & (F.col("cy") > F.col("__h") * 0.7) | F.col("total"), "totals")
+    )
+    return df.select("invoice_id", "region_id", "text", "x", "y", "w", "h", "confidence", part.alias("part"))
 
 
 def extents(regions: DataFrame, *by: str) -> DataFrame:
@@ -159,7 +138,12 @@ def overlap(a: str, b: str) -> Column:
     return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
 
 
-def share_of(c: Column, box: Column) -> Column:
+def own_cell() -> dict[str, Column]:
+    """A region as a row of its own, where the others are elements of an array."""
+    return {c: F.col(c) for c in ("x", "y", "w", "h")}
+
+
+def share_of(c: Column | dict[str, Column], box: Column) -> Column:
     """Intersection over union of a cell (x, y, w, h) and a box (x1, y1, x2, y2)."""
     w = F.greatest(F.least(c["x"] + c["w"], box["x2"]) - F.greatest(c["x"], box["x1"]), F.lit(0))
     h = F.greatest(F.least(c["y"] + c["h"], box["y2"]) - F.greatest(c["y"], box["y1"]), F.lit(0))
@@ -167,16 +151,15 @@ def share_of(c: Column, box: Column) -> Column:
     return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
 
 
-def best_box(c: Column, boxes: Column, least: float) -> Column:
-    """(box, iou) that a cell overlaps most, over the least share; the first of equals. NULL where there is none."""
+def best_box(c: Column | dict[str, Column], boxes: Column, least: float) -> Column:
+    """(box, iou) that a cell overlaps most, over the least share; the first of equals; box is NULL where there is none."""
     start = F.struct(F.lit(None).cast("string").alias("box"), F.lit(float(least)).alias("iou"))
 
     def better(best: Column, b: Column) -> Column:
         share = share_of(c, b).cast("double")
         return F.when(share > best["iou"], F.struct(b["box"].alias("box"), share.alias("iou"))).otherwise(best)
 
-    found = F.aggregate(boxes, start, better)
-    return F.when(found["box"].isNotNull(), found)
+    return F.aggregate(boxes, start, better)
 
 
 def assign(tokens: DataFrame, boxes: DataFrame, least: float = 0.1) -> DataFrame:
@@ -189,9 +172,9 @@ def assign(tokens: DataFrame, boxes: DataFrame, least: float = 0.1) -> DataFrame
 
 def assigned(df: DataFrame, least: float = 0.1) -> DataFrame:
     """``assign`` of pages that hold their boxes (cells, boxes) already."""
-    found = F.transform("cells", lambda c: F.struct(c["region_id"].alias("region_id"), best_box(c, F.col("boxes"), least).alias("b")))
-    out = df.select("invoice_id", F.inline(found)).where("b IS NOT NULL")
-    return out.select("invoice_id", "region_id", F.col("b.box").alias("box"), F.col("b.iou").alias("iou"))
+    rows = df.select("invoice_id", "boxes", F.inline("cells"))
+    # generated, so that the fold runs once and not again for the filter
+    return rows.select("invoice_id", "region_id", F.inline(F.array(best_box(own_cell(), F.col("boxes"), least)))).where("box IS NOT NULL")
 
 
 def box_around(cells: Column, name: Column) -> Column:
@@ -200,21 +183,34 @@ def box_around(cells: Column, name: Column) -> Column:
     return F.struct(name.alias("box"), least(lambda c: c["x"]).alias("x1"), least(lambda c: c["y"]).alias("y1"), most(lambda c: c["x"] + c["w"]).alias("x2"), most(lambda c: c["y"] + c["h"]).alias("y2"))
 
 
+def bucket_of(step: int = 10) -> Column:
+    """The row of a region: its centre, rounded half to even to whole steps."""
+    return (F.bround((F.col("y") + F.col("h") / 2) / step) * step).cast("int")
+
+
 def zoned_pages(regions: DataFrame, head: float = 0.3, foot: float = 0.7) -> DataFrame:
-    """Pages with ``boxes``, those of their zones (footer, header, table) that hold anything, and the height."""
+    """Pages with ``boxes``, those of their zones (footer, header, table) that hold anything, and the height. The zone
+    needs the height of the page, so pages are laid out as rows once more and gathered again where they are."""
     height = F.array_max(F.transform("cells", lambda c: c["y"] + c["h"]))
-    zone = lambda c: F.when(c["y"] < F.col("height") * head, "header").when(c["y"] > F.col("height") * foot, "footer").otherwise("table")
-    df = pages(regions).withColumn("height", height).withColumn("cells", F.transform("cells", lambda c: c.withField("zone", zone(c))))
-    of = lambda n: F.filter("cells", lambda c: c["zone"] == n)
-    own = [(n, of(n)) for n in ("footer", "header", "table")]
-    boxes = F.array(*(F.when(F.size(cells) > 0, box_around(cells, F.lit(n))) for n, cells in own))
-    return df.withColumn("boxes", F.filter(boxes, lambda b: b.isNotNull()))
+    rows = pages(regions, bucket=bucket_of()).select("invoice_id", height.alias("height"), F.inline("cells"))
+    rows = rows.withColumn("zone", F.when(F.col("y") < F.col("height") * head, "header").when(F.col("y") > F.col("height") * foot, "footer").otherwise("table"))
+    cell = F.struct("y", "x", "region_id", "text", "w", "h", "confidence", "bucket", "zone")
+
+    def box(name: str) -> Column:
+        of = lambda x: F.when(F.col("zone") == name, x)
+        found = F.struct(F.lit(name).alias("box"), F.min(of(F.col("x"))).alias("x1"), F.min(of(F.col("y"))).alias("y1"), F.max(of(F.col("x") + F.col("w"))).alias("x2"), F.max(of(F.col("y") + F.col("h"))).alias("y2"))
+        return F.when(F.count_if(F.col("zone") == name) > 0, found)
+
+    boxes = F.filter(F.array(*map(box, ("footer", "header", "table"))), lambda b: b.isNotNull())
+    return rows.groupBy("invoice_id").agg(F.first("height").alias("height"), F.sort_array(F.collect_list(cell)).alias("cells"), boxes.alias("boxes"))
 
 
 def near_numbers(regions: DataFrame, distance: float = NEAR, first: int = FIRST_NUMBERS) -> DataFrame:
     """Regions whose centre is nearer than the distance to one of their page's first numeric ones."""
-    df = pages(regions).withColumn("__n", first_numbers(F.col("cells"), first))
-    return spread(df.select("invoice_id", F.filter("cells", lambda c: beside(c, F.col("__n"), distance)).alias("cells")))
+    df = pages(regions, num=F.col("text").rlike(NUMERIC))
+    df = df.select("invoice_id", "cells", F.slice(F.filter("cells", lambda c: c["num"]), 1, first).alias("__n"))
+    out = df.select("invoice_id", "__n", F.inline("cells")).where(beside(own_cell(), F.col("__n"), distance))
+    return out.select("invoice_id", "region_id", "text", "x", "y", "w", "h", "confidence")
 
 
 def fields_by_schema(regions: DataFrame, specs: DataFrame) -> DataFrame:
@@ -241,22 +237,28 @@ def semantic_layout(regions: DataFrame, zone: bool = True, least: float = 0.0) -
         df = zoned_pages(regions)
     else:
         kind = F.coalesce(names[F.lower("kind")], F.lit("text_block"))
-        cell = F.struct("y", "x", "region_id", "text", "w", "h", "confidence", kind.alias("zone"))
+        cell = F.struct("y", "x", "region_id", "text", "w", "h", "confidence", bucket_of().alias("bucket"), kind.alias("zone"))
         df = regions.groupBy("invoice_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
         kinds = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["zone"])))
         df = df.withColumn("boxes", F.transform(kinds, lambda k: box_around(F.filter("cells", lambda c: c["zone"] == k), k)))
-    told = F.transform("cells", lambda c: F.struct(c["region_id"].alias("region_id"), best_box(c, F.col("boxes"), least)["box"].alias("box")))
-    df = df.withColumn("__told", told)
+    rows = df.select("invoice_id", "boxes", F.inline("cells"))
+    rows = rows.select("*", F.inline(F.array(best_box(own_cell(), F.col("boxes"), least)))).withColumnRenamed("box", "told")
+    # grouped as it was gathered: no further exchange
+    df = rows.groupBy("invoice_id").agg(F.first("boxes").alias("boxes"), F.sort_array(F.collect_list(F.struct("y", "x", "region_id", "text", "bucket", "zone", "told"))).alias("cells"))
 
     def block(b: Column) -> Column:
         own = F.filter("cells", lambda c: c["zone"] == b["box"])
-        bucket = lambda c: (F.bround((c["y"] + c["h"] / 2) / 10) * 10).cast("int")
-        rows = F.array_sort(F.array_distinct(F.transform(own, bucket)))
-        line = lambda r: F.array_join(F.transform(F.array_sort(F.transform(F.filter(own, lambda c: bucket(c) == r), lambda c: F.struct(c["x"], c["region_id"], c["text"]))), lambda c: c["text"]), " | ")
-        table = F.array_join(F.transform(rows, line), "\n")
+        placed = F.array_sort(F.transform(own, lambda c: F.struct(c["bucket"], c["x"], c["region_id"], c["text"])))
+        start = F.struct(F.lit(None).cast("int").alias("row"), F.lit("").alias("text"))
+
+        def add(s: Column, c: Column) -> Column:
+            joint = F.when(s["row"].isNull(), "").when(s["row"] == c["bucket"], " | ").otherwise("\n")
+            return F.struct(c["bucket"].alias("row"), F.concat(s["text"], joint, c["text"]).alias("text"))
+
+        table = F.aggregate(placed, start, add, lambda s: s["text"])
         text = F.array_join(F.transform(own, lambda c: c["text"]), " ")
         kind = F.coalesce(names[b["box"]], F.lit("text_block"))
-        tokens = F.transform(F.filter("__told", lambda t: t["box"] == b["box"]), lambda t: t["region_id"])
+        tokens = F.transform(F.filter("cells", lambda t: t["told"] == b["box"]), lambda t: t["region_id"])
         content = F.when(kind.isin("table", "line_items_table"), table).otherwise(F.array_join(F.transform(own, lambda c: c["text"]), "\n"))
         return F.struct(kind.alias("region_type"), F.size(own).cast("long").alias("n"), text.alias("text"), b["x1"].alias("x1"), b["y1"].alias("y1"), b["x2"].alias("x2"), b["y2"].alias("y2"), F.array_sort(tokens).alias("tokens"), content.alias("content"))
 
