@@ -113,7 +113,7 @@ scored as (select invoice_id, cast(hit as double) / counted as field, cast(total
 
 def scored(spark, d, weights="even"):
     side = lambda p: {f"{p}_vendor": F.col(f"{p}.vendor.name"), f"{p}_currency": F.col(f"{p}.financial.currency"), f"{p}_date": F.col(f"{p}.issue_date"), f"{p}_total": F.col(f"{p}.financial.grand_total").cast("decimal(18,2)")}
-    lines = lambda p: F.transform(f"{p}.items", lambda x: F.struct(x["quantity"].alias("qty"), x["line_total"].alias("line_total")))
+    lines = lambda p: F.transform(f"{p}.items", lambda x: F.struct(x["quantity"].alias("qty"), x["line_total"].cast(W.MONEY).alias("line_total")))
     df = W.records(spark, d).withColumns(side("t") | side("p") | {f"{p}_items": lines(p) for p in "tp"})
     return E.row_scores(df, weights).select("invoice_id", "field", "number", "table", "valid", "overall")
 

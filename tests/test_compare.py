@@ -129,3 +129,25 @@ def test_plans_of_records(spark, data):
     for df in (C.mine_errors(W.records(spark, data)), C.weighted_scores(W.records(spark, data)), C.leaf_accuracy(W.records(spark, data))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") <= 6 and "Window" not in plan and "NestedLoop" not in plan
+
+
+def test_line_totals_a_cent_apart_agree_as_in_sql(spark, data, tmp_path):
+    """The first of two lines is not read, so that 57095.29 meets 57095.30: a cent, though more than .01 as doubles."""
+    import duckdb
+
+    from docquarry.queries import ORACLE_SQL, QUERIES
+
+    tables = {t: f"{data}/{t}.parquet" for t in "region nation customer supplier part orders lineitem".split()}
+    spark.read.parquet(tables["orders"]).where("o_orderkey = 10").write.parquet(f"{tmp_path}/orders.parquet")
+    line = spark.read.parquet(tables["lineitem"]).limit(1).withColumn("l_orderkey", F.lit(10).cast("long"))
+    two = [line.withColumns({"l_linenumber": F.lit(k), "l_quantity": F.lit(q), "l_extendedprice": F.lit(p)}) for k, q, p in ((1, 5.0, 57095.29), (2, 7.0, 57095.30))]
+    two[0].unionByName(two[1]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    tables |= {t: f"{tmp_path}/{t}.parquet/*.parquet" for t in ("orders", "lineitem")}
+    for t in set(tables) - {"orders", "lineitem"}:
+        spark.read.parquet(tables[t]).write.parquet(f"{tmp_path}/{t}.parquet")
+    duck = duckdb.connect()
+    for t, path in tables.items():
+        duck.sql(f"create view {t} as select * from '{path}'")
+    for name in ("e4_documents_even", "e4_documents_field"):
+        want = duck.sql(f"select invoice_id, overall from ({ORACLE_SQL[name]})").fetchall()
+        assert [(r.invoice_id, r.overall) for r in QUERIES[name](spark, str(tmp_path)).collect()] == want and len(want) == 1
