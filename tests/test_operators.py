@@ -285,3 +285,12 @@ def test_percentiles_against_plain_python(spark):
         assert {r["g"]: tuple(r[c] for c in columns) for r in M.percentiles(df, "v", by=("g",), cuts=cuts).collect()} == want
     assert tuple(M.percentiles(df, "v").first()[c] for c in columns) == plain([v for _, v in rows if v is not None])
     assert [tuple(r) for r in M.percentiles(df.where("v > 1e9"), "v").collect()] == [(None,) * 7]
+
+
+def test_pages_are_made_in_the_row_of_their_invoice(spark, data):
+    """Lines are gathered once; the regions of a page are neither gathered nor sorted again, which spilled on large tables."""
+    from docquarry.queries import QUERIES
+
+    for name in ("x4_semantic_layout", "j4_assign_tokens", "f15_overlap", "w6_quadrants", "w6_quadrants_of_numbers", "j5_near_numbers"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ObjectHashAggregate(") <= 2 and "SortAggregate(" not in plan, name
