@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,11 @@ LAYOUTS = {
 
 def regions_of(df: DataFrame, key: str, layout: str, least: float = 0.7) -> DataFrame:
     """(key, region_id, text, x, y, w, h, confidence) of one shape, confidence at least ``least`` (1 if unknown)."""
+    return df.select(key, F.inline(cells_of(layout, least)))
+
+
+def cells_of(layout: str, least: float = 0.7) -> Column:
+    """``regions_of`` as an array in the row of the document, so that several shapes are read in one pass."""
     if layout == "pages":
         cells = F.flatten(F.transform("pages", lambda p: p["elements"]))
     elif layout == "tokens":
@@ -107,9 +112,9 @@ def regions_of(df: DataFrame, key: str, layout: str, least: float = 0.7) -> Data
         cells = F.transform(zipped, lambda z: F.struct(z["tokens"].alias("text"), z["bboxes"].alias("bbox"), z["confidences"].alias("confidence")))
     else:
         cells = F.col(layout)
-    rows = df.select(key, F.posexplode(cells).alias("region_id", "c")).withColumn("confidence", F.coalesce("c.confidence", F.lit(1.0)))
-    at = lambda i: F.try_element_at("c.bbox", F.lit(i))
-    return rows.where(F.col("confidence") >= least).select(key, "region_id", F.col("c.text").alias("text"), at(1).alias("x"), at(2).alias("y"), at(3).alias("w"), at(4).alias("h"), "confidence")
+    at = lambda c, i: F.try_element_at(c["bbox"], F.lit(i))
+    region = lambda c, i: F.struct(i.alias("region_id"), c["text"].alias("text"), *(at(c, k).alias(n) for k, n in enumerate("xywh", 1)), F.coalesce(c["confidence"], F.lit(1.0)).alias("confidence"))
+    return F.filter(F.transform(cells, region), lambda r: r["confidence"] >= least)
 
 
 def write_stage(df: DataFrame, path: str, stage: str = "stage") -> None:

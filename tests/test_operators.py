@@ -313,3 +313,10 @@ def test_rows_of_pages_equal_rows_of_regions(spark):
     assert gap[0] == ("Nut", 2.0, 2.0, 1200.5, 0.9) and gap[1][0] == "Bolt"
     got = sorted(map(tuple, X.items_of_box_rows(L.cells_by_mean(df)).collect()))
     assert got == sorted(map(tuple, X.items_of_box_rows(L.rows_by_mean(df), df).collect())) and len(got) == 2
+
+
+def test_four_shapes_are_read_in_one_pass(spark, data):
+    from docquarry.queries import QUERIES
+
+    plan = QUERIES["s17_layouts"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("ObjectHashAggregate(") <= 2
