@@ -183,11 +183,15 @@ def validate_required(df: DataFrame, columns: list[str], falsy: bool = True) ->
     return df.withColumn("missing", F.filter(names, lambda x: x.isNotNull()))
 
 
+#: JSON kinds of the first words of a VARIANT's schema.
+KINDS = {"BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "list", "OBJECT": "object", "VOID": "null"}
+
+
 def json_kind(value: Column) -> Column:
     """number, string, boolean, list, object, null of a VARIANT; NULL where there is no value."""
-    schema = F.schema_of_variant(value)
-    kind = F.when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
-    return kind.when(F.startswith(schema, F.lit("ARRAY")), "list").when(F.startswith(schema, F.lit("OBJECT")), "object").when(schema == "VOID", "null").when(schema.isNotNull(), "other")
+    # the schema is made once: within a lambda each branch of a WHEN would make it again
+    word = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), word), F.when(value.isNotNull(), "other"))
 
 
 def validate_types(df: DataFrame, column: str, paths: dict[str, str]) -> DataFrame:
@@ -201,24 +205,28 @@ def type_errors(df: DataFrame, column: str, numbers: tuple[str, ...] = ("subtota
     """(key, path, want, got) of what a JSON document holds in the wrong kind: amounts that are no numbers, a list of lines
     that is none, lines that are no objects, numbers of lines that are none; lines by their place from 0. What is absent
     is passed over; text that is no JSON is one error at the root."""
-    value = F.try_parse_json(column)
     at = lambda v, path: F.try_variant_get(v, path, "variant")
-
-    def wrong(v: Column, want: str, path: Column) -> Column:
-        got = json_kind(v)
-        return F.when(got != want, F.struct(path.alias("path"), F.lit(want).alias("want"), got.alias("got")))
-
-    found = [wrong(at(value, f"$.{within}.{n}"), "number", F.lit(f"{within}.{n}")) for n in numbers]
-    found += [wrong(at(value, f"$.{items}"), "list", F.lit(items)), F.when(F.col(column).isNotNull() & value.isNull(), F.struct(F.lit("$").alias("path"), F.lit("json").alias("want"), F.lit("text").alias("got")))]
-
-    def of(item: Column, i: Column) -> Column:
+    error = lambda path, want, got: F.struct(path.alias("path"), F.lit(want).alias("want"), got.alias("got"))
+    wrong = lambda path, want, got: F.when(got != want, error(path, want, got))
+    # by steps, generated, so that each text is parsed once and each kind found once
+    df = df.select(key, F.col(column).alias("__text"), F.explode(F.array(F.try_parse_json(column))).alias("__v"))
+    lines = F.try_variant_get("__v", f"$.{items}", "array<variant>")
+    df = df.select(key, "__text", "__v", F.explode(F.array(lines)).alias("__l"))
+    names = [f"k{i}" for i in range(len(item_numbers))]
+    inner = F.transform("__l", lambda x: F.struct(x.alias("v"), *(json_kind(at(x, f"$.{n}")).alias(k) for k, n in zip(names, item_numbers, strict=True))))
+    df = df.select(key, "__text", "__v", "__l", F.explode(F.array(inner)).alias("__i"))
+    # a list is one by its elements, an object by its members: the schema of the whole is made for others alone
+    of_list = F.when(F.col("__l").isNotNull(), "list").otherwise(json_kind(at(F.col("__v"), f"$.{items}")))
+    kinds = F.transform("__i", lambda s: F.struct(F.when(F.coalesce(*(s[k] for k in names)).isNotNull(), "object").otherwise(json_kind(s["v"])).alias("own"), *(s[k].alias(k) for k in names)))
+    heads = F.struct(of_list.alias("list"), *(json_kind(at(F.col("__v"), f"$.{within}.{n}")).alias(n) for n in numbers))
+    df = df.select(key, (F.col("__text").isNotNull() & F.col("__v").isNull()).alias("__bad"), F.explode(F.array(heads)).alias("__h"), F.coalesce(kinds, F.array().cast(f"array<struct<own:string,{','.join(f'{k}:string' for k in names)}>>")).alias("__k"))
+    found = [wrong(F.lit(f"{within}.{n}"), "number", F.col("__h")[n]) for n in numbers] + [wrong(F.lit(items), "list", F.col("__h")["list"]), F.when(F.col("__bad"), error(F.lit("$"), "json", F.lit("text")))]
+
+    def of(s: Column, i: Column) -> Column:
         path = F.concat(F.lit(f"{items}["), i.cast("string"), F.lit("]"))
-        own = [wrong(item, "object", path)]
-        own += [wrong(F.when(json_kind(item) == "object", at(item, f"$.{n}")), "number", F.concat(path, F.lit(f".{n}"))) for n in item_numbers]
-        return F.array(*own)
+        return F.array(wrong(path, "object", s["own"]), *(wrong(F.concat(path, F.lit(f".{n}")), "number", s[k]) for k, n in zip(names, item_numbers, strict=True)))
 
-    lines = F.coalesce(F.try_variant_get(value, f"$.{items}", "array<variant>"), F.array().cast("array<variant>"))
-    every = F.concat(F.array(*found), F.flatten(F.transform(lines, of)))
+    every = F.concat(F.array(*found), F.flatten(F.transform("__k", of)))
     return df.select(key, F.inline(F.filter(every, lambda x: x.isNotNull())))
 
 

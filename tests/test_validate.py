@@ -155,3 +155,12 @@ def test_text_is_no_number_by_type(spark):
     df = invoice(spark).withColumns({"client": F.lit("12"), "client_id": F.lit(12), "vendor": F.lit("v"), "issue_date": F.lit("2024-01-01").cast("date"), "due_date": F.lit(None).cast("date")})
     issues = [(r["field"], r["issue"]) for r in V.validate_document(df, "2024-06-01", numbers=("client", "client_id")).collect()]
     assert ("client", "NOT_A_NUMBER") in issues and ("client_id", "NOT_A_NUMBER") not in issues
+
+
+def test_each_json_text_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, '{"financial_summary": {"tax": "1"}, "line_items": [{}, {"unit_price": "2"}, 5, null]}'), (2, "{"), (3, '{"line_items": "x"}'), (4, "{}"), (5, None)], "invoice_id long, body string")
+    out = V.type_errors(df, "body")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert sorted(map(tuple, out.collect())) == [
+        (1, "financial_summary.tax", "number", "string"), (1, "line_items[1].unit_price", "number", "string"), (1, "line_items[2]", "object", "number"), (1, "line_items[3]", "object", "null"), (2, "$", "json", "text"), (3, "line_items", "list", "string"),
+    ]
