@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from urllib.parse import quote, unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,12 @@ def folder(spark: SparkSession, path: str, glob: str = "*", recursive: bool = Fa
     return described(reader.load(prefixed(path, prefix)).where(F.col("length").between(least, most)), content)
 
 
+def bundled(files: DataFrame, per_core: int = 8) -> DataFrame:
+    """``files`` in at most so many tasks a core: a scan gives one to each 32 small files, however many there are (see ``bundles`` for
+    reads that are planned at once)."""
+    return files.coalesce(files.sparkSession.sparkContext.defaultParallelism * per_core)
+
+
 def listing(spark: SparkSession, path: str, glob: str = "*", prefix: str = "") -> DataFrame:
     """path, name, size and modified of the files, none of which is opened."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(prefixed(path, prefix))
@@ -63,9 +72,34 @@ def folder_stream(spark: SparkSession, path: str, glob: str = "*", prefix: str =
 
 
 def write_files(df: DataFrame, path: str, text: str, by: str | None = None) -> None:
-    """One file for each row: its text and a line end, in folders of ``by``."""
-    out = df.select(*filter(None, [by]), F.col(text).alias("value")).write.mode("append").option("maxRecordsPerFile", 1)
-    (out.partitionBy(by) if by else out).text(path)
+    """One file for each row: its text and a line end, in folders of ``by``.
+
+    In a folder of the file system the rows' tasks write the files themselves: Hadoop's local file system starts two processes
+    for each file (``chmod`` of it and of its checksum), and its committer moves them one by one. Elsewhere Spark writes them."""
+    rows = df.select(*filter(None, [by]), F.col(text).alias("value"))
+    if urlparse(path).scheme not in ("", "file"):
+        out = rows.write.mode("append").option("maxRecordsPerFile", 1)
+        (out.partitionBy(by) if by else out).text(path)
+        return
+    run, root = uuid.uuid4().hex, unquote(urlparse(path).path) if path.startswith("file:") else path
+    names = F.monotonically_increasing_id().cast("string") if by is None else F.concat_ws("/", F.coalesce(F.col(by).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.monotonically_increasing_id().cast("string"))
+    os.makedirs(root, exist_ok=True)
+
+    def write(part: Iterator) -> None:
+        known = set()
+        for name, value in part:
+            shelf, _, n = name.rpartition("/")
+            where = os.path.join(root, f"{by}={quote(shelf, ' ')}") if by else root
+            if where not in known:
+                os.makedirs(where, exist_ok=True)
+                known.add(where)
+            # seen by readers when it is whole; a task that is run again writes the same names
+            hidden = os.path.join(where, f".{run}-{n}.{uuid.uuid4().hex}")
+            with open(hidden, "wb") as f:
+                f.write((value or b"") + b"\n")
+            os.replace(hidden, os.path.join(where, f"part-{n}-{run}.txt"))
+
+    rows.select(names, F.col("value").cast("binary")).foreachPartition(write)
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:

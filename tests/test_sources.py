@@ -150,3 +150,23 @@ def test_stream_results_are_files_of_the_shared_folder(spark, data):
         assert all(f.startswith(f"file://{shared}/") for f in out.inputFiles())
 
 
+
+
+def test_a_file_for_each_row_is_written_by_its_task(spark, tmp_path):
+    rows = spark.sql("select id, if(id = 3, null, if(id in (4, 5), 'same', concat('täxt\\n', id))) text, if(id = 7, null, id % 2) shelf from range(40)").repartition(3)
+    files.write_files(rows, f"file://{tmp_path}/by", "text", "shelf")
+    files.write_files(rows.where("id < 9"), str(tmp_path / "flat"), "text")
+    files.write_files(rows.where("id >= 9"), str(tmp_path / "flat"), "text")
+    want = sorted((r["text"] or "") + "\n" for r in rows.collect())
+    for folder, shelves in (("by", {"shelf=0", "shelf=1", "shelf=__HIVE_DEFAULT_PARTITION__"}), ("flat", set())):
+        left = [p for p in (tmp_path / folder).rglob("*") if p.is_file()]
+        # a checksum beside each would have been a process each
+        assert all(p.name.startswith("part-") and p.suffix == ".txt" for p in left) and {p.parent.name for p in left} - {"flat"} == shelves
+        assert sorted(p.read_text(encoding="utf-8") for p in left) == want
+        assert files.folder(spark, str(tmp_path / folder), "*.txt", recursive=True).count() == 40
+    many = tmp_path / "many"
+    many.mkdir()
+    for k in range(1100):
+        (many / f"{k}.txt").write_text("x")
+    df = files.bundled(files.folder(spark, str(many), "*.txt"), 2)
+    assert df.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and df.count() == 1100
