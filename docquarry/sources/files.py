@@ -20,8 +20,9 @@ _FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 @contextmanager
 def bundles(spark: SparkSession, partition_bytes: int = 128 << 20, open_cost: int = 64 << 10) -> Iterator[None]:
-    """Reads that are planned inside put many small files into one task, by their sizes."""
-    names = {"spark.sql.files.maxPartitionBytes": partition_bytes, "spark.sql.files.openCostInBytes": open_cost}
+    """Reads that are planned inside put many small files into one task, by their sizes; files that are named one by one, as those of
+    a micro-batch are, get a few tasks for their listing and not one each."""
+    names = {"spark.sql.files.maxPartitionBytes": partition_bytes, "spark.sql.files.openCostInBytes": open_cost, "spark.sql.sources.parallelPartitionDiscovery.parallelism": spark.sparkContext.defaultParallelism * 4}
     before = {k: spark.conf.get(k) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)

@@ -170,3 +170,15 @@ def test_a_file_for_each_row_is_written_by_its_task(spark, tmp_path):
         (many / f"{k}.txt").write_text("x")
     df = files.bundled(files.folder(spark, str(many), "*.txt"), 2)
     assert df.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and df.count() == 1100
+
+
+def test_a_micro_batch_lists_and_reads_its_files_in_few_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(300):
+        (tmp_path / "in" / f"{k}.txt").write_text("x")
+    with files.bundles(spark):
+        q = streams.to_parquet(files.folder_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "log"))
+        q.awaitTermination()
+    seen = spark.sparkContext.statusTracker()
+    tasks = sum(seen.getStageInfo(s).numTasks for j in seen.getJobIdsForGroup(str(q.runId)) for s in seen.getJobInfo(j).stageIds)
+    assert 0 < tasks <= 10 * spark.sparkContext.defaultParallelism and spark.read.parquet(str(tmp_path / "out")).count() == 300
