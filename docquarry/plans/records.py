@@ -298,7 +298,7 @@ def _(spark, d):
 
 @query("d1_receipt_pairs", "select invoice_id, kind, answer from (select invoice_id, 'receipt_total' kind, cast(cast(grand_total as double) as varchar) answer from receipts union all select invoice_id, 'receipt_merchant', case when k % 2 = 0 then 'Walmart Supercenter' else 'Corner Shop Inc' end from receipts union all select invoice_id, 'receipt_payment', case when k % 4 = 0 then 'CASH' else 'VISA' end from receipts union all select invoice_id, 'receipt_extraction', cast(invoice_id as varchar) from receipts)")
 def _(spark, d):
-    out = D.receipt_pairs(X.extract_fields(W.receipt_lines(spark, d), "receipt"))
+    out = D.receipt_pairs(X.extract_fields(W.receipt_pages(spark, d), "receipt"))
     return out.select("invoice_id", "kind", F.when(F.col("kind") == "receipt_extraction", F.get_json_object("answer", "$.receipt_no")).otherwise(F.col("answer")).alias("answer"))
 
 
