@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +50,10 @@ QUESTIONS = {
 }
 
 
-def asked(key: Column, kind: Column) -> Column:
-    """A wording for each kind."""
-    at = place(F.concat_ws("|", key.cast("string"), kind))
-    wordings = F.create_map(*(x for k, q in QUESTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, q)))))[kind]
-    return F.get(wordings, (at % F.size(wordings)).cast("int"))
+def asked(key: Column, kind: Column, first: Column, n: Column) -> Column:
+    """One of the n wordings of a kind, which stand from place ``first`` of all; hashed only where there is a choice."""
+    words = F.array(*(F.lit(x) for q in QUESTIONS.values() for x in q))
+    return F.get(words, first + F.when(n > 1, place(F.concat_ws("|", key.cast("string"), kind)) % n).otherwise(0).cast("int"))
 
 
 def instruction_pairs(df: DataFrame, kinds: tuple[str, ...] = tuple(QUESTIONS), side: str = "t", key: str = "invoice_id") -> DataFrame:
@@ -76,9 +77,11 @@ def instruction_pairs(df: DataFrame, kinds: tuple[str, ...] = tuple(QUESTIONS),
         "invoice_id": field("invoice_id", at("invoice_id")), "grand_total": field("grand_total", money["grand_total"]), "vendor_name": field("vendor_name", at("vendor.name")), "due_date": field("due_date", at("due_date")),
         "table": F.when(F.size(items) > 0, table), "reasoning": F.when(total.isNotNull() & money["grand_total"].isNotNull(), steps), "summary": sentence,
     }
-    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), answers[k].alias("answer")) for k in kinds))
+    sizes = {k: len(q) for k, q in QUESTIONS.items()}
+    first = dict(zip(sizes, accumulate(sizes.values(), initial=0)))
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(first[k]).alias("first"), F.lit(sizes[k]).alias("n"), answers[k].alias("answer")) for k in kinds))
     out = df.select(key, F.inline(pairs)).where("answer IS NOT NULL")
-    return out.select(key, "kind", asked(F.col(key), F.col("kind")).alias("prompt"), "answer")
+    return out.select(key, "kind", asked(F.col(key), F.col("kind"), F.col("first"), F.col("n")).alias("prompt"), "answer")
 
 
 #: What is asked of receipts: question and the column that answers, or all.

@@ -285,15 +285,20 @@ union all select invoice_id, 'vendor_name', 'vendor_name', null, 0 from r where
 union all select invoice_id, 'reasoning', cast(abs(t_subtotal + t_tax_total - t_discount_total - t_grand_total) <= 0.01 as varchar), t_grand_total, 0 from r where t_grand_total is not null union all select invoice_id, 'summary', t_invoice_id, null, n from r where t_name is not null and t_grand_total is not null"""
 
 
+#: What is read of an answer in JSON, of whichever kind.
+ANSWER = "region string, field string, value string, invoice_id string, agrees string, stated double, financial_summary struct<grand_total: double>, items array<struct<description: string>>, content struct<grand_total: double, items: array<struct<description: string>>>"
+
+
 @query("d1_pairs_by_kind", f"with n as (select invoice_id, count(*) filter (in_t) n from record_items group by 1), r as (select records.*, coalesce(n, 0) n from records left join n using (invoice_id)), p as ({PAIR_PARTS}) select invoice_id, kind, case kind {_WORDED} end prompt, named, amount, cast(n as bigint) n from p")
 def _(spark, d):
-    out = D.instruction_pairs(W.records(spark, d))
-    at = lambda path: F.get_json_object("answer", path)
-    named = F.when(F.col("kind") == "summary", F.regexp_extract("answer", "Invoice (INV-[0-9]+)", 1)).when(F.col("kind") == "reasoning", at("$.agrees")).when(F.col("kind") == "full_extraction", at("$.invoice_id")).otherwise(F.coalesce(at("$.region"), at("$.field")))
-    amount = F.when(F.col("kind") == "full_extraction", at("$.financial_summary.grand_total")).when(F.col("kind") == "financial_summary", at("$.content.grand_total")).when(F.col("kind") == "grand_total", at("$.value")).when(F.col("kind") == "reasoning", at("$.stated"))
-    listed = lambda path: F.size(F.from_json(at(path), "array<string>"))
-    n = F.when(F.col("kind") == "full_extraction", listed("$.items")).when(F.col("kind") == "line_items", listed("$.content.items")).when(F.col("kind") == "table", F.regexp_count("answer", F.lit("\n")) - 1).when(F.col("kind") == "summary", F.regexp_extract("answer", ": ([0-9]+) items", 1).cast("int")).otherwise(0)
-    return out.select("invoice_id", "kind", "prompt", named.alias("named"), amount.cast("double").alias("amount"), n.cast("long").alias("n"))
+    # an answer is read once
+    read = F.when(~F.col("kind").isin("table", "summary"), F.from_json("answer", ANSWER))
+    out = D.instruction_pairs(W.records(spark, d)).withColumn("r", read)
+    at = lambda path: F.col(f"r.{path}")
+    named = F.when(F.col("kind") == "summary", F.regexp_extract("answer", "Invoice (INV-[0-9]+)", 1)).when(F.col("kind") == "reasoning", at("agrees")).when(F.col("kind") == "full_extraction", at("invoice_id")).otherwise(F.coalesce(at("region"), at("field")))
+    amount = F.when(F.col("kind") == "full_extraction", at("financial_summary.grand_total")).when(F.col("kind") == "financial_summary", at("content.grand_total")).when(F.col("kind") == "grand_total", at("value").cast("double")).when(F.col("kind") == "reasoning", at("stated"))
+    n = F.when(F.col("kind") == "full_extraction", F.size(at("items"))).when(F.col("kind") == "line_items", F.size(at("content.items"))).when(F.col("kind") == "table", F.regexp_count("answer", F.lit("\n")) - 1).when(F.col("kind") == "summary", F.regexp_extract("answer", ": ([0-9]+) items", 1).cast("int")).otherwise(0)
+    return out.select("invoice_id", "kind", "prompt", named.alias("named"), amount.alias("amount"), n.cast("long").alias("n"))
 
 
 @query("d1_receipt_pairs", "select invoice_id, kind, answer from (select invoice_id, 'receipt_total' kind, cast(cast(grand_total as double) as varchar) answer from receipts union all select invoice_id, 'receipt_merchant', case when k % 2 = 0 then 'Walmart Supercenter' else 'Corner Shop Inc' end from receipts union all select invoice_id, 'receipt_payment', case when k % 4 = 0 then 'CASH' else 'VISA' end from receipts union all select invoice_id, 'receipt_extraction', cast(invoice_id as varchar) from receipts)")

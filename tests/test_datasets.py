@@ -33,6 +33,19 @@ def test_what_is_not_there_is_not_asked(spark):
     assert json.loads(pairs(spark, changed(financial={"grand_total": 12.0}))["reasoning"].answer)["agrees"] is False
 
 
+def test_lines_cross_one_shuffle_and_answers_are_read_once(spark, data):
+    from docquarry.queries import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["d1_pairs_by_kind"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the customer is known before the lines are joined, not found by a shuffle of them
+    assert 0 < plan.index("Join [invoice_id#") < plan.index("Join [o_custkey#")
+    assert plan.count("from_json(") == 1 and "get_json_object(" not in plan
+
+
 def test_receipt_pairs(spark):
     fields = spark.createDataFrame([(1, "Shop", 4.5, None), (2, None, None, "CASH")], "invoice_id int, merchant string, total double, method string")
     got = {(r.invoice_id, r.kind): r.answer for r in D.receipt_pairs(fields).collect()}
