@@ -343,3 +343,55 @@ def test_regions_are_parsed_from_one_reading_of_the_page(spark, data):
 
     plan = QUERIES["x5_parse_regions"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1
+
+
+def zoned_by_hand(cells):
+    """(zones by name, cell by cell share of each zone) of one page of (text, x, y, w, h)."""
+    height = max(y + h for _, _, y, _, h in cells)
+    zone = ["header" if y < height * 0.3 else "footer" if y > height * 0.7 else "table" for _, _, y, _, _ in cells]
+    boxes = {}
+    for z in sorted(set(zone)):
+        own = [c for c, at in zip(cells, zone, strict=True) if at == z]
+        boxes[z] = (min(c[1] for c in own), min(c[2] for c in own), max(c[1] + c[3] for c in own), max(c[2] + c[4] for c in own))
+
+    def share(c, b):
+        both = max(min(c[1] + c[3], b[2]) - max(c[1], b[0]), 0) * max(min(c[2] + c[4], b[3]) - max(c[2], b[1]), 0)
+        union = c[3] * c[4] + (b[2] - b[0]) * (b[3] - b[1]) - both
+        return both / union if union > 0 else 0.0
+
+    return zone, [{z: share(c, b) for z, b in boxes.items()} for c in cells]
+
+
+#: Pages whose zones stand clear of one another, whose zones meet, of one zone, and with boxes of no area.
+ZONED_PAGES = [
+    [("a", 0, 0, 40, 20), ("b", 0, 200, 40, 20), ("c", 60, 203, 90, 20), ("d", 0, 400, 40, 20)],
+    [("a", 0, 0, 40, 20), ("tall", 100, 10, 40, 300), ("b", 0, 200, 160, 20), ("c", 90, 290, 60, 90), ("d", 0, 330, 400, 60), ("e", 120, 300, 10, 10)],
+    [("only", 5, 0, 40, 20)],
+    [("a", 0, 0, 0, 20), ("b", 0, 200, 40, 0), ("c", 0, 210, 40, 20), ("d", 0, 400, 40, 20)],
+]
+
+
+def placed_pages(spark, pages):
+    rows = [(k, i, t, x, y, w, h, 0.9) for k, cells in enumerate(pages) for i, (t, x, y, w, h) in enumerate(cells)]
+    return spark.createDataFrame(rows, "invoice_id long, region_id int, text string, x int, y int, w int, h int, confidence double")
+
+
+def test_tokens_of_layout_against_plain_python(spark):
+    got = {(r["invoice_id"], r["region_type"]): (r["n"], r["tokens"]) for r in L.semantic_layout(placed_pages(spark, ZONED_PAGES)).collect()}
+    want = {}
+    for k, cells in enumerate(ZONED_PAGES):
+        zone, shares = zoned_by_hand(cells)
+        for z in set(zone):
+            told = [i for i, s in enumerate(shares) if max(s.values()) > 0 and min(s, key=lambda n: (-s[n], n)) == z]
+            want[k, z] = (zone.count(z), told)
+    assert got == want
+
+
+def test_layout_content_is_joined_once(spark, data):
+    """Text was added to a growing string cell by cell, and each cell compared with the boxes of all zones and rounded by way of a decimal."""
+    from docquarry.queries import QUERIES
+
+    plan = QUERIES["x4_semantic_layout"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "bround(" not in plan and not any("aggregate(sort_array(own" in line for line in plan.splitlines())
+    df = placed_pages(spark, [[("a", 0, 0, 40, 20), (None, 0, 200, 40, 20), ("c", 60, 203, 90, 20), ("d", 0, 400, 40, 20)]])
+    assert {r["region_type"]: r["content"] for r in L.semantic_layout(df).collect()} == {"header": "a", "table": None, "footer": "d"}
