@@ -395,3 +395,24 @@ def test_layout_content_is_joined_once(spark, data):
     assert "bround(" not in plan and not any("aggregate(sort_array(own" in line for line in plan.splitlines())
     df = placed_pages(spark, [[("a", 0, 0, 40, 20), (None, 0, 200, 40, 20), ("c", 60, 203, 90, 20), ("d", 0, 400, 40, 20)]])
     assert {r["region_type"]: r["content"] for r in L.semantic_layout(df).collect()} == {"header": "a", "table": None, "footer": "d"}
+
+
+def test_overlap_is_compiled(spark, data):
+    """The overlap of a cell and a box ran within lambdas, which are interpreted, and up to four times for each pair."""
+    from docquarry.queries import QUERIES
+
+    for name in ("j4_assign_tokens",):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "greatest(" in plan and not any("greatest(" in line and "lambdafunction(" in line for line in plan.splitlines()), name
+
+
+@pytest.mark.parametrize("least", [0.0, 0.02, 0.3])
+def test_tokens_of_zones_against_plain_python(spark, least):
+    got = {(r["invoice_id"], r["region_id"]): (r["box"], r["iou"]) for r in L.assigned(L.zoned_pages(placed_pages(spark, ZONED_PAGES)), least).collect()}
+    want = {}
+    for k, cells in enumerate(ZONED_PAGES):
+        for i, s in enumerate(zoned_by_hand(cells)[1]):
+            best = min(s, key=lambda z: (-s[z], z))
+            if s[best] > least:
+                want[k, i] = (best, s[best])
+    assert got == want
