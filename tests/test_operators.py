@@ -401,7 +401,7 @@ def test_overlap_is_compiled(spark, data):
     """The overlap of a cell and a box ran within lambdas, which are interpreted, and up to four times for each pair."""
     from docquarry.queries import QUERIES
 
-    for name in ("j4_assign_tokens",):
+    for name in ("j4_assign_tokens", "f15_overlap"):
         plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "greatest(" in plan and not any("greatest(" in line and "lambdafunction(" in line for line in plan.splitlines()), name
 
@@ -416,3 +416,8 @@ def test_tokens_of_zones_against_plain_python(spark, least):
             if s[best] > least:
                 want[k, i] = (best, s[best])
     assert got == want
+
+
+def test_shares_of_zones_against_plain_python(spark):
+    got = {(r["invoice_id"], r["region_id"]): (r["footer"], r["header"], r["table"]) for r in L.shares_of_zones(L.zoned_pages(placed_pages(spark, ZONED_PAGES))).collect()}
+    assert got == {(k, i): (s.get("footer"), s.get("header"), s.get("table")) for k, cells in enumerate(ZONED_PAGES) for i, s in enumerate(zoned_by_hand(cells)[1])}
