@@ -421,3 +421,52 @@ def test_tokens_of_zones_against_plain_python(spark, least):
 def test_shares_of_zones_against_plain_python(spark):
     got = {(r["invoice_id"], r["region_id"]): (r["footer"], r["header"], r["table"]) for r in L.shares_of_zones(L.zoned_pages(placed_pages(spark, ZONED_PAGES))).collect()}
     assert got == {(k, i): (s.get("footer"), s.get("header"), s.get("table")) for k, cells in enumerate(ZONED_PAGES) for i, s in enumerate(zoned_by_hand(cells)[1])}
+
+
+def numbered_pages():
+    """Pages of (text, x, y, w, h) with more numbers than the first ten, in columns and rows of odd heights."""
+    import random
+
+    rnd = random.Random(7)
+    pages = []
+    for n in (0, 1, 12, 60):
+        numbers = [(f"{k}.50", 40 + rnd.randrange(300), 200 + rnd.randrange(40 * n), 30, rnd.choice([10, 20, 31])) for k in range(n)]
+        words = [(rnd.choice(["nut", "bolt", "tax", "Total"]), 20 + rnd.randrange(380), rnd.randrange(400 + 40 * n), 30, rnd.choice([10, 45])) for k in range(40)]
+        pages.append([*numbers, *words, ("end", 900, 100, 10, 10)])
+    return pages
+
+
+@pytest.mark.parametrize("first", [None, 10, 3])
+def test_line_items_against_plain_python(spark, first):
+    got = {(r["invoice_id"], r["region_id"]) for r in L.quadrants(placed_pages(spark, numbered_pages()), first).where("part = 'line_items'").collect()}
+    want = set()
+    for k, cells in enumerate(numbered_pages()):
+        width, height = max(x + w for _, x, _, w, _ in cells), max(y + h for _, _, y, _, h in cells)
+        numbers = [c for _, _, _, c in sorted((c[2], c[1], i, c) for i, c in enumerate(cells) if c[0].endswith(".50"))]
+        at = lambda c: (c[1] + c[3] / 2, c[2] + c[4] / 2)
+        for i, c in enumerate(cells):
+            x, y = at(c)
+            inside = bool(numbers) and min(n[2] for n in numbers) <= y <= max(n[2] + n[4] for n in numbers)
+            near = any((x - at(n)[0]) ** 2 + (y - at(n)[1]) ** 2 < 2500 for n in numbers[:first])
+            if not (x < width * 0.5 and y < height * 0.3) and x <= width * 0.5 and inside and near:
+                want.add((k, i))
+    assert got == want and len(want) > 5
+
+
+def test_line_items_are_near_any_number_of_the_page(spark, data, monkeypatch):
+    """What stood near the eleventh number of a page, or a later one, was no line item."""
+    from docquarry.queries import QUERIES
+
+    cells = [("Vendor", 40, 0, 100, 20), *((f"{k}.00", 40, 300 + 60 * k, 100, 20) for k in range(30)), ("Late", 60, 300 + 60 * 29, 100, 20), ("Far", 200, 300 + 60 * 29, 100, 20), ("Tall", 600, 2200, 100, 20)]
+    page = L.pages(placed_pages(spark, [cells]))
+    monkeypatch.setattr(W, "region_pages", lambda *_: page)
+    got = {r["region_id"]: r["part"] for r in QUERIES["w6_quadrants_of_numbers"](spark, data).collect()}
+    # the vendor's part ends at 0.3 of the height
+    assert [got[k] for k in range(1, 32)] == ["vendor" if 300 + 60 * k + 10 < 666 else "line_items" for k in range(30)] + ["line_items"] and got[32] is None
+
+
+def test_words_of_parts_are_looked_up_without_patterns(spark, data):
+    from docquarry.queries import QUERIES
+
+    plan = QUERIES["w6_quadrants_of_numbers"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE(__t" not in plan and L.CLIENT_WORDS not in plan and L.TAX_WORDS not in plan
