@@ -470,3 +470,13 @@ def test_words_of_parts_are_looked_up_without_patterns(spark, data):
 
     plan = QUERIES["w6_quadrants_of_numbers"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "RLIKE(__t" not in plan and L.CLIENT_WORDS not in plan and L.TAX_WORDS not in plan
+
+
+def test_parts_of_fields_are_near_any_number_of_the_page(spark, data, monkeypatch):
+    """A region near the eleventh number of a page, or a later one, was not placed."""
+    from docquarry.queries import QUERIES
+
+    cells = [("Vendor: A", 40, 0, 100, 20), *((f"{k}.00", 40, 300 + 60 * k, 100, 20) for k in range(30)), ("Far", 200, 300 + 60 * 29, 100, 20), ("Tall", 600, 2200, 100, 20)]
+    page = L.pages(placed_pages(spark, [cells]))
+    monkeypatch.setattr(W, "region_pages", lambda *_: page)
+    assert [(r["vendor"], r["placed"]) for r in QUERIES["x1_fields_quadrant"](spark, data).collect()] == [("Vendor: A", 32)]
