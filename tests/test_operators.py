@@ -480,3 +480,23 @@ def test_parts_of_fields_are_near_any_number_of_the_page(spark, data, monkeypatc
     page = L.pages(placed_pages(spark, [cells]))
     monkeypatch.setattr(W, "region_pages", lambda *_: page)
     assert [(r["vendor"], r["placed"]) for r in QUERIES["x1_fields_quadrant"](spark, data).collect()] == [("Vendor: A", 32)]
+
+
+def test_rows_by_mean_keep_where_they_begin(spark, data):
+    """The fold over a page copied the regions of its rows with each step."""
+    from docquarry.queries import QUERIES
+
+    plan = QUERIES["x2_items_box_rows"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "starts" in plan and "done" not in plan
+    cells = [[(f"t{k}", (k * 37) % 200, (k * k * 3) % 400, 10, 10 + k % 3) for k in range(120)], [], [("one", 0, 0, 10, 10)]]
+    want = []
+    for k, page in enumerate(cells):
+        members = sorted(((y * 2 + h) // 2, x, i) for i, (_, x, y, _, h) in enumerate(page))
+        rows = []
+        for m in members:
+            if rows and abs(m[0] - sum(r[0] for r in rows[-1]) / len(rows[-1])) <= 10:
+                rows[-1].append(m)
+            else:
+                rows.append([m])
+        want += [(k, n, [i for _, i in sorted((x, i) for _, x, i in r)]) for n, r in enumerate(rows)]
+    assert sorted((r["invoice_id"], r["row"], r["region_ids"]) for r in L.rows_by_mean(placed_pages(spark, cells)).collect()) == want
